@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm.common import read
 from framewright.llm.decontaminate import find_leaks
+from framewright.llm.quality_rules import judge
 from framewright.llm.token_counts import count_tokens
 
 
@@ -17,5 +18,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_decontamination)}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op4_decontamination, op7_quality_rules)}
 ORACLES: dict[str, str] = {}
