@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm.common import read
 from framewright.llm.decontaminate import find_leaks
+from framewright.llm.minhash import near_duplicates
 from framewright.llm.quality_rules import judge
 from framewright.llm.token_counts import count_tokens
 
@@ -14,6 +15,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -23,5 +28,5 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_decontamination, op7_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op4_decontamination, op7_quality_rules)}
 ORACLES: dict[str, str] = {}
