@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from framewright.llm.common import read
 from framewright.llm.decontaminate import find_leaks
 from framewright.llm.minhash import near_duplicates
+from framewright.llm.mixing import mix
 from framewright.llm.quality_rules import judge
 from framewright.llm.token_counts import count_tokens
+from framewright.llm.token_ids import token_ids
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +25,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op4_decontamination, op7_quality_rules)}
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op4_decontamination, op5_source_mixing, op7_quality_rules, op8_token_ids)}
 ORACLES: dict[str, str] = {}
