@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framewright.llm.common import read
 from framewright.llm.decontaminate import find_leaks
+from framewright.llm.licenses import scan, summarize
 from framewright.llm.minhash import near_duplicates
 from framewright.llm.mixing import mix
 from framewright.llm.quality_rules import judge
@@ -13,6 +15,11 @@ from framewright.llm.token_counts import count_tokens
 from framewright.llm.token_ids import token_ids
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = summarize(scan(read(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("detections").cast("long").alias("n_detections"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"))
 
@@ -38,5 +45,5 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op4_decontamination, op5_source_mixing, op7_quality_rules, op8_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_near_duplicates, op4_decontamination, op5_source_mixing, op7_quality_rules, op8_token_ids)}
 ORACLES: dict[str, str] = {}
