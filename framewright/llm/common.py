@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: The ASCII white-space characters that end a word in ``[^\x20\x09-\x0D]+``.
 WHITE = " \t\n\x0b\x0c\r"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,13 +26,25 @@ def work_dir(spark: SparkSession) -> str:
     return named
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+#: Written tables that lazily read results may still need; ``clear_scratch`` deletes them.
+_scratch: list[str] = []
+
+
+def write_table(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
     """Write ``df`` under the shared work folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # what this write shuffles is of no use after it: Spark removes it at the end instead of at some later collection of garbage
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.framewright_path = path
+    if scratch:
+        _scratch.append(path)
     return out
 
 
@@ -39,9 +52,25 @@ def drop_table(df: DataFrame | None) -> None:
     """Delete a table of ``write_table`` that no later plan reads."""
     path = getattr(df, "framewright_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration() if hasattr(df.sparkSession._jsc, "sc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _scratch:
+        _scratch.remove(path)
+
+
+def scratch_tables() -> set[str]:
+    """Paths of the work tables that exist because a lazily read result may still need them."""
+    return set(_scratch)
+
+
+def clear_scratch(spark: SparkSession, paths: set[str]) -> None:
+    """Delete work tables, once the results that read them have been written themselves."""
+    for path in paths & scratch_tables():
+        _delete(spark, path)
 
 
 def word_array(text):

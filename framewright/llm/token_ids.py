@@ -10,9 +10,11 @@ Only the text crosses the shuffle, never the ids.  Where a document starts in
 the whole sequence is the part's start (a sum over one row for each part)
 plus its place in the part.
 
-Encoding splits a text at spaces and line feeds, which the tokenizer drops and
-across which it never merges, and looks the pieces up in a bounded cache of each
-worker; only misses reach the tokenizer.
+Texts in the plain alphabet (ASCII and composed Latin letters) are split into the
+tokenizer's pre-tokens here and looked up in a bounded cache of each worker; only
+misses reach its merge model.  Other texts are split at spaces and line feeds,
+which the tokenizer drops and never merges across, and pieces beyond the alphabet
+are encoded by the tokenizer as a whole.
 
 Null text counts as empty and gives the end id alone.  Ids of documents need
 not be unique: equal ones stand next to each other, in no fixed order unless
@@ -22,6 +24,7 @@ an empty folder of files and an empty result.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -33,14 +36,28 @@ from pyspark.sql import functions as F
 
 from framewright.llm.common import work_dir
 
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
 ROW_BYTES = 32 << 20
 
 _workers: dict[str, "Encoder"] = {}
 
 
+#: Letters of the plain alphabet: composed, with one lower-case letter each.
+_LETTERS = "a-zß-öø-ÿ" + "".join(chr(c) for c in range(0x100, 0x17F) if c not in (0x130, 0x131, 0x149) and len(chr(c).lower()) == 1)
+PLAIN = re.compile(rf"[\x20-\x7E\t\n\x0B\x0C\rÀ-ÖØ-Þ{_LETTERS}]*")
+#: The tokenizer's split, over lower-cased texts of that alphabet.
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+", re.A)
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class Encoder(dict):
-    """Ids of a piece of text as little-endian 32-bit integers."""
+    """Ids of a pre-token as little-endian 32-bit integers."""
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
@@ -49,9 +66,12 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(model_file(model))
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        letters = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        ids = [t.id for t in self.model.tokenize(letters)]
         out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
@@ -60,7 +80,18 @@ class Encoder(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if "<|" not in text and PLAIN.fullmatch(text):
+            return b"".join(map(self.__getitem__, SPLIT.findall(text.lower())))
+        # other alphabets, and texts that may hold special strings, go through the tokenizer; it drops spaces and line feeds
+        pieces = [x for x in text.replace("\n", " ").split(" ") if x]
+        out = [b""]
+        for x in pieces:
+            if "<|" not in x and PLAIN.fullmatch(x):
+                out += map(self.__getitem__, SPLIT.findall(x.lower()))
+            else:
+                ids = self.tokenizer.encode(x, add_special_tokens=False).ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return b"".join(out)
 
 
 def write_ids(docs: DataFrame, path: str, model: str = "word_bpe_49k.json", end_id: int = 2, id_col: str = "doc_id", text: str = "text") -> None:
