@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and items are lower-cased and each run of white space becomes one space.
-An item of m characters may be found with up to k = m // 20 edits (``per``).
+An item of m characters may be found with up to k = m // 12 edits (``per``).
 Cut into k + 1 pieces, at least one piece of any such occurrence is unedited:
 an Aho-Corasick automaton over the pieces finds those, and each hit is
 verified around its place by Myers' bit-parallel edit distance (an occurrence
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 4_000_000
+#: An edit for so many characters of an item.
+PER = 12
 
 _matchers: dict = {}
 
@@ -150,7 +152,7 @@ def on_workers(spark, block: list, per: int, min_chars: int):
     return get
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", per: int = 20, min_chars: int = 24) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", per: int = PER, min_chars: int = 24) -> DataFrame:
     """(id, item id, edits, budget, match_end) for each document row that holds an item; clean documents give no row."""
     spark = docs.sparkSession
     doc_kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
@@ -178,7 +180,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
     return spark.createDataFrame([], schema) if found is None else found
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text", per: int = 20, min_chars: int = 24) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text", per: int = PER, min_chars: int = 24) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item: a filter row by row, without a join."""
     at = docs.columns.index(text)
     for block in item_blocks(items, item_col, item_text):
