@@ -6,8 +6,8 @@ one shingle, and without words the set is empty and linked with nothing.
 Documents are linked when 100 * |A & B| >= 75 * |A | B|.
 
 1. One vectorised pass makes for each document the set's size, a 128-bit key of
-   the set, 128 minima of multiply-shift hashes in 32 bands of four, and two
-   bits of each minimum as a compact signature.  At similarity 0.75 two
+   the set, 128 minima of multiply-shift hashes in 32 bands of four, two
+   bits of each minimum as a compact signature, and a bitmap of the set.  At similarity 0.75 two
    documents share no band with probability 5e-6.
 2. Documents with the same set are one class, stood for by its smallest id;
    only these representatives go on.
@@ -15,10 +15,14 @@ Documents are linked when 100 * |A & B| >= 75 * |A | B|.
    many pairs as members.  Pairs that sizes or signatures rule out go (84 of 128
    two-bit agreements are asked for, 4.5 deviations below the mean at 0.75); the
    rest is confirmed on full sets.  Components of the links follow.
-4. Buckets that still hold several components are looked at again: members
-   outside the bucket's largest component are compared with members of other
-   components, so no pair that shares a bucket is left undecided.  A bucket whose
-   members are all linked by then costs nothing more.
+4. Buckets that still hold several components are looked at again.  If there are
+   many members outside the largest components of large buckets, rounds confirm
+   pairs of neighbours in a seeded order of the bucket, the most alike for each
+   two components, which joins the stragglers of large groups.  At last
+   members outside a bucket's largest component are compared with members of
+   other components (sizes, signatures and bitmaps first), so no pair that shares
+   a bucket is left undecided.  A bucket whose members are all linked costs
+   nothing more.
 
 Texts of one centre's pairs meet in groups of a bounded number of pairs, sorted
 so that the centre comes first; a task holds one centre's set at a time.
@@ -31,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.common import drop_table, write_table
@@ -41,7 +45,12 @@ SHINGLE, BANDS, ROWS = 5, 32, 4
 HASHES = BANDS * ROWS
 AGREE = 84
 CHUNK = 1 << 20
+BITS = 2048
 PAIRS_AT_ONCE = 256
+#: Rounds of neighbour pairs in undecided buckets, and members that are ordered together.
+ROUNDS, SLICE_MEMBERS, FEW = 3, 1000, 1000
+#: Buckets of more members carry bitmaps; confirmations of up to so many texts send the list of them to every executor.
+BITS_FROM, BROADCAST_ROWS = 32, 65_536
 
 _rng = np.random.Generator(np.random.PCG64(20_240_601))
 _draw = lambda n: _rng.integers(0, 1 << 64, n, dtype=np.uint64)
@@ -134,7 +143,14 @@ def minima(s: np.ndarray) -> np.ndarray:
     return low >> np.uint64(32)
 
 
-_SIGNED = "id long, n long, k1 long, k2 long, keys array<bigint>, s0 long, s1 long, s2 long, s3 long"
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit for each value's low bits: a bit of A that B lacks is a shingle of A that B lacks."""
+    flags = np.zeros(BITS, bool)
+    flags[(s & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view("<i8")
+
+
+_SIGNED = "id long, n long, k1 long, k2 long, keys array<bigint>, bits array<bigint>, s0 long, s1 long, s2 long, s3 long"
 
 
 def _sign(batches):
@@ -144,23 +160,40 @@ def _sign(batches):
             n = np.array([len(s) for s in sets], np.int64)
             low = np.stack([minima(s) for s in sets]) if sets else np.zeros((0, HASHES), np.uint64)
             keys = mix((low.reshape(-1, BANDS, ROWS) * _BAND).sum(axis=2, dtype=np.uint64) + _BAND_ADD).view(np.int64)
-            bits = ((low & np.uint64(3)).reshape(-1, 4, 32) << _SHIFTS).sum(axis=2, dtype=np.uint64).view(np.int64)
+            two = ((low & np.uint64(3)).reshape(-1, 4, 32) << _SHIFTS).sum(axis=2, dtype=np.uint64).view(np.int64)
             k = [np.array([mix(s ^ c).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for c in (np.uint64(0), np.uint64(0x5DEECE66D5DEECE6))]
+            lists = lambda flat, each: pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * each), pa.array(flat))
+            maps = np.concatenate([bitmap(s) for s in sets]) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(n), *(pa.array(x) for x in k),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1))), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)),
-            ], names=["id", "n", "k1", "k2", "keys", "s0", "s1", "s2", "s3"])
+                batch.column(0), pa.array(n), *(pa.array(x) for x in k), lists(keys.reshape(-1), BANDS), lists(maps, BITS // 64), *(pa.array(np.ascontiguousarray(two[:, i])) for i in range(4)),
+            ], names=["id", "n", "k1", "k2", "keys", "bits", "s0", "s1", "s2", "s3"])
 
 
-def _alike(a: str, b: str, least: int) -> Column:
-    """Sizes and two-bit signatures of the rows allow the similarity."""
+def _differences(a: str, b: str) -> Column:
+    """How many of the two-bit minima of the rows differ."""
     even = F.lit(0x5555555555555555)
     differ = F.lit(0)
     for i in range(4):
         x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
         differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(even))
+    return differ
+
+
+def _alike(a: str, b: str, least: int) -> Column:
+    """Sizes and two-bit signatures of the rows allow the similarity."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (100 * F.least(n, m) >= least * F.greatest(n, m)) & (_differences(a, b) <= HASHES - AGREE)
+
+
+def _possible(a: str, b: str, least: int) -> Column:
+    """As ``_alike``, and the bitmaps allow the similarity too: they bound the common shingles from above, without error."""
+    x, y = F.col(f"{a}.bits"), F.col(f"{b}.bits")
+    # both counts in one sum, and outside generated code: an unrolled sum makes the join's method too large to compile
+    either = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))).cast("long") + F.bit_count(q.bitwiseAND(F.bitwise_not(p))).cast("long") * 65536)
+    counts = F.aggregate(either, F.lit(0).cast("long"), lambda acc, v: acc + v)
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(n, m) >= least * F.greatest(n, m)) & (differ <= HASHES - AGREE)
+    both = F.least(n - counts.bitwiseAND(F.lit(65535)), m - F.shiftright(counts, 16))
+    return _alike(a, b, least) & F.coalesce(100 * both >= least * (n + m - both), F.lit(True))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
@@ -189,10 +222,37 @@ def confirm(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
                             break
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    texts = docs.join(wanted.hint("shuffle_hash"), "id").select("a", "part", "role", "id", "t")
+    # a pair adds two rows at most: the list of a known small number of pairs is broadcast, a longer one is hashed by id with the texts
+    wanted = F.broadcast(wanted) if 2 * pairs.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
+    texts = docs.join(wanted, "id").select("a", "part", "role", "id", "t")
     return texts.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(compare, "a long, b long")
 
 
+def _undecided(points: DataFrame, buckets: DataFrame, found: DataFrame, wide: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with the bucket's largest component and number of members."""
+    member = points.select("key", "id").join(buckets.select("key"), "key").join(found, F.col("id") == F.col("node"), "left")
+    member = write_table(member.select("key", "id", F.coalesce("component", "id").alias("comp")), "members")
+    parts = member.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key")
+    mixed = parts.agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.sum("size").alias("members"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    bits = F.when(F.col("members") > BITS_FROM, F.col("bits"))  # small buckets have few pairs to rule out
+    out = write_table(member.join(mixed, "key").join(wide, "id").withColumn("bits", bits), "undecided")
+    drop_table(member)
+    return out
+
+
+def _neighbours(left: DataFrame, turn: int, least: int) -> DataFrame:
+    """Pairs (a, b) of members that stand next to each other in a seeded order of their bucket and belong to different components.
+
+    Large buckets are ordered in slices.  Of the pairs between the same two components only the most alike stays: one link joins them.
+    """
+    slices = F.ceil(F.col("members") / SLICE_MEMBERS)
+    rows = left.select("key", F.pmod(F.xxhash64("id", F.lit(-turn)), slices).alias("slice"), F.xxhash64("id", F.lit(turn)).alias("h"), F.struct("id", "comp", "n", "s0", "s1", "s2", "s3", "bits").alias("x"))
+    order = Window.partitionBy("key", "slice").orderBy("h")
+    near = rows.select("x", F.lag("x").over(order).alias("y")).where((F.col("x.comp") != F.col("y.comp")) & _possible("x", "y", least))
+    pair = F.struct((-_differences("x", "y")).alias("agree"), F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    return near.groupBy(F.least("x.comp", "y.comp"), F.greatest("x.comp", "y.comp")).agg(F.max(pair).alias("p")).select("p.a", "p.b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 75) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs``; ``least`` is the similarity in hundredths."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
@@ -200,7 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named = signed.where("id is not null and n > 0")
     classes = write_table(named.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = write_table(named.drop("k1", "k2").join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "representatives")
-    slim, points = reps.drop("keys"), reps.select("id", F.explode("keys").alias("key"), "n", "s0", "s1", "s2", "s3")
+    slim, wide, points = reps.drop("keys", "bits"), reps.drop("keys"), reps.select("id", F.explode("keys").alias("key"), "n", "s0", "s1", "s2", "s3")
     lone = points.select("key", "id").groupBy("key").agg(F.min("id").alias("c"), F.count("*").alias("members")).where("members > 1").select("key", "c")
     buckets = write_table(lone.join(slim.withColumnRenamed("id", "c"), "c"), "buckets")
     texts = source.where("id is not null")
@@ -211,23 +271,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     links = write_table(confirm(first, texts, least), "confirmed")
     found = components(links)
 
-    member = points.select("key", "id").join(buckets.select("key"), "key").join(found, F.col("id") == F.col("node"), "left")
-    member = write_table(member.select("key", "id", F.coalesce("component", "id").alias("comp")), "members")
-    mixed = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    left = write_table(member.join(mixed, "key"), "mixed")
-    largest = left.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
-    left = write_table(left.join(largest, "key").join(slim, "id"), "undecided")
+    left = _undecided(points, buckets, found, wide)
+    for turn in range(ROUNDS):
+        straggles = F.col("comp") != F.col("main")
+        rows, stragglers, work = left.agg(F.count("*"), F.count_distinct(F.when(straggles, F.col("id"))), F.sum(F.when(straggles, F.col("members")))).first()
+        if (work or 0) <= FEW * rows:
+            break  # comparing all that is undecided is less work than a round
+        near = write_table(_neighbours(left, turn, least).join(first, ["a", "b"], "left_anti"), "pairs")
+        more = write_table(confirm(near, texts, least), "confirmed")
+        drop_table(near)
+        new = more.count()
+        if new:
+            found = components(more.unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+            drop_table(left)
+            left = _undecided(points, buckets, found, wide)
+        if 50 * new < stragglers:
+            break
     x, y = left.where("comp <> main").alias("x"), left.alias("y")
     once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-    near = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.comp") != F.col("y.comp")) & once & _alike("x", "y", least))
+    near = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.comp") != F.col("y.comp")) & once & _possible("x", "y", least))
     more = near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     more = write_table(more.join(first, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        found = components(links.unionAll(confirm(more, texts, least)))
+        links = write_table(confirm(more, texts, least), "confirmed")
+        found = components(links.unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     of_class = write_table(of_class, "components")
-    for table in (reps, buckets, first, links, member, left, more, classes):
+    for table in (reps, buckets, first, links, left, more, classes):
         drop_table(table)
     out = signed.select("id", "n", "k1", "k2").join(of_class, ["k1", "k2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
