@@ -6,7 +6,6 @@ image sizes, ``events`` are a stream of requests with a latency and a mode.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -99,7 +98,7 @@ RECTS = f"""(
 def src1_image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every picture as a PNG file, read back by the image source."""
     rows = pictures(spark, sf_dir)
-    folder = os.path.join(tempfile.mkdtemp(prefix="framewright-"), "images")
+    folder = f"{_scratch(spark)}/images"
     images.write_png_files(rows.select("vec_id", as_image(F.col("p"), 4, 4).alias("image")), "vec_id", "image", folder)
     found = images.require_decoded(images.read_images(spark, folder, skip_broken=True)).select("image.*")
     return found.select(F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("bigint").alias("vec_id"), "height", "width", "nChannels", "mode", F.hex("data").alias("pixels"))
@@ -524,6 +523,46 @@ def win1_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.suppress_groups(rects(spark, sf_dir), "image", ["vec_id", "i"], NMS).withColumn("score", F.round("score", 6))
 
 
+BOXES32 = f"""(
+  select vec_id, i, score, class_id, cx::float::double as cx, cy::float::double as cy, w::float::double as w, h::float::double as h from {BOXES}
+)"""
+DETECT_SQL = f"""
+with recursive c as (
+  select vec_id, i, score, class_id, greatest(0.0, least(640.0, cx - 0.5 * w)) as x1, greatest(0.0, least(640.0, cy - 0.5 * h)) as y1, greatest(0.0, least(640.0, cx + 0.5 * w)) as x2, greatest(0.0, least(640.0, cy + 0.5 * h)) as y2
+  from {BOXES32} where score > {CONF}
+), q as (
+  select vec_id, i, score, class_id, round(x1)::bigint as x, round(y1)::bigint as y, round(x2 - x1)::bigint as w, round(y2 - y1)::bigint as h from c where x2 > x1 and y2 > y1
+), sorted as (
+  select vec_id, list({{'s': score, 'i': i, 'c': class_id, 'x': x, 'y': y, 'w': w, 'h': h}} order by score desc, i) as l from q group by vec_id
+), r(vec_id, rest, kept) as (
+  select vec_id, l, list_filter(l, lambda d: false) from sorted
+  union all
+  select vec_id, list_filter(rest[2:], lambda d: not (
+      greatest(0, least(rest[1].x + rest[1].w, d.x + d.w) - greatest(rest[1].x, d.x)) * greatest(0, least(rest[1].y + rest[1].h, d.y + d.h) - greatest(rest[1].y, d.y))
+      > {NMS}::double * (rest[1].w * rest[1].h + d.w * d.h - greatest(0, least(rest[1].x + rest[1].w, d.x + d.w) - greatest(rest[1].x, d.x)) * greatest(0, least(rest[1].y + rest[1].h, d.y + d.h) - greatest(rest[1].y, d.y)))
+      or rest[1].w * rest[1].h + d.w * d.h = 0
+    )), list_append(kept, rest[1]) from r where len(rest) > 0
+), final as (select vec_id, unnest(kept) as b from r where len(rest) = 0)
+select vec_id, b.x::int as x, b.y::int as y, b.w::int as w, b.h::int as h, round(b.s, 4) as score, b.c as class_id, {LABELS}[b.c + 1] as label from final
+"""
+
+
+@query(DETECT_SQL)
+def detect_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw output tensors to labelled boxes within each row: decoding, filters and suppression without a shuffle."""
+    from framewright.config import ModelConfig
+    from framewright.operators.runners import Detector
+
+    part = lambda a, f: F.transform(F.slice("e", 8 * a + 1, 8), f)
+    centre, side = (lambda v: 320 + 640 * v), (lambda v: F.abs(v) * 1200)
+    raw = F.concat(part(0, centre), part(1, centre), part(2, side), part(3, side), F.slice("e", 33, 32))
+    fixed = {"scale": 1.0, "pad_left": 0, "pad_top": 0, "orig_w": 640, "orig_h": 640}
+    rows = vectors(spark, sf_dir).select("vec_id", raw.cast("array<float>").alias("y"), *[F.lit(v).alias(n) for n, v in fixed.items()], F.lit(None).cast("string").alias("error"))
+    runner = Detector(ModelConfig("raw", classes=tuple(LABELS), conf=CONF, nms=NMS), b"", "y", "vec_id")
+    found = runner.postprocess(rows).select("vec_id", F.explode("detections").alias("d")).select("vec_id", "d.*")
+    return found.withColumn("score", F.round(F.col("score").cast("double"), 4))
+
+
 @query(f"""
 select vec_id, count(*) as candidates, count(*) filter (score >= {CONF}) as n from {BOXES} group by vec_id
 """)
@@ -805,27 +844,22 @@ RESULTS = f"""(
 ROUNDED = ", ".join(c if d is None else f"round({c}, {d}) as {c}" for c, d in reports.COLUMNS.items())
 
 
-def _folder() -> str:
-    return tempfile.mkdtemp(prefix="framewright-")
-
-
 CONFIG = BenchmarkConfig(config_path="config.yaml", concurrent_clients=8, batch_override=Override(batch=8))
 
 
 @query(f"select 8 as concurrent_clients, mode, override_batch::bigint as override_batch, total_requests, round(wall_time_ms, 2) as total_wall_ms, round(throughput_qps, 2) as throughput_qps, {', '.join(f'round({c}, 4) as {c}' for c in reports.COLUMNS if c.startswith('latency'))}, total_requests as samples_count from {RESULTS}")
 def snk2_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder()
-    reports.write_json(results(spark, sf_dir), CONFIG, os.path.join(folder, "benchmark_20240101_000000.json"), 1_704_067_200)
-    with open(os.path.join(folder, "benchmark_broken.json"), "w") as f:
-        f.write("{")
-    return reports.read_json(spark, f"file://{folder}").drop("file")
+    folder = _scratch(spark)
+    reports.write_json(results(spark, sf_dir), CONFIG, f"{folder}/benchmark_20240101_000000.json", 1_704_067_200)
+    reports.write_text(spark, f"{folder}/benchmark_broken.json", "{")
+    return reports.read_json(spark, folder).drop("file")
 
 
 @query(f"select {ROUNDED} from {RESULTS}")
 def snk3_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = os.path.join(_folder(), "benchmark_20240101_000000.csv")
+    path = f"{_scratch(spark)}/benchmark_20240101_000000.csv"
     reports.write_csv(results(spark, sf_dir), CONFIG, path)
-    return reports.read_csv(spark, f"file://{path}")
+    return reports.read_csv(spark, path)
 
 
 @query(f"select mode, total_requests::varchar as total_requests, {', '.join(f'''printf('%.{1 if c in ('wall_time_ms', 'throughput_qps') else 2}f', round({c}, {1 if c in ('wall_time_ms', 'throughput_qps') else 2})) as {c}''' for c in list(reports.COLUMNS)[3:])} from (select {ROUNDED} from {RESULTS})")

@@ -53,7 +53,10 @@ def as_png(df: DataFrame, key: str, image: str) -> DataFrame:
 
 
 def write_png_files(df: DataFrame, key: str, image: str, folder: str) -> None:
-    """A file ``<key>.png`` for each row under a folder that the driver and all executors share."""
+    """A file ``<key>.png`` for each row under a mounted folder that the driver and all executors share."""
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError(f"{folder} is not a mounted folder; write the rows of as_png instead")
+    folder = folder.removeprefix("file://")
     os.makedirs(folder, exist_ok=True)
 
     def write(rows):

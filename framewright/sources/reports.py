@@ -30,6 +30,16 @@ def report_name(kind: str, now: datetime.datetime) -> str:
     return f"benchmark_{now:%Y%m%d_%H%M%S}.{kind}"
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A file on any file system that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(text.encode("utf-8"))
+    finally:
+        out.close()
+
+
 def write_json(results: DataFrame, config: BenchmarkConfig, path: str, timestamp: int) -> None:
     """One report file.  A report has one row for each mode, so it is put together on the driver."""
     rows = []
@@ -39,8 +49,8 @@ def write_json(results: DataFrame, config: BenchmarkConfig, path: str, timestamp
         rows.append(row)
     names = ("config_path", "image_path", "model_type", "mode", "warmup_count", "test_duration_sec", "min_iterations", "concurrent_clients", "show_gpu_stats", "output_dir")
     over = {k: {"batch": o.batch, "buffer_size": o.buffer_size} for k, o in (("sync", config.sync_override), ("async", config.async_override), ("batch", config.batch_override))}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"benchmark": {n: getattr(config, n) for n in names}, "overrides": over, "timestamp": timestamp, "results": rows}, f, indent=2)
+    whole = {"benchmark": {n: getattr(config, n) for n in names}, "overrides": over, "timestamp": timestamp, "results": rows}
+    write_text(results.sparkSession, path, json.dumps(whole, indent=2))
 
 
 def read_json(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,8 +69,7 @@ def write_csv(results: DataFrame, config: BenchmarkConfig, path: str) -> None:
     lines.append(",".join(COLUMNS))
     for r in rounded(results).collect():
         lines.append(",".join(str(r[c]) if d is None else f"{r[c]:.{d}f}" for c, d in COLUMNS.items()))
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\n".join(lines) + "\n")
+    write_text(results.sparkSession, path, "\n".join(lines) + "\n")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -193,3 +193,12 @@ def test_ring_and_closed_loop():
     calls = []
     latencies, wall = schedule.closed_loop(lambda: calls.append(1), 0.0, 5, warm_up=2)
     assert len(latencies) >= 5 and len(calls) == len(latencies) + 2 and wall >= sum(latencies)
+
+
+def test_model_file_prefers_the_optimized_copy(tmp_path):
+    from framewright.operators.infer import read_model
+
+    (tmp_path / "m.onnx").write_bytes(b"plain")
+    assert read_model(str(tmp_path / "m.onnx")) == b"plain"
+    (tmp_path / "optimized_m.onnx").write_bytes(b"better")
+    assert read_model(str(tmp_path / "m.onnx")) == b"better"
