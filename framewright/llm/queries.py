@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import url_filters
+from framewright.llm import sql, url_filters
 from framewright.llm.chat import format_chats
 from framewright.llm.common import read
 from framewright.llm.decontaminate import find_leaks
@@ -60,24 +60,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(read(spark, sf_dir, "conversations"))
 
 
-#: Equality of prefixes is tested on the joined turns themselves, not on digests.
-OP10_SQL = """
-with turns as (
-  select conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations
-), whole as (
-  select conv_id, count(*) as n_turns,
-    list(length(role) || chr(31) || role || chr(31) || text order by turn nulls first, role, text) as turns,
-    string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by turn nulls first, role, text) as rendered
-  from turns group by conv_id
-), prefixes as (
-  select distinct turns[1:i] as p from whole, unnest(range(1, n_turns)) as u(i)
-), one as (
-  select min(conv_id) as conv_id, any_value(n_turns) as n_turns, count(*) as copies, any_value(rendered) as rendered, turns
-  from whole group by turns
-)
-select conv_id, n_turns, copies, rendered from one where not exists (select 1 from prefixes where p = turns)
-"""
-
-
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_near_duplicates, op4_decontamination, op5_source_mixing, op6_url_filters, op7_quality_rules, op8_token_ids, op9_html_extraction, op10_chat_formatting)}
-ORACLES: dict[str, str] = {"op10_chat_formatting": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": sql.license_scan(),
+    "op3_near_duplicates": sql.NEAR_DUPLICATES,
+    "op9_html_extraction": sql.HTML_EXTRACTION,
+    "op10_chat_formatting": sql.CHAT_FORMATTING,
+}
