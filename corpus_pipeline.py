@@ -3,17 +3,20 @@
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; all but the last return the columns of ``documents``.  ``run`` applies
 them in order, with each result written to the shared work folder and read
-again.  No stage is expressible in SQL as a whole (a learned list, link
+again.  A stage first deletes the work tables of the one before, whose result is
+written by then.  No stage is expressible in SQL as a whole (a learned list, link
 components, edit distances, a seeded knapsack, a tokenizer), so the pipeline
 is tested against brute force.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm import decontaminate, minhash, mixing, quality_rules, token_ids
-from framewright.llm.common import drop_table, read, write_table
+from framewright.llm.common import clear_scratch, drop_table, read, scratch_tables, write_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +39,30 @@ def binary_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_ids.token_ids(docs)
 
 
+_work: set[str] = set()
+
+
+def _tidy(stage):
+    """The stage, which first deletes the work tables of the stage before and then notes its own."""
+
+    @functools.wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        clear_scratch(spark, _work)
+        before = scratch_tables()
+        out = stage(spark, docs, sf_dir)
+        _work.clear()
+        _work.update(scratch_tables() - before)
+        return out
+
+    return call
+
+
 STAGES = [
-    ("quality_rules", quality),
-    ("minhash_near_duplicates", near_duplicates),
-    ("benchmark_decontamination", benchmark),
-    ("source_mixing", mix_sources),
-    ("token_ids", binary_ids),
+    ("quality_rules", _tidy(quality)),
+    ("minhash_near_duplicates", _tidy(near_duplicates)),
+    ("benchmark_decontamination", _tidy(benchmark)),
+    ("source_mixing", _tidy(mix_sources)),
+    ("token_ids", _tidy(binary_ids)),
 ]
 
 ORACLE_SQL = None
@@ -51,7 +72,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     before = None
     for name, stage in STAGES:
-        docs = write_table(stage(spark, docs, sf_dir), name)
+        docs = write_table(stage(spark, docs, sf_dir), name, scratch=False)
         drop_table(before)
         before = docs
     return docs

@@ -10,14 +10,15 @@ size the budget's share is taken, rounded down; what remains of the budget is
 filled from the largest size downwards until it is small, and then by a bounded
 knapsack over the sizes with documents left.  Only counts by size enter this:
 one row for each source and size.  Which documents of a size are taken follows
-a seeded hash of the id, with ties in id order.
+a seeded hash of id and text.
 
-A size's documents are ranked in hash slices whose numbers are added up first,
-so the documents of a hot size are never ordered in one task.
+A size's documents fall into hash slices whose numbers are added up first; only
+the slice that holds the last document taken is ordered, so the documents of a
+hot size never meet in one task, and texts are not shuffled.
 
-Null text has size 0; documents of size 0 are taken once.  Rows with the same
-id get ranks of their own, in no fixed order among equal rows.  A null id is
-an id of its own.  An empty table gives an empty result.
+Null text has size 0; documents of size 0 are taken once.  Equal rows (same id,
+source and text) are taken alike, which can miss the target by their sizes.  A
+null id is an id of its own.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ SHARE, MOST = 1.5, 2
 SLICES = 1024
 #: Budget below which the knapsack takes over from the largest-first filling.
 KNAPSACK = 1 << 17
+BROADCAST_ROWS = 200_000
 
 
 def targets(totals: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -111,14 +113,26 @@ def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
     return taken
 
 
-def _seeded(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("id"))
+def _sized(docs: DataFrame, id_col: str, source: str, text: str, seed: int, carry: bool) -> DataFrame:
+    """(id, source, size, h, slice) of each row; h orders the documents of a size by the seed."""
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.col(source).alias("source"), F.size(word_array(F.col(text))).cast("long").alias("size"),
+        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text)).alias("h"), *[F.struct(*docs.columns).alias("_row")] * carry,
+    )
+    return rows.withColumn("slice", F.pmod(F.shiftrightunsigned("h", 32), F.lit(SLICES)).cast("int"))
+
+
+def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
+    """Both have the same source (null is one) and the same values of the other columns."""
+    out = a["source"].eqNullSafe(b["source"])
+    for n in names:
+        out = out & (a[n] == b[n])
+    return out
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7, carry: bool = False, **options) -> DataFrame:
     """(id, size, source_size, target, copies, taken) for each row; with ``carry`` also the whole row as ``_row``."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.size(word_array(F.col(text))).cast("long").alias("size"), *[F.struct(*docs.columns).alias("_row")] * carry)
-    sized = write_table(rows.withColumn("h", _seeded(seed)).withColumn("slice", F.pmod(F.shiftrightunsigned("h", 32), F.lit(SLICES)).cast("int")), "sized")
+    sized = write_table(_sized(docs, id_col, source, text, seed, False), "sized")
     slices = write_table(sized.groupBy("source", "size", "slice").agg(F.count("*").alias("n")), "slices")
     counts = slices.groupBy("source", "size").agg(F.sum("n").alias("n"))
     goals = write_table(targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), **options), "targets")
@@ -128,21 +142,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
         size, target = int(pdf.source_size.iloc[0]), float(pdf.target.iloc[0])
         base = min(MOST, int(target // size)) if size else 1
         extra = fit(pdf["size"].tolist(), pdf.n.tolist(), math.floor(target - base * size + 0.5)) if base < MOST and size else [0] * len(pdf)
-        return pdf[["source", "size"]].assign(base=[base if s else 1 for s in pdf["size"]], extra=extra)
+        return pdf[["source", "size", "source_size", "target"]].assign(base=[base if s else 1 for s in pdf["size"]], extra=extra)
+
+    of_source = counts.join(goals, _same(counts, goals)).select(goals["source"], "size", "n", "source_size", "target")
+    planned = write_table(of_source.groupBy("source").applyInPandas(plan, "source string, size long, source_size long, target double, base long, extra long"), "plan")
 
-    of_source = counts.join(goals, counts["source"].eqNullSafe(goals["source"])).select(goals["source"], "size", "n", "source_size", "target")
-    planned = of_source.groupBy("source").applyInPandas(plan, "source string, size long, base long, extra long")
+    # the last document of each size that is taken once more: in which slice it is, and its place in the order there
     in_order = Window.partitionBy("source", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0))).alias("o")
-    planned = planned.alias("p")
-    offsets = offsets.join(planned, F.col("o.source").eqNullSafe(F.col("p.source")) & (F.col("o.size") == F.col("p.size"))).join(goals.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source")))
-    offsets = write_table(offsets.select("o.source", "o.size", "o.slice", "before", "n", "base", "extra", "source_size", "target"), "offsets").alias("o")
-
-    in_slice = Window.partitionBy("d.source", "d.size", "d.slice").orderBy("d.h", "d.id")
-    both = sized.alias("d").join(offsets, F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.size") == F.col("o.size")) & (F.col("d.slice") == F.col("o.slice")))
-    copies = F.col("base") + (F.col("before") + F.row_number().over(in_slice) <= F.col("extra")).cast("long")
-    out = both.select(F.col("d.id").alias(id_col), "d.size", "source_size", "target", copies.alias("copies"), *["d._row"] * carry)
-    for table in (slices, goals):
+    offsets = slices.withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0)))
+    last = offsets.join(planned, _same(offsets, planned, "size")).where((F.col("before") < F.col("extra")) & (F.col("extra") <= F.col("before") + F.col("n")))
+    last = write_table(last.select(offsets["source"], offsets["size"], "slice", (F.col("extra") - F.col("before")).alias("place")), "last")
+    in_slice = Window.partitionBy("source", "size", "slice").orderBy("h")
+    there = sized.join(last, _same(sized, last, "size", "slice")).select(sized["source"], sized["size"], sized["slice"], "h", "place")
+    cuts = there.withColumn("at", F.row_number().over(in_slice)).where("at = place").select("source", "size", F.col("slice").alias("cut_slice"), F.col("h").alias("cut_h"))
+    final = write_table(planned.join(cuts, _same(planned, cuts, "size"), "left").select(planned["source"], planned["size"], "source_size", "target", "base", "cut_slice", "cut_h"), "mix")
+
+    rows = _sized(docs, id_col, source, text, seed, True) if carry else sized
+    # one row for each source and length: a known small number goes to every executor, a larger one is joined by shuffling
+    known = F.broadcast(final) if final.count() <= BROADCAST_ROWS else final
+    both = rows.join(known, _same(rows, final, "size"))
+    once_more = (F.col("slice") < F.col("cut_slice")) | (F.col("slice") == F.col("cut_slice")) & (F.col("h") <= F.col("cut_h"))
+    copies = F.col("base") + F.coalesce(once_more, F.lit(False)).cast("long")
+    out = both.select(rows["id"].alias(id_col), rows["size"], "source_size", "target", copies.alias("copies"), *["_row"] * carry)
+    for table in (slices, goals, planned, last, *([sized] if carry else [])):
         drop_table(table)
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
