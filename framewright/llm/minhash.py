@@ -198,8 +198,9 @@ def _possible(a: str, b: str, least: int) -> Column:
 
 def confirm(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets are similar enough; ``docs`` has (id, t)."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).alias("parts"))
-    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    # centres with more pairs than one group takes: few, and known before the pairs meet them, so no centre's pairs are brought together for it
+    many = write_table(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).alias("parts")).where("parts > 1"), "centres")
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
     wanted = dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("id")).unionAll(dealt.select("a", "part").distinct().select("a", "part", F.lit(0), "a"))
 
     def compare(batches):
