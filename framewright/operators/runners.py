@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.config import ModelConfig
@@ -57,21 +57,28 @@ class Detector(Runner):
     def postprocess(self, rows: DataFrame) -> DataFrame:
         """(key, detections, error): one row for each request, with an array of boxes."""
         attributes, conf, nms, labels = 4 + len(self.config.classes), self.config.conf, self.config.nms, self.config.classes
-        count = F.floor(F.size(self.output) / attributes).cast("int")
-        at = lambda a, i: F.col(self.output)[(F.lit(a) * count + i).cast("int")].cast("double")
-
-        def anchor(i):
-            scores = F.array(*[at(a, i) for a in range(4, attributes)])
-            top = F.array_max(scores)
-            box = geometry.decode_corners(at(0, i), at(1, i), at(2, i), at(3, i), F.col("scale"), F.col("pad_left"), F.col("pad_top"), F.col("orig_w"), F.col("orig_h"))
-            return F.struct((-top).alias("neg"), i.alias("i"), argmax(scores).alias("class_id"), box.alias("box"))
-
-        # the kernel takes scores from the threshold on, and suppression only those above it
-        found = F.filter(F.transform(F.sequence(F.lit(0), count - 1), anchor), lambda d: (-d["neg"] > conf) & (-d["neg"] > 0) & ~geometry.degenerate(d["box"]))
-        rect = lambda d: F.struct(d["neg"], d["i"], d["class_id"], *[geometry.to_rect(d["box"])[p].alias(p) for p in ("x", "y", "w", "h")])
-        kept = detect.suppress(F.sort_array(F.transform(found, rect)), nms)
         names = F.array(*map(F.lit, labels))
-        final = F.transform(kept, lambda d: F.struct(d["x"], d["y"], d["w"], d["h"], (-d["neg"]).cast("float").alias("score"), d["class_id"], F.try_element_at(names, d["class_id"] + 1).alias("label")))
+
+        def found(y: Column) -> Column:
+            count = F.floor(F.size(y) / attributes).cast("int")
+
+            def anchor(i: Column) -> Column:
+                at = [y[(F.lit(a) * count + i).cast("int")].cast("double") for a in range(attributes)]
+                scores = F.array(*at[4:])
+                box = geometry.decode_corners(*at[:4], F.col("scale"), F.col("pad_left"), F.col("pad_top"), F.col("orig_w"), F.col("orig_h"))
+                return F.struct((-F.array_max(scores)).alias("neg"), i.alias("i"), argmax(scores).alias("class_id"), box.alias("box"))
+
+            # decoding takes scores from the threshold on, and suppression only those above it
+            good = F.filter(F.transform(F.sequence(F.lit(0), count - 1), anchor), lambda d: (-d["neg"] > conf) & (-d["neg"] > 0) & ~geometry.degenerate(d["box"]))
+            rect = lambda d: F.struct(d["neg"], d["i"], d["class_id"], *[geometry.to_rect(d["box"])[p].alias(p) for p in ("x", "y", "w", "h")])
+            return F.sort_array(F.transform(good, rect))
+
+        def once(value: Column, body) -> Column:
+            """Binds a value to a name, so that it is computed once however often the body uses it."""
+            return F.transform(F.array(value), body)[0]
+
+        label = lambda d: F.struct(d["x"], d["y"], d["w"], d["h"], (-d["neg"]).cast("float").alias("score"), d["class_id"], F.try_element_at(names, d["class_id"] + 1).alias("label"))
+        final = once(F.col(self.output), lambda y: once(found(y), lambda boxes: F.transform(detect.suppress(boxes, nms), label)))
         return rows.select(self.key, F.when(F.col("error").isNull(), final).alias("detections"), "error")
 
 
