@@ -207,7 +207,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", table: lis
     table = rules() if table is None else table
     known = F.array(*[F.lit(k) for k in sorted({r.keyword for r in table})])
     triggers = F.array(*[F.lit(k) for k in sorted({r.keyword for r in table} - {COMMON})])
-    signatures = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for i, r in enumerate(table)])
+    row = "named_struct('rule', {}, 'priority', {}, 'label', '{}', 'keyword', '{}', 'pattern', r'{}')"
+    signatures = F.expr(f"array({', '.join(row.format(i, r.priority, r.label, r.keyword, r.pattern) for i, r in enumerate(table))})")
     phrases = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(x).alias("label")) for p, x in BASE.items()])
     kind = "struct<base:array<struct<start:bigint,label:string>>,detections:array<struct<start:bigint,end:bigint,label:string,priority:int,rule:int>>>"
 
