@@ -13,6 +13,33 @@ WHITE = " \t\n\x0b\x0c\r"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: What the operator at work keeps in a Python worker; the next operator's things take its place.
+_kept: dict = {}
+
+
+def on_worker(key, make):
+    """``make()``, once in each Python worker as long as the key stays the same.
+
+    Functions find this by its module's name, so tasks of one worker share it; a
+    module's own variable would travel with each task's function as a copy.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget_kept() -> None:
+    _kept.clear()
+
+
+def small_batches(batches, rows: int = 512):
+    """Arrow batches of at most so many rows: bounds what a worker holds besides the batch itself."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import drop_table, write_table
+from framewright.llm.common import drop_table, forget_kept, small_batches, write_table
 from framewright.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -154,8 +154,9 @@ _SIGNED = "id long, n long, k1 long, k2 long, keys array<bigint>, bits array<big
 
 
 def _sign(batches):
+    forget_kept()
     with np.errstate(over="ignore"):
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = shingle_sets(batch.column(1).to_pylist())
             n = np.array([len(s) for s in sets], np.int64)
             low = np.stack([minima(s) for s in sets]) if sets else np.zeros((0, HASHES), np.uint64)
@@ -205,8 +206,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
 
     def compare(batches):
         group, centres = None, []
+        forget_kept()
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in small_batches(batches):
                 sets = shingle_sets(batch.column(4).to_pylist())
                 a, b = [], []
                 for x, part, role, i, s in zip(*(batch.column(j).to_pylist() for j in range(4)), sets):
