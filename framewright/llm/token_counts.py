@@ -27,43 +27,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import drop_table, write_table
+from framewright.llm.common import drop_table, on_worker, small_batches, write_table
 
 PRE_TOKEN = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
-#: Worker caches start over beyond this many entries; longer pre-tokens are encoded without being kept.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
-
-_workers: dict[str, "Lengths"] = {}
-
+#: Entries of each of a worker's two cache generations; longer pre-tokens are encoded without being kept.
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
 
 def pre_tokens(text: str) -> list[str]:
     """The text with the dummy space that the encoder puts first; an escaped space in the text equals a space."""
     return PRE_TOKEN.findall(" " + text.replace("▁", " ")) if text else []
 
 
-class Lengths(dict):
+class Recent(dict):
+    """A bounded cache in two generations: when the new one is full it becomes the old one, from which what is used again comes back."""
+
+    def __init__(self, first: dict | None = None, entries: int | None = None):
+        super().__init__(first or {})
+        self.first, self.old, self.entries = first or {}, {}, entries or CACHE_ENTRIES
+
+    def make(self, piece: str):
+        raise NotImplementedError
+
+    def __missing__(self, piece: str):
+        value = self.old.pop(piece, None)
+        if value is None:
+            value = self.make(piece)
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= self.entries + len(self.first):
+                self.old = dict(self)
+                self.clear()
+                self.update(self.first)
+            self[piece] = value
+        return value
+
+
+class Lengths(Recent):
     """Token counts by pre-token; a miss is encoded."""
 
     def __init__(self, model_path: str, frequent: dict[str, int]):
         import sentencepiece
 
         super().__init__(frequent)
-        self.frequent = frequent
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
 
-    def __missing__(self, piece: str) -> int:
+    def make(self, piece: str) -> int:
         if piece[0] == "\n":
-            n = len(self.model.encode(piece)) - 1  # without the dummy prefix, which stands alone before a line feed
-        elif piece == " ":
-            n = 1
-        else:
-            n = len(self.model.encode(piece[1:]))
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-                self.update(self.frequent)
-            self[piece] = n
-        return n
+            return len(self.model.encode(piece)) - 1  # without the dummy prefix, which stands alone before a line feed
+        return 1 if piece == " " else len(self.model.encode(piece[1:]))
 
     def count(self, text: str) -> int:
         return sum(map(self.__getitem__, pre_tokens(text)))
@@ -104,11 +114,8 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: st
     table, key = spark.sparkContext.broadcast({p: lengths[p] for p in frequent_pre_tokens(docs, text, share)}), uuid.uuid4().hex
 
     def count(batches):
-        worker = _workers.get(key)
-        if worker is None:
-            _workers.clear()
-            worker = _workers[key] = Lengths(model_file(model), table.value)
-        for batch in batches:
+        worker = on_worker(("lengths", key), lambda: Lengths(model_file(model), table.value))
+        for batch in small_batches(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = [worker.count(t) for t in texts]
             yield pa.RecordBatch.from_pydict({

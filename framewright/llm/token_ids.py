@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import work_dir
+from framewright.llm.common import on_worker, work_dir
+from framewright.llm.token_counts import Recent, model_file
 
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
-ROW_BYTES = 32 << 20
-
-_workers: dict[str, "Encoder"] = {}
+#: Entries of each of a worker's two cache generations.
+CACHE_ENTRIES = 300_000
+ROW_BYTES = 8 << 20
 
 
 #: Letters of the plain alphabet: composed, with one lower-case letter each.
@@ -56,36 +56,28 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
-class Encoder(dict):
+class Encoder(Recent):
     """Ids of a pre-token as little-endian 32-bit integers."""
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
-        from framewright.llm.token_counts import model_file
-
-        super().__init__()
+        super().__init__(entries=CACHE_ENTRIES)
         self.tokenizer = Tokenizer.from_file(model_file(model))
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
 
-    def __missing__(self, piece: str) -> bytes:
+    def make(self, piece: str) -> bytes:
         letters = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
         ids = [t.id for t in self.model.tokenize(letters)]
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = out
-        return out
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         if "<|" not in text and PLAIN.fullmatch(text):
             return b"".join(map(self.__getitem__, SPLIT.findall(text.lower())))
         # other alphabets, and texts that may hold special strings, go through the tokenizer; it drops spaces and line feeds
-        pieces = [x for x in text.replace("\n", " ").split(" ") if x]
-        out = [b""]
-        for x in pieces:
+        out = []
+        for x in text.replace("\n", " ").split(" "):
             if "<|" not in x and PLAIN.fullmatch(x):
                 out += map(self.__getitem__, SPLIT.findall(x.lower()))
             else:
@@ -101,9 +93,7 @@ def write_ids(docs: DataFrame, path: str, model: str = "word_bpe_49k.json", end_
     def encode(batches):
         from pyspark import TaskContext
 
-        encoder = _workers.get(model)
-        if encoder is None:
-            encoder = _workers[model] = Encoder(model)
+        encoder = on_worker(("encoder", model), lambda: Encoder(model))
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts, at = batch.column(1), 0
