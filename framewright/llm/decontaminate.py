@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.common import on_worker
+
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 4_000_000
 #: An edit for so many characters of an item.
 PER = 12
 
-_matchers: dict = {}
-
 
 def normalize(text: str | None) -> str:
     return " ".join((text or "").lower().split())
@@ -144,10 +144,7 @@ def on_workers(spark, block: list, per: int, min_chars: int):
     shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def get() -> Matcher:
-        if key not in _matchers:
-            _matchers.clear()
-            _matchers[key] = Matcher(shared.value, per, min_chars)
-        return _matchers[key]
+        return on_worker(("matcher", key), lambda: Matcher(shared.value, per, min_chars))
 
     return get
 
