@@ -77,6 +77,17 @@ def item_masks(item: str) -> dict[str, int]:
     return masks
 
 
+def merged(spans: list[list[int]]) -> list[list[int]]:
+    """The union of the spans, as disjoint ones by ascending start."""
+    out: list[list[int]] = []
+    for low, high in sorted(spans):
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(high, out[-1][1])
+        else:
+            out.append([low, high])
+    return out
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], per: int, min_chars: int):
         import ahocorasick
@@ -105,7 +116,8 @@ class Matcher:
         out = {k: (0, len(text)) for k in self.whole.get(text, ())}
         if not self.any or not text:
             return out
-        tried: dict[int, int] = {}
+        # where an occurrence that holds a hit can lie; hits come by ascending end, so those of a repeated piece may go back in start
+        windows: dict[int, list[list[int]]] = {}
         for end, where in self.automaton.iter(text):
             for k, within in where:
                 start, most = end - within, self.budget[k]
@@ -115,12 +127,17 @@ class Matcher:
                 if text.startswith(item, start) if start >= 0 else False:
                     out[k] = (0, start + len(item))
                     continue
-                low = max(0, start - most)
-                if low <= tried.get(k, -1):
-                    continue  # the window that was searched covers every start that this hit allows
-                high = start + len(item) + 2 * most  # wide enough for the next hits of the same occurrence
-                got = best_match(item, text[low:high + most], most, self.masks[k])
-                tried[k] = low + most
+                low, high = max(0, start - most), start + len(item) + most
+                spans = windows.setdefault(k, [])
+                if spans and low <= spans[-1][1] and high >= spans[-1][0]:
+                    spans[-1] = [min(low, spans[-1][0]), max(high, spans[-1][1])]
+                else:
+                    spans.append([low, high])
+        for k, spans in windows.items():
+            if k in out:
+                continue
+            for low, high in merged(spans):
+                got = best_match(self.items[k][1], text[low:high], self.budget[k], self.masks[k])
                 if got and (k not in out or got[0] < out[k][0]):
                     out[k] = (got[0], low + got[1])
         return out

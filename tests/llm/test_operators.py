@@ -257,6 +257,22 @@ def test_item_blocks_cover_all(spark, monkeypatch):
     assert [r.doc_id for r in decontaminate.decontaminate(docs(spark, rows), table).collect()] == [9]
 
 
+def test_repeated_pieces_against_every_place():
+    item = "answer a:bcdefghijklmnopqrsanswer a:"
+    text = "xx answzr a:bcdezghijklmnzpqrsanswer a: yy"
+    assert decontaminate.Matcher([(0, item)], 12, 24).match(text) == {0: (3, 39)}
+    rng = np.random.default_rng(10)
+    for _ in range(600):
+        parts = ["".join(rng.choice(list("abcd"), 9)) for _ in range(2)]
+        item = "".join(parts[int(i)] for i in rng.integers(0, 2, int(rng.integers(3, 7))))
+        x = list("".join(parts[int(i)] for i in rng.integers(0, 2, 3)) + item + "".join(parts[int(i)] for i in rng.integers(0, 2, 3)))
+        for j in rng.choice(len(x), int(rng.integers(0, 9)), replace=False):
+            x[j] = str(rng.choice(["", "z", "ab"]))
+        text, most = "".join(x), len(item) // 12
+        want = decontaminate.best_match(item, text, most)
+        assert decontaminate.Matcher([(0, item)], 12, 24).match(text) == ({0: want} if want else {})
+
+
 def test_edit_distance_by_table():
     rng = np.random.default_rng(9)
     for _ in range(300):
