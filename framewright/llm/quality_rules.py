@@ -4,7 +4,8 @@
 ``learn`` runs sequential covering over the labelled rows: each rule is a
 conjunction of up to three threshold conditions, grown by information gain on
 two thirds of the rows, pruned on the other third, and kept only if it is
-precise there; the rows it covers leave, and the next rule is learned.  All
+precise there on enough rows; the rows it covers leave, and the next rule is
+learned.  A rule that isn't kept gives way to the next best start.  All
 counting is grouped aggregation over threshold bins; the driver sees one row
 for each feature and bin.  ``as_expression`` renders the list as one ordered
 CASE expression.
@@ -40,6 +41,10 @@ FEATURES: dict[str, list[float]] = {
     "capital_ratio": RATIOS,
 }
 
+#: So many starts of rules are grown in one count.
+BEAM = 16
+
+
 def repeat_words(words: str) -> str:
     """SQL for the number of words in 3-word windows that stand twice or more in the text; ``words`` names an array of them.
 
@@ -123,53 +128,98 @@ def _in_bins(rule: list[Condition]) -> Column:
     return out
 
 
-def _grow(rows: DataFrame, rule: list[Condition], least: int) -> tuple[Condition | None, int, int]:
-    """The condition that adds most information about the rejected rows, and what the longer rule then covers."""
-    counts = {
-        (r.f, r.b): (r.bad, r.good)
-        for r in rows.where(_in_bins(rule)).select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("b")) for f in FEATURES])).alias("x"), "bad", "good")
-        .groupBy("x.f", "x.b").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()
-    }
-    first = next(iter(FEATURES))
-    bad0, good0 = (sum(v[i] for (f, _), v in counts.items() if f == first) for i in (0, 1))
-    best, most = (None, bad0, good0), 0.0
-    if not bad0:
-        return best
-    for f, grid in FEATURES.items():
-        for at, value in enumerate(grid, 1):
-            above = [sum(v[i] for (g, b), v in counts.items() if g == f and b >= at) for i in (0, 1)]
-            for op, (bad, good) in ((">=", above), ("<", (bad0 - above[0], good0 - above[1]))):
+Counts = dict[tuple[str, int], tuple[int, int]]
+
+
+def _counts(rows: DataFrame, rules: list[list[Condition]]) -> list[dict[str, Counts]]:
+    """For each rule and fold, the rejected and accepted rows that it covers by feature and bin; all in one aggregation."""
+    out: list[dict[str, Counts]] = [{"grow": {}, "prune": {}} for _ in rules]
+    fitting = F.filter(F.array(*[F.when(_in_bins(rule), i) for i, rule in enumerate(rules)]), lambda x: x.isNotNull())
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("b")) for f in FEATURES])).alias("x")
+    known = rows.select(F.explode(fitting).alias("i"), *FEATURES, "fold", "bad", "good").select("i", "fold", each, "bad", "good")
+    for r in known.groupBy("i", "fold", "x.f", "x.b").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect():
+        out[r.i][r.fold][r.f, r.b] = (r.bad, r.good)
+    return out
+
+
+def _covered(counts: Counts, c: Condition | None = None) -> tuple[int, int]:
+    """The rejected and accepted rows in the counts, all or those that the condition holds for."""
+    name, op, value = c or (next(iter(FEATURES)), ">=", None)
+    at = FEATURES[name].index(value) + 1 if c else 0
+    of_bins = [v for (f, b), v in counts.items() if f == name and (b >= at) == (op == ">=")]
+    return sum(v[0] for v in of_bins), sum(v[1] for v in of_bins)
+
+
+def _extensions(counts: Counts, least: int) -> list[Condition]:
+    """The conditions that add information about the rejected rows, those that add most first."""
+    bad0, good0 = _covered(counts)
+    gains = []
+    for f, grid in FEATURES.items() if bad0 else ():
+        for value in grid:
+            for op in (">=", "<"):
+                bad, good = _covered(counts, (f, op, value))
                 if bad >= least:
                     gain = bad * (math.log2(bad / (bad + good)) - math.log2(bad0 / (bad0 + good0)))
-                    if gain > most + 1e-9:
-                        best, most = ((f, op, value), bad, good), gain
-    return best
+                    if gain > 1e-9:
+                        gains.append((-round(gain, 9), len(gains), (f, op, value)))
+    return [c for _, _, c in sorted(gains)]
+
+
+def _by_chance(bad: int, good: int, share: float) -> float:
+    """The probability of at most ``good`` accepted rows among these if each is rejected with probability ``share``."""
+    if share >= 1:
+        return 1.0
+    n, of = bad + good, math.lgamma
+    return math.fsum(math.exp(of(n + 1) - of(k + 1) - of(n - k + 1) + (n - k) * math.log(share) + k * math.log1p(-share)) for k in range(good + 1))
+
 
+def learn(labelled: DataFrame, most_conditions: int = 3, precision: float = 0.995, least: int = 4, doubt: float = 0.05) -> list[list[Condition]]:
+    """An ordered list of rejecting rules from rows (id, features, bad 0/1).
 
-def learn(labelled: DataFrame, most_rules: int = 8, most_conditions: int = 3, precision: float = 0.995, least: int = 4) -> list[list[Condition]]:
-    """An ordered list of rejecting rules from rows (id, features, bad 0/1)."""
+    Every condition with gain is tried as the start of a rule, by falling gain, ``BEAM`` starts in one count.  A
+    start whose rule isn't precise on the pruning rows is set aside and the next one is tried; covering ends when no
+    start is left.  The more starts were tried, the more pruning rows a rule needs: rows of which no more than the
+    usual share (or half) are rejected would look as precise with a probability of at most ``doubt`` / tried.
+    """
     table = write_table(_binned(labelled), "bins")
     rules: list[list[Condition]] = []
-    left = table
-    while len(rules) < most_rules:
-        grow, prune = left.where("fold = 'grow'"), left.where("fold = 'prune'")
-        rule: list[Condition] = []
-        while len(rule) < most_conditions:
-            found, bad, good = _grow(grow, rule, least)
-            if found is None:
-                break
-            rule = [*rule, found]
-            if not good:
+    left, failed, tried = table, set(), 0
+    while True:
+        [first] = _counts(left, [[]])
+        rejected, accepted = _covered(first["prune"])
+        usual = max(0.5, rejected / max(1, rejected + accepted))
+        starts = [c for c in _extensions(first["grow"], least) if c not in failed]
+        accept = None
+        for at in range(0, len(starts), BEAM):
+            grown = [[c] for c in starts[at : at + BEAM]]
+            sums = [[_covered(first["prune"], c)] for c in starts[at : at + BEAM]]
+            open_ = [i for i, [c] in enumerate(grown) if _covered(first["grow"], c)[1]]
+            while open_:
+                longer = []
+                for i, counts in zip(open_, _counts(left, [grown[i] for i in open_])):
+                    found = _extensions(counts["grow"], least)
+                    if found:
+                        grown[i].append(found[0])
+                        sums[i].append(_covered(counts["prune"], found[0]))
+                        if _covered(counts["grow"], found[0])[1] and len(grown[i]) < most_conditions:
+                            longer.append(i)
+                open_ = longer
+            for rule, of_rule in zip(grown, sums):
+                tried += 1
+                scored = [
+                    ((bad - good) / (bad + good), -i) for i, (bad, good) in enumerate(of_rule, 1)
+                    if bad and bad >= precision * (bad + good) and _by_chance(bad, good, usual) <= doubt / tried
+                ]
+                if scored:
+                    accept = rule[: -max(scored)[1]]
+                    break
+                failed.add(rule[0])
+            if accept:
                 break
-        if not rule:
-            break
-        sums = prune.agg(*[F.sum(F.when(_in_bins(rule[:i]), F.col(c)).otherwise(0)).alias(f"{c}{i}") for i in range(1, len(rule) + 1) for c in ("bad", "good")]).first()
-        scored = [((bad - good) / (bad + good), -i) for i in range(1, len(rule) + 1) for bad, good in [(sums[f"bad{i}"] or 0, sums[f"good{i}"] or 0)] if bad and bad >= precision * (bad + good)]
-        if not scored:
+        if not accept:
             break
-        rule = rule[: -max(scored)[1]]
-        rules.append(rule)
-        left = left.where(~_in_bins(rule))
+        rules.append(accept)
+        left = left.where(~_in_bins(accept))
     drop_table(table)
     return rules
 

@@ -402,6 +402,40 @@ def test_decision_list(spark):
     assert quality_rules.judge(docs(spark, []), labels).count() == 0
 
 
+def test_covering_goes_on_after_a_rule_that_fails(spark):
+    folds = spark.range(3000).select("id", (F.pmod(F.xxhash64("id"), F.lit(3)) < 2).alias("grow")).collect()
+    plain = {"n_words": 100, "mean_word": 4.6, "symbol_ratio": 0.0, "dup_line_ratio": 0.0, "repeat_ratio": 0.0, "distinct_ratio": 0.8, "capital_ratio": 0.03}
+    rows, noisy = [], 0
+    for i, grow in folds:
+        row = dict(plain, id=i, bad=0)
+        if i % 10 == 0:
+            row |= {"repeat_ratio": 0.7, "bad": 1}  # the best start, but it misses the precision on pruning rows
+            if not grow and noisy < 5:
+                row["bad"], noisy = 0, noisy + 1
+        elif i % 20 == 1:
+            row |= {"symbol_ratio": 0.05, "bad": 1}
+        elif i % 100 == 2:
+            row |= {"bad": 1}  # bad without any mark
+        rows.append(row)
+    rules = quality_rules.learn(spark.createDataFrame(rows))
+    hit = lambda r, row: all(row[f] >= x if op == ">=" else row[f] < x for f, op, x in r)
+    rejected = [row for row in rows if any(hit(r, row) for r in rules)]
+    assert {row["id"] for row in rejected} == {i for i, _ in folds if i % 20 == 1}
+    assert quality_rules._by_chance(3, 0, 0.5) == pytest.approx(1 / 8) and quality_rules._by_chance(3, 1, 0.5) == pytest.approx(5 / 16)
+
+
+def test_covering_has_no_cap_and_takes_no_noise(spark):
+    plain = {"n_words": 100, "mean_word": 4.6, "symbol_ratio": 0.0, "dup_line_ratio": 0.0, "repeat_ratio": 0.0, "distinct_ratio": 0.8, "capital_ratio": 0.03}
+    marks = [("n_words", 3), ("n_words", 20000), ("mean_word", 1.0), ("mean_word", 20.0), ("symbol_ratio", 0.05), ("dup_line_ratio", 0.5), ("repeat_ratio", 0.7), ("distinct_ratio", 0.01), ("distinct_ratio", 1.6), ("capital_ratio", 0.5)]
+    rows = [plain | {"id": i, "bad": int(i % 20 < 10)} | dict([marks[i % 20]] if i % 20 < 10 else []) for i in range(4000)]
+    rules = quality_rules.learn(spark.createDataFrame(rows))
+    hit = lambda r, row: all(row[f] >= x if op == ">=" else row[f] < x for f, op, x in r)
+    assert all(any(hit(r, row) for r in rules) == bool(row["bad"]) for row in rows) and len(rules) == 10
+    rng = np.random.default_rng(2)
+    noise = [dict(plain, id=i, n_words=int(rng.integers(50, 3000)), mean_word=float(rng.uniform(3, 7)), capital_ratio=float(rng.uniform(0, 0.2)), bad=int(rng.random() < 0.3)) for i in range(2000)]
+    assert quality_rules.learn(spark.createDataFrame(noise)) == []
+
+
 # --- 9
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var a="</p>";</script></head><body>
