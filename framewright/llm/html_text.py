@@ -8,6 +8,8 @@ wrapper.  Every page of a host takes part; equal trees are counted before they
 meet, so a host's group holds its distinct trees.  For every slot (the path of a
 text in the wrapper) the smallest and largest hash of its texts tell whether it
 ever varies: one that holds the same text on every page is part of the template.
+The rows rest on region and slots as found by tag path; the expression itself
+decides no row.
 
 A wrapper's content region is its outermost ``article`` or ``main`` with text.
 The text of a page is what stands in that region; where a host's wrapper has no
