@@ -60,7 +60,8 @@ FAMILIES = [
     ("isc", "isc", r"isc", []),
     ("python", "psf", r"psf", ["2.0"]),
     ("python", "python", r"python software foundation", ["2.0"]),
-    ("bsd-2-clause", "bsd", r"(?:2|two) clause bsd|bsd (?:2|two) clause|simplified bsd|freebsd", []),
+    ("bsd-2-clause", "bsd", r"(?:2|two) clause bsd|bsd (?:2|two) clause|simplified bsd", []),
+    ("bsd-2-clause", "freebsd", r"freebsd", []),
     ("bsd-3-clause", "bsd", r"(?:3|three) clause bsd|bsd (?:3|three) clause|(?:new|modified|revised) bsd", []),
     ("bsd-4-clause", "bsd", r"(?:4|four) clause bsd|bsd (?:4|four) clause|original bsd", []),
     ("bsd", "bsd", r"bsd(?: style)?", []),
@@ -81,7 +82,8 @@ FAMILIES = [
     ("bsl", "business", r"business source", ["1.0", "1.1"]),
     ("sspl", "sspl", r"sspl", ["1.0"]),
     ("sspl", "server", r"server side public", ["1.0"]),
-    ("qpl", "qpl", r"qpl|q public", ["1.0"]),
+    ("qpl", "qpl", r"qpl", ["1.0"]),
+    ("qpl", "q", r"q public", ["1.0"]),
     ("ppl", "php", r"php", ["3.0", "3.01"]),
 ]
 
@@ -104,7 +106,9 @@ NOTICES = [
     Rule("public-domain", 1, "domain", r"(?:dedicated|released|placed) (?:to|in|into) the public domain"),
     Rule("public-domain", 3, "domain", r"public domain"),
     Rule("cc0-1.0", 1, "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    Rule("cc0-1.0", 2, "universal", r"creative commons zero|public domain dedication|1 0 universal"),
+    Rule("cc0-1.0", 2, "zero", r"creative commons zero"),
+    Rule("cc0-1.0", 2, "dedication", r"public domain dedication"),
+    Rule("cc0-1.0", 2, "universal", r"1 0 universal"),
     Rule("gpl-2.0-or-later", 1, "later", r"either version 2 of the licen[sc]e or at your option any later version"),
     Rule("gpl-3.0-or-later", 1, "later", r"either version 3 of the licen[sc]e or at your option any later version"),
     Rule("proprietary", 2, "rights", r"all rights reserved"),

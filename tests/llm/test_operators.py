@@ -82,6 +82,44 @@ def test_licenses(spark):
     assert len(licenses.rules()) > 300 and licenses.scan(docs(spark, [])).count() == 0
 
 
+ALTERNATIVES = [("FreeBSD license", "bsd-2-clause"), ("licensed under the Q Public License 1.0", "qpl-1.0"), ("Q Public License", "qpl"), ("Creative Commons Zero", "cc0-1.0"), ("a Public Domain Dedication", "cc0-1.0"), ("1.0 Universal", "cc0-1.0")]
+
+
+def test_license_alternatives_need_no_other_word(spark):
+    got = licenses.summarize(licenses.scan(docs(spark, list(enumerate(t for t, _ in ALTERNATIVES))))).collect()
+    for r in got:
+        assert ALTERNATIVES[r.doc_id][1] in r.labels.split(","), (r.doc_id, r.labels)
+        assert r.score > 0
+
+
+def alternatives(tree):
+    """The word sequences that a parsed pattern matches, with optional parts both there and not; sets give their first character."""
+    out = [""]
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            each = [chr(arg)]
+        elif kind == "IN":
+            each = ["1" if str(arg[0][0]) == "CATEGORY" else chr(arg[0][1])]
+        elif kind == "BRANCH":
+            each = [x for branch in arg[1] for x in alternatives(branch)]
+        elif kind == "SUBPATTERN":
+            each = alternatives(arg[3])
+        else:
+            assert kind == "MAX_REPEAT" and arg[:2] == (0, 1), kind
+            each = ["", *alternatives(arg[2])]
+        out = [a + b for a in out for b in each]
+    return out
+
+
+def test_license_keywords_are_necessary():
+    from re import _parser
+
+    short = lambda p: p.replace(licenses.GRANT, "g ").replace(licenses.LICENSE, "")
+    for r in licenses.rules():
+        assert all(f" {r.keyword} " in f" {x} " for x in alternatives(_parser.parse(short(r.pattern)))), r
+
+
 # --- 2 and 8
 
 
