@@ -46,12 +46,16 @@ WORD = re.compile(r"[a-z0-9]+")
 
 # Tags without content, tags whose content is no markup, tags inside a line, and tags that a like one closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template textarea title iframe noscript svg math object select canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style template textarea title iframe".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i img ins kbd label mark math noscript object q rp rt ruby s samp select small span strike strong sub sup svg time tt u var video wbr".split())
+# Tags whose own tags close no paragraph and of which a self-closing one is closed, and tags that end them if they are still open.
+FOREIGN = frozenset(("svg", "math", "select"))
+FOREIGN_OPEN = re.compile(r"<(?:svg|math|select)[\s/>]", re.I)
+BREAKOUT = frozenset("address article aside blockquote body center div dl dd dt footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select", "tbody": "table", "thead": "table"}
 
 # What is left out: by tag, by role, and by a word of a class or id unless another word marks it as content.
-LEFT_OUT = frozenset("nav header footer aside form button dialog head".split())
+LEFT_OUT = frozenset("nav header footer aside form button select dialog head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MARKS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar aside widget cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion share sharing social related recommended comment comments disqus respond reply replies login signup pagination pager toolbar skip".split())
 CONTENT = frozenset("article content post entry main story body text".split())
@@ -86,6 +90,7 @@ def pieces(page: str):
     stack: list[tuple[str, str, bool, bool]] = []  # tag, path, left out, in a region
     path, out, region = "", False, False
     at, end = 0, len(page)
+    foreign_page = FOREIGN_OPEN.search(page) is not None
     while at < end:
         m = TOKEN.search(page, at)
         start = m.start() if m else end
@@ -98,7 +103,13 @@ def pieces(page: str):
         if not tag:
             continue
         tag = tag.lower()
-        if tag not in INLINE:
+        inside = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in FOREIGN), -1) if foreign_page else -1
+        if inside >= 0 and tag in BREAKOUT and not (m[1] or m[4]):
+            del stack[inside:]
+            _, path, out, region = stack[-1] if stack else ("", "", False, False)
+            inside = -1
+        inline = tag in INLINE or inside >= 0 and stack[inside][0] == "math" and tag not in BREAKOUT
+        if not inline:
             yield path, region, None
         if m[1] or m[4]:
             for i in range(len(stack) - 1, -1, -1):
@@ -114,9 +125,9 @@ def pieces(page: str):
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        if attributes.endswith("/") and tag not in INLINE:
+        if attributes.endswith("/") and (tag not in INLINE or tag in FOREIGN or inside >= 0):
             continue
-        if tag not in INLINE:
+        if not inline and inside < 0:
             within = SELF_CLOSING.get(tag)
             for i in range(len(stack) - 1, -1, -1):
                 open_tag = stack[i][0]
@@ -128,7 +139,7 @@ def pieces(page: str):
             _, path, out, region = stack[-1] if stack else ("", "", False, False)
         region = region or tag in REGIONS
         out = out or left_out(tag, attributes, region)
-        if tag not in INLINE and tag != "html":
+        if not inline and tag != "html":
             path = f"{path}/{tag}" if path else tag
         stack.append((tag, path, out, region))
 

@@ -496,6 +496,16 @@ def test_html_extraction(spark):
     assert html_text.extract(spark.createDataFrame([], df.schema)).count() == 0
 
 
+@pytest.mark.parametrize("inner, want", [
+    ("<p>one <svg class=i/> two</p><p>three</p>", "one two three"), ("<p>one<svg><path d='M0'/><g></g></svg> two <p>three", "one two three"), ("<p>one <svg> <p>two", "one two"),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><mspace/></math> holds", "so x=1 holds"), ("<p>one <math/>two<p>three", "one two three"), ("<p>one <math><p>two</p><p>three</p>", "one two three"),
+    ("<object data=x><p>fallback</p></object> end", "fallback end"), ("<p><video>no video</video> <audio>no audio</audio> <canvas>drawn</canvas> <noscript>plain", "no video no audio drawn plain"),
+    ("<p>one <object data=x><p>two", "one two"), ("<p>a <select><option>1<option>2</select> b", "a b"), ("<p>a <select><option>1<p>b", "a b"), ("<p>a<script>1 < 2</script> <svg><title>icon</title></svg>b", "a b"), ("<p>one <iframe src=x>no</iframe>two", "one two"),
+])
+def test_no_tag_swallows_the_page(inner, want):
+    assert html_text.main_text(f"<body><article>{inner}</article></body>", "body/article", frozenset()) == want
+
+
 def test_wrapper_alignment():
     a, b = (html_text.tree(f"<body><nav>x</nav>{m}<article><p>t</p><p>u</p></article></body>")[0] for m in ("", "<div><h2>k</h2></div>"))
     whole = html_text.merge(a, b)
