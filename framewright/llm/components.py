@@ -3,7 +3,8 @@
 Edges stay in tables; the driver sees one count per round.  In a large-star
 round every node links its larger neighbours to its smallest neighbour; in a
 small-star round it links its smaller neighbours and itself to the smallest.  It
-ends when the links are stars, each around the smallest node of its component.
+ends when the links are stars, each around the smallest node of its component,
+which takes a number of rounds that grows with the logarithm of the links.
 
 Minima are aggregated with partial sums before the shuffle and written before
 they are joined back, so that both sides of the join are plain exchanges and
@@ -42,17 +43,15 @@ def _unsettled(links: DataFrame) -> int:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or up > 0 and down > 0").count()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b) that isn't the smallest of its component.
 
     Links from a node to itself and links with a null end are left out.
     """
     edges = write_table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    for _ in range(most_rounds):
-        if not _unsettled(edges):
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    while _unsettled(edges):
         wide = _star(edges, True)
         drop_table(edges)
         edges = _star(wide, False)
         drop_table(wide)
-    raise RuntimeError(f"components are not settled after {most_rounds} rounds")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -11,24 +11,30 @@ Documents are linked when 100 * |A & B| >= 75 * |A | B|.
    documents share no band with probability 5e-6.
 2. Documents with the same set are one class, stood for by its smallest id;
    only these representatives go on.
-3. In each band bucket every member is paired with the bucket's smallest id: as
-   many pairs as members.  Pairs that sizes or signatures rule out go (84 of 128
+3. Representatives that share a band bucket with another have their sorted
+   shingle hashes written once, by id: the one time that texts are shuffled.
+4. In each bucket every member is paired with the smallest id of its slice of
+   the bucket, and these with the smallest id of the bucket: fewer pairs
+   than members, and no member has many.  Pairs that sizes or signatures rule out go (84 of 128
    two-bit agreements are asked for, 4.5 deviations below the mean at 0.75); the
    rest is confirmed on full sets.  Components of the links follow.
-4. Buckets that still hold several components are looked at again.  If there are
-   many members outside the largest components of large buckets, rounds confirm
-   pairs of neighbours in a seeded order of the bucket, the most alike for each
-   two components, which joins the stragglers of large groups.  At last
+5. Buckets that still hold several components are looked at again: one round
+   confirms pairs of neighbours in a seeded order of the bucket, the most alike
+   for each two components, which joins the stragglers of large groups.  At last
    members outside a bucket's largest component are compared with members of
-   other components (sizes, signatures and bitmaps first), so no pair that shares
-   a bucket is left undecided.  A bucket whose members are all linked costs
-   nothing more.
+   other components (sizes, signatures and bitmaps first, in cells of bounded
+   sides), so no pair that shares a bucket is left undecided.  A bucket whose
+   members are all linked costs nothing more.
 
-Texts of one centre's pairs meet in groups of a bounded number of pairs, sorted
-so that the centre comes first; a task holds one centre's set at a time.
+The steps are the same at every size.  Sets of one centre's pairs meet in groups
+of a bounded number of pairs, sorted so that the centre comes first; a task holds
+one centre's set at a time.
 
 Null text is empty text.  Rows with a null id link with nothing, and have a
-null component; they are kept.  Rows that share an id count as one node.
+null component; they are kept.  Rows that share an id count as one node.  Ties
+are settled by the smaller id.  Very long texts are taken whole, a chunk of texts
+at a time.  Only the two named columns are read; others may have any name, that of
+a result column too.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,11 +52,8 @@ HASHES = BANDS * ROWS
 AGREE = 84
 CHUNK = 1 << 20
 BITS = 2048
-PAIRS_AT_ONCE = 256
-#: Rounds of neighbour pairs in undecided buckets, and members that are ordered together.
-ROUNDS, SLICE_MEMBERS, FEW = 3, 1000, 1000
-#: Buckets of more members carry bitmaps; confirmations of up to so many texts send the list of them to every executor.
-BITS_FROM, BROADCAST_ROWS = 32, 65_536
+#: Pairs of one centre that are confirmed in one group, and members of a bucket that one cell or slice holds, about.
+PAIRS_AT_ONCE, SLICE_MEMBERS = 64, 1000
 
 _rng = np.random.Generator(np.random.PCG64(20_240_601))
 _draw = lambda n: _rng.integers(0, 1 << 64, n, dtype=np.uint64)
@@ -197,65 +200,106 @@ def _possible(a: str, b: str, least: int) -> Column:
     return _alike(a, b, least) & F.coalesce(100 * both >= least * (n + m - both), F.lit(True))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets are similar enough; ``docs`` has (id, t)."""
+_SETS = "id long, s binary"
+
+
+def _write_sets(batches):
+    """(id, sorted shingle hashes as bytes) of (id, text)."""
+    forget_kept()
+    with np.errstate(over="ignore"):
+        for batch in small_batches(batches):
+            sets = shingle_sets(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "s"])
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) of ids whose full sets are similar enough; ``sets`` has (id, s)."""
     # centres with more pairs than one group takes: few, and known before the pairs meet them, so no centre's pairs are brought together for it
-    many = write_table(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).alias("parts")).where("parts > 1"), "centres")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).alias("parts")).where("parts > 1")
     dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
     wanted = dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("id")).unionAll(dealt.select("a", "part").distinct().select("a", "part", F.lit(0), "a"))
 
     def compare(batches):
         group, centres = None, []
         forget_kept()
-        with np.errstate(over="ignore"):
-            for batch in small_batches(batches):
-                sets = shingle_sets(batch.column(4).to_pylist())
-                a, b = [], []
-                for x, part, role, i, s in zip(*(batch.column(j).to_pylist() for j in range(4)), sets):
-                    if group != (x, part):
-                        group, centres = (x, part), []
-                    if not role:
-                        centres.append(s)
-                        continue
-                    for c in centres:
-                        both = len(np.intersect1d(c, s, assume_unique=True))
-                        if both and 100 * both >= least * (len(c) + len(s) - both):
-                            a.append(x)
-                            b.append(i)
-                            break
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    # a pair adds two rows at most: the list of a known small number of pairs is broadcast, a longer one is hashed by id with the texts
-    wanted = F.broadcast(wanted) if 2 * pairs.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
-    texts = docs.join(wanted, "id").select("a", "part", "role", "id", "t")
-    return texts.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(compare, "a long, b long")
-
-
-def _undecided(points: DataFrame, buckets: DataFrame, found: DataFrame, wide: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, with the bucket's largest component and number of members."""
-    member = points.select("key", "id").join(buckets.select("key"), "key").join(found, F.col("id") == F.col("node"), "left")
+        for batch in small_batches(batches):
+            a, b = [], []
+            for x, part, role, i, s in zip(*(batch.column(j).to_pylist() for j in range(5))):
+                if group != (x, part):
+                    group, centres = (x, part), []
+                s = np.frombuffer(s, np.uint64)
+                if not role:
+                    centres.append(s)
+                    continue
+                for c in centres:
+                    both = len(np.intersect1d(c, s, assume_unique=True))
+                    if both and 100 * both >= least * (len(c) + len(s) - both):
+                        a.append(x)
+                        b.append(i)
+                        break
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    met = sets.join(wanted.hint("shuffle_hash"), "id").select("a", "part", "role", "id", "s")
+    return met.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(compare, "a long, b long")
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b): members with the smallest id of their slice, and these with the smallest of the bucket.
+
+    A bucket has about as many slices as each of them has members, a power of two so that the buckets of one group
+    of copies are cut alike.
+    """
+    slices = F.pow(F.lit(2.0), F.floor(F.log2("members") / 2)).cast("long")
+    rows = shared.withColumn("slice", F.pmod(F.xxhash64("id"), F.when(F.col("members") > PAIRS_AT_ONCE, slices).otherwise(1)))
+    of_slice = write_table(rows.groupBy("key", "slice").agg(F.min("id").alias("c")), "slices")
+    inner = rows.join(of_slice, ["key", "slice"]).select(F.col("c").alias("a"), F.col("id").alias("b"))
+    outer = of_slice.join(of_slice.groupBy("key").agg(F.min("c").alias("a")), "key").select("a", F.col("c").alias("b"))
+    out = write_table(inner.unionAll(outer).where("a < b").distinct(), "stars")
+    drop_table(of_slice)
+    return out
+
+
+def _undecided(shared: DataFrame, found: DataFrame, wide: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with the bucket's largest component, and the numbers of members and of stragglers outside it."""
+    member = shared.select("key", "id").join(found, F.col("id") == F.col("node"), "left")
     member = write_table(member.select("key", "id", F.coalesce("component", "id").alias("comp")), "members")
     parts = member.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key")
-    mixed = parts.agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.sum("size").alias("members"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    bits = F.when(F.col("members") > BITS_FROM, F.col("bits"))  # small buckets have few pairs to rule out
-    out = write_table(member.join(mixed, "key").join(wide, "id").withColumn("bits", bits), "undecided")
+    main = F.max(F.struct("size", "comp"))
+    mixed = parts.agg(main["comp"].alias("main"), F.sum("size").alias("members"), (F.sum("size") - main["size"]).alias("stragglers")).where("stragglers > 0")
+    out = write_table(member.join(mixed, "key").join(wide, "id"), "undecided")
     drop_table(member)
     return out
 
 
-def _neighbours(left: DataFrame, turn: int, least: int) -> DataFrame:
+def _neighbours(left: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) of members that stand next to each other in a seeded order of their bucket and belong to different components.
 
-    Large buckets are ordered in slices.  Of the pairs between the same two components only the most alike stays: one link joins them.
+    Buckets are ordered in slices.  Of the pairs between the same two components only the most alike stays: one link joins them.
     """
     slices = F.ceil(F.col("members") / SLICE_MEMBERS)
-    rows = left.select("key", F.pmod(F.xxhash64("id", F.lit(-turn)), slices).alias("slice"), F.xxhash64("id", F.lit(turn)).alias("h"), F.struct("id", "comp", "n", "s0", "s1", "s2", "s3", "bits").alias("x"))
-    order = Window.partitionBy("key", "slice").orderBy("h")
+    rows = left.select("key", F.pmod(F.xxhash64("id", F.lit(1)), slices).alias("slice"), F.xxhash64("id", F.lit(2)).alias("h"), F.struct("id", "comp", "n", "s0", "s1", "s2", "s3", "bits").alias("x"))
+    order = Window.partitionBy("key", "slice").orderBy("h", "x.id")
     near = rows.select("x", F.lag("x").over(order).alias("y")).where((F.col("x.comp") != F.col("y.comp")) & _possible("x", "y", least))
     pair = F.struct((-_differences("x", "y")).alias("agree"), F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     return near.groupBy(F.least("x.comp", "y.comp"), F.greatest("x.comp", "y.comp")).agg(F.max(pair).alias("p")).select("p.a", "p.b")
 
 
+def _rest(left: DataFrame, least: int) -> DataFrame:
+    """Distinct possible pairs (a, b) of a straggler and any other member of its bucket in another component.
+
+    A bucket is a grid of cells, each a bounded number of stragglers by a bounded number of members; both are dealt to all cells of their row or column.
+    """
+    across, down = F.ceil(F.col("stragglers") / SLICE_MEMBERS), F.ceil(F.col("members") / SLICE_MEMBERS)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), n)
+    x = left.where("comp <> main").select("*", own(across).alias("i")).withColumn("j", every(down)).alias("x")
+    y = left.select("*", own(down).alias("j")).withColumn("i", every(across)).alias("y")
+    cell = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    near = x.join(y, cell).where((F.col("x.comp") != F.col("y.comp")) & once & _possible("x", "y", least))
+    return near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 75) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs``; ``least`` is the similarity in hundredths."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
@@ -263,45 +307,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named = signed.where("id is not null and n > 0")
     classes = write_table(named.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = write_table(named.drop("k1", "k2").join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "representatives")
-    slim, wide, points = reps.drop("keys", "bits"), reps.drop("keys"), reps.select("id", F.explode("keys").alias("key"), "n", "s0", "s1", "s2", "s3")
-    lone = points.select("key", "id").groupBy("key").agg(F.min("id").alias("c"), F.count("*").alias("members")).where("members > 1").select("key", "c")
-    buckets = write_table(lone.join(slim.withColumnRenamed("id", "c"), "c"), "buckets")
-    texts = source.where("id is not null")
-
-    x, y = points.alias("x"), buckets.alias("y")
-    near = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.id") > F.col("y.c")) & _alike("x", "y", least))
-    first = write_table(near.select(F.col("y.c").alias("a"), F.col("x.id").alias("b")).distinct(), "pairs")
-    links = write_table(confirm(first, texts, least), "confirmed")
-    found = components(links)
-
-    left = _undecided(points, buckets, found, wide)
-    for turn in range(ROUNDS):
-        straggles = F.col("comp") != F.col("main")
-        rows, stragglers, work = left.agg(F.count("*"), F.count_distinct(F.when(straggles, F.col("id"))), F.sum(F.when(straggles, F.col("members")))).first()
-        if (work or 0) <= FEW * rows:
-            break  # comparing all that is undecided is less work than a round
-        near = write_table(_neighbours(left, turn, least).join(first, ["a", "b"], "left_anti"), "pairs")
-        more = write_table(confirm(near, texts, least), "confirmed")
-        drop_table(near)
-        new = more.count()
-        if new:
-            found = components(more.unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-            drop_table(left)
-            left = _undecided(points, buckets, found, wide)
-        if 50 * new < stragglers:
-            break
-    x, y = left.where("comp <> main").alias("x"), left.alias("y")
-    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-    near = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.comp") != F.col("y.comp")) & once & _possible("x", "y", least))
-    more = near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = write_table(more.join(first, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = write_table(confirm(more, texts, least), "confirmed")
-        found = components(links.unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    wide, points = reps.drop("keys"), reps.select("id", F.explode("keys").alias("key"))
+    buckets = points.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = write_table(points.join(buckets, "key"), "shared")
+    met = shared.select("id").distinct().hint("shuffle_hash")
+    sets = write_table(source.join(met, "id").select("id", "t").mapInArrow(_write_sets, _SETS), "sets")
+
+    def links_of(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+        """The components after the pairs are confirmed and their links added to the known components."""
+        links = write_table(confirm(pairs, sets, least), "confirmed")
+        edges = links if known is None else links.unionAll(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        out = components(edges)
+        drop_table(links)
+        return out
+
+    stars = _stars(shared)
+    slim = reps.drop("keys", "bits")
+    x, y = slim.alias("x"), slim.alias("y")
+    near = stars.join(x, F.col("b") == F.col("x.id")).join(y, F.col("a") == F.col("y.id")).where(_alike("x", "y", least))
+    first = write_table(near.select("a", "b").distinct(), "pairs")
+    found = links_of(first, None)
+
+    left = _undecided(shared, found, wide)
+    second = write_table(_neighbours(left, least).join(first, ["a", "b"], "left_anti"), "pairs")
+    drop_table(left)
+    found = links_of(second, found)
+
+    left = _undecided(shared, found, wide)
+    tried = first.unionAll(second)
+    third = write_table(_rest(left, least).join(tried, ["a", "b"], "left_anti"), "pairs")
+    drop_table(left)
+    found = links_of(third, found)
 
     of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     of_class = write_table(of_class, "components")
-    for table in (reps, buckets, first, links, left, more, classes):
+    for table in (reps, shared, stars, sets, first, second, third, classes):
         drop_table(table)
     out = signed.select("id", "n", "k1", "k2").join(of_class, ["k1", "k2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
@@ -309,6 +349,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with all their columns, one of each group: those whose id is the smallest of its component."""
-    gone = near_duplicates(docs, id_col, text, **options).where("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """The rows of ``docs`` with all their columns, one of each group: those whose id is the smallest of its component.
+
+    Rows that share an id stay or go together.
+    """
+    gone = near_duplicates(docs, id_col, text, **options).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["_gone"], "left_anti")

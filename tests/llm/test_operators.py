@@ -219,10 +219,8 @@ def test_near_duplicates(spark):
     assert Counter((r.doc_id, r.component_id, r.kept) for r in odd) == Counter({(None, None, True): 2, (3, 3, True): 2, (4, 4, True): 1})
 
 
-def test_near_duplicate_rounds(spark, monkeypatch):
-    """A chain of texts, each near the next, and a crowd around a shared passage; the rounds are forced."""
-    monkeypatch.setattr(minhash, "FEW", -1)
-    monkeypatch.setattr(minhash, "BITS_FROM", 1)
+def chain_and_crowd(n=60):
+    """A chain of texts, each near the next, and a crowd around a shared passage."""
     rng = np.random.default_rng(2)
     t = ["v%d" % x for x in rng.integers(0, 5000, 120)]
     rows = []
@@ -231,11 +229,27 @@ def test_near_duplicate_rounds(spark, monkeypatch):
         t = t.copy()
         t[int(rng.integers(120))] = "new%d" % i
     passage = " ".join("p%d" % x for x in range(100))
-    rows += [(100 + i, passage + " " + " ".join("q%d" % x for x in rng.integers(0, 5000, int(rng.integers(10, 60))))) for i in range(60)]
+    return rows + [(100 + i, passage + " " + " ".join("q%d" % x for x in rng.integers(0, 5000, int(rng.integers(10, 60))))) for i in range(n)]
+
+
+@pytest.mark.parametrize("members, pairs", [(1000, 64), (7, 3)])
+def test_near_duplicate_rounds(spark, monkeypatch, members, pairs):
+    """Stars, neighbours and the rest; once more with buckets cut into slices and cells, and centres into groups, as in large ones."""
+    monkeypatch.setattr(minhash, "SLICE_MEMBERS", members)
+    monkeypatch.setattr(minhash, "PAIRS_AT_ONCE", pairs)
+    rows = chain_and_crowd()
     got = minhash.near_duplicates(docs(spark, rows)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == components_by_hand(rows)
 
 
+def test_drop_copies_keeps_rows_whole(spark):
+    rows = [(5, "one two three four five six"), (4, "One two three four five six"), (4, "one two three four five six"), (None, "one two three four five six"), (7, None)]
+    got = minhash.drop_copies(docs(spark, rows))
+    assert got.columns == docs(spark, []).columns
+    assert Counter(r.doc_id for r in got.collect()) == {4: 2, None: 1, 7: 1}
+    assert minhash.drop_copies(docs(spark, [])).count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(30)] + [(5, 5)]
