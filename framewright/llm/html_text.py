@@ -1,27 +1,37 @@
 """Main text of web pages by wrappers inferred for each host.
 
-A page becomes a tree of tags; runs of like siblings fold into repeated groups.
-The trees of a host's pages are aligned one after the other: children that both
-sides have are merged, children of one side become optional, texts become
-slots.  The result, a union-free regular expression over tags, is the host's
-wrapper.  Every page of a host takes part; equal trees are counted before they
-meet, so a host's group holds its distinct trees.  For every slot (the path of a
-text in the wrapper) the smallest and largest hash of its texts tell whether it
-ever varies: one that holds the same text on every page is part of the template.
-The rows rest on region and slots as found by tag path; the expression itself
-decides no row.
-
-A wrapper's content region is its outermost ``article`` or ``main`` with text.
-The text of a page is what stands in that region; where a host's wrapper has no
-such region, it is the text of all slots that vary.  In either case menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out, by tag, role, class or id.
+A page becomes a tree of block tags with its texts as leaves; inline tags join
+their text.  Within a page, runs of like siblings (and runs of up to three
+siblings that recur together) fold into repeated groups.  The folded token
+streams of a host's pages are aligned one after the other: tokens that both
+sides have are merged, those of one side become optional, texts become slots.
+The result is the host's wrapper, a union-free regular expression over tags.
+
+The rows come out of the wrapper.  Each distinct folded stream is matched against
+its host's wrapper, which names the slot of every text.  Slots are counted over
+all pages: a slot varies if two pages differ there.  The content region is found
+by walking down the wrapper from its root: into the one part that holds most of
+the characters of varying slots that aren't links, as long as that part is a container that occurs
+once and no heading, paragraph or list would stay behind; the walk ends at an ``article`` or ``main``.
+The text of a page is what the match puts into the region.  In a region that has
+no such tag, slots at its rim that never vary (on three pages at least) or consist
+of links are template and go too.  A page whose match puts no text into the region
+gives all its text but template.
+
+Menus, headers, footers, sidebars, notices, adverts, forms and reader comments that
+stand within the region are left out as the last step, by tag, role, class or id; scripts,
+styles, templates and text fields hold no text.  Nothing else is dropped.
+
+Only distinct folded streams of a host meet, and these in slices by their hash, so
+that a host with a third of all pages is dealt to many tasks.
 
 Character references are decoded, white space in a block becomes one space, and
 blocks are joined by one space in page order.  Null or empty html gives an empty
-text.  Broken markup is read as browsers do, roughly: an end tag closes what it
+text; a null url is a host of its own name, the empty one.  Very long pages are read whole.
+Broken markup is read as browsers do, roughly: an end tag closes what it
 finds open, a block closes an open paragraph.  A page is judged by itself and its
-host's wrapper; repeated rows give repeated results.
+host's wrapper; repeated rows give repeated results, an empty table an empty one.
+Columns other than the three named ones are not read; their names may be any.
 """
 
 from __future__ import annotations
@@ -37,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import drop_table, write_table
+from framewright.llm.common import drop_table, small_batches, write_table
 from framewright.llm.url_filters import host_and_path
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -54,48 +64,73 @@ FOREIGN_OPEN = re.compile(r"<(?:svg|math|select)[\s/>]", re.I)
 BREAKOUT = frozenset("address article aside blockquote body center div dl dd dt footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select", "tbody": "table", "thead": "table"}
 
-# What is left out: by tag, by role, and by a word of a class or id unless another word marks it as content.
+# What is left out inside a region: by tag, by role, and by a class or id all of whose words are marks or say nothing.
 LEFT_OUT = frozenset("nav header footer aside form button select dialog head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MARKS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar aside widget cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion share sharing social related recommended comment comments disqus respond reply replies login signup pagination pager toolbar skip".split())
-CONTENT = frozenset("article content post entry main story body text".split())
+PLAIN_WORDS = frozenset("area author bar block body bottom box button buttons container content count form group holder icons inner item items left link links list main meta outer panel right row section site slot text thread top unit wrap wrapper".split())
 REGIONS = ("article", "main")
-SLOT = "#"
+# Tags that only hold blocks: the walk to the region goes down through these.
+CONTAINERS = frozenset("body article main section div center table tbody tr td".split())
+SLOT, MARKED, GROUP = "#", "!", "("
+#: Siblings that may recur together, slices of a host's distinct streams, and open tags below which blocks aren't told apart any more (their text stays).
+LONGEST_GROUP, SLICES, DEEPEST = 3, 64, 100
+#: Pages on which a slot must be the same to count as template.
+CONSTANT_PAGES = 3
 
 
 def left_out(tag: str, attributes: str, in_region: bool) -> bool:
     if tag in LEFT_OUT:
         return not (tag == "header" and in_region)
-    if not attributes:
+    if not attributes or tag in ("html", "body", *REGIONS):
         return False
     for name, a, b, c in NAMED.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name == "role":
-            if value in ROLES:
-                return True
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+        if name == "role" and value in ROLES:
             return True
-        elif name in ("class", "id"):
-            words = set(WORD.findall(value))
-            if words & MARKS and not (words & CONTENT and not words & {"comment", "comments", "ad", "ads", "advert", "advertisement"}) and tag not in ("html", "body", *REGIONS):
-                return True
+        if name in ("class", "id"):
+            for part in value.split():
+                found = set(WORD.findall(part))
+                if found & MARKS and found <= MARKS | PLAIN_WORDS:
+                    return True
     return False
 
 
-def pieces(page: str):
-    """(path, inside a region, text) of every text that isn't left out, with (path, region, None) at block boundaries.
+def symbol(tag: str, attributes: str, marked: bool) -> str:
+    """A token of the wrapper: the tag with its first class or id without digits, and a mark if it is to be left out."""
+    name = ""
+    for kind, a, b, c in NAMED.findall(attributes) if attributes else ():
+        if kind.lower() in ("class", "id"):
+            name = next((x for x in (a or b or c).lower().split() if x.isascii() and x.isidentifier() and not any(map(str.isdigit, x))), "")
+            if name:
+                break
+    return (MARKED if marked else "") + tag + (f".{name}" if name else "")
 
-    The path names the open block tags from ``body`` on.
-    """
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, left out, in a region
-    path, out, region = "", False, False
+
+# --- pages as trees: a node is [symbol, how, children, texts]; how: "" once, "?" optional, "+" repeated, "*" both
+
+
+def parse(page: str) -> tuple[list, list[list]]:
+    """The tree of the page's block tags, and its texts as [parts, characters in links]; leaves name their texts."""
+    root: list = ["", "", [], []]
+    texts: list[list] = []
+    stack: list[tuple[str, list, bool, int]] = []  # tag, node, in a region, open links
+    node, leaf, region, links = root, None, False, 0
     at, end = 0, len(page)
     foreign_page = FOREIGN_OPEN.search(page) is not None
+    top = lambda: stack[-1][1:] if stack else (root, False, 0)
     while at < end:
         m = TOKEN.search(page, at)
         start = m.start() if m else end
-        if start > at and not out:
-            yield path, region, page[at:start]
+        if start > at:
+            text = page[at:start]
+            if leaf is None and not text.isspace():
+                leaf = [[], 0]
+                node[2].append([SLOT, "", [], [len(texts)]])
+                texts.append(leaf)
+            if leaf is not None:
+                leaf[0].append(html.unescape(text))
+                leaf[1] += len(text) if links else 0
         if not m:
             break
         at = m.end()
@@ -106,17 +141,19 @@ def pieces(page: str):
         inside = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in FOREIGN), -1) if foreign_page else -1
         if inside >= 0 and tag in BREAKOUT and not (m[1] or m[4]):
             del stack[inside:]
-            _, path, out, region = stack[-1] if stack else ("", "", False, False)
+            node, region, links = top()
             inside = -1
         inline = tag in INLINE or inside >= 0 and stack[inside][0] == "math" and tag not in BREAKOUT
         if not inline:
-            yield path, region, None
+            leaf = None
         if m[1] or m[4]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-            _, path, out, region = stack[-1] if stack else ("", "", False, False)
+            before = node
+            node, region, links = top()
+            leaf = leaf if node is before else None
             continue
         attributes = m[3] or m[6] or ""
         if tag in VOID:
@@ -136,154 +173,282 @@ def pieces(page: str):
                     break
                 if within and open_tag in within.split(" ") or not within and open_tag not in INLINE:
                     break
-            _, path, out, region = stack[-1] if stack else ("", "", False, False)
+            node, region, links = top()
         region = region or tag in REGIONS
-        out = out or left_out(tag, attributes, region)
-        if not inline and tag != "html":
-            path = f"{path}/{tag}" if path else tag
-        stack.append((tag, path, out, region))
+        marked = left_out(tag, attributes, region)
+        links += tag == "a"
+        if (not inline or marked) and tag != "html" and (len(stack) < DEEPEST or marked and node[0][:1] != MARKED):
+            new = [symbol(tag, attributes, marked), "", [], []]
+            node[2].append(new)
+            node, leaf = new, None
+        stack.append((tag, node, region, links))
+    return root, texts
 
 
 def squeeze(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
-# --- wrappers: a node is [tag, how, children]; how: "" once, "?" optional, "+" repeated, "*" both
-
-
-def tree(page: str) -> tuple[list, dict[str, tuple[int, int, int]]]:
-    """The folded tree of the page, and (hash of all text, characters, in a region) of each slot."""
-    root = ["", "", []]
-    slots: dict[str, list] = {}
-    seen = None
-    for path, region, text in pieces(page):
-        if path != seen:
-            _grow(root, path.split("/") if path else [])
-            seen = path
-        if text is None or not text.strip():
-            continue
-        if SLOT not in (x[0] for x in _grow(root, path.split("/") if path else [])):
-            _grow(root, [*(path.split("/") if path else []), SLOT])
-        slot = slots.setdefault(path, [xxhash.xxh64(), 0, 0])
-        slot[0].update(squeeze([html.unescape(text)]))
-        slot[1] += len(text)
-        slot[2] |= region
-    return root, {p: (int(np.uint64(h.intdigest()).astype(np.int64)), n, r) for p, (h, n, r) in slots.items()}
-
-
-def _grow(root: list, path: list[str]) -> list:
-    """The children of the node at the path; a sibling of the same tag is the same node, repeated."""
-    children = root[2]
-    for tag in path:
-        for node in children:
-            if node[0] == tag:
-                break
-        else:
-            node = [tag, "", []]
-            children.append(node)
-        children = node[2]
-    return children
-
-
-def merge(a: list, b: list) -> list:
-    """The wrapper of two wrappers with the same root tag: like children in common order merge, others become optional."""
-    how = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}
-    kind = how[(("?" in a[1] + b[1]) or "*" in a[1] + b[1], ("+" in a[1] + b[1]) or "*" in a[1] + b[1])]
-    x, y = a[2], b[2]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
-            out.append(merge(x[i], y[j]))
+def _how(a: str, b: str = "", optional: bool = False, repeated: bool = False) -> str:
+    optional |= any(x in a + b for x in "?*")
+    repeated |= any(x in a + b for x in "+*")
+    return {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[optional, repeated]
+
+
+def _names(nodes: list) -> list[str]:
+    return [x[0] for x in nodes]
+
+
+def fold(node: list) -> list:
+    """The node with runs of like siblings, and of siblings that recur together, as one repeated node or group."""
+    nodes = [fold(x) for x in node[2]]
+    for size in range(1, LONGEST_GROUP + 1):
+        out: list = []
+        for x in nodes:
+            out.append(x)
+            new = out[-size:]
+            if size == 1:
+                if len(out) > 1 and out[-2][0] == x[0]:
+                    out[-2:] = [merge(out[-2], x, repeated=True)]
+                continue
+            group = GROUP + " ".join(_names(new)) + ")"
+            if len(out) > size and out[-size - 1][0] == group:
+                out[-size - 1 :] = [merge(out[-size - 1], [group, "", new, []], repeated=True)]
+            elif len(out) >= 2 * size and _names(out[-2 * size : -size]) == _names(new):
+                out[-2 * size :] = [merge([group, "", out[-2 * size : -size], []], [group, "", new, []], repeated=True)]
+        nodes = out
+    return [node[0], node[1], nodes, node[3]]
+
+
+def _grouped(nodes: list, like: list) -> list:
+    """The nodes, with siblings that are a group on the other side made one here too."""
+    for g in {x[0]: x for x in like if x[0][:1] == GROUP}.values():
+        names, out = _names(g[2]), []
+        for x in nodes:
+            out.append(x)
+            if len(out) >= len(names) and _names(out[-len(names) :]) == names:
+                out[-len(names) :] = [[g[0], "", out[-len(names) :], []]]
+        nodes = out
+    return nodes
+
+
+def align(x: list, y: list) -> list[tuple[int | None, int | None]]:
+    """Positions of like tokens in common order, and those of one side alone between them."""
+    first, last = 0, 0
+    while first < min(len(x), len(y)) and x[first][0] == y[first][0]:
+        first += 1
+    while last < min(len(x), len(y)) - first and x[-1 - last][0] == y[-1 - last][0]:
+        last += 1
+    a, b = x[first : len(x) - last], y[first : len(y) - last]
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+    out: list = [(i, i) for i in range(first)]
+    i = j = 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i][0] == b[j][0]:
+            out.append((first + i, first + j))
             i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            out.append(_optional(x[i]))
+        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
+            out.append((first + i, None))
             i += 1
         else:
-            out.append(_optional(y[j]))
+            out.append((None, first + j))
             j += 1
-    return [a[0], kind, out]
+    return out + [(len(x) - k, len(y) - k) for k in range(last, 0, -1)]
+
+
+def merge(a: list, b: list, repeated: bool = False) -> list:
+    """One node for two of the same symbol: like tokens merge, the others become optional."""
+    x, y = _grouped(a[2], b[2]), _grouped(b[2], a[2])
+    children = []
+    for i, j in align(x, y):
+        if i is not None and j is not None:
+            children.append(merge(x[i], y[j]))
+        else:
+            one = y[j] if i is None else x[i]
+            children.append([one[0], _how(one[1], optional=True), one[2], one[3]])
+    return [a[0], _how(a[1], b[1], repeated=repeated), children, a[3] + b[3]]
+
+
+def bare(node: list) -> list:
+    """The node without its texts: the shape of a page or host."""
+    return [node[0], node[1], [bare(x) for x in node[2]], []]
 
 
-def _optional(node: list) -> list:
-    return [node[0], {"": "?", "+": "*"}.get(node[1], node[1]), node[2]]
+def leaves(node: list):
+    if node[0] == SLOT:
+        yield node
+    for x in node[2]:
+        yield from leaves(x)
 
 
 def expression(node: list) -> str:
     """The wrapper as a union-free regular expression over tags and slots."""
     inner = "".join(expression(x) for x in node[2])
-    text = SLOT if node[0] == SLOT else f"<{node[0]}>{inner}</{node[0]}>" if node[0] else inner
+    text = SLOT if node[0] == SLOT else inner if node[0][:1] in ("", GROUP) else f"<{node[0]}>{inner}</{node[0]}>"
     return f"({text}){node[1]}" if node[1] else text
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, region, template) from (host, h): the expression, the content region's path if any, and the slots that never vary."""
+def match(shape: list, wrapper: list) -> list[tuple[str, bool]]:
+    """For each leaf of the shape the slot of the wrapper, and whether it stands in something marked.
 
-    def read(batches):
-        for batch in batches:
-            rows = [(h, *tree(p or "")) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            flat = [(h, json.dumps(t), list(s), [x[0] for x in s.values()], [x[1] for x in s.values()], [x[2] for x in s.values()]) for h, t, s in rows]
-            c = list(zip(*flat)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([
-                pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.list_(pa.string())), pa.array(c[3], pa.list_(pa.int64())), pa.array(c[4], pa.list_(pa.int64())), pa.array(c[5], pa.list_(pa.int64())),
-            ], names=["host", "tree", "path", "hash", "chars", "region"])
-
-    seen = write_table(pages.select("host", "h").mapInArrow(read, "host string, tree string, path array<string>, hash array<long>, chars array<long>, region array<long>"), "trees")
-    slots = seen.select("host", F.explode(F.arrays_zip("path", "hash", "chars", "region")).alias("s")).groupBy("host", "s.path").agg(
-        F.min("s.hash").alias("low"), F.max("s.hash").alias("high"), F.count("*").alias("pages"), F.sum("s.chars").alias("chars"), F.max("s.region").alias("region")
+    Slots are named by the places of the nodes on the way; a node that the alignment leaves over stays at its parent's place.
+    """
+    out: list[tuple[str, bool]] = []
+
+    def walk(node: list, to: list | None, place: str, marked: bool) -> None:
+        marked = marked or node[0][:1] == MARKED
+        if node[0] == SLOT:
+            out.append((place, marked))
+            return
+        children = node[2] if to is None else _grouped(node[2], to[2])
+        known = {} if to is None else {i: j for i, j in align(children, to[2]) if i is not None and j is not None}
+        for i, x in enumerate(children):
+            j = known.get(i)
+            walk(x, None if j is None else to[2][j], place if j is None else f"{place}.{j}", marked)
+
+    walk(shape, wrapper, "", False)
+    return out
+
+
+def content(wrapper: list, slots: dict[str, dict]) -> tuple[str, list[str]]:
+    """The place of the content region in the wrapper, and the slots that are template.
+
+    ``slots``: for each place the numbers of pages, characters, characters in links, whether it varies and is marked.
+    """
+    text = {p: s for p, s in slots.items() if not s["marked"] and 2 * s["links"] <= s["chars"]}
+    text = {p: s for p, s in text.items() if s["varies"]} or text
+    tag = lambda node: node[0].lstrip(MARKED).split(".")[0]
+    mass = lambda place: sum(s["chars"] for p, s in text.items() if p == place or p.startswith(f"{place}."))
+    node, place, semantic = wrapper, "", False
+    while not semantic:
+        parts = [(mass(f"{place}.{j}"), j) for j in range(len(node[2]))]
+        most, j = max(parts, default=(0, 0))
+        if 2 * most <= mass(place):
+            break
+        below = node[2][j]
+        behind = [node[2][k] for m, k in parts if m and k != j]
+        if set(below[1]) & set("+*") or tag(below) not in CONTAINERS or tag(below) not in REGIONS and any(tag(x) not in CONTAINERS for x in behind):
+            break
+        node, place, semantic = below, f"{place}.{j}", tag(below) in REGIONS
+    if semantic:
+        return place, []
+    # in the order of the wrapper, what stands before the first and after the last slot that varies and isn't links
+    order = sorted((p for p in slots if p == place or p.startswith(f"{place}.")), key=lambda p: [int(x) for x in p.split(".")[1:]])
+    template = lambda s: not s["varies"] and s["pages"] >= CONSTANT_PAGES or 2 * s["links"] > s["chars"]
+    kept = [i for i, p in enumerate(order) if not template(slots[p])]
+    return place, [p for i, p in enumerate(order) if kept and (i < kept[0] or i > kept[-1])]
+
+
+_SHAPES = "host string, shape string, hash array<long>, chars array<long>, links array<long>"
+
+
+def _read_shapes(batches):
+    """(host, shape, and for each of its leaves a hash of all its text, characters, characters in links) of (host, html)."""
+    for batch in small_batches(batches):
+        rows = []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            root, texts = parse(page or "")
+            root = fold(root)
+            of = [[squeeze(texts[k][0]) for k in leaf[3]] for leaf in leaves(root)]
+            hashes = [int(np.uint64(xxhash.xxh64_intdigest("\n".join(x).encode("utf-8", "surrogatepass"))).astype(np.int64)) for x in of]
+            rows.append((host, json.dumps(bare(root)), hashes, [sum(map(len, x)) for x in of], [sum(texts[k][1] for k in leaf[3]) for leaf in leaves(root)]))
+        c = list(zip(*rows)) or [[]] * 5
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in c[:2]), *(pa.array(x, longs) for x in c[2:])], names=["host", "shape", "hash", "chars", "links"])
+
+
+def wrapper_of(shapes: list[list]) -> list:
+    """The shapes aligned one after the other; those that groups of later ones leave partly unmatched are aligned once more."""
+    whole = shapes[0]
+    for again in range(3):
+        places = {p for p, _ in match(whole, whole)}
+        for one in shapes[1:] if not again else shapes:
+            if not again or any(p not in places for p, _ in match(one, whole)):
+                whole = merge(whole, one)
+    return whole
+
+
+def _infer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The wrapper of the shapes of one host, or of one slice of them."""
+    return pd.DataFrame({"host": [pdf.host.iloc[0]], "shape": [json.dumps(wrapper_of([json.loads(x) for x in sorted(pdf["shape"])]))]})
+
+
+def _match_shapes(batches):
+    """(host, sid, slots, marked) of (host, sid, shape, wrapper)."""
+    for batch in batches:
+        found = [match(json.loads(a), json.loads(b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        slots, marks = ([[x[k] for x in f] for f in found] for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.bool_()))], names=["host", "sid", "slots", "marks"])
+
+
+def _choose(batches):
+    """(host, wrapper, expression, region, template) of (host, wrapper, slots)."""
+    for batch in batches:
+        rows = []
+        for host, wrapper, slots in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            tree = json.loads(wrapper)
+            region, template = content(tree, {s["slot"]: s for s in slots or ()})
+            rows.append((host, wrapper, expression(tree), region, template))
+        c = list(zip(*rows)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in c[:4]), pa.array(c[4], pa.list_(pa.string()))], names=["host", "wrapper", "expression", "region", "template"])
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper, expression, region, template) from (host, h): the wrapper as a tree and as text, the region's place, the template's slots."""
+    seen = write_table(pages.select("host", "h").mapInArrow(_read_shapes, _SHAPES).withColumn("sid", F.xxhash64("shape")), "shapes")
+    kinds = write_table(seen.groupBy("host", "sid").agg(F.any_value("shape").alias("shape")), "kinds")
+    # a host's shapes are aligned in slices by their hash, then the slices' wrappers
+    sliced = kinds.groupBy("host", F.pmod("sid", F.lit(SLICES))).applyInPandas(_infer, "host string, shape string")
+    whole = write_table(sliced.groupBy("host").applyInPandas(_infer, "host string, shape string").select("host", F.col("shape").alias("wrapper")), "wrappers")
+    matched = kinds.join(whole, "host").select("host", "sid", "shape", "wrapper").mapInArrow(_match_shapes, "host string, sid long, slots array<string>, marks array<boolean>")
+    leaf = seen.select("host", "sid", F.posexplode(F.arrays_zip("hash", "chars", "links")).alias("pos", "s")).groupBy("host", "sid", "pos").agg(
+        F.min("s.hash").alias("low"), F.max("s.hash").alias("high"), F.count("*").alias("pages"), F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links")
+    )
+    named = leaf.join(matched, ["host", "sid"]).withColumn("slot", F.get("slots", F.col("pos"))).withColumn("marked", F.get("marks", F.col("pos")))
+    slots = named.groupBy("host", "slot").agg(
+        (F.min("low") != F.max("high")).alias("varies"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.max("marked").alias("marked")
     )
-    kinds = seen.groupBy("host", "tree").agg(F.count("*").alias("pages"))
-    kept = F.collect_list(F.struct("path", "region", ((F.col("low") == F.col("high")) & (F.col("pages") > 1)).alias("same"), "chars"))
-    of_host = slots.groupBy("host").agg(kept.alias("slots"))
-
-    def infer(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = None
-        for t in sorted(pdf.tree):
-            t = json.loads(t)
-            whole = t if whole is None else merge(whole, t)
-        return pd.DataFrame({"host": [pdf.host.iloc[0]], "wrapper": [expression(whole)]})
-
-    inferred = kinds.groupBy("host").applyInPandas(infer, "host string, wrapper string")
-    joined = inferred.alias("w").join(of_host.alias("s"), F.col("w.host").eqNullSafe(F.col("s.host")), "left").select("w.host", "wrapper", "slots")
-    inside = F.filter("slots", lambda s: s["region"] == 1)
-    region = F.array_min(F.transform(inside, lambda s: F.regexp_extract(s["path"], r"^(.*?\b(?:article|main))(?:/|$)", 1)))
-    template = F.transform(F.filter("slots", lambda s: s["same"]), lambda s: s["path"])
-    out = write_table(joined.select("host", "wrapper", region.alias("region"), template.alias("template")), "wrappers")
-    drop_table(seen)
+    of_host = slots.groupBy(F.col("host").alias("of")).agg(F.collect_list(F.struct("slot", "varies", "pages", "chars", "links", "marked")).alias("slots"))
+    chosen = whole.join(of_host, F.col("host") == F.col("of"), "left").select("host", "wrapper", "slots")
+    out = write_table(chosen.mapInArrow(_choose, "host string, wrapper string, expression string, region string, template array<string>"), "regions")
+    for table in (seen, kinds, whole):
+        drop_table(table)
     return out
 
 
-def main_text(page: str, region: str | None, template: frozenset[str]) -> str:
-    """The text of a page under its host's wrapper."""
-    inside, varying, every = [], [], []
-    for path, in_region, text in pieces(page):
-        part = " " if text is None else html.unescape(text)
-        if in_region:
-            inside.append(part)
-        if path not in template or text is None:
-            varying.append(part)
-        every.append(part)
-    if region:
-        text = squeeze(inside)
-        if text:
-            return text
-    return squeeze(varying) or squeeze(every)
+def main_text(page: str, wrapper: list, region: str, template: frozenset[str]) -> str:
+    """The text of a page that its match with the wrapper puts into the region."""
+    root, texts = parse(page)
+    root = fold(root)
+    inside, every = [], []
+    for (place, marked), leaf in zip(match(root, wrapper), leaves(root)):
+        if not marked and place not in template:
+            every += leaf[3]
+            if place == region or place.startswith(f"{region}."):
+                inside += leaf[3]
+    text = lambda ks: squeeze([part for k in sorted(ks) for part in (" ", *texts[k][0])])
+    return text(inside) or text(every)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(id, url, text, n_chars) for each row of ``pages``."""
     host = host_and_path(F.col(url))[0]
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), host.alias("host"), F.col(page).alias("h"))
-    known = wrappers(rows).select(F.col("host").alias("of"), "region", "template")
+    known = wrappers(rows).select(F.col("host").alias("of"), "wrapper", "region", "template")
 
     def read(batches):
-        for batch in batches:
-            texts = [main_text(h or "", region, frozenset(t or ())) for h, region, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+        last: tuple = (None, None)
+        for batch in small_batches(batches):
+            texts = []
+            for h, wrapper, region, template in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                if wrapper != last[0]:
+                    last = (wrapper, json.loads(wrapper))
+                texts.append(main_text(h or "", last[1], region, frozenset(template)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    joined = rows.join(known, F.col("host") == F.col("of"), "left").select("id", "url", "h", "region", "template")
+    joined = rows.join(known, F.col("host") == F.col("of"), "left").select("id", "url", "h", "wrapper", "region", "template")
     return joined.mapInArrow(read, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)

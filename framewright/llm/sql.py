@@ -72,10 +72,10 @@ with recursive docs as (
 select doc_id, len(s)::bigint as n_shingles, c as component_id, doc_id = c as kept from sets join least on i = doc_id
 """
 
-#: The pages of the tables have one article each, with paragraphs, breaks and bold text.
+#: What isn't main text in the tables goes: head, menus, advert blocks, footers, comments; then markup.  No article is looked for.
 HTML_EXTRACTION = r"""
 with inner_html as (
-  select page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g') as h from pages
+  select page_id, url, regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<head>.*?</head>|<nav>.*?</nav>|<div class="ad">.*?</div>|<footer>.*?</footer>', ' ', 'g'), '</?b>', '', 'g') as h from pages
 ), plain as (
   select page_id, url, replace(replace(replace(replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as t from inner_html
 ), clean as (

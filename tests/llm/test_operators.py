@@ -510,20 +510,81 @@ def test_html_extraction(spark):
     assert html_text.extract(spark.createDataFrame([], df.schema)).count() == 0
 
 
-@pytest.mark.parametrize("inner, want", [
+ARTICLES = [
     ("<p>one <svg class=i/> two</p><p>three</p>", "one two three"), ("<p>one<svg><path d='M0'/><g></g></svg> two <p>three", "one two three"), ("<p>one <svg> <p>two", "one two"),
     ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><mspace/></math> holds", "so x=1 holds"), ("<p>one <math/>two<p>three", "one two three"), ("<p>one <math><p>two</p><p>three</p>", "one two three"),
     ("<object data=x><p>fallback</p></object> end", "fallback end"), ("<p><video>no video</video> <audio>no audio</audio> <canvas>drawn</canvas> <noscript>plain", "no video no audio drawn plain"),
     ("<p>one <object data=x><p>two", "one two"), ("<p>a <select><option>1<option>2</select> b", "a b"), ("<p>a <select><option>1<p>b", "a b"), ("<p>a<script>1 < 2</script> <svg><title>icon</title></svg>b", "a b"), ("<p>one <iframe src=x>no</iframe>two", "one two"),
-])
-def test_no_tag_swallows_the_page(inner, want):
-    assert html_text.main_text(f"<body><article>{inner}</article></body>", "body/article", frozenset()) == want
+]
+
+
+def texts_of(spark, pages):
+    """The texts of (url, html) rows, in their order."""
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_text.extract(df).orderBy("page_id").collect()]
+
+
+def test_no_tag_swallows_the_page(spark):
+    got = texts_of(spark, [(f"http://h{i}.org/", f"<body><article>{inner}</article></body>") for i, (inner, _) in enumerate(ARTICLES)])
+    assert got == [want for _, want in ARTICLES]
+
+
+def shape(page):
+    return html_text.bare(html_text.fold(html_text.parse(page)[0]))
 
 
 def test_wrapper_alignment():
-    a, b = (html_text.tree(f"<body><nav>x</nav>{m}<article><p>t</p><p>u</p></article></body>")[0] for m in ("", "<div><h2>k</h2></div>"))
+    a, b = (shape(f"<body><nav>x</nav>{m}<article><p>t</p><p>u</p></article></body>") for m in ("", "<div><h2>k</h2></div>"))
     whole = html_text.merge(a, b)
-    assert "(<div><h2>" in html_text.expression(whole) and html_text.expression(html_text.merge(whole, a)) == html_text.expression(whole)
+    assert html_text.expression(whole) == "<body><!nav>#</!nav>(<div><h2>#</h2></div>)?<article>(<p>#</p>)+</article></body>"
+    assert html_text.expression(html_text.merge(whole, a)) == html_text.expression(whole)
+    three, one = (shape(f"<ul>{'<li>x</li>' * n}</ul>") for n in (3, 1))
+    assert html_text.expression(html_text.merge(one, three)) == html_text.expression(html_text.merge(three, one)) == "<ul>(<li>#</li>)+</ul>"
+    recurring = shape("<div>" + "<h2>a</h2><p>b</p><p>c</p>" * 3 + "</div>")
+    assert html_text.expression(recurring) == "<div>(<h2>#</h2>(<p>#</p>)+)+</div>"
+    once = shape("<div><h2>a</h2><p>b</p></div>")
+    assert html_text.expression(html_text.merge(once, recurring)) == "<div>(<h2>#</h2>(<p>#</p>)+)+</div>"
+    assert html_text.match(once, html_text.merge(once, recurring)) == [(".0.0.0.0", False), (".0.0.1.0", False)]
+
+
+def test_every_shape_matches_its_wrapper_whole():
+    rng = np.random.default_rng(3)
+
+    def page(depth=0):
+        out = []
+        for _ in range(int(rng.integers(1, 5))):
+            tag = str(rng.choice(["div", "p", "ul", "h2", "section"]))
+            out.append(f"<{tag}>{page(depth + 1) if tag in ('div', 'section') and depth < 3 else 'text'}</{tag}>")
+        return "".join(out)
+
+    for _ in range(40):
+        shapes = [shape(page()) for _ in range(5)]
+        whole = html_text.wrapper_of(shapes)
+        known = set(html_text.match(whole, whole))
+        for x in shapes:
+            got = html_text.match(x, whole)
+            assert len(got) == len(list(html_text.leaves(x))) and set(got) <= known
+
+
+def test_hosts_without_an_article(spark):
+    """The region is found from what varies: menus, footers and sidebars have no telling names, some text varies elsewhere too."""
+    page = lambda i: (
+        f"<body><div class=top><a href=/>home</a> <a href=/{i}>page {i}</a></div><div id=wrap><div class=body><h1>Title {i}</h1>" + f"<p class=share-price>price {i} is up</p>" + "".join(f"<p>paragraph {j} of {i} goes on</p>" for j in range(1 + i % 4))
+        + f"<h2>Notes</h2><p hidden>more of {i}</p><div class='comment-list'><p>nice {i}</p></div><svg/></div></div><div class=foot>All rights {i % 2}</div></body>"
+    )
+    want = lambda i: " ".join([f"Title {i}", f"price {i} is up", *(f"paragraph {j} of {i} goes on" for j in range(1 + i % 4)), "Notes", f"more of {i}"])
+    plain = lambda i: f"<body><h3>Our site</h3><h1>Head {i}</h1><p>words of {i} that vary</p><h2>Same</h2><p>again {i} and more words</p><p>{i}</p><h5>Imprint</h5></body>"
+    got = texts_of(spark, [(f"http://a.org/{i}", page(i)) for i in range(8)] + [(f"http://b.org/{i}", plain(i)) for i in range(5)])
+    assert got[:8] == [want(i) for i in range(8)]
+    assert got[8:] == [f"Head {i} words of {i} that vary Same again {i} and more words {i}" for i in range(5)]
+
+
+def test_deep_wide_and_long_pages(spark):
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    wide = "<article>" + "".join(f"<h2>h{i}</h2><p>p{i}</p>" for i in range(4000)) + "</article>"
+    long = "<article><p>" + "word " * 200_000 + "</p></article>"
+    got = texts_of(spark, [("http://a.org/", deep), ("http://b.org/", wide), ("http://c.org/", long), (None, "<p>no url</p>")])
+    assert got == ["deep", " ".join(f"h{i} p{i}" for i in range(4000)), ("word " * 200_000).strip(), "no url"]
 
 
 def test_articles_of_the_tables(spark, data):
