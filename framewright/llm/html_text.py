@@ -190,9 +190,11 @@ def squeeze(parts: list[str]) -> str:
 
 
 def _how(a: str, b: str = "", optional: bool = False, repeated: bool = False) -> str:
-    optional |= any(x in a + b for x in "?*")
-    repeated |= any(x in a + b for x in "+*")
-    return {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[optional, repeated]
+    both = a + b
+    optional = optional or "?" in both or "*" in both
+    if repeated or "+" in both or "*" in both:
+        return "*" if optional else "+"
+    return "?" if optional else ""
 
 
 def _names(nodes: list) -> list[str]:
@@ -261,6 +263,8 @@ def align(x: list, y: list) -> list[tuple[int | None, int | None]]:
 
 def merge(a: list, b: list, repeated: bool = False) -> list:
     """One node for two of the same symbol: like tokens merge, the others become optional."""
+    if _names(a[2]) == _names(b[2]):
+        return [a[0], _how(a[1], b[1], repeated=repeated), [merge(p, q) for p, q in zip(a[2], b[2])], a[3] + b[3]]
     x, y = _grouped(a[2], b[2]), _grouped(b[2], a[2])
     children = []
     for i, j in align(x, y):
