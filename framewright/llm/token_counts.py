@@ -5,29 +5,29 @@ The encoder's merges never cross the start of a run of spaces or a line feed
 text is the sum over its pre-tokens: a run of spaces with what follows it, or
 a line feed with what follows it.
 
-Tier one is a broadcast table of the lengths of frequent pre-tokens.  Every
-Arrow batch reports the pre-tokens that make up at least ``share`` of its own
-(by that, at most 1/share rows), the reports are summed, and those that reach
-``share`` of all pre-tokens enter the table, which therefore never has more
-than 1/share entries.  Tier two is a bounded cache in each Python worker;
+Tier one is a broadcast table of the lengths of frequent pre-tokens: the words
+that are pieces of the model themselves, in the order of its merges, which is
+their order of frequency; at most ``entries`` of them.  It takes no pass over the
+corpus.  Tier two is a bounded cache in each Python worker;
 what misses both is encoded there.  No pre-token is shuffled, and the tables
 change only the speed, never a count.
 
 Nulls count as empty texts (0 bytes, 0 tokens); a null id is passed on.
-Repeated rows give repeated results; an empty table gives an empty one.
+Repeated rows give repeated results; an empty table gives an empty one.  Very long
+texts are counted whole; pre-tokens too long for the cache are encoded each time.
+Extra columns are not read, so their names may be any.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import drop_table, on_worker, small_batches, write_table
+from framewright.llm.common import on_worker, small_batches
 
 PRE_TOKEN = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
 #: Entries of each of a worker's two cache generations; longer pre-tokens are encoded without being kept.
@@ -88,30 +88,21 @@ def model_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def frequent_pre_tokens(docs: DataFrame, text: str, share: float) -> list[str]:
-    """Pre-tokens that make up at least ``share`` of all: at most 1/share of them."""
+def frequent_pre_tokens(model: str, entries: int) -> list[str]:
+    """The first so many words among the model's pieces, as pre-tokens."""
+    import sentencepiece
 
-    def report(batches):
-        for batch in batches:
-            seen = Counter()
-            for t in batch.column(0).to_pylist():
-                seen.update(pre_tokens(t or ""))
-            total = sum(seen.values())
-            some = [(p, n) for p, n in seen.items() if n >= share * total and len(p) <= CACHE_CHARS]
-            yield pa.RecordBatch.from_pydict({"piece": pa.array([*(p for p, _ in some), None], pa.string()), "n": pa.array([*(n for _, n in some), total], pa.int64())})
+    pieces = sentencepiece.SentencePieceProcessor(model_file=model_file(model))
+    words = (pieces.id_to_piece(i) for i in range(pieces.get_piece_size()))
+    found = [" " + w[1:] for w in words if len(w) > 1 and w[0] == "▁" and "▁" not in w[1:]]
+    return found[:entries]
 
-    sums = write_table(docs.select(text).mapInArrow(report, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "pre-tokens")
-    total = sums.where("piece is null").agg(F.sum("n")).first()[0] or 0
-    found = [r.piece for r in sums.where(F.col("piece").isNotNull() & (F.col("n") >= share * total)).collect()]
-    drop_table(sums)
-    return found
 
-
-def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text: str = "text", limit: int = 4096, share: float = 1 / 4096) -> DataFrame:
+def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text: str = "text", limit: int = 4096, entries: int = 4096) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row of ``docs``; other columns are not read."""
     spark = docs.sparkSession
     lengths = Lengths(model_file(model), {})
-    table, key = spark.sparkContext.broadcast({p: lengths[p] for p in frequent_pre_tokens(docs, text, share)}), uuid.uuid4().hex
+    table, key = spark.sparkContext.broadcast({p: lengths[p] for p in frequent_pre_tokens(model, entries)}), uuid.uuid4().hex
 
     def count(batches):
         worker = on_worker(("lengths", key), lambda: Lengths(model_file(model), table.value))
