@@ -8,10 +8,13 @@ verified around its place by Myers' bit-parallel edit distance (an occurrence
 may start and end anywhere).  The items are the query set: they are taken in
 blocks of bounded size, and every block is matched against every document.
 
-An item under ``min_chars`` normalized characters matches only a document that
-equals it; an empty or null item or document matches nothing.  A null document
+An item under ``min_chars`` normalized characters has no budget: it is found
+wherever it stands exactly, at the start and end of words, since a few letters
+within others say nothing.  An empty or null item or document matches nothing.  A null document
 id is passed on.  One row results per document row and item, with the fewest
-edits and the leftmost end among those.
+edits and the leftmost end among those.  Very long texts are searched whole, in
+time that grows with their length; repeated rows give repeated results, empty
+tables empty ones.  Extra columns are not read, those of ``decontaminate`` pass through under any name.
 """
 
 from __future__ import annotations
@@ -93,16 +96,13 @@ class Matcher:
         import ahocorasick
 
         self.items = [(i, t) for i, t in ((i, normalize(t)) for i, t in items) if t]
-        self.budget = [len(t) // per for _, t in self.items]
+        self.budget = [len(t) // per if len(t) >= min_chars else 0 for _, t in self.items]
+        self.short = [len(t) < min_chars for _, t in self.items]
         self.masks = [item_masks(t) for _, t in self.items]
-        self.whole: dict[str, list[int]] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t) in enumerate(self.items):
-            if len(t) < min_chars:
-                self.whole.setdefault(t, []).append(k)
-            else:
-                for at, piece in pieces(t, self.budget[k] + 1):
-                    found.setdefault(piece, []).append((k, at + len(piece) - 1))
+            for at, piece in pieces(t, self.budget[k] + 1):
+                found.setdefault(piece, []).append((k, at + len(piece) - 1))
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
             self.automaton.add_word(piece, where)
@@ -113,7 +113,7 @@ class Matcher:
     def match(self, text: str | None) -> dict[int, tuple[int, int]]:
         """Index of each item found, with its edits and the end in the normalized text."""
         text = normalize(text)
-        out = {k: (0, len(text)) for k in self.whole.get(text, ())}
+        out: dict[int, tuple[int, int]] = {}
         if not self.any or not text:
             return out
         # where an occurrence that holds a hit can lie; hits come by ascending end, so those of a repeated piece may go back in start
@@ -124,6 +124,11 @@ class Matcher:
                 if k in out and not out[k][0]:
                     continue
                 item = self.items[k][1]
+                if self.short[k]:
+                    inner, after = item[0].isalnum() and text[max(0, start - 1) : start].isalnum(), start + len(item)
+                    if not (inner or item[-1].isalnum() and text[after : after + 1].isalnum()):
+                        out[k] = (0, after)
+                    continue
                 if text.startswith(item, start) if start >= 0 else False:
                     out[k] = (0, start + len(item))
                     continue
@@ -167,7 +172,10 @@ def on_workers(spark, block: list, per: int, min_chars: int):
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", per: int = PER, min_chars: int = 24) -> DataFrame:
-    """(id, item id, edits, budget, match_end) for each document row that holds an item; clean documents give no row."""
+    """(id, item id, edits, budget, match_end) for each document row that holds an item; clean documents give no row.
+
+    Blocks of items are broadcast one by one, each at most ``BLOCK_CHARS`` characters or one item.
+    """
     spark = docs.sparkSession
     doc_kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     item_type = {"string": pa.string(), "int": pa.int32()}.get(item_kind, pa.int64())
