@@ -13,12 +13,16 @@ one row for each source and size.  Which documents of a size are taken follows
 a seeded hash of id and text.
 
 A size's documents fall into hash slices whose numbers are added up first; only
-the slice that holds the last document taken is ordered, so the documents of a
-hot size never meet in one task, and texts are not shuffled.
-
-Null text has size 0; documents of size 0 are taken once.  Equal rows (same id,
-source and text) are taken alike, which can miss the target by their sizes.  A
-null id is an id of its own.  An empty table gives an empty result.
+the slice that holds the last document taken is ordered, by one row for each hash,
+so the documents of a hot size never meet in one task, and texts are not shuffled.
+Equal rows (same id, source and text) share a hash: if only some of them are
+taken, they are numbered, again in slices, and the exact number is taken; as they
+are equal, it makes no difference which.
+
+Null text has size 0; documents of size 0 are taken once.  A
+null id is an id of its own.  An empty table gives an empty result.  Very long
+texts count whole and are never more than twice in the mix.  Extra columns of any name are not
+read, and pass through whole in ``mixed``.
 """
 
 from __future__ import annotations
@@ -36,7 +40,6 @@ SHARE, MOST = 1.5, 2
 SLICES = 1024
 #: Budget below which the knapsack takes over from the largest-first filling.
 KNAPSACK = 1 << 17
-BROADCAST_ROWS = 200_000
 
 
 def targets(totals: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -106,9 +109,15 @@ def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
             if more > 0:
                 taken[i] += more
                 left -= more * sizes[i]
+    if left > KNAPSACK:  # every document that still fits is nearly as large as what is left: one of them fits
+        fitting = [i for i in range(len(sizes)) if taken[i] < counts[i] and 0 < sizes[i] <= left]
+        if fitting:
+            i = max(fitting, key=lambda i: sizes[i])
+            taken[i] += 1
+            left -= sizes[i]
     spare = [(s, c - t) for s, c, t in zip(sizes, counts, taken) if s and c > t and s <= left]
     at = {s: i for i, s in enumerate(sizes)}
-    for s, t in knapsack(sorted(spare, reverse=True), min(left, 2 * KNAPSACK))[1].items():
+    for s, t in knapsack(sorted(spare, reverse=True), left)[1].items() if spare else ():
         taken[at[s]] += t
     return taken
 
@@ -147,26 +156,42 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
     of_source = counts.join(goals, _same(counts, goals)).select(goals["source"], "size", "n", "source_size", "target")
     planned = write_table(of_source.groupBy("source").applyInPandas(plan, "source string, size long, source_size long, target double, base long, extra long"), "plan")
 
-    # the last document of each size that is taken once more: in which slice it is, and its place in the order there
+    # the last document of each size that is taken once more: in which slice it is, its hash, and how many rows with that hash are taken
     in_order = Window.partitionBy("source", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0)))
     last = offsets.join(planned, _same(offsets, planned, "size")).where((F.col("before") < F.col("extra")) & (F.col("extra") <= F.col("before") + F.col("n")))
     last = write_table(last.select(offsets["source"], offsets["size"], "slice", (F.col("extra") - F.col("before")).alias("place")), "last")
-    in_slice = Window.partitionBy("source", "size", "slice").orderBy("h")
-    there = sized.join(last, _same(sized, last, "size", "slice")).select(sized["source"], sized["size"], sized["slice"], "h", "place")
-    cuts = there.withColumn("at", F.row_number().over(in_slice)).where("at = place").select("source", "size", F.col("slice").alias("cut_slice"), F.col("h").alias("cut_h"))
-    final = write_table(planned.join(cuts, _same(planned, cuts, "size"), "left").select(planned["source"], planned["size"], "source_size", "target", "base", "cut_slice", "cut_h"), "mix")
+    there = sized.join(last, _same(sized, last, "size", "slice")).groupBy(sized["source"], sized["size"], sized["slice"], "place", "h").agg(F.count("*").alias("alike"))
+    to_here = Window.partitionBy("source", "size", "slice").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    cuts = there.withColumn("upto", F.sum("alike").over(to_here)).where((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("alike") < F.col("place")))
+    cuts = cuts.select("source", "size", F.col("slice").alias("cut_slice"), F.col("h").alias("cut_h"), (F.col("place") - F.col("upto") + F.col("alike")).alias("some"), "alike")
+    final = write_table(planned.join(cuts, _same(planned, cuts, "size"), "left").select(planned["source"], planned["size"], "source_size", "target", "base", "cut_slice", "cut_h", "some", "alike"), "mix")
 
     rows = _sized(docs, id_col, source, text, seed, True) if carry else sized
-    # one row for each source and length: a known small number goes to every executor, a larger one is joined by shuffling
-    known = F.broadcast(final) if final.count() <= BROADCAST_ROWS else final
-    both = rows.join(known, _same(rows, final, "size"))
+    both = rows.join(final, _same(rows, final, "size")).select(rows["id"], rows["source"], rows["size"], "slice", "h", "source_size", "target", "base", "cut_slice", "cut_h", "some", "alike", *["_row"] * carry)
+    tied = F.coalesce((F.col("h") == F.col("cut_h")) & (F.col("some") < F.col("alike")), F.lit(False))
     once_more = (F.col("slice") < F.col("cut_slice")) | (F.col("slice") == F.col("cut_slice")) & (F.col("h") <= F.col("cut_h"))
-    copies = F.col("base") + F.coalesce(once_more, F.lit(False)).cast("long")
-    out = both.select(rows["id"].alias(id_col), rows["size"], "source_size", "target", copies.alias("copies"), *["_row"] * carry)
+    kept = ["id", "size", "source_size", "target", *["_row"] * carry]
+    out = both.where(~tied).select(*kept, (F.col("base") + F.coalesce(once_more, F.lit(False)).cast("long")).alias("copies"))
+    if not final.where("some < alike").isEmpty():
+        out = out.unionAll(_numbered(both.where(tied)).select(*kept, (F.col("base") + F.col("more")).alias("copies")))
     for table in (slices, goals, planned, last, *([sized] if carry else [])):
         drop_table(table)
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select(F.col("id").alias(id_col), *kept[1:4], "copies", *kept[4:]).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Equal rows with ``more``: 1 for as many of them as ``some`` says, else 0."""
+    number = F.monotonically_increasing_id()
+    written = write_table(rows.withColumn("m", number).withColumn("part", F.pmod(F.xxhash64("m"), F.lit(SLICES))), "tied")
+    sums = written.groupBy("source", "size", "some", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    quota = sums.withColumn("room", F.col("some") - F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("source").alias("q_source"), F.col("size").alias("q_size"), F.col("part").alias("q_part"), "room", F.col("n").alias("of_part"))
+    dealt = written.join(quota, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("size") == F.col("q_size")) & (F.col("part") == F.col("q_part"))).drop("q_source", "q_size", "q_part")
+    # only the part in which the number is reached is numbered row by row
+    whole = dealt.where("room <= 0 or room >= of_part").withColumn("more", (F.col("room") > 0).cast("long"))
+    cut = dealt.where("room > 0 and room < of_part").withColumn("at", F.row_number().over(Window.partitionBy("source", "size").orderBy("m")))
+    return whole.unionAll(cut.withColumn("more", (F.col("at") <= F.col("room")).cast("long")).drop("at"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

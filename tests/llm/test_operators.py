@@ -284,8 +284,9 @@ def test_decontamination(spark):
             if edits <= most:
                 leaks[i].add(k)
         rows.append((i, t))
-    rows += [(70, "SHORT\tone"), (71, "a short one"), (72, None), (73, ""), (None, items[0][1])]
-    leaks[70] = {52, 53}
+    rows += [(70, "SHORT\tone"), (71, "a short one, too"), (72, None), (73, ""), (74, "short ones"), (75, "ashort one"), (None, items[0][1]), (76, "zz " * 40_000 + items[3][1] + " zz" * 40_000)]
+    leaks[70] = leaks[71] = {52, 53}
+    leaks[76] = {3}
     leaks[None] = {0}
     table = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.find_leaks(docs(spark, rows), table).collect()
@@ -369,7 +370,7 @@ def test_mixing(spark):
         open_ -= over
     want |= {s: rest * w[s] / sum(w[x] for x in open_) for s in open_}
     for s in size:
-        assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - want[s]) <= 2.5  # equal rows of two words are taken alike
+        assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - want[s]) <= 0.5
     again = {(r.doc_id, r.copies) for r in mixing.mix(docs(spark, rows).repartition(7)).collect() if r.doc_id not in (1001, 1002)}
     assert again == {(r.doc_id, r.copies) for r in got if r.doc_id not in (1001, 1002)}
     assert mixing.mix(docs(spark, [])).count() == 0
@@ -377,6 +378,27 @@ def test_mixing(spark):
     assert out.columns == docs(spark, []).columns and out.count() == sum(r.copies for r in got)
 
 
+@pytest.mark.parametrize("slices", [1024, 3])
+def test_mixing_takes_part_of_equal_rows(spark, monkeypatch, slices):
+    """One row, repeated a thousand times, of which a part is taken once more; its copies are numbered in slices."""
+    monkeypatch.setattr(mixing, "SLICES", slices)
+    rows = [(3 * i, "w " * (5 + i % 7)) for i in range(60)] + [(1, "four words in here")] * 1000 + [(3 * i + 2, "x y z") for i in range(50)]
+    got = mixing.mix(docs(spark, rows).repartition(5)).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        s = r.doc_id % 3
+        taken[s] += r.taken
+        target[s] = r.target
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 2.0 for s in target), (taken, target)
+    assert {r.copies for r in got if r.doc_id == 1} in ({0, 1}, {1, 2})
+    assert mixing.mixed(docs(spark, rows)).where("doc_id = 1").count() == taken[1] // 4
+
+
+def test_few_very_long_documents_meet_the_budget():
+    for sizes, counts, budget, want in [([850_000, 851_000, 852_000], [1, 1, 1], 900_000, 852_000), ([500_000, 600_000], [2, 1], 1_000_000, 1_000_000), ([300_000], [9], 1_000_000, 900_000), ([3, 400_000], [5, 3], 900_000, 800_015)]:
+        assert sum(s * t for s, t in zip(sizes, mixing.fit(sizes, counts, budget))) == want
+
+
 def test_knapsack_is_optimal():
     rng = np.random.default_rng(1)
     for _ in range(200):
