@@ -3,21 +3,28 @@
 Fixed rules (host and path) decide first: a rule fits its host and all
 subdomains if the path starts with the rule's, and the longest fitting rule
 wins.  Other URLs are judged by association rules: the tokens of labelled URLs
-(host labels, path segments, query keys) form transactions with a mark on the
-bad ones; FP-growth finds frequent combinations; rules that conclude the mark
-are kept if support, confidence and lift are high enough and no rule with fewer
-tokens is as confident.  The inverted index lists each rule under its rarest
+(host labels, path segments, query keys) form transactions.  FP-growth finds the
+combinations that are frequent among the bad ones, by an absolute number, so
+that a small host is found among many pages as among few; how many labelled URLs hold
+a combination is counted by the inverted index over all of them.  Rules that conclude "bad"
+are kept if confidence and lift are high enough, if so many bad URLs would hardly be bad
+by chance (a bound on the binomial tail, divided by the number of combinations), and if no
+rule with a part of their tokens is as confident.  The inverted index lists each rule under its rarest
 token; a distinct URL looks up its tokens there, and a rule matches if all of
 its tokens are present.
 
 A null URL, or one without ``://``, has an empty host and path, fits no rule and
 has no tokens: it is allowed.  Labels without a page, and null labels, teach
 nothing; without labelled pages there are no rules.  Rows are judged by their URL
-alone, so repeated rows get equal verdicts; an empty table gives an empty result.
+alone, so repeated rows get equal verdicts; of rules that match equally well the
+last in order of text is named; an empty table gives an empty result.  Very long URLs are
+read whole.  Columns other than the named ones are not read, so their names may be any.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +39,6 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-BAD = "!bad"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -60,30 +66,42 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(named("h:", F.split(host, r"\.")), named("p:", segments), named("q:", keys)))
 
 
-def mine(labelled: DataFrame, support: float = 0.002, least: int = 8, confidence: float = 0.6, lift: float = 1.5) -> DataFrame:
-    """(rule, antecedent, anchor, confidence, lift, support) from rows (tokens, bad).
+def mine(labelled: DataFrame, least: int = 8, confidence: float = 0.6, lift: float = 1.5, doubt: float = 0.05, longest: int = 10) -> DataFrame:
+    """(antecedent, anchor, confidence, lift, bad, total) from rows (tokens, bad).
 
-    A combination is frequent in at least ``support`` of the labelled URLs and in at least ``least`` of them.
+    A combination is frequent if at least ``least`` bad URLs hold it.  Combinations are sought among the ``longest`` tokens of
+    a bad URL that tell most about it, each in at least ``least`` bad URLs and no rarer among the bad than among all.
     """
     spark = labelled.sparkSession
-    items = write_table(labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")), "transactions")
-    empty = "rule long, antecedent array<string>, anchor string, confidence double, lift double, support double"
-    n, bad = items.agg(F.count("*"), F.count_if(F.array_contains("items", BAD))).first()
-    if bad < least:
-        return spark.createDataFrame([], empty)
-    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence).fit(items)
-    alone = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    found = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= lift))
-    found = write_table(found.select(F.xxhash64(F.array_sort("antecedent")).alias("rule"), F.array_sort("antecedent").alias("antecedent"), "confidence", "lift", "support"), "rules")
-    each = found.select("*", F.explode("antecedent").alias("token"))
-    rarest = each.join(alone, "token").groupBy("rule").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"))
-    rules = write_table(found.join(rarest, "rule"), "rules")
+    rows = write_table(labelled.select(F.monotonically_increasing_id().alias("r"), "tokens", "bad"), "labelled")
+    n, bad = rows.agg(F.count("*"), F.count_if("bad")).first()
+    if bad < least:  # no combination can be frequent
+        return spark.createDataFrame([], "antecedent array<string>, anchor string, confidence double, lift double, bad long, total long")
+    usual = bad / n
+    each = rows.select("r", "bad", F.explode("tokens").alias("token"))
+    counted = each.groupBy("token").agg(F.count("*").alias("of_all"), F.count_if("bad").alias("of_bad"))
+    known = write_table(counted.where((F.col("of_bad") >= least) & (F.col("of_bad") >= usual * F.col("of_all"))), "tokens")
+    telling = F.sort_array(F.collect_list(F.struct((-F.col("of_bad") / F.col("of_all")).alias("x"), "token")))
+    items = write_table(each.where("bad").join(known, "token").groupBy("r").agg(F.transform(F.slice(telling, 1, longest), lambda s: s["token"]).alias("items")), "transactions")
+    model = FPGrowth(itemsCol="items", minSupport=least / max(least, items.count())).fit(items)
+    frequent = model.freqItemsets.select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("bad"))
+    # each combination stands under its rarest token, where every labelled URL that may hold it looks it up
+    rarest = frequent.select("*", F.explode("antecedent").alias("token")).join(known, "token").groupBy("antecedent", "bad").agg(F.min(F.struct("of_all", "token"))["token"].alias("anchor"))
+    index = write_table(rarest, "combinations")
+    whole = each.withColumnRenamed("token", "anchor").join(rows.select("r", "tokens"), "r").join(index.select("antecedent", "anchor"), "anchor").where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    totals = whole.groupBy("antecedent").agg(F.count("*").alias("total"))
+    scored = index.join(totals, "antecedent").withColumn("confidence", F.col("bad") / F.col("total")).withColumn("lift", F.col("confidence") / usual)
+    c, rest = F.col("confidence"), 1 - F.col("confidence")
+    # a bound on the chance of so many bad ones: exp(-total * divergence)
+    divergence = c * F.log(c / usual) + F.when(rest > 0, rest * F.log(rest / max(1 - usual, 1e-12))).otherwise(0.0)
+    sure = F.col("total") * divergence >= math.log(max(1, index.count()) / doubt)
+    rules = write_table(scored.where((c >= confidence) & (F.col("lift") >= lift) & sure), "rules")
     # a rule goes if one with a part of its tokens is as confident; that one is found under one of its tokens
     shorter = rules.select(F.col("antecedent").alias("some"), F.col("confidence").alias("sure"), F.col("anchor").alias("token"))
-    longer = rules.select("rule", "antecedent", "confidence", F.explode("antecedent").alias("token"))
-    beaten = longer.join(shorter, "token").where((F.size("some") < F.size("antecedent")) & (F.size(F.array_except("some", "antecedent")) == 0) & (F.col("sure") >= F.col("confidence"))).select("rule").distinct()
-    out = write_table(rules.join(beaten, "rule", "left_anti"), "rules")
-    for table in (items, found, rules):
+    longer = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
+    beaten = longer.join(shorter, "token").where((F.size("some") < F.size("antecedent")) & (F.size(F.array_except("some", "antecedent")) == 0) & (F.col("sure") >= F.col("confidence"))).select("antecedent").distinct()
+    out = write_table(rules.join(beaten, "antecedent", "left_anti").select("antecedent", "anchor", "confidence", "lift", "bad", "total"), "rules")
+    for table in (rows, known, items, index, rules):
         drop_table(table)
     return out
 
