@@ -12,7 +12,10 @@ has the same or a stronger priority.  All of that happens within the row: no
 shuffle, no Python.
 
 Null text counts as empty: no words, no labels, score 0.  Every row is judged by
-itself; an empty table gives an empty result.
+itself, so repeated rows get equal results; an empty table gives an empty result.
+Intervals that start alike are ordered by length, priority and place in the table, so ties have
+one outcome.  Very long texts are scanned whole, in time that grows with their length.  Extra
+columns are not read, so their names may be any.
 """
 
 from __future__ import annotations
@@ -23,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 class Rule(NamedTuple):
     label: str
     priority: int
@@ -103,6 +105,102 @@ NOTICES = [
     Rule("zlib", 1, "warranty", r"this software is provided as is without any express or implied warranty in no event"),
     Rule("boost", 1, "organization", r"permission is hereby granted free of charge to any person or organization"),
     Rule("unlicense", 1, "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    Rule("apache-2.0", 1, "compliance", r"licensed under the apache license version 2 0(?: the license)? you may not use this file except in compliance with the license"),
+    Rule("apache-2.0", 1, "apache", r"you may obtain a copy of the license at https? www apache org licenses license 2 0"),
+    Rule("apache-2.0", 2, "apache", r"(?:https? )?(?:www )?apache org licenses license 2 0(?: txt| html)?"),
+    Rule("apache-2.0", 1, "applicable", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
+    Rule("apache-1.1", 1, "apache", r"this product includes software developed by the apache software foundation"),
+    Rule("mpl-2.0", 1, "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    Rule("mpl-2.0", 1, "mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    Rule("mpl-1.1", 1, "mozilla", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    Rule("mpl-2.0", 2, "mozilla", r"(?:https? )?(?:www )?mozilla org mpl 2 0"),
+    Rule("gpl", 1, "redistribute", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    Rule("gpl", 1, "hope", r"this program is distributed in the hope that it will be useful but without any warranty"),
+    Rule("gpl", 1, "merchantability", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    Rule("gpl", 1, "received", r"you should have received a copy of the gnu general public license along with this program"),
+    Rule("gpl", 2, "gnu", r"(?:https? )?(?:www )?gnu org licenses gpl(?: html| txt)?"),
+    Rule("lgpl", 1, "redistribute", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    Rule("lgpl", 1, "received", r"you should have received a copy of the gnu (?:lesser|library) general public license along with this library"),
+    Rule("lgpl", 1, "merchantability", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu (?:lesser|library) general public license for more details"),
+    Rule("agpl", 1, "received", r"you should have received a copy of the gnu affero general public license along with this program"),
+    Rule("agpl", 1, "remotely", r"all users interacting with it remotely through a computer network"),
+    Rule("gfdl", 1, "documentation", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    Rule("gfdl", 1, "invariant", r"with no invariant sections no front cover texts and no back cover texts"),
+    Rule("mit", 1, "substantial", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    Rule("mit", 1, "restriction", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    Rule("mit", 1, "merchantability", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    Rule("mit", 1, "liable", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    Rule("mit", 2, "opensource", r"opensource org licenses mit(?: license(?: php| html)?)?"),
+    Rule("x11", 1, "consortium", r"except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    Rule("bsd", 1, "redistributions", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    Rule("bsd", 1, "redistributions", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    Rule("bsd-3-clause", 1, "endorse", r"nor the names of (?:its|their|any) contributors may be used to endorse or promote products derived from this software"),
+    Rule("bsd-4-clause", 1, "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    Rule("bsd", 1, "contributors", r"this software is provided by the (?:copyright holders|regents|author|authors) and contributors as is"),
+    Rule("bsd", 1, "liable", r"in no event shall the (?:copyright owner|copyright holders?|regents) or contributors be liable for any direct indirect incidental special exemplary or consequential damages"),
+    Rule("isc", 1, "disclaims", r"the software is provided as is and the author disclaims all warranties with regard to this software"),
+    Rule("hpnd", 1, "fee", r"permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted"),
+    Rule("zlib", 1, "misrepresented", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    Rule("zlib", 1, "altered", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    Rule("zlib", 1, "arising", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    Rule("boost-1.0", 1, "boost", r"boost software license version 1 0(?: august 17th 2003)?"),
+    Rule("boost-1.0", 2, "boost", r"(?:www )?boost org license 1 0 txt"),
+    Rule("unlicense", 1, "compile", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    Rule("unlicense", 2, "unlicense", r"(?:https? )?unlicense org"),
+    Rule("wtfpl", 1, "fuck", r"(?:you just )?do what the fuck you want to(?: public license)?"),
+    Rule("cc0-1.0", 1, "waived", r"has waived all copyright and related or neighboring rights"),
+    Rule("cc0-1.0", 1, "deed", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    Rule("cc0-1.0", 2, "publicdomain", r"creativecommons org publicdomain zero 1 0"),
+    Rule("epl", 1, "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    Rule("cddl", 1, "contents", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    Rule("ofl", 1, "font", r"this font software is licensed under the sil open font license(?: version 1 1)?"),
+    Rule("artistic", 1, "intent", r"the intent of this document is to state the conditions under which a package may be copied"),
+    Rule("python", 1, "licensee", r"psf is making python available to licensee on an as is basis"),
+    Rule("openssl", 1, "openssl", r"this product includes software developed by the openssl project"),
+    Rule("openssl", 1, "cryptographic", r"this product includes cryptographic software written by eric young"),
+    Rule("php", 1, "php", r"this product includes php software freely available from"),
+    Rule("ms-pl", 1, "governs", r"this license governs use of the accompanying software if you use the software you accept this license"),
+    Rule("bsl", 1, "grant", r"additional use grant"),
+    Rule("commons-clause", 1, "commons", r"commons clause(?: license condition)?(?: v?1 0)?"),
+    Rule("elastic-2.0", 1, "elastic", r"elastic license(?: version)?(?: v?2(?: 0)?)?"),
+    Rule("json", 1, "evil", r"the software shall be used for good not evil"),
+    Rule("beerware", 1, "beer", r"you can buy me a beer in return"),
+    Rule("beerware", 2, "beerware", r"beerware(?: licen[sc]e)?"),
+    Rule("zpl", 2, "zope", r"zope public licen[sc]e"),
+    Rule("ftl", 2, "freetype", r"freetype(?: project)? licen[sc]e"),
+    Rule("unicode", 1, "unicode", r"unicode inc license agreement data files and software"),
+    Rule("unicode", 2, "unicode", r"unicode licen[sc]e"),
+    Rule("w3c", 2, "w3c", r"w3c (?:software(?: and document)? notice and )?licen[sc]e"),
+    Rule("apsl", 2, "apple", r"apple public source licen[sc]e"),
+    Rule("npl", 2, "netscape", r"netscape public licen[sc]e"),
+    Rule("ipl", 2, "ibm", r"ibm public licen[sc]e"),
+    Rule("lpl", 2, "lucent", r"lucent public licen[sc]e"),
+    Rule("sun-ppl", 2, "sun", r"sun (?:industry standards source|public) licen[sc]e"),
+    Rule("rpl", 2, "reciprocal", r"reciprocal public licen[sc]e"),
+    Rule("cpal", 2, "attribution", r"common public attribution licen[sc]e"),
+    Rule("ecl", 2, "educational", r"educational community licen[sc]e"),
+    Rule("sleepycat", 2, "sleepycat", r"sleepycat licen[sc]e"),
+    Rule("ruby", 2, "ruby", r"ruby licen[sc]e"),
+    Rule("vim", 2, "vim", r"vim licen[sc]e"),
+    Rule("cecill", 2, "cecill", r"cecill(?: [bc])?(?: 2(?: [01])?)?(?: free software license agreement)?"),
+    Rule("ogl", 2, "government", r"open government licen[sc]e(?: v?[123] 0)?"),
+    Rule("etalab", 2, "ouverte", r"licence ouverte(?: open licence)?"),
+    Rule("mulan-psl", 2, "mulan", r"mulan (?:psl|permissive software license)(?: v2)?"),
+    Rule("blueoak", 2, "oak", r"blue oak model licen[sc]e"),
+    Rule("hippocratic", 2, "hippocratic", r"hippocratic licen[sc]e"),
+    Rule("polyform", 2, "polyform", r"polyform (?:noncommercial|strict|shield|perimeter|small business|internal use|free trial) licen[sc]e"),
+    Rule("openrail", 2, "openrail", r"(?:creativeml |bigscience )?openrail(?: m)?(?: licen[sc]e)?"),
+    Rule("rail", 2, "responsible", r"responsible ai licen[sc]e"),
+    Rule("pddl", 2, "pddl", r"pddl(?: 1 0)?"),
+    Rule("odc-by", 2, "data", r"open data commons attribution licen[sc]e"),
+    Rule("proprietary", 2, "vorbehalten", r"alle rechte vorbehalten"),
+    Rule("proprietary", 2, "derechos", r"todos los derechos reservados"),
+    Rule("proprietary", 2, "droits", r"tous droits reserves"),
+    Rule("proprietary", 1, "redistribution", r"redistribution (?:of this (?:file|software) )?is (?:strictly )?prohibited"),
+    Rule("proprietary", 1, "reproduced", r"no part of this (?:publication|book|document|work) may be reproduced"),
+    Rule("proprietary", 1, "consent", r"without (?:the )?(?:prior|express) written consent of"),
+    Rule("evaluation", 2, "evaluation", r"for evaluation (?:purposes )?only"),
+    Rule("noncommercial", 2, "commercial", r"for non commercial use only"),
     Rule("public-domain", 1, "domain", r"(?:dedicated|released|placed) (?:to|in|into) the public domain"),
     Rule("public-domain", 3, "domain", r"public domain"),
     Rule("cc0-1.0", 1, "cc0", r"cc0(?: 1 0)?(?: universal)?"),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import itertools
+import math
 import re
 import struct
 import zlib
@@ -72,6 +74,7 @@ def licenses_by_hand(text):
 LICENSED = [
     "Released under the MIT License.", "MIT license mit LICENSE, and the Apache License, Version 2.0", "GNU General Public License v3 or later; the GNU Lesser General Public License 2.1", "CC BY-NC-SA 4.0 and Creative Commons Attribution-ShareAlike 3.0 Unported",
     "SPDX-License-Identifier: Apache-2.0", "Permission is hereby granted, free of charge, to any person obtaining a copy", "released into the public domain", "published under the terms of the ISC", "Sie fährt mit der Bahn", "New BSD license; 3-clause BSD", "copyright 2020 2021", "distributed under MIT", "Boost Software 1.0", "academic free license version 2.1",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "Alle Rechte vorbehalten", "The Software shall be used for Good, not Evil.",
 ]
 
 
@@ -438,6 +441,43 @@ def test_url_filters(spark):
     assert url_filters.judge(spark.createDataFrame([], pages.schema), labels).count() == 0
 
 
+def rules_by_hand(labelled, least, confidence, lift, doubt):
+    """Every combination of tokens by counting all of them."""
+    n, bad = len(labelled), sum(b for _, b in labelled)
+    of_all, of_bad = Counter(), Counter()
+    for tokens, b in labelled:
+        for k in range(1, len(tokens) + 1):
+            for some in itertools.combinations(sorted(tokens), k):
+                of_all[some] += 1
+                of_bad[some] += b
+    single = {t for (t, *more), k in of_bad.items() if not more and k >= least and k / of_all[t,] >= bad / n}
+    frequent = [x for x in of_bad if of_bad[x] >= least and set(x) <= single]
+    usual, found = bad / n, {}
+    for x in frequent:
+        c = of_bad[x] / of_all[x]
+        kl = c * math.log(c / usual) + ((1 - c) * math.log((1 - c) / (1 - usual)) if c < 1 else 0)
+        if c >= confidence and c / usual >= lift and of_all[x] * kl >= math.log(len(frequent) / doubt):
+            found[x] = c
+    return {x: c for x, c in found.items() if not any(set(y) < set(x) and found[y] >= c for y in found)}
+
+
+def test_mined_url_rules_against_every_combination(spark):
+    """Two tokens that are bad only together, a bad small host, and noise; verdicts of all URLs follow."""
+    rng = np.random.default_rng(12)
+    urls = [f"http://{h}.site.org/{a}/{b}?{q}=1" for h, a, b, q in zip(rng.choice(["a", "b", "c", "d"], 900), rng.choice(["x", "y", "z"], 900), rng.choice(["u", "v", "w"], 900), rng.choice(["id", "ref"], 900))]
+    urls += [f"http://small.site.org/{b}" for b in rng.choice(["u", "v", "w"], 12)]
+    bad = [int("//a." in u and "/x/" in u and rng.random() < 0.95 or "small" in u or rng.random() < 0.1) for u in urls]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    tokens = [set(r[0]) for r in frame.select(url_filters.tokens(F.col("url")), "page_id").orderBy("page_id").collect()]
+    want = rules_by_hand(list(zip(tokens, bad)), 8, 0.6, 1.5, 0.05)
+    assert ("h:a", "p:x") in want and ("h:small",) in want
+    got = url_filters.mine(frame.join(spark.createDataFrame(list(enumerate(bad)), "page_id long, bad int"), "page_id").select(url_filters.tokens(F.col("url")).alias("tokens"), (F.col("bad") == 1).alias("bad")))
+    assert {tuple(r.antecedent): round(r.confidence, 9) for r in got.collect()} == {x: round(c, 9) for x, c in want.items()}
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    verdicts = {r.page_id: r.verdict for r in url_filters.judge(frame, labels, rules=[]).collect()}
+    assert verdicts == {i: "block" if any(set(x) <= t for x in want) else "allow" for i, t in enumerate(tokens)}
+
+
 # --- 7
 
 
