@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,25 +55,46 @@ def work_dir(spark: SparkSession) -> str:
     return named
 
 
-#: Written tables that lazily read results may still need; ``clear_scratch`` deletes them.
-_scratch: list[str] = []
+class _Run(threading.local):
+    """Written tables that lazily read results may still need; ``clear_scratch`` deletes them.  Each thread of the driver has its own, so runs side by side leave each other's tables alone."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_scratch = _Run()
+_cleaning = threading.Lock()
+_cleaners, _before = 0, "false"
+
+
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """What is shuffled inside is of no use afterwards: Spark removes it at the end of each query instead of at some later collection of garbage."""
+    global _cleaners, _before
+    with _cleaning:
+        if not _cleaners:
+            _before = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _cleaners += 1
+    try:
+        yield
+    finally:
+        with _cleaning:
+            _cleaners -= 1
+            if not _cleaners:
+                spark.conf.set(CLEANUP, _before)
 
 
 def write_table(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
     """Write ``df`` under the shared work folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    # what this write shuffles is of no use after it: Spark removes it at the end instead of at some later collection of garbage
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _shuffles_removed(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.framewright_path = path
     if scratch:
-        _scratch.append(path)
+        _scratch.paths.append(path)
     return out
 
 
@@ -85,13 +108,13 @@ def drop_table(df: DataFrame | None) -> None:
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    if path in _scratch:
-        _scratch.remove(path)
+    if path in _scratch.paths:
+        _scratch.paths.remove(path)
 
 
 def scratch_tables() -> set[str]:
     """Paths of the work tables that exist because a lazily read result may still need them."""
-    return set(_scratch)
+    return set(_scratch.paths)
 
 
 def clear_scratch(spark: SparkSession, paths: set[str]) -> None:

@@ -348,6 +348,20 @@ def test_edit_distance_by_table():
 # --- 5
 
 
+def targets_by_hand(size):
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    want, open_ = {}, set(size)
+    while True:
+        rest = 1.5 * sum(size.values()) - sum(want.values())
+        over = {s for s in open_ if rest * w[s] / sum(w[x] for x in open_) > 2 * size[s]}
+        if not over:
+            break
+        want |= {s: 2.0 * size[s] for s in over}
+        open_ -= over
+    return want | {s: rest * w[s] / sum(w[x] for x in open_) for s in open_}
+
+
 def test_mixing(spark):
     rows = [r for r in many(300) if r[0] % 3] + [(1000, None), (1001, ""), (1001, ""), (1002, "same id"), (1002, "same id"), (None, "no id no source here")] + [(2000 + i, "four words in here") for i in range(0, 900, 3)]
     got = mixing.mix(docs(spark, rows)).collect()
@@ -361,17 +375,7 @@ def test_mixing(spark):
         taken[s] += r.taken
         target[s] = r.target
         assert r.copies in (0, 1, 2) and r.taken == r.copies * r["size"]
-    order = sorted((s for s in size if s is not None)) + [None]
-    w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
-    want, open_ = {}, set(size)
-    while True:
-        rest = 1.5 * sum(size.values()) - sum(want.values())
-        over = {s for s in open_ if rest * w[s] / sum(w[x] for x in open_) > 2 * size[s]}
-        if not over:
-            break
-        want |= {s: 2.0 * size[s] for s in over}
-        open_ -= over
-    want |= {s: rest * w[s] / sum(w[x] for x in open_) for s in open_}
+    want = targets_by_hand(size)
     for s in size:
         assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - want[s]) <= 0.5
     again = {(r.doc_id, r.copies) for r in mixing.mix(docs(spark, rows).repartition(7)).collect() if r.doc_id not in (1001, 1002)}
@@ -704,6 +708,30 @@ def test_pipeline(spark, data):
         out = stage(spark, docs_, data).cache()
         if name != "token_ids":
             assert out.columns == source.columns
+        if name == "quality_rules":
+            judged = {r.doc_id: r for r in quality_rules.judge(before, spark.read.parquet(f"{data}/labels.parquet")).collect()}
+            kept = {r.doc_id for r in out.collect()}
+            for r in before.collect():
+                (n, *_, repeated) = counts_by_hand(r.text)
+                assert (r.doc_id in kept) == (n >= 50 and 100 * repeated <= 50 * n and judged[r.doc_id].rule == 0)
+        if name == "benchmark_decontamination":
+            items = [decontaminate.normalize(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+            kept = {r.doc_id for r in out.collect()}
+            for r in before.collect():
+                text = decontaminate.normalize(r.text)
+                exact = any(x in text for x in items)
+                assert not (exact and r.doc_id in kept)
+                assert exact or r.doc_id in kept or any(decontaminate.best_match(x, text, len(x) // decontaminate.PER) for x in items)
+        if name == "source_mixing":
+            words = lambda t: len(WORD.findall(t or ""))
+            size, taken = Counter(), Counter()
+            for r in before.collect():
+                size[r.source] += words(r.text)
+            for r in out.collect():
+                taken[r.source] += words(r.text)
+            target, longest = targets_by_hand(size), max(words(r.text) for r in before.collect())
+            assert all(abs(taken[s] - target[s]) <= longest / 2 for s in size)
+            assert max(Counter(r.doc_id for r in out.collect()).values()) <= 2
         if name == "minhash_near_duplicates":
             rows = [(r.doc_id, r.text) for r in before.collect()]
             assert {r.doc_id for r in out.collect()} == {i for i, (_, _, k) in components_by_hand(rows).items() if k}
@@ -720,6 +748,25 @@ def test_pipeline(spark, data):
     assert Counter(map(tuple, corpus_pipeline.run(spark, data).collect())) == ids
 
 
+def test_pipeline_on_odd_rows(spark, data):
+    """Nulls, empty and long texts, ties, repeated rows, no rows, extra columns with clashing names."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(15)
+    good = lambda k: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(k))
+    long, same = good(30_000), good(80)
+    rows = [*ODD, (20, long), (21, same), (21, same), (22, same), (None, good(70)), (23, good(60)), (23, good(61))]
+    for given in (rows, []):
+        out = docs(spark, given)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, out, data).cache()
+            out.count()
+            if name == "minhash_near_duplicates" and given:
+                # the two equal rows share the smallest id of their texts, so they stay or go together
+                assert Counter(r.doc_id for r in out.collect()) == {20: 1, 21: 2, None: 1, 23: 2}
+        assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and (out.count() > 0) == bool(given)
+
+
 def test_schemas_keep_extra_columns(spark):
     df = docs(spark, [(1, "a b c d e f")]).withColumn("rep", F.lit(1))
     assert minhash.drop_copies(df).columns == df.columns
