@@ -4,7 +4,12 @@ Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; all but the last return the columns of ``documents``.  ``run`` applies
 them in order, with each result written to the shared work folder and read
 again.  A stage first deletes the work tables of the one before, whose result is
-written by then.  No stage is expressible in SQL as a whole (a learned list, link
+written by then; stages of one run are called by one thread, and other threads'
+tables are left alone.
+
+Nulls, empty and very long texts, ties and repeated rows are handled as each stage's
+operator states.  An empty table gives an empty result, extra columns
+pass through every stage but the last, under any name.  No stage is expressible in SQL as a whole (a learned list, link
 components, edit distances, a seeded knapsack, a tokenizer), so the pipeline
 is tested against brute force.
 """
@@ -12,6 +17,7 @@ is tested against brute force.
 from __future__ import annotations
 
 import functools
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,7 +45,14 @@ def binary_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_ids.token_ids(docs)
 
 
-_work: set[str] = set()
+class _Work(threading.local):
+    """Work tables of the stage that this thread of the driver called last."""
+
+    def __init__(self):
+        self.paths: set[str] = set()
+
+
+_work = _Work()
 
 
 def _tidy(stage):
@@ -47,11 +60,10 @@ def _tidy(stage):
 
     @functools.wraps(stage)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        clear_scratch(spark, _work)
+        clear_scratch(spark, _work.paths)
         before = scratch_tables()
         out = stage(spark, docs, sf_dir)
-        _work.clear()
-        _work.update(scratch_tables() - before)
+        _work.paths = scratch_tables() - before
         return out
 
     return call
