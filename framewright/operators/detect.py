@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.functions.tensor import best_class
+from framewright.functions.tensor import best_class, elements
+from framewright.session import written
 
 
-def valid_tensor(shape: Column) -> Column:
+def valid_tensor(shape: Column, data: Column) -> Column:
     """An error text unless the tensor has three dimensions and as many elements as they say."""
-    return F.when(F.size(shape) != 3, "expected three dimensions")
+    return F.when(F.size(shape) != 3, "expected three dimensions").when(elements(shape) != F.size(data), "shape and data differ in size")
 
 
 def anchors(df: DataFrame, data: str, attributes: int, count: int) -> DataFrame:
@@ -74,24 +75,44 @@ def suppress(boxes: Column, threshold: float = 0.45) -> Column:
     return F.aggregate(boxes, none, step)
 
 
-def ordered(score: str, ties: list[str], box: list[str]) -> Column:
-    """A struct that sorts by score, largest first, then by the tie columns; for ``sort_array(collect_list(...))``."""
-    return F.struct((-F.col(score)).alias("neg"), *ties, *box)
-
-
-def suppress_groups(df: DataFrame, group: str, ties: list[str], threshold: float = 0.45) -> DataFrame:
-    """The rows (group, score, ties, x, y, w, h) that stay, where boxes of a group come from several rows."""
-    packed = F.sort_array(F.collect_list(ordered("score", ties, ["x", "y", "w", "h"])))
-    kept = df.groupBy(group).agg(packed.alias("boxes")).select(group, F.explode(suppress(F.col("boxes"), threshold)).alias("b"))
-    return kept.select(group, *[f"b.{t}" for t in ties], (-F.col("b.neg")).alias("score"), "b.x", "b.y", "b.w", "b.h")
-
-
-def overlapping_pairs(df: DataFrame, group: str, key: str, threshold: float) -> DataFrame:
-    """Pairs of a group's boxes that overlap above the threshold, each once: an equi-join on the group."""
-    box = F.struct("x", "y", "w", "h")
-    left, right = (df.select(F.col(group), F.col(key).alias(f"{n}_{key}"), box.alias(n)) for n in ("a", "b"))
-    both = left.join(right, group).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
-    return both.where(overlaps(F.col("a"), F.col("b"), threshold)).select(group, f"a_{key}", f"b_{key}", intersection(F.col("a"), F.col("b")).alias("intersection"), union(F.col("a"), F.col("b")).alias("union_area"))
+def overlapping_pairs(df: DataFrame, group: str, key: str, threshold: float, cell: int = 256) -> DataFrame:
+    """Pairs of a group's boxes that overlap above the threshold, each once: an equi-join on the group and the cells of a grid.
+
+    A pair is found in the cell that holds the first corner of what the boxes share.  Boxes without area overlap
+    each other wholly wherever they are.
+    """
+    area = F.col("w") * F.col("h") > 0
+    along = lambda p, n: F.explode(F.sequence(F.floor(F.col(p) / cell), F.floor((F.col(p) + F.col(n) - 1) / cell)))
+    celled = df.where(area).withColumn("i", along("x", "w")).withColumn("j", along("y", "h"))
+    side = lambda rows, n, *more: rows.select(F.col(group), F.col(key).alias(f"{n}_{key}"), F.struct("x", "y", "w", "h").alias(n), *more)
+    first = lambda p, i: F.floor(F.greatest(F.col(f"a.{p}"), F.col(f"b.{p}")) / cell) == F.col(i)
+    both = side(celled, "a", "i", "j").join(side(celled, "b", "i", "j"), [group, "i", "j"]).where(first("x", "i") & first("y", "j"))
+    flat = side(df.where(~area), "a").join(side(df.where(~area), "b"), group)
+    pairs = both.drop("i", "j").unionByName(flat).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
+    return pairs.where(overlaps(F.col("a"), F.col("b"), threshold)).select(group, f"a_{key}", f"b_{key}", intersection(F.col("a"), F.col("b")).alias("intersection"), union(F.col("a"), F.col("b")).alias("union_area"))
+
+
+def suppress_groups(df: DataFrame, group: str, ties: list[str], threshold: float = 0.45, cell: int = 256) -> DataFrame:
+    """The rows (group, score, ties, x, y, w, h) that stay, where boxes of a group come from several rows.
+
+    Exactly what going through a group box by box gives, without bringing the group together: only pairs
+    of overlapping boxes are looked at.  In each round the boxes that no better one overlaps any more stay, and what
+    they overlap goes; ``ties`` tell the boxes of a group apart.
+    """
+    rows = df.select(group, *ties, "score", "x", "y", "w", "h").withColumn("rank", F.struct((-F.col("score")).alias("neg"), *ties))
+    area = F.col("w") * F.col("h") > 0
+    pairs = overlapping_pairs(rows.where(area), group, "rank", threshold, cell).select(group, F.col("a_rank").alias("better"), F.col("b_rank").alias("worse"))
+    left = written(pairs, "pairs")
+    # of the boxes without area, which all overlap each other, the best one stays
+    flat = rows.where(~area)
+    gone = flat.join(flat.groupBy(group).agg(F.min("rank").alias("best")), group).where((F.col("rank") > F.col("best")) & (F.lit(threshold) < 1)).select(group, "rank")
+    while not left.isEmpty():
+        heads = left.select(group, F.col("better").alias("rank")).distinct().join(left.select(group, F.col("worse").alias("rank")).distinct(), [group, "rank"], "left_anti")
+        lost = written(left.join(heads.withColumnRenamed("rank", "better"), [group, "better"], "left_semi").select(group, F.col("worse").alias("rank")).distinct(), "lost")
+        gone = gone.unionByName(lost)
+        rest = left.join(lost.withColumnRenamed("rank", "worse"), [group, "worse"], "left_anti")
+        left = written(rest.join(lost.withColumnRenamed("rank", "better"), [group, "better"], "left_anti"), "pairs")
+    return rows.join(gone, [group, "rank"], "left_anti").select(group, *ties, "score", "x", "y", "w", "h")
 
 
 def clamp_count(n: Column, most: int) -> Column:

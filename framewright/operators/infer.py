@@ -2,7 +2,7 @@
 
 A backend turns an array [n, ...] into arrays by output name.  Each Python
 worker opens its session once.  A batch that fails gives every row of it an
-error text instead of a result; other batches go on.
+error text instead of a result; other batches go on.  Rows without data are not fed.
 """
 
 from __future__ import annotations
@@ -70,24 +70,35 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def infer(df: DataFrame, key: str, data: str, shape: tuple[int, ...], model: bytes, output: str, batch: int = 64, options: dict | None = None, backend: str = "onnxruntime") -> DataFrame:
-    """(key, output: array<float>, error) for each row; ``data`` holds one item's elements in row-major order."""
+def infer(
+    df: DataFrame, key: str, data: str, shape: tuple[int, ...], model: bytes, output: str, batch: int = 64, options: dict | None = None, backend: str = "onnxruntime", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(key, output: array<float>, error, and the columns to keep) for each row; ``data`` holds one item's elements in row-major order.
+
+    A row without data has no output and keeps the ``error`` that it came with.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kind = df.schema[key].dataType.simpleString()
+    kinds = dict(df.dtypes)
+    kept = "".join(f", {c} {kinds[c]}" for c in keep)
 
     def run(batches):
         session = open_backend(backend, shared.value, options)
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
-                n = part.num_rows
+                there = part.column(1).is_valid().to_numpy(zero_copy_only=False)
+                n, error = int(there.sum()), part.column(2)
+                result = pa.nulls(part.num_rows, pa.list_(pa.float32()))
                 try:
-                    flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
-                    got = session.infer(flat.reshape(n, *shape))[output].reshape(n, -1)
-                    result = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * got.shape[1]), pa.array(got.reshape(-1).astype(np.float32)))
-                    error = pa.nulls(n, pa.string())
+                    if n:
+                        flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+                        got = session.infer(flat.reshape(n, *shape))[output].reshape(n, -1)
+                        offsets = np.concatenate(([0], np.cumsum(there))) * got.shape[1]
+                        result = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(got.reshape(-1).astype(np.float32)), mask=pa.array(~there))
                 except Exception as e:  # noqa: BLE001  the rows of this batch carry it
-                    result, error = pa.nulls(n, pa.list_(pa.float32())), pa.array([f"{type(e).__name__}: {e}"[:500]] * n, pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), result, error], names=[key, output, "error"])
+                    text = f"{type(e).__name__}: {e}"[:500]
+                    error = pa.array([text if x else y for x, y in zip(there.tolist(), error.to_pylist())], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), result, error, *(part.column(3 + k) for k in range(len(keep)))], names=[key, output, "error", *keep])
 
-    return df.select(key, F.col(data).cast("array<float>").alias("d")).mapInArrow(run, f"{key} {kind}, {output} array<float>, error string")
+    before = F.col("error") if "error" in df.columns else F.lit(None).cast("string").alias("error")
+    return df.select(key, F.col(data).cast("array<float>").alias("_data"), before, *keep).mapInArrow(run, f"{key} {kinds[key]}, {output} array<float>, error string{kept}")

@@ -129,14 +129,16 @@ def preprocess(df: DataFrame, key: str, image: str, fit: Callable[[np.ndarray],
 
 
 def restore(df: DataFrame, key: str, planes: str, height: int, width: int) -> DataFrame:
-    """(key, height, width, data) from restored planes and their padding columns."""
+    """(key, height, width, data, error) from restored planes and their padding columns; a row without planes has only its error."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            out = []
-            for p, left, top, w, h in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
-                out.append(None if p is None else from_planes(np.array(p, np.float32).reshape(3, height, width), left, top, w, h).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), batch.column(4), pa.array(out, pa.binary())], names=[key, "height", "width", "data"])
-
-    return df.select(key, planes, "pad_left", "pad_top", "orig_w", "orig_h").mapInArrow(run, f"{key} {kind}, height int, width int, data binary")
+            rows = [
+                (None, None, None) if p is None else (h, w, from_planes(np.array(p, np.float32).reshape(3, height, width), left, top, w, h).tobytes())
+                for p, left, top, w, h in zip(*(batch.column(i).to_pylist() for i in range(1, 6)))
+            ]
+            c = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), batch.column(6)], names=[key, "height", "width", "data", "error"])
+
+    return df.select(key, planes, "pad_left", "pad_top", "orig_w", "orig_h", "error").mapInArrow(run, f"{key} {kind}, height int, width int, data binary, error string")

@@ -40,10 +40,9 @@ class Runner:
         return (3, *self.config.shape)
 
     def infer(self, rows: DataFrame) -> DataFrame:
-        """Adds the model's output; rows that failed before or in the model carry an ``error``."""
-        good = rows.where(F.col("error").isNull())
-        got = infer(good, self.key, "data", self.input_shape(), self.model, self.output, self.config.batch, self.config.session_options)
-        return rows.drop("data").withColumnRenamed("error", "_before").join(got, self.key, "left").withColumn("error", F.coalesce("_before", "error")).drop("_before")
+        """The model's output in place of ``data``, in one pass; rows that failed before or in the model carry an ``error``."""
+        keep = tuple(c for c in rows.columns if c not in (self.key, "data", "error"))
+        return infer(rows, self.key, "data", self.input_shape(), self.model, self.output, self.config.batch, self.config.session_options, keep=keep)
 
     def run(self, images: DataFrame) -> DataFrame:
         return self.postprocess(self.infer(self.preprocess(images)))
@@ -108,6 +107,4 @@ class Restorer(Runner):
     def postprocess(self, rows: DataFrame) -> DataFrame:
         """(key, height, width, data, error): the image cut out of its padding, in BGR."""
         h, w = self.config.shape
-        good = rows.where(F.col("error").isNull())
-        restored = pixels.restore(good, self.key, self.output, h, w)
-        return rows.select(self.key, "error").join(restored, self.key, "left")
+        return pixels.restore(rows, self.key, self.output, h, w)

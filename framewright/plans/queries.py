@@ -6,18 +6,17 @@ image sizes, ``events`` are a stream of requests with a latency and a mode.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.config import BenchmarkConfig, Override, benchmark_config
+from framewright.config import BenchmarkConfig, ModelConfig, Override, benchmark_config
 from framewright.functions import geometry, tensor
-from framewright.operators import detect, infer, metrics, pixels
+from framewright.operators import detect, infer, metrics, pixels, runners
+from framewright.session import work_folder
 from framewright.sources import images, onnx_models, reports
-from framewright.streaming import schedule
+from framewright.streaming import batcher, schedule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -360,47 +359,72 @@ def prj7_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("vec_id", F.transform("data", lambda v: F.round(v.cast("double"), 5)).alias("planes"))
 
 
+#: (vec_id, c, y, x, v): the pictures enlarged to 8 x 8, with half-pixel centres and clamped edges; c counts channels from red.
+ENLARGED = f"""(
+  select vec_id, c, y, x, floor((p[(y0 * 4 + x0) * 3 + 3 - c] * (1 - fx) + p[(y0 * 4 + x1) * 3 + 3 - c] * fx) * (1 - fy) + (p[(y1 * 4 + x0) * 3 + 3 - c] * (1 - fx) + p[(y1 * 4 + x1) * 3 + 3 - c] * fx) * fy + 0.5)::int as v
+  from {PICTURES}, (
+    select c, y, x, floor(ay)::int as y0, least(3, floor(ay)::int + 1) as y1, ay - floor(ay) as fy, floor(ax)::int as x0, least(3, floor(ax)::int + 1) as x1, ax - floor(ax) as fx
+    from (select c, y, x, least(3, greatest(0, (y + 0.5) * 0.5 - 0.5)) as ay, least(3, greatest(0, (x + 0.5) * 0.5 - 0.5)) as ax from unnest(range(3)) a(c), unnest(range(8)) b(y), unnest(range(8)) d(x)))
+)"""
+
+
 @query(f"""
-select vec_id, [round(p[((j % 64) // 8 // 2 * 4 + (j % 64) % 8 // 2) * 3 + 2 - j // 64 + 1] / 255.0::double, 5) for j in range(192) if (j % 64) // 8 in (0, 7) and (j % 64) % 8 in (0, 7)] as corners from {PICTURES}
+select g.vec_id, list(coalesce(v, 114)::int order by g.c, g.y, g.x) as planes
+from (select vec_id, c, y, x from embeddings, unnest(range(3)) a(c), unnest(range(8)) b(y), unnest(range(12)) d(x)) g
+left join {ENLARGED} e on e.vec_id = g.vec_id and e.c = g.c and e.y = g.y and e.x = g.x - 2 group by g.vec_id
 """)
 def prj2_letterbox_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enlarged to 8 x 8; the corners of a bilinear enlargement are the corners of the image."""
-    got = pixels.preprocess(picture_images(spark, sf_dir), "vec_id", "image", lambda x: pixels.letterbox(x, 8, 8, auto=False))
-    corner = [c * 64 + y * 8 + x for c in range(3) for y in (0, 7) for x in (0, 7)]
-    return got.select("vec_id", F.array(*[F.round(F.col("data")[i].cast("double"), 5) for i in corner]).alias("corners"))
+    """Enlarged by bilinear interpolation into a wider box, padded left and right: every value of all three planes."""
+    got = pixels.preprocess(picture_images(spark, sf_dir), "vec_id", "image", lambda x: pixels.letterbox(x, 12, 8, auto=False))
+    return got.select("vec_id", F.transform("data", lambda v: F.round(v * 255).cast("int")).alias("planes"))
 
 
 @query(f"select vec_id, 4 as height, 4 as width, p as pixels from {PICTURES}")
 def restore_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Padded, through an identity model, clamped, cut out again: the picture itself."""
-    from framewright.config import ModelConfig
-    from framewright.operators.runners import Restorer
-
-    runner = Restorer(ModelConfig("identity", shape=(8, 8), batch=64), onnx_models.identity([3, 8, 8]), "y", "vec_id")
+    runner = runners.Restorer(ModelConfig("identity", shape=(8, 8), batch=64), onnx_models.identity([3, 8, 8]), "y", "vec_id")
     got = runner.run(picture_images(spark, sf_dir))
     byte = lambda i: F.conv(F.substring(F.hex("data"), 2 * i + 1, 2), 16, 10).cast("int")
     return got.select("vec_id", "height", "width", F.array(*[byte(i) for i in range(48)]).alias("pixels"))
 
 
-WEIGHTS = [[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(4)] for i in range(64)]
-LOGITS = f"(select vec_id, [list_sum([e[i + 1] * (((i * 7 + j * 3) % 11 - 5) / 10.0::double) for i in range(64)]) for j in range(4)] as logits from {VECTORS})"
+#: Weights in eighths and inputs in 256ths: the model's 32-bit sums are exact.
+WEIGHTS = [[((i * 7 + j * 3) % 11 - 5) / 8 for j in range(4)] for i in range(64)]
+LOGITS = f"(select vec_id, [list_sum([floor(e[i + 1] * 256) / 256 * (((i * 7 + j * 3) % 11 - 5) / 8.0::double) for i in range(64)]) for j in range(4)] as logits from {VECTORS})"
 
 
 def logits(spark: SparkSession, sf_dir: str, batch: int = 64) -> DataFrame:
-    return infer.infer(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", (64,), onnx_models.linear(WEIGHTS), "logits", batch)
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: (F.floor(v * 256) / 256).cast("float")).alias("x"))
+    return infer.infer(rows, "vec_id", "x", (64,), onnx_models.linear(WEIGHTS), "logits", batch)
 
 
-#: The model works in 32 bits: two decimals are the same on both sides.
-@query(f"select vec_id, [round(x, 2) for x in logits] as logits, null::varchar as error from {LOGITS}")
+@query(f"select vec_id, logits[1] + 0.0 as logit_0, logits[2] + 0.0 as logit_1, logits[3] + 0.0 as logit_2, logits[4] + 0.0 as logit_3, null::varchar as error from {LOGITS}")
 def udf6_linear_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logits(spark, sf_dir).select("vec_id", F.transform("logits", lambda x: F.round(x.cast("double"), 2)).alias("logits"), "error")
+    """Every logit to its last bit; a negative zero is a zero."""
+    return logits(spark, sf_dir).select("vec_id", *[(F.col("logits")[j].cast("double") + 0.0).alias(f"logit_{j}") for j in range(4)], "error")
 
 
 @query(f"select vec_id, (list_position(logits, list_max(logits)) - 1)::int as class_id, {LABELS}[list_position(logits, list_max(logits))] as label from {LOGITS}")
 def classify_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors through a model to labels."""
     return detect.with_label(logits(spark, sf_dir).select("vec_id", tensor.argmax(F.col("logits")).alias("class_id")), LABELS)
 
 
+PLANE_WEIGHTS = [[((n * 7 + j * 3) % 11 - 5) / 10 for j in range(4)] for n in range(147)]
+
+
+@query(f"""
+with m as (select [{", ".join(map(str, runners.MEAN))}] as mean, [{", ".join(map(str, runners.STD))}] as std),
+v as (select vec_id, c * 49 + y * 7 + x as n, (v / 255.0::double - mean[c + 1]) / std[c + 1] as v from {ENLARGED}, m where y < 7 and x < 7),
+l as (select vec_id, j, sum(v * (((n * 7 + j * 3) % 11 - 5) / 10.0::double)) as logit from v, unnest(range(4)) u(j) group by vec_id, j)
+select vec_id, arg_max(j, logit)::int as class_id, {LABELS}[arg_max(j, logit) + 1] as label, null::varchar as error from l group by vec_id
+""")
+def classify_images_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures to labels: resized to the shorter side, cropped, standardized planes, a model, the best class."""
+    runner = runners.Classifier(ModelConfig("linear", shape=(7, 7), classes=tuple(LABELS), batch=64), onnx_models.linear_over_planes(PLANE_WEIGHTS, [3, 7, 7]), "y", "vec_id")
+    return runner.run(picture_images(spark, sf_dir)).select("vec_id", "class_id", "label", "error")
+
+
 @query(f"select count(*) as n, count(*) filter (list_max(logits) > 0) as positive from {LOGITS}")
 def str5_batch_size_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model in batches of 8 and of 64 gives the same rows."""
@@ -438,11 +462,13 @@ def flt2_degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded(spark, sf_dir).where(~geometry.degenerate(F.col("b"))).select("vec_id", "i")
 
 
-@query("select vec_id, case when vec_id % 4 <> 0 then 'expected three dimensions' end as error, case when vec_id % 4 = 0 then 64 end::bigint as value from embeddings")
+@query("select vec_id, case when vec_id % 4 <> 0 then 'expected three dimensions' when vec_id % 8 <> 0 then 'shape and data differ in size' end as error, case when vec_id % 8 = 0 then 64 end::bigint as value from embeddings")
 def flt3_tensor_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape = F.when(F.col("vec_id") % 4 == 0, F.array(F.lit(1), F.lit(8), F.lit(8))).otherwise(F.array(F.lit(8), F.lit(8)))
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", shape.alias("shape"))
-    return schedule.guarded(rows, tensor.elements(F.col("shape")), detect.valid_tensor(F.col("shape"))).select("vec_id", "error", "value")
+    """Two dimensions, or three of the wrong size, are errors."""
+    wide = F.array(F.lit(1), F.lit(8), F.when(F.col("vec_id") % 8 == 0, 8).otherwise(7))
+    shape = F.when(F.col("vec_id") % 4 == 0, wide).otherwise(F.array(F.lit(8), F.lit(8)))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", shape.alias("shape"), "embedding")
+    return schedule.guarded(rows, tensor.elements(F.col("shape")), detect.valid_tensor(F.col("shape"), F.col("embedding"))).select("vec_id", "error", "value")
 
 
 @query(f"""
@@ -519,17 +545,20 @@ select image, b.v as vec_id, b.i as i, round(b.s, 6) as score, b.x as x, b.y as
 
 @query(NMS_SQL)
 def win1_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy suppression for each image, largest score first, without regard to classes."""
+    """Greedy suppression for each image, largest score first, without regard to classes; boxes come from many rows."""
     return detect.suppress_groups(rects(spark, sf_dir), "image", ["vec_id", "i"], NMS).withColumn("score", F.round("score", 6))
 
 
 BOXES32 = f"""(
   select vec_id, i, score, class_id, cx::float::double as cx, cy::float::double as cy, w::float::double as w, h::float::double as h from {BOXES}
 )"""
-DETECT_SQL = f"""
+def detect_sql(anchors: str, conf: float, side: float, scale: float) -> str:
+    """From anchors (vec_id, i, score, class_id, cx, cy, w, h) of a square image to boxes that stay."""
+    corner = lambda c, half, of: f"greatest(0.0, least({side}, ({c} {half} * {of}) / {scale}))"
+    return f"""
 with recursive c as (
-  select vec_id, i, score, class_id, greatest(0.0, least(640.0, cx - 0.5 * w)) as x1, greatest(0.0, least(640.0, cy - 0.5 * h)) as y1, greatest(0.0, least(640.0, cx + 0.5 * w)) as x2, greatest(0.0, least(640.0, cy + 0.5 * h)) as y2
-  from {BOXES32} where score > {CONF}
+  select vec_id, i, score, class_id, {corner("cx", "- 0.5", "w")} as x1, {corner("cy", "- 0.5", "h")} as y1, {corner("cx", "+ 0.5", "w")} as x2, {corner("cy", "+ 0.5", "h")} as y2
+  from {anchors} where score > {conf}
 ), q as (
   select vec_id, i, score, class_id, round(x1)::bigint as x, round(y1)::bigint as y, round(x2 - x1)::bigint as w, round(y2 - y1)::bigint as h from c where x2 > x1 and y2 > y1
 ), sorted as (
@@ -547,20 +576,40 @@ select vec_id, b.x::int as x, b.y::int as y, b.w::int as w, b.h::int as h, round
 """
 
 
-@query(DETECT_SQL)
+@query(detect_sql(BOXES32, CONF, 640.0, 1.0))
 def detect_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw output tensors to labelled boxes within each row: decoding, filters and suppression without a shuffle."""
-    from framewright.config import ModelConfig
-    from framewright.operators.runners import Detector
-
     part = lambda a, f: F.transform(F.slice("e", 8 * a + 1, 8), f)
     centre, side = (lambda v: 320 + 640 * v), (lambda v: F.abs(v) * 1200)
     raw = F.concat(part(0, centre), part(1, centre), part(2, side), part(3, side), F.slice("e", 33, 32))
     fixed = {"scale": 1.0, "pad_left": 0, "pad_top": 0, "orig_w": 640, "orig_h": 640}
     rows = vectors(spark, sf_dir).select("vec_id", raw.cast("array<float>").alias("y"), *[F.lit(v).alias(n) for n, v in fixed.items()], F.lit(None).cast("string").alias("error"))
-    runner = Detector(ModelConfig("raw", classes=tuple(LABELS), conf=CONF, nms=NMS), b"", "y", "vec_id")
-    found = runner.postprocess(rows).select("vec_id", F.explode("detections").alias("d")).select("vec_id", "d.*")
-    return found.withColumn("score", F.round(F.col("score").cast("double"), 4))
+    runner = runners.Detector(ModelConfig("raw", classes=tuple(LABELS), conf=CONF, nms=NMS), b"", "y", "vec_id")
+    return labelled_boxes(runner.postprocess(rows))
+
+
+def labelled_boxes(found: DataFrame) -> DataFrame:
+    each = found.select("vec_id", F.explode("detections").alias("d")).select("vec_id", "d.*")
+    return each.withColumn("score", F.round(F.col("score").cast("double"), 4))
+
+
+#: Which values of the picture a model output adds up, and by what it divides them: powers of two, so that 32 bits are exact.
+OF_FIRST, OF_SECOND = (lambda k: k * 5 % 192), (lambda k: (k * 11 + 3) % 192)
+BOX_WEIGHTS = [[(int(OF_FIRST(k) == n) / (64 if k < 32 else 256)) + int(k < 32 and OF_SECOND(k) == n) / 64 for k in range(64)] for n in range(192)]
+IMAGE_BOXES = f"""(
+  select vec_id, i, list_max(s) as score, (list_position(s, list_max(s)) - 1)::int as class_id, y[i + 1] as cx, y[8 + i + 1] as cy, y[16 + i + 1] as w, y[24 + i + 1] as h from (
+    select vec_id, y, i::int as i, [y[(4 + c) * 8 + i + 1] for c in range(4)] as s from (
+      select vec_id, [case when k < 32 then (f[k * 5 % 192 + 1] + f[(k * 11 + 3) % 192 + 1]) / 64.0::double else f[k * 5 % 192 + 1] / 256.0::double end for k in range(64)] as y
+      from (select vec_id, list(v order by c, y, x) as f from {ENLARGED} group by vec_id)), unnest(range(8)) as u(i))
+)"""
+
+
+@query(detect_sql(IMAGE_BOXES, 0.5, 4.0, 2.0))
+def detect_images_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures to labelled boxes: letterbox, planes, a model, decoding, filters and suppression, each request in its row."""
+    config = ModelConfig("boxes", shape=(8, 8), classes=tuple(LABELS), conf=0.5, nms=NMS, auto_aspect_ratio=False, batch=64)
+    runner = runners.Detector(config, onnx_models.linear_over_planes(BOX_WEIGHTS, [3, 8, 8], whole=True), "y", "vec_id")
+    return labelled_boxes(runner.run(picture_images(spark, sf_dir)))
 
 
 @query(f"""
@@ -616,13 +665,10 @@ def agg5_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select mode, count(*) as n, round(avg(latency_ms), 6) as latency_avg_ms from {SAMPLES} group by mode")
 def agg6_clients_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of four clients, one after the other, as one set."""
-    s = samples(spark, sf_dir)
-    parts = [s.where(F.col("user_id") % 4 == c).select("mode", "latency_ms") for c in range(4)]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.groupBy("mode").agg(F.count("*").alias("n"), F.round(F.avg("latency_ms"), 6).alias("latency_avg_ms"))
+    """Samples of four clients as one set: the client is a column, so one scan reads them all."""
+    client = F.pmod("user_id", F.lit(4))
+    merged = samples(spark, sf_dir).withColumn("client", client).where(F.col("client").isNotNull())
+    return merged.groupBy("mode").agg(F.count("*").alias("n"), F.round(F.avg("latency_ms"), 6).alias("latency_avg_ms"))
 
 
 MODES = ["click", "none"]
@@ -688,7 +734,7 @@ def jn4_override_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jn5_request_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results meet their requests by id, whatever order batches finish in."""
     s = samples(spark, sf_dir)
-    results = s.select(F.col("event_id").alias("request_id"), "latency_ms").repartition("latency_ms")
+    results = s.select(F.col("event_id").alias("request_id"), "latency_ms")
     return s.select(F.col("event_id").alias("request_id"), "mode").join(results, "request_id")
 
 
@@ -701,9 +747,9 @@ def set1_union_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select client_id, count(*) as n from (select 0 as client_id, * from {SAMPLES} where user_id % 2 = 0 union all select 1, * from {SAMPLES} where user_id % 2 = 1) group by client_id")
 def set2_union_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = samples(spark, sf_dir)
-    parts = [s.where(F.col("user_id") % 2 == c).withColumn("client_id", F.lit(c)) for c in (0, 1)]
-    return parts[0].union(parts[1]).groupBy("client_id").agg(F.count("*").alias("n"))
+    """The union of two clients' samples: one scan that names the client."""
+    client = F.pmod("user_id", F.lit(2)).cast("int")
+    return samples(spark, sf_dir).select(client.alias("client_id")).where(F.col("client_id").isin(0, 1)).groupBy("client_id").agg(F.count("*").alias("n"))
 
 
 @query(f"select distinct mode from {SAMPLES}")
@@ -787,9 +833,7 @@ def str3_async(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder under the shared one that the session names, or a local one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/stream-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='framewright-')}"
+    return work_folder(spark, "stream")
 
 
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -821,6 +865,31 @@ def str4_stream_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.where("b.batches > 0").groupBy("b.requests").agg(F.sum("b.batches").cast("bigint").alias("batches"))
 
 
+BATCHER_SQL = """
+with recursive r as (
+  select event_id, user_id % 16 as shard, epoch_ms(ts) as ms, row_number() over (partition by user_id % 16 order by ts, event_id) as n from events
+), ends as (
+  select r.shard, r.n, r.ms + 600000 as deadline, (select min(q.n) from r q where q.shard = r.shard and q.ms >= r.ms + 600000) as due, (select max(q.n) from r q where q.shard = r.shard) as last from r
+), b(shard, batch_no, first, next, is_full, closed) as (
+  select shard, 0::bigint, n, least(n + 8, coalesce(due, last + 1)), n + 8 <= coalesce(due, last + 1), n + 8 <= coalesce(due, last + 1) or due is not null or deadline < (select max(ms) from r) from ends where n = 1
+  union all
+  select e.shard, b.batch_no + 1, e.n, least(e.n + 8, coalesce(e.due, e.last + 1)), e.n + 8 <= coalesce(e.due, e.last + 1), e.n + 8 <= coalesce(e.due, e.last + 1) or e.due is not null or e.deadline < (select max(ms) from r)
+  from b join ends e on e.shard = b.shard and e.n = b.next
+)
+select r.event_id as request_id, b.shard::int as shard, b.batch_no, (r.n - b.first)::int as slot, b.is_full as full from b join r on r.shard = b.shard and r.n >= b.first and r.n < b.next where b.closed
+"""
+
+
+@query(BATCHER_SQL)
+def str4_count_or_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of eight, or of what came within ten minutes, for each of sixteen queues: numbers and slots of every request."""
+    at = _scratch(spark)
+    stream = _events_stream(spark, sf_dir).select("event_id", "ts", "user_id")
+    out = batcher.count_or_timeout(stream, "event_id", "ts", 8, 600_000, shard=F.pmod("user_id", F.lit(16)))
+    schedule.drain(out, f"{at}/out", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/out")
+
+
 # --- sinks
 
 

@@ -1,8 +1,11 @@
-"""A local session for tests, the benchmark and the command line; on a cluster the caller brings its own."""
+"""A local session for tests, the benchmark and the command line; on a cluster the caller brings its own.  Work tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -15,3 +18,16 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one that the session names, or a local one where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared}/{name}-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='framewright-')}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table of the work folder: cuts the lineage and survives lost executors."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

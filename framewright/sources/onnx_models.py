@@ -1,4 +1,4 @@
-"""Small ONNX models as bytes, encoded by hand: a matrix product, and an identity."""
+"""Small ONNX models as bytes, encoded by hand: matrix products, and an identity."""
 
 from __future__ import annotations
 
@@ -28,20 +28,33 @@ def _value(name: str, dims: list[int | str]) -> bytes:
     return _bytes(1, name) + _bytes(2, _bytes(1, _number(1, 1) + _bytes(2, shape)))
 
 
-def _model(node: bytes, tensors: list[bytes], inputs: bytes, outputs: bytes) -> bytes:
-    graph = _bytes(1, node) + _bytes(2, "g") + b"".join(_bytes(5, t) for t in tensors) + _bytes(11, inputs) + _bytes(12, outputs)
+def _model(nodes: list[bytes], tensors: list[bytes], inputs: bytes, outputs: bytes) -> bytes:
+    graph = b"".join(_bytes(1, n) for n in nodes) + _bytes(2, "g") + b"".join(_bytes(5, t) for t in tensors) + _bytes(11, inputs) + _bytes(12, outputs)
     return _number(1, 8) + _bytes(7, graph) + _bytes(8, _bytes(1, "") + _number(2, 13))
 
 
+def _node(kind: str, inputs: list[str], output: str) -> bytes:
+    return b"".join(_bytes(1, x) for x in inputs) + _bytes(2, output) + _bytes(4, kind)
+
+
+def _tensor(name: str, dims: list[int], flat: list[float]) -> bytes:
+    return b"".join(_number(1, d) for d in dims) + _number(2, 1) + _bytes(8, name) + _bytes(9, struct.pack(f"<{len(flat)}f", *flat))
+
+
+def _weights(weights: list[list[float]]) -> bytes:
+    return _tensor("w", [len(weights), len(weights[0])], [v for row in weights for v in row])
+
+
 def linear(weights: list[list[float]], x: str = "x", y: str = "logits") -> bytes:
     """y = x @ weights."""
-    rows, columns = len(weights), len(weights[0])
-    flat = [v for row in weights for v in row]
-    tensor = _number(1, rows) + _number(1, columns) + _number(2, 1) + _bytes(8, "w") + _bytes(9, struct.pack(f"<{len(flat)}f", *flat))
-    node = _bytes(1, x) + _bytes(1, "w") + _bytes(2, y) + _bytes(4, "MatMul")
-    return _model(node, [tensor], _value(x, ["n", rows]), _value(y, ["n", columns]))
+    return _model([_node("MatMul", [x, "w"], y)], [_weights(weights)], _value(x, ["n", len(weights)]), _value(y, ["n", len(weights[0])]))
+
+
+def linear_over_planes(weights: list[list[float]], shape: list[int], whole: bool = False, x: str = "x", y: str = "y") -> bytes:
+    """y = flattened x @ weights; ``whole``: planes in [0, 1] become whole numbers up to 255 first."""
+    steps = [_node("Mul", [x, "c"], "m"), _node("Round", ["m"], "r"), _node("Flatten", ["r"], "f")] if whole else [_node("Flatten", [x], "f")]
+    return _model([*steps, _node("MatMul", ["f", "w"], y)], [_weights(weights), *[_tensor("c", [], [255.0])] * whole], _value(x, ["n", *shape]), _value(y, ["n", len(weights[0])]))
 
 
 def identity(shape: list[int], x: str = "x", y: str = "y") -> bytes:
-    node = _bytes(1, x) + _bytes(2, y) + _bytes(4, "Identity")
-    return _model(node, [], _value(x, ["n", *shape]), _value(y, ["n", *shape]))
+    return _model([_node("Identity", [x], y)], [], _value(x, ["n", *shape]), _value(y, ["n", *shape]))

@@ -2,15 +2,17 @@
 
 Requests are dealt over shards, each with its own queue in keyed state, so the work
 spreads and a shard's state never holds more than one open batch.  Waiting is in
-event time: an open batch closes once the watermark passes its deadline.
+event time: an open batch closes once the watermark passes its deadline, or a request
+of its shard comes at or after it.  What a shard gets in one trigger is bounded by the source's limit a trigger.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,35 +22,45 @@ OUTPUT = "request_id long, shard int, batch_no long, slot int, full boolean"
 STATE = "ids array<bigint>, deadline long, next_batch long"
 
 
-def count_or_timeout(stream: DataFrame, key: str, ts: str, size: int, wait_ms: int, shards: int = 8) -> DataFrame:
-    """(request_id, shard, batch_no, slot, full) for each request of a stream, when its batch closes."""
+def batches_of(ids: np.ndarray, at: np.ndarray, opened: list[int], deadline: int, size: int, wait: int) -> tuple[list[tuple[np.ndarray, bool]], list[int], int]:
+    """Closed batches as (ids, full), and the open one with its deadline, from requests in order of time and those already waiting."""
+    closed, start = [], 0
+    waiting = np.array(opened, np.int64)
+    while start < len(ids) or len(waiting):
+        if not len(waiting):
+            deadline = int(at[start]) + wait
+        end = min(int(np.searchsorted(at, deadline, "left")), start + size - len(waiting))
+        end = max(end, start)
+        waiting, start = np.concatenate((waiting, ids[start:end])), end
+        full = len(waiting) == size
+        if not full and start == len(ids):
+            break  # nothing came at or after the deadline yet
+        closed.append((waiting, full))
+        waiting = waiting[:0]
+    return closed, waiting.tolist(), deadline
 
-    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, deadline, number = state.get if state.exists else ([], 0, 0)
-        ids, rows = list(ids), []
 
-        def close(full: bool) -> None:
-            nonlocal ids, number
-            rows.extend((i, group[0], number, slot, full) for slot, i in enumerate(ids))
-            ids, number = [], number + 1
+def count_or_timeout(stream: DataFrame, key: str, ts: str, size: int, wait_ms: int, shards: int | None = None, shard: Column | None = None) -> DataFrame:
+    """(request_id, shard, batch_no, slot, full) for each request of a stream, when its batch closes.
+
+    ``shard`` deals the requests (default: by a hash of the key over as many shards as the session has shuffle partitions).
+    """
 
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, deadline, number = state.get if state.exists else ([], 0, 0)
         if state.hasTimedOut:
-            close(False)
+            closed, opened = [(np.array(opened, np.int64), False)], []
         else:
-            for r in pd.concat(list(frames)).sort_values(["at", "request_id"]).itertuples():
-                now = r.at.value // 1_000_000
-                if ids and now >= deadline:
-                    close(False)
-                if not ids:
-                    deadline = now + wait_ms
-                ids.append(r.request_id)
-                if len(ids) == size:
-                    close(True)
-        state.update((ids, deadline, number))
-        if ids:
+            new = pd.concat(list(frames)).sort_values(["at", "request_id"])
+            times = new["at"].to_numpy().astype("datetime64[ms]").astype(np.int64)
+            closed, opened, deadline = batches_of(new["request_id"].to_numpy(), times, list(opened), deadline, size, wait_ms)
+        for k, (ids, full) in enumerate(closed):
+            yield pd.DataFrame({"request_id": ids, "shard": group[0], "batch_no": number + k, "slot": np.arange(len(ids), dtype=np.int32), "full": full})
+        state.update((opened, deadline, number + len(closed)))
+        if opened:
             state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["request_id", "shard", "batch_no", "slot", "full"])
 
-    queued = stream.select(F.col(key).cast("long").alias("request_id"), event_time(F.col(ts)).alias("at")).withWatermark("at", "0 seconds")
-    dealt = queued.withColumn("shard", F.pmod(F.xxhash64("request_id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    shards = shards or int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = F.pmod(F.xxhash64(F.col(key)), F.lit(shards)) if shard is None else shard
+    queued = stream.select(F.col(key).cast("long").alias("request_id"), event_time(F.col(ts)).alias("at"), dealt.cast("int").alias("shard")).withWatermark("at", "0 seconds")
+    return queued.groupBy("shard").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -10,7 +10,7 @@ import duckdb
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 9) + 0.0
+        return None if math.isnan(v) else round(v, 9)
     if hasattr(v, "asDict"):
         v = v.asDict()
     if isinstance(v, dict):
