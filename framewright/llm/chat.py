@@ -11,7 +11,9 @@ compared; texts are read again for what stays.
 Turns are in order of their number (null first), then role and text.  A null role
 counts as ``user``, a null text as empty.  Rows with a null conversation id are one
 conversation.  Repeated rows are turns of their own.  An empty table gives an
-empty result.
+empty result.  Very long texts are hashed and rendered whole.  A conversation is one
+row of the result, so its turns meet in one task; texts do so only for what stays.  Extra
+columns are not read, so their names may be any.
 """
 
 from __future__ import annotations

@@ -13,7 +13,10 @@ CASE expression.
 Null text counts as empty.  Documents without words have ratios of 0.  Labels
 that are null, or whose document is missing, teach nothing; with no usable
 labels the list is empty and only the base rule decides.  Rows with the same
-id are judged one by one; an empty table gives an empty result.
+id are judged one by one, and repeated rows alike; an empty table gives an empty result.
+Of conditions with the same gain the first in the order of the features and thresholds is taken.  Very
+long texts count whole, in one row's memory.  Extra columns of any name are not read, and
+pass through whole where rows are carried.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ are encoded by the tokenizer as a whole.
 Null text counts as empty and gives the end id alone.  Ids of documents need
 not be unique: equal ones stand next to each other, in no fixed order unless
 their texts are equal.  A null document id sorts first.  Empty tables give
-an empty folder of files and an empty result.
+an empty folder of files and an empty result.  Very long texts are encoded whole; a batch of output
+closes after a bounded number of bytes or one text.  Extra columns are not read, so their names may be any.
 """
 
 from __future__ import annotations
