@@ -88,7 +88,8 @@ def mine(labelled: DataFrame, least: int = 8, confidence: float = 0.6, lift: flo
     # each combination stands under its rarest token, where every labelled URL that may hold it looks it up
     rarest = frequent.select("*", F.explode("antecedent").alias("token")).join(known, "token").groupBy("antecedent", "bad").agg(F.min(F.struct("of_all", "token"))["token"].alias("anchor"))
     index = write_table(rarest, "combinations")
-    whole = each.withColumnRenamed("token", "anchor").join(rows.select("r", "tokens"), "r").join(index.select("antecedent", "anchor"), "anchor").where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    looked = rows.select("tokens", F.explode("tokens").alias("anchor")).join(index.select("antecedent", "anchor"), "anchor")
+    whole = looked.where(F.size(F.array_except("antecedent", "tokens")) == 0)
     totals = whole.groupBy("antecedent").agg(F.count("*").alias("total"))
     scored = index.join(totals, "antecedent").withColumn("confidence", F.col("bad") / F.col("total")).withColumn("lift", F.col("confidence") / usual)
     c, rest = F.col("confidence"), 1 - F.col("confidence")
