@@ -70,6 +70,20 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
+def write_optimized(path: str, options: dict | None = None) -> str:
+    """Writes the optimized copy that ``read_model`` prefers, beside the model, and gives its path."""
+    import os
+
+    import onnxruntime as ort
+
+    folder, name = os.path.split(path)
+    better, known = os.path.join(folder, f"optimized_{name}"), ort.SessionOptions()
+    known.graph_optimization_level = getattr(ort.GraphOptimizationLevel, parse_graph_level((options or {}).get("graph_optimization_level", "ORT_ENABLE_BASIC")))
+    known.optimized_model_filepath = better
+    ort.InferenceSession(path, known, providers=["CPUExecutionProvider"])
+    return better
+
+
 def infer(
     df: DataFrame, key: str, data: str, shape: tuple[int, ...], model: bytes, output: str, batch: int = 64, options: dict | None = None, backend: str = "onnxruntime", keep: tuple[str, ...] = ()
 ) -> DataFrame:

@@ -102,6 +102,23 @@ def draw_box(image: np.ndarray, x: int, y: int, w: int, h: int, color: tuple = (
     return out
 
 
+def drawn(df: DataFrame, key: str, image: str, box: str, color: tuple = (0, 255, 0)) -> DataFrame:
+    """(key, height, width, data): image structs with the outlines of their arrays of boxes (x, y, w, h)."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for h, w, data, boxes in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                picture = np.frombuffer(data, np.uint8).reshape(h, w, 3)
+                for b in boxes or ():
+                    picture = draw_box(picture, b["x"], b["y"], b["w"], b["h"], color)
+                out.append(picture.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=[key, "height", "width", "data"])
+
+    return df.select(key, F.col(f"{image}.height"), F.col(f"{image}.width"), F.col(f"{image}.data"), box).mapInArrow(run, f"{key} {kind}, height int, width int, data binary")
+
+
 def preprocess(df: DataFrame, key: str, image: str, fit: Callable[[np.ndarray], tuple[np.ndarray, tuple]], swap: bool = True) -> DataFrame:
     """(key, data, scale, pad_left, pad_top, orig_w, orig_h, error) from image structs (height, width, data: BGR bytes).
 

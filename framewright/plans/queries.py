@@ -6,9 +6,10 @@ image sizes, ``events`` are a stream of requests with a latency and a mode.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.config import BenchmarkConfig, ModelConfig, Override, benchmark_config
@@ -109,6 +110,18 @@ select vec_id, 4 as height, 4 as width, 3 as nChannels, 16 as mode,
 """
 
 
+@query("select vec_id, 4 as height, 4 as width from embeddings")
+def src2_frame_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a folder as a stream; the size stands in each file's header."""
+    at = _scratch(spark)
+    rows = pictures(spark, sf_dir)
+    images.write_png_files(rows.select("vec_id", as_image(F.col("p"), 4, 4).alias("image")), "vec_id", "image", f"{at}/frames")
+    number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
+    frames = images.stream_images(spark, f"{at}/frames", 1000).select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint").alias("vec_id"), number(21).alias("height"), number(17).alias("width"))
+    schedule.drain(frames, f"{at}/out", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/out")
+
+
 def as_image(p: Column, height: int, width: int) -> Column:
     """An image struct of values 0 to 255."""
     data = F.unhex(F.array_join(F.transform(p, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
@@ -924,6 +937,34 @@ def snk2_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.read_json(spark, folder).drop("file")
 
 
+REPORT_FILES = [("benchmark_20240103_000000.json", 3), ("benchmark_20240101_000000.json", 1), ("benchmark_20240102_000000.json", 2)]
+
+
+@query(f"""
+select f as file, dense_rank() over (order by f)::int as place, k::int as concurrent_clients, mode, total_requests
+from (select unnest({[f for f, _ in REPORT_FILES]}) as f, unnest({[k for _, k in REPORT_FILES]}) as k), (select mode, total_requests from {RESULTS})
+""")
+def top7_report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several report files in order of their names; a broken one between them is left out."""
+    folder = _scratch(spark)
+    for name, clients in REPORT_FILES:
+        reports.write_json(results(spark, sf_dir), dataclasses.replace(CONFIG, concurrent_clients=clients), f"{folder}/{name}", 1_704_067_200)
+    reports.write_text(spark, f"{folder}/benchmark_20240101_120000.json", "{")
+    file = F.regexp_extract("file", r"([^/]+)$", 1)
+    place = F.dense_rank().over(Window.orderBy("file")).cast("int")  # a handful of report rows
+    return reports.read_json(spark, folder).withColumn("place", place).select(file.alias("file"), "place", "concurrent_clients", "mode", "total_requests")
+
+
+@query(f"""
+select vec_id, string_agg(format('{{:02X}}', case when ((x between x0 and x1) and (y = y0 or y = y1)) or ((y between y0 and y1) and (x = x0 or x = x1)) then [0, 255, 0][ch + 1] else v end), '' order by j) as pixels
+from (select vec_id, j, p[j + 1] as v, j // 12 as y, j % 12 // 3 as x, j % 3 as ch, vec_id % 3 as x0, vec_id % 2 as y0, least(3, vec_id % 3 + 2) as x1, vec_id % 2 + 2 as y1 from {PICTURES}, unnest(range(48)) u(j)) group by vec_id
+""")
+def snk9_drawn_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outline of a box drawn on every picture."""
+    corner = F.array(F.struct((F.col("vec_id") % 3).cast("int").alias("x"), (F.col("vec_id") % 2).cast("int").alias("y"), F.lit(2).alias("w"), F.lit(2).alias("h")))
+    return pixels.drawn(picture_images(spark, sf_dir).withColumn("boxes", corner), "vec_id", "image", "boxes").select("vec_id", F.hex("data").alias("pixels"))
+
+
 @query(f"select {ROUNDED} from {RESULTS}")
 def snk3_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{_scratch(spark)}/benchmark_20240101_000000.csv"

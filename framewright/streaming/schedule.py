@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,14 +86,20 @@ def stream_table(spark: SparkSession, path: str, schema, most_files: int = 16) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(path)
 
 
-def closed_loop(action: Callable[[], object], seconds: float, least: int, warm_up: int = 0) -> tuple[list[float], float]:
-    """Latencies in ms of repeated actions until time is over and enough have run, and the wall time; warm-up runs don't count."""
+def closed_loop(action: Callable[[], object], seconds: float, least: int, warm_up: int = 0, clients: int = 1) -> tuple[list[float], float]:
+    """Latencies in ms of actions that each client repeats until time is over and enough have run in all, and the wall time; warm-up runs don't count."""
     for _ in range(warm_up):
         action()
     samples: list[float] = []
     began = time.perf_counter()
-    while time.perf_counter() - began < seconds or len(samples) < least:
-        t = time.perf_counter()
-        action()
-        samples.append((time.perf_counter() - t) * 1000)
+
+    def client() -> None:
+        while time.perf_counter() - began < seconds or len(samples) < least:
+            t = time.perf_counter()
+            action()
+            samples.append((time.perf_counter() - t) * 1000)
+
+    with ThreadPoolExecutor(clients) as pool:
+        for done in [pool.submit(client) for _ in range(clients)]:
+            done.result()
     return samples, (time.perf_counter() - began) * 1000

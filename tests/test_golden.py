@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from framewright import config
+from framewright import benchmark, config
 from framewright.functions import geometry, tensor
 from framewright.operators import detect, metrics, pixels
 from framewright.operators.infer import OnnxBackend, infer
@@ -195,6 +197,28 @@ def test_ring_and_closed_loop():
     assert len(latencies) >= 5 and len(calls) == len(latencies) + 2 and wall >= sum(latencies)
 
 
+def test_clients_and_reports_from_arguments(spark, tmp_path):
+    calls = []
+    latencies, _ = schedule.closed_loop(lambda: calls.append(threading.get_ident()) or time.sleep(0.002), 0.05, 10, clients=3)
+    assert len(calls) == len(latencies) >= 10 and len(set(calls)) == 3
+    images.write_png_files(picture(spark, np.zeros((4, 4, 3), np.uint8)), "request_id", "image", str(tmp_path / "png"))
+    c = config.from_arguments(["--mode", "all", "--clients", "2", "--duration", "0", "--warmup", "0", "--min-iterations", "2", "--image", str(tmp_path / "png"), "--output-dir", str(tmp_path / "out")])
+    got = benchmark.measure(spark, c, benchmark.detection(spark, c)).cache()
+    assert {r.mode for r in got.collect()} == {"Sync", "Async", "Batch"} and all(r.total_requests >= 2 for r in got.collect())
+    files = benchmark.export(got, c, datetime.datetime(2024, 1, 2))
+    assert {r.concurrent_clients for r in reports.read_json(spark, str(tmp_path / "out")).collect()} == {2} and reports.read_csv(spark, files[1]).count() == 3
+
+
+def test_optimized_copy_is_written(tmp_path):
+    from framewright.operators.infer import OnnxBackend, read_model, write_optimized
+
+    (tmp_path / "m.onnx").write_bytes(onnx_models.linear([[1.0], [2.0]]))
+    write_optimized(str(tmp_path / "m.onnx"))
+    model = read_model(str(tmp_path / "m.onnx"))
+    assert (tmp_path / "optimized_m.onnx").read_bytes() == model
+    assert OnnxBackend(model).infer(np.ones((1, 2), np.float32))["logits"].tolist() == [[3.0]]
+
+
 def test_model_file_prefers_the_optimized_copy(tmp_path):
     from framewright.operators.infer import read_model
 
