@@ -54,8 +54,13 @@ def count_or_timeout(stream: DataFrame, key: str, ts: str, size: int, wait_ms: i
             new = pd.concat(list(frames)).sort_values(["at", "request_id"])
             times = new["at"].to_numpy().astype("datetime64[ms]").astype(np.int64)
             closed, opened, deadline = batches_of(new["request_id"].to_numpy(), times, list(opened), deadline, size, wait_ms)
-        for k, (ids, full) in enumerate(closed):
-            yield pd.DataFrame({"request_id": ids, "shard": group[0], "batch_no": number + k, "slot": np.arange(len(ids), dtype=np.int32), "full": full})
+        if closed:
+            lengths = np.array([len(ids) for ids, _ in closed])
+            firsts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+            yield pd.DataFrame({
+                "request_id": np.concatenate([ids for ids, _ in closed]), "shard": group[0], "batch_no": number + np.repeat(np.arange(len(closed)), lengths),
+                "slot": (np.arange(lengths.sum()) - firsts).astype(np.int32), "full": np.repeat([full for _, full in closed], lengths),
+            })
         state.update((opened, deadline, number + len(closed)))
         if opened:
             state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
