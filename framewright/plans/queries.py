@@ -870,11 +870,13 @@ def str4_stream_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = events.groupBy(F.window("at", "1 hour").alias("w")).agg(F.count("*").alias("n"))
 
     def keep(df: DataFrame, number: int) -> None:
-        df.select(F.col("w.start").alias("tick"), "n").write.mode("overwrite").parquet(f"{at}/counts")
+        df.select(F.col("w.start").alias("tick"), "n").write.mode("append").parquet(f"{at}/counts")
 
-    schedule.drain_batches(counts, keep, f"{at}/checkpoint", mode="complete")
+    # each micro-batch gives the ticks that it changed; those behind the watermark leave the state, and a tick's last count is its largest
+    schedule.drain_batches(counts, keep, f"{at}/checkpoint", mode="update")
     n = F.col("n")
-    each = spark.read.parquet(f"{at}/counts").select(F.explode(F.array(F.struct(F.lit(8).cast("bigint").alias("requests"), F.floor(n / 8).alias("batches")), F.struct((n % 8).alias("requests"), F.when(n % 8 > 0, 1).otherwise(0).cast("bigint").alias("batches")))).alias("b"))
+    final = spark.read.parquet(f"{at}/counts").groupBy("tick").agg(F.max("n").alias("n"))
+    each = final.select(F.explode(F.array(F.struct(F.lit(8).cast("bigint").alias("requests"), F.floor(n / 8).alias("batches")), F.struct((n % 8).alias("requests"), F.when(n % 8 > 0, 1).otherwise(0).cast("bigint").alias("batches")))).alias("b"))
     return each.where("b.batches > 0").groupBy("b.requests").agg(F.sum("b.batches").cast("bigint").alias("batches"))
 
 
