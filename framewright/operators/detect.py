@@ -79,16 +79,18 @@ def overlapping_pairs(df: DataFrame, group: str, key: str, threshold: float, cel
     """Pairs of a group's boxes that overlap above the threshold, each once: an equi-join on the group and the cells of a grid.
 
     A pair is found in the cell that holds the first corner of what the boxes share.  Boxes without area overlap
-    each other wholly wherever they are.
+    each other wholly wherever they are, so they have a cell of their own.
     """
     area = F.col("w") * F.col("h") > 0
-    along = lambda p, n: F.explode(F.sequence(F.floor(F.col(p) / cell), F.floor((F.col(p) + F.col(n) - 1) / cell)))
-    celled = df.where(area).withColumn("i", along("x", "w")).withColumn("j", along("y", "h"))
-    side = lambda rows, n, *more: rows.select(F.col(group), F.col(key).alias(f"{n}_{key}"), F.struct("x", "y", "w", "h").alias(n), *more)
+    along = lambda p, n: F.explode(F.when(area, F.sequence(F.floor(F.col(p) / cell), F.floor((F.col(p) + F.col(n) - 1) / cell))).otherwise(F.array(F.lit(0).cast("bigint"))))
+    celled = df.select(group, key, "x", "y", "w", "h", (~area).alias("_flat")).withColumn("_i", along("x", "w")).withColumn("_j", along("y", "h"))
+    # a cell's pairs are many more than its rows, so tasks aren't merged by the size of their rows
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = [group, "_flat", "_i", "_j"]
+    dealt = celled.repartition(parts, *cells)
+    side = lambda n: dealt.select(*cells, F.col(key).alias(f"{n}_{key}"), F.struct("x", "y", "w", "h").alias(n))
     first = lambda p, i: F.floor(F.greatest(F.col(f"a.{p}"), F.col(f"b.{p}")) / cell) == F.col(i)
-    both = side(celled, "a", "i", "j").join(side(celled, "b", "i", "j"), [group, "i", "j"]).where(first("x", "i") & first("y", "j"))
-    flat = side(df.where(~area), "a").join(side(df.where(~area), "b"), group)
-    pairs = both.drop("i", "j").unionByName(flat).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
+    pairs = side("a").join(side("b"), cells).where(F.col("_flat") | (first("x", "_i") & first("y", "_j"))).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
     return pairs.where(overlaps(F.col("a"), F.col("b"), threshold)).select(group, f"a_{key}", f"b_{key}", intersection(F.col("a"), F.col("b")).alias("intersection"), union(F.col("a"), F.col("b")).alias("union_area"))
 
 
@@ -97,9 +99,10 @@ def suppress_groups(df: DataFrame, group: str, ties: list[str], threshold: float
 
     Exactly what going through a group box by box gives, without bringing the group together: only pairs
     of overlapping boxes are looked at.  In each round the boxes that no better one overlaps any more stay, and what
-    they overlap goes; ``ties`` tell the boxes of a group apart.
+    they overlap goes; ``ties`` tell the boxes of a group apart.  A round is one written table: the boxes that go,
+    and the pairs between the boxes that are still open.
     """
-    rows = df.select(group, *ties, "score", "x", "y", "w", "h").withColumn("rank", F.struct((-F.col("score")).alias("neg"), *ties))
+    rows = written(df.select(group, *ties, "score", "x", "y", "w", "h").withColumn("rank", F.struct((-F.col("score")).alias("neg"), *ties)), "boxes")
     area = F.col("w") * F.col("h") > 0
     pairs = overlapping_pairs(rows.where(area), group, "rank", threshold, cell).select(group, F.col("a_rank").alias("better"), F.col("b_rank").alias("worse"))
     left = written(pairs, "pairs")
@@ -107,11 +110,12 @@ def suppress_groups(df: DataFrame, group: str, ties: list[str], threshold: float
     flat = rows.where(~area)
     gone = flat.join(flat.groupBy(group).agg(F.min("rank").alias("best")), group).where((F.col("rank") > F.col("best")) & (F.lit(threshold) < 1)).select(group, "rank")
     while not left.isEmpty():
-        heads = left.select(group, F.col("better").alias("rank")).distinct().join(left.select(group, F.col("worse").alias("rank")).distinct(), [group, "rank"], "left_anti")
-        lost = written(left.join(heads.withColumnRenamed("rank", "better"), [group, "better"], "left_semi").select(group, F.col("worse").alias("rank")).distinct(), "lost")
-        gone = gone.unionByName(lost)
-        rest = left.join(lost.withColumnRenamed("rank", "worse"), [group, "worse"], "left_anti")
-        left = written(rest.join(lost.withColumnRenamed("rank", "better"), [group, "better"], "left_anti"), "pairs")
+        blocked = left.select(group, F.col("worse").alias("better")).distinct()
+        lost = left.join(blocked, [group, "better"], "left_anti").select(group, "worse").distinct()
+        rest = left.join(lost, [group, "worse"], "left_anti").join(lost.withColumnRenamed("worse", "better"), [group, "better"], "left_anti")
+        round_ = written(lost.select(group, F.lit(None).cast(left.schema["better"].dataType).alias("better"), "worse").unionByName(rest), "round")
+        gone = gone.unionByName(round_.where("better is null").select(group, F.col("worse").alias("rank")))
+        left = round_.where("better is not null")
     return rows.join(gone, [group, "rank"], "left_anti").select(group, *ties, "score", "x", "y", "w", "h")
 
 
