@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -98,21 +99,23 @@ def merged(model: ModelConfig, over: Override) -> ModelConfig:
     return dataclasses.replace(model, **new)
 
 
-def from_arguments(arguments: list[str]) -> BenchmarkConfig:
-    """Command line over file over default."""
+def from_arguments(arguments: list[str], load: Callable[[str], dict] = load_yaml) -> BenchmarkConfig:
+    """Command line over file over default; ``load`` gives the tree of the file named by ``--config``."""
     p = argparse.ArgumentParser(description="Latency and throughput of the execution modes")
     p.add_argument("--config")
     p.add_argument("--mode", choices=["sync", "async", "batch", "all"])
-    p.add_argument("--model-type", dest="model_type")
+    p.add_argument("--model", "--model-type", dest="model_type")
     p.add_argument("--image", dest="image_path")
     p.add_argument("--clients", dest="concurrent_clients", type=int)
     p.add_argument("--duration", dest="test_duration_sec", type=float)
     p.add_argument("--warmup", dest="warmup_count", type=int)
     p.add_argument("--min-iterations", dest="min_iterations", type=int)
     p.add_argument("--output-dir", dest="output_dir")
+    for flag, name in (("--no-json", "export_json"), ("--no-csv", "export_csv"), ("--no-gpu-stats", "show_gpu_stats")):
+        p.add_argument(flag, dest=name, action="store_const", const=False)
     given = {k: v for k, v in vars(p.parse_args(arguments)).items() if v is not None}
     path = given.pop("config", None)
-    return dataclasses.replace(benchmark_config(load_yaml(path), path) if path else BenchmarkConfig(), **given)
+    return dataclasses.replace(benchmark_config(load(path), path) if path else BenchmarkConfig(), **given)
 
 
 # The names that a configuration may use.

@@ -7,12 +7,15 @@ image sizes, ``events`` are a stream of requests with a latency and a mode.
 from __future__ import annotations
 
 import dataclasses
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewright.config import BenchmarkConfig, ModelConfig, Override, benchmark_config
+from framewright.config import (
+    BACKENDS, EXECUTION_MODES, GRAPH_LEVELS, LOG_LEVELS, BenchmarkConfig, ModelConfig, Override, benchmark_config, from_arguments, model_config, parse_backend, parse_execution_mode, parse_graph_level, parse_log_level,
+)
 from framewright.functions import geometry, tensor
 from framewright.operators import detect, infer, metrics, pixels, runners
 from framewright.session import work_folder
@@ -150,6 +153,61 @@ def src5_benchmark_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "mode string, concurrent_clients int, test_duration_sec double, min_iterations int, batch int, buffer_size int, warm_up int")
 
 
+MODEL_YAML = """
+model: {path: m.onnx, shape: [320, 640], batch: 16, classes: [person, bicycle], session_options: {execution_mode: ORT_PARALLEL}}
+preprocess: {auto_aspect_ratio: false, pad_color: [0, 10, 20]}
+postprocess: {conf: 0.5}
+"""
+
+
+@query("""
+select 'm.onnx' as path, 'onnxruntime' as backend, 320 as height, 640 as width, 16 as batch, 4 as buffer_size, 0 as warm_up, ['person', 'bicycle'] as classes,
+  'ORT_PARALLEL' as execution_mode, 0.5::double as conf, 0.45::double as nms, 300 as max_detections, false as auto_aspect_ratio, [0, 10, 20] as pad_color, true as bgr_to_rgb
+""")
+def src4_model_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's configuration: what is given, and defaults for the rest."""
+    import yaml
+
+    c = model_config(yaml.safe_load(MODEL_YAML))
+    row = (c.path, c.backend, *c.shape, c.batch, c.buffer_size, c.warm_up, list(c.classes), c.session_options["execution_mode"], c.conf, c.nms, c.max_detections, c.auto_aspect_ratio, list(c.pad_color), c.bgr_to_rgb)
+    return spark.createDataFrame([row], "path string, backend string, height int, width int, batch int, buffer_size int, warm_up int, classes array<string>, execution_mode string, conf double, nms double, max_detections int, auto_aspect_ratio boolean, pad_color array<int>, bgr_to_rgb boolean")
+
+
+@query("""
+select 'batch' as mode, 3 as concurrent_clients, 2.5::double as test_duration_sec, 50 as min_iterations, 5 as warmup_count, 'resnet' as model_type, false as export_json, true as export_csv, 16 as batch_buffer_size
+union all select 'all', 8, 10.0, 50, 5, 'yolo', true, true, 16
+""")
+def src10_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Command line over file over default: with arguments of its own, and with the file alone."""
+    import yaml
+
+    load = lambda path: yaml.safe_load(BENCHMARK_YAML)
+    own = ["--mode", "batch", "--clients", "3", "--duration", "2.5", "--model", "resnet", "--no-json"]
+    got = [from_arguments(["--config", "b.yaml", *more], load) for more in (own, [])]
+    rows = [(c.mode, c.concurrent_clients, c.test_duration_sec, c.min_iterations, c.warmup_count, c.model_type, c.export_json, c.export_csv, c.batch_override.buffer_size) for c in got]
+    return spark.createDataFrame(rows, "mode string, concurrent_clients int, test_duration_sec double, min_iterations int, warmup_count int, model_type string, export_json boolean, export_csv boolean, batch_buffer_size int")
+
+
+@query("""
+select * from (values ('backend', 'onnxruntime', true), ('backend', 'other', false), ('execution', 'ORT_PARALLEL', true), ('execution', 'ORT_SEQUENTIAL', true), ('execution', 'other', false),
+  ('graph', 'ORT_DISABLE_ALL', true), ('graph', 'ORT_ENABLE_ALL', true), ('graph', 'ORT_ENABLE_BASIC', true), ('graph', 'ORT_ENABLE_EXTENDED', true), ('graph', 'other', false),
+  ('log', 'ERROR', true), ('log', 'FATAL', true), ('log', 'INFO', true), ('log', 'VERBOSE', true), ('log', 'WARNING', true), ('log', 'other', false)) as t(kind, name, known)
+""")
+def prj26_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that a configuration may use; an unknown one is refused."""
+
+    def known(parse, name: str) -> bool:
+        try:
+            parse(name)
+        except ValueError:
+            return False
+        return True
+
+    parsers = {"backend": (parse_backend, BACKENDS), "execution": (parse_execution_mode, EXECUTION_MODES), "graph": (parse_graph_level, GRAPH_LEVELS), "log": (parse_log_level, LOG_LEVELS)}
+    rows = [(kind, name, known(parse, name)) for kind, (parse, names) in parsers.items() for name in (*names, "other")]
+    return spark.createDataFrame(rows, "kind string, name string, known boolean")
+
+
 @query("""
 select avg(try_cast(trim(split_part(line, ',', 1)) as double)) as gpu_avg, avg(try_cast(trim(split_part(line, ',', 2)) as double)) as memory_avg
 from (select (event_id % 101)::varchar || ', ' || (user_id % 37)::varchar as line from events)
@@ -406,15 +464,47 @@ WEIGHTS = [[((i * 7 + j * 3) % 11 - 5) / 8 for j in range(4)] for i in range(64)
 LOGITS = f"(select vec_id, [list_sum([floor(e[i + 1] * 256) / 256 * (((i * 7 + j * 3) % 11 - 5) / 8.0::double) for i in range(64)]) for j in range(4)] as logits from {VECTORS})"
 
 
-def logits(spark: SparkSession, sf_dir: str, batch: int = 64) -> DataFrame:
+def logits(spark: SparkSession, sf_dir: str, batch: int = 64, model: bytes | None = None) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: (F.floor(v * 256) / 256).cast("float")).alias("x"))
-    return infer.infer(rows, "vec_id", "x", (64,), onnx_models.linear(WEIGHTS), "logits", batch)
+    return infer.infer(rows, "vec_id", "x", (64,), model or onnx_models.linear(WEIGHTS), "logits", batch)
+
+
+FOUR_LOGITS = f"select vec_id, logits[1] + 0.0 as logit_0, logits[2] + 0.0 as logit_1, logits[3] + 0.0 as logit_2, logits[4] + 0.0 as logit_3, null::varchar as error from {LOGITS}"
+
 
+def four_logits(rows: DataFrame) -> DataFrame:
+    return rows.select("vec_id", *[(F.col("logits")[j].cast("double") + 0.0).alias(f"logit_{j}") for j in range(4)], "error")
 
-@query(f"select vec_id, logits[1] + 0.0 as logit_0, logits[2] + 0.0 as logit_1, logits[3] + 0.0 as logit_2, logits[4] + 0.0 as logit_3, null::varchar as error from {LOGITS}")
+
+@query(FOUR_LOGITS)
 def udf6_linear_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every logit to its last bit; a negative zero is a zero."""
-    return logits(spark, sf_dir).select("vec_id", *[(F.col("logits")[j].cast("double") + 0.0).alias(f"logit_{j}") for j in range(4)], "error")
+    return four_logits(logits(spark, sf_dir))
+
+
+@query(FOUR_LOGITS)
+def str6_partial_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 61: the rest of every partition is a smaller batch, and all its rows are delivered."""
+    return four_logits(logits(spark, sf_dir, 61))
+
+
+@query(FOUR_LOGITS)
+def src7_optimized_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The optimized copy beside a model file is read in its place and gives the same logits."""
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own; workers get bytes
+        path = f"{folder}/m.onnx"
+        with open(path, "wb") as f:
+            f.write(onnx_models.linear(WEIGHTS))
+        infer.write_optimized(path)
+        model = infer.read_model(path)
+    return four_logits(logits(spark, sf_dir, model=model))
+
+
+@query("select 'logits' as output, [4] as shape")
+def str11_warm_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs on zeros before serving tell the shape of one item of each output."""
+    shapes = infer.open_backend("onnxruntime", onnx_models.linear(WEIGHTS)).warm_up((64,), 3)
+    return spark.createDataFrame([(name, list(shape)) for name, shape in shapes.items()], "output string, shape array<int>")
 
 
 @query(f"select vec_id, (list_position(logits, list_max(logits)) - 1)::int as class_id, {LABELS}[list_position(logits, list_max(logits))] as label from {LOGITS}")
@@ -905,6 +995,24 @@ def str4_count_or_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out")
 
 
+@query("select * from (values (0::bigint, 2), (1, 2), (2, 1)) as t(batch, files)")
+def str8_back_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five files wait, and no batch takes more than two."""
+    at, events = _scratch(spark), read(spark, sf_dir, "events").select("event_id")
+    events.repartition(5).write.parquet(f"{at}/in")
+    seen = lambda df, n: df.select(F.lit(n).cast("bigint").alias("batch"), F.col("_metadata.file_path").alias("file")).distinct().write.mode("append").parquet(f"{at}/out")
+    schedule.drain_batches(schedule.stream_table(spark, f"{at}/in", events.schema, 2).select("event_id", "_metadata"), seen, f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/out").groupBy("batch").agg(F.count("*").cast("int").alias("files"))
+
+
+@query("select 3 as clients, 15 as requests, 15 as runs")
+def str12_closed_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three clients that each send five requests, one after the other, when no time is set."""
+    runs: list[int] = []
+    latencies, _ = schedule.closed_loop(lambda: runs.append(spark.range(1).count()), 0.0, 5, clients=3)
+    return spark.createDataFrame([(3, len(latencies), len(runs))], "clients int, requests int, runs int")
+
+
 # --- sinks
 
 
@@ -974,6 +1082,12 @@ def snk3_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.read_csv(spark, path)
 
 
+@query("select event_id, 'benchmark_' || strftime(ts, '%Y%m%d_%H%M%S') || '.json' as json, 'benchmark_' || strftime(ts, '%Y%m%d_%H%M%S') || '.csv' as csv from events")
+def snk7_report_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of reports by their time."""
+    return read(spark, sf_dir, "events").select("event_id", *[reports.report_names(kind, F.col("ts")).alias(kind) for kind in ("json", "csv")])
+
+
 @query(f"select mode, total_requests::varchar as total_requests, {', '.join(f'''printf('%.{1 if c in ('wall_time_ms', 'throughput_qps') else 2}f', round({c}, {1 if c in ('wall_time_ms', 'throughput_qps') else 2})) as {c}''' for c in list(reports.COLUMNS)[3:])} from (select {ROUNDED} from {RESULTS})")
 def snk4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reports.rounded(results(spark, sf_dir))

@@ -7,7 +7,7 @@ import glob
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.config import BenchmarkConfig
@@ -30,6 +30,11 @@ def report_name(kind: str, now: datetime.datetime) -> str:
     return f"benchmark_{now:%Y%m%d_%H%M%S}.{kind}"
 
 
+def report_names(kind: str, ts: Column) -> Column:
+    """The same of a column of times."""
+    return F.concat(F.lit("benchmark_"), F.date_format(ts, "yyyyMMdd_HHmmss"), F.lit(f".{kind}"))
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A file on any file system that Spark reaches."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

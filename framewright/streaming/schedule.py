@@ -87,17 +87,19 @@ def stream_table(spark: SparkSession, path: str, schema, most_files: int = 16) -
 
 
 def closed_loop(action: Callable[[], object], seconds: float, least: int, warm_up: int = 0, clients: int = 1) -> tuple[list[float], float]:
-    """Latencies in ms of actions that each client repeats until time is over and enough have run in all, and the wall time; warm-up runs don't count."""
+    """Latencies in ms of actions that each client repeats until time is over and it has run enough of them itself, and the wall time; warm-up runs don't count."""
     for _ in range(warm_up):
         action()
     samples: list[float] = []
     began = time.perf_counter()
 
     def client() -> None:
-        while time.perf_counter() - began < seconds or len(samples) < least:
+        own: list[float] = []
+        while time.perf_counter() - began < seconds or len(own) < least:
             t = time.perf_counter()
             action()
-            samples.append((time.perf_counter() - t) * 1000)
+            own.append((time.perf_counter() - t) * 1000)
+        samples.extend(own)
 
     with ThreadPoolExecutor(clients) as pool:
         for done in [pool.submit(client) for _ in range(clients)]:

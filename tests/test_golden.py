@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 import threading
 import time
 
@@ -175,6 +176,8 @@ def test_configuration(tmp_path):
     (tmp_path / "b.yaml").write_text("mode: sync\nconcurrent_clients: 3\nsync_override: {batch: 2}\n")
     c = config.from_arguments(["--config", str(tmp_path / "b.yaml"), "--clients", "5"])
     assert (c.mode, c.concurrent_clients, c.sync_override.batch, c.min_iterations) == ("sync", 5, 2, 50)
+    c = config.from_arguments(["--model", "resnet", "--no-csv", "--no-gpu-stats"])
+    assert c.model_type == "resnet" and c.export_json and not c.export_csv and not c.show_gpu_stats
     for parse in (config.parse_backend, config.parse_graph_level, config.parse_execution_mode, config.parse_log_level):
         with pytest.raises(ValueError):
             parse("ORT_ENABLE_BASE")
@@ -200,7 +203,7 @@ def test_ring_and_closed_loop():
 def test_clients_and_reports_from_arguments(spark, tmp_path):
     calls = []
     latencies, _ = schedule.closed_loop(lambda: calls.append(threading.get_ident()) or time.sleep(0.002), 0.05, 10, clients=3)
-    assert len(calls) == len(latencies) >= 10 and len(set(calls)) == 3
+    assert len(calls) == len(latencies) and len(set(calls)) == 3 and min(map(calls.count, set(calls))) >= 10
     images.write_png_files(picture(spark, np.zeros((4, 4, 3), np.uint8)), "request_id", "image", str(tmp_path / "png"))
     c = config.from_arguments(["--mode", "all", "--clients", "2", "--duration", "0", "--warmup", "0", "--min-iterations", "2", "--image", str(tmp_path / "png"), "--output-dir", str(tmp_path / "out")])
     got = benchmark.measure(spark, c, benchmark.detection(spark, c)).cache()
@@ -209,6 +212,28 @@ def test_clients_and_reports_from_arguments(spark, tmp_path):
     assert {r.concurrent_clients for r in reports.read_json(spark, str(tmp_path / "out")).collect()} == {2} and reports.read_csv(spark, files[1]).count() == 3
 
 
+@pytest.mark.parametrize("threshold", [0.0, 0.45, 0.9])
+def test_pairs_and_suppression_across_rows(spark, threshold):
+    """Against every pair, and box by box: negative corners, boxes without area, equal scores, boxes over several cells."""
+    rnd = random.Random(5)
+    side = lambda: rnd.choice([0, 1, 50, rnd.randrange(700)])
+    rows = [(rnd.randrange(3), k, rnd.choice([0.1, 0.2, rnd.random()]), rnd.randrange(-300, 600), rnd.randrange(-300, 600), side(), side()) for k in range(300)]
+    df = spark.createDataFrame(rows, "g int, k long, score double, x long, y long, w long, h long")
+
+    def alike(a, b):
+        both = max(0, min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3])) * max(0, min(a[4] + a[6], b[4] + b[6]) - max(a[4], b[4]))
+        whole = a[5] * a[6] + b[5] * b[6] - both
+        return a[0] == b[0] and (both > threshold * whole if whole else 1.0 > threshold)
+
+    got = [tuple(r) for r in detect.overlapping_pairs(df, "g", "k", threshold).select("g", "a_k", "b_k").collect()]
+    assert sorted(got) == sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and alike(a, b))
+    stay = []
+    for b in sorted(rows, key=lambda r: (-r[2], r[1])):
+        if not any(alike(a, b) for a in stay):
+            stay.append(b)
+    assert sorted(r.k for r in detect.suppress_groups(df, "g", ["k"], threshold).collect()) == sorted(b[1] for b in stay)
+
+
 def test_optimized_copy_is_written(tmp_path):
     from framewright.operators.infer import OnnxBackend, read_model, write_optimized
 
