@@ -87,12 +87,12 @@ select page_id, url, text, length(text)::bigint as n_chars from clean
 #: Equality of prefixes is tested on the turns themselves, not on digests.
 CHAT_FORMATTING = """
 with turns as (
-  select conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations
+  select conv_id, case when conv_id is null then row_number() over () end as lone, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations
 ), whole as (
   select conv_id, count(*) as n_turns,
     list(length(role) || chr(31) || role || chr(31) || text order by turn nulls first, role, text) as turns,
     string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by turn nulls first, role, text) as rendered
-  from turns group by conv_id
+  from turns group by conv_id, lone
 ), prefixes as (
   select distinct turns[1:i] as p from whole, unnest(range(1, n_turns)) as u(i)
 ), one as (

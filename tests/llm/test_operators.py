@@ -676,6 +676,15 @@ def test_chats(spark):
     assert chat.format_chats(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_rows_without_a_conversation_are_turns_of_their_own(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "user", "more"), (2, 0, "user", "same"), (None, 0, "user", "hi"), (None, 1, "user", "same"), (None, 0, "user", "lone"), (None, 5, None, "lone"), (None, None, "user", None), (None, 1, "assistant", "lone")]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    line = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert sorted(((r.conv_id or 0, r.n_turns, r.copies, r.rendered) for r in got)) == sorted([
+        (1, 2, 1, line("user", "hi") + line("user", "more")), (2, 1, 2, line("user", "same")), (0, 1, 2, line("user", "lone")), (0, 1, 1, line("user", "")), (0, 1, 1, line("assistant", "lone")),
+    ])
+
+
 @pytest.mark.parametrize("name", ["op1_license_scan", "op3_near_duplicates", "op9_html_extraction", "op10_chat_formatting"])
 def test_query_against_sql(spark, data, name):
     from framewright.llm.queries import ORACLES, QUERIES
