@@ -11,6 +11,7 @@ from framewright.llm.common import read
 from framewright.llm.decontaminate import find_leaks
 from framewright.llm.html_text import extract
 from framewright.llm.licenses import scan, summarize
+from framewright.llm.line_dedup import dedup_lines
 from framewright.llm.minhash import near_duplicates
 from framewright.llm.mixing import mix
 from framewright.llm.quality_rules import judge
@@ -60,10 +61,16 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_near_duplicates, op4_decontamination, op5_source_mixing, op6_url_filters, op7_quality_rules, op8_token_ids, op9_html_extraction, op10_chat_formatting)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dedup_lines(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_near_duplicates, op4_decontamination, op5_source_mixing, op6_url_filters, op7_quality_rules, op8_token_ids, op9_html_extraction, op10_chat_formatting, op11_line_dedup)}
 ORACLES: dict[str, str] = {
     "op1_license_scan": sql.license_scan(),
     "op3_near_duplicates": sql.NEAR_DUPLICATES,
     "op9_html_extraction": sql.HTML_EXTRACTION,
     "op10_chat_formatting": sql.CHAT_FORMATTING,
+    "op11_line_dedup": sql.LINE_DEDUP,
 }

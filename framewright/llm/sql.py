@@ -101,3 +101,16 @@ with turns as (
 )
 select conv_id, n_turns, copies, rendered from one where not exists (select 1 from prefixes where p = turns)
 """
+
+#: Keys are compared themselves, not their hashes.
+LINE_DEDUP = f"""
+with docs as (
+  select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents
+), lines as (
+  select r, doc_id, i, l[i + 1] as line, translate(trim(l[i + 1], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') as key from docs, unnest(range(len(l))) as u(i)
+), shared as (
+  select key from lines where key <> '' group by key having count(distinct r) >= 10
+)
+select any_value(doc_id) as doc_id, count(*) as n_lines, count(s.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (s.key is null), '')) as kept_sha256
+from lines left join shared s using (key) group by r
+"""
