@@ -17,6 +17,7 @@ from framewright.llm.mixing import mix
 from framewright.llm.quality_rules import judge
 from framewright.llm.token_counts import count_tokens
 from framewright.llm.token_ids import token_ids
+from framewright.llm.vector_codes import compress, label_errors
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,11 +67,17 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_near_duplicates, op4_decontamination, op5_source_mixing, op6_url_filters, op7_quality_rules, op8_token_ids, op9_html_extraction, op10_chat_formatting, op11_line_dedup)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = compress(read(spark, sf_dir, "embeddings"))
+    return label_errors(codes).select("vec_id", "code", "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_near_duplicates, op4_decontamination, op5_source_mixing, op6_url_filters, op7_quality_rules, op8_token_ids, op9_html_extraction, op10_chat_formatting, op11_line_dedup, op13_vector_codes)}
 ORACLES: dict[str, str] = {
     "op1_license_scan": sql.license_scan(),
     "op3_near_duplicates": sql.NEAR_DUPLICATES,
     "op9_html_extraction": sql.HTML_EXTRACTION,
     "op10_chat_formatting": sql.CHAT_FORMATTING,
     "op11_line_dedup": sql.LINE_DEDUP,
+    "op13_vector_codes": sql.vector_codes(),
 }

@@ -114,3 +114,34 @@ with docs as (
 select any_value(doc_id) as doc_id, count(*) as n_lines, count(s.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (s.key is null), '')) as kept_sha256
 from lines left join shared s using (key) group by r
 """
+
+
+def vector_codes(parts: int = 16, width: int = 4, entries: int = 64, rounds: int = 2) -> str:
+    """Every part against every entry: a round is two steps, which entry is nearest and the entries' new values."""
+    far = " + ".join(f"(q[{j}] - c[{j}]) * (q[{j}] - c[{j}])" for j in range(1, width + 1))
+    floor = lambda s: f"(({s}) - ((({s}) % n) + n) % n) // n"
+    steps = ""
+    for k in range(rounds + 1):
+        steps += f""", near{k} as (
+  select r, p, any_value(q) as q, min(({far}) * {entries} + e) as m from parts join book{k} using (p) group by r, p
+)"""
+        if k < rounds:
+            steps += f""", book{k + 1} as (
+  select p, e, case when n is null then c else [{", ".join(floor(f"s[{j}]") for j in range(1, width + 1))}] end as c
+  from book{k} left join (select p, m % {entries} as e, count(*) as n, [{", ".join(f"sum(q[{j}])::bigint" for j in range(1, width + 1))}] as s from near{k} group by 1, 2) using (p, e)
+)"""
+    return f"""
+with kept as (
+  select row_number() over () as r, vec_id, label, [floor(256 * x::double)::bigint for x in embedding] as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), parts as (
+  select r, p, v[{width} * p + 1:{width} * p + {width}] as q from kept, unnest(range({parts})) as u(p)
+), book0 as (
+  select p, e, v[{width} * p + 1:{width} * p + {width}] as c from (select v, row_number() over (order by vec_id) - 1 as e from kept qualify e < {entries}), unnest(range({parts})) as u(p)
+){steps}, coded as (
+  select r, string_agg(format('{{:02x}}', m % {entries}), '' order by p) as code, sum(m // {entries})::bigint as error from near{rounds} group by r
+), digest as (
+  select sha256(string_agg(c[j]::varchar, ',' order by p, e, j)) as d from book{rounds}, unnest(range(1, {width + 1})) as u(j)
+)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, d as codebooks_sha256 from coded join kept using (r), digest
+"""

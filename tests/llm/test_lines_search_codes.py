@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from framewright.llm import line_dedup
+from framewright.llm import line_dedup, vector_codes
 from tests.llm.test_operators import LOWER, ODD, docs
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -50,3 +50,88 @@ def test_line_dedup_edges(spark):
     got = line_dedup.deduplicated(docs(spark, rows), min_docs=4)
     assert got.columns == docs(spark, rows).columns and {r.text for r in got.collect()} == {""} and got.where("source is not null").count() == 4
     assert {r.text for r in line_dedup.deduplicated(docs(spark, rows), min_docs=4, min_chars=5).collect()} == {"the"}
+
+
+# --- 13
+
+
+def codes_by_hand(rows, parts=16, entries=64, rounds=2):
+    """Every part against every entry, in Python's whole numbers."""
+    kept = [(i, label, v) for i, v, label in rows if v and None not in v and all(map(math.isfinite, v)) and len(v) % parts == 0]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    kept = [(i, label, [math.floor(256 * x) for x in v]) for i, label, v in kept if len(v) == len(kept[0][2])]
+    d = len(kept[0][2]) // parts
+    cut = [[v[p * d : (p + 1) * d] for _, _, v in kept] for p in range(parts)]
+    books = [c[:entries] for c in cut]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    near = lambda q, book: min((far(q, c), e) for e, c in enumerate(book))
+    for _ in range(rounds):
+        for p in range(parts):
+            members = defaultdict(list)
+            for q in cut[p]:
+                members[near(q, books[p])[1]].append(q)
+            books[p] = [[sum(x) // len(members[e]) for x in zip(*members[e])] if members[e] else c for e, c in enumerate(books[p])]
+    best = [[near(cut[p][k], books[p]) for p in range(parts)] for k in range(len(kept))]
+    out = [(i, label, "".join(f"{e:02x}" for _, e in b), sum(x for x, _ in b)) for (i, label, _), b in zip(kept, best)]
+    sums = Counter()
+    for _, label, _, error in out:
+        sums[label] += error
+    return Counter((*r, sums[r[1]]) for r in out), hashlib.sha256(",".join(str(x) for b in books for c in b for x in c).encode()).hexdigest()
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, id int, v int, code string, error int, _label int, n int, part int"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, label, *(None,) * 7) for i, v, label in rows], VECTORS)
+
+
+def coded(spark, rows, **options):
+    codes = vector_codes.compress(vectors(spark, rows), **options)
+    return Counter(map(tuple, vector_codes.label_errors(codes).collect())), codes.digest()
+
+
+def embedded(n, dims=32, seed=1, spread=3):
+    """Vectors on a coarse lattice, so that many distances are equal."""
+    rng = np.random.default_rng(seed)
+    return [(int(i), (rng.integers(-spread, spread + 1, dims) / 256).tolist(), int(rng.integers(4)) or None) for i in rng.permutation(n)]
+
+
+def test_vector_codes(spark):
+    rows = embedded(700) + [(9999, None, 1), (0, None, 1), (5, [0.1] * 31 + [None], 2), (6, [float("nan")] * 32, 2), (7, [float("inf")] + [0.0] * 31, 2), (8, [], 3), (None, [0.25] * 32, None), (None, [0.5] * 32, 3), (800, [0.1] * 16, 1), (801, [0.1] * 5, 1)]
+    rows += [(17, [3.0 - k / 8 for k in range(32)], 1)] * 40 + [(18, [1e3, -1e3] * 16, 2)]
+    assert coded(spark, rows) == codes_by_hand(rows)
+    assert coded(spark, rows, entries=5, rounds=3) == codes_by_hand(rows, entries=5, rounds=3)
+
+
+def test_vector_codes_blocks_do_not_matter(spark, monkeypatch):
+    rows = embedded(300, 16, 2, 40)
+    want = codes_by_hand(rows)
+    for block, leaf in ((7, 2), (64, 3), (8192, 16)):
+        monkeypatch.setattr(vector_codes, "BLOCK", block)
+        monkeypatch.setattr(vector_codes, "LEAF", leaf)
+        total, n = np.zeros((64, 1), np.int64), np.zeros(64, np.int64)
+        points = np.array([[math.floor(256 * v[0])] for _, v, _ in rows], np.int32)
+        order = vector_codes.tree_order(points)
+        tree = vector_codes.Tree.of(points[order], *vector_codes.leaves(points[order]))
+        book = points[:64].astype(np.int64)
+        seen = np.zeros(len(rows), int)
+        for at, entry, whole in vector_codes.filtered(tree, book):
+            seen[order[at]] += 1
+            assert (((points[order[at]] - book[entry]) ** 2).sum(1) == ((points[order[at]][:, None] - book[None]) ** 2).sum(2).min(1)).all()
+            np.add.at(total, entry, points[order[at]] if whole is None else whole)
+            np.add.at(n, entry, 1 if whole is None else at.stop - at.start)
+        assert (seen == 1).all() and total.sum() == points.sum() and n.sum() == len(rows)
+        assert coded(spark, rows) == want
+
+
+def test_vector_codes_edges(spark):
+    assert coded(spark, []) == (Counter(), hashlib.sha256(b"").hexdigest())
+    assert coded(spark, [(1, None, None)])[0] == Counter()
+    few = embedded(3)
+    assert coded(spark, few) == codes_by_hand(few)
+    huge = [(1, [3e38] * 32, 1), (2, [-3e38] * 32, 1), (3, [0.0] * 32, 1)]
+    assert {r[3] for r in coded(spark, huge)[0]} == {0}
+    assert {len(r[2]) for r in coded(spark, [(1, [0.5] * 4096, 1), (2, [0.25] * 4096, 1)])[0]} == {32}
+    with pytest.raises(ValueError):
+        vector_codes.compress(vectors(spark, few), entries=257)
