@@ -10,6 +10,7 @@ from framewright.llm.chat import format_chats
 from framewright.llm.common import read
 from framewright.llm.decontaminate import find_leaks
 from framewright.llm.html_text import extract
+from framewright.llm.lexical_search import rank
 from framewright.llm.licenses import scan, summarize
 from framewright.llm.line_dedup import dedup_lines
 from framewright.llm.minhash import near_duplicates
@@ -67,17 +68,22 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = compress(read(spark, sf_dir, "embeddings"))
     return label_errors(codes).select("vec_id", "code", "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_near_duplicates, op4_decontamination, op5_source_mixing, op6_url_filters, op7_quality_rules, op8_token_ids, op9_html_extraction, op10_chat_formatting, op11_line_dedup, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_near_duplicates, op4_decontamination, op5_source_mixing, op6_url_filters, op7_quality_rules, op8_token_ids, op9_html_extraction, op10_chat_formatting, op11_line_dedup, op12_ranked_search, op13_vector_codes)}
 ORACLES: dict[str, str] = {
     "op1_license_scan": sql.license_scan(),
     "op3_near_duplicates": sql.NEAR_DUPLICATES,
     "op9_html_extraction": sql.HTML_EXTRACTION,
     "op10_chat_formatting": sql.CHAT_FORMATTING,
     "op11_line_dedup": sql.LINE_DEDUP,
+    "op12_ranked_search": sql.RANKED_SEARCH,
     "op13_vector_codes": sql.vector_codes(),
 }

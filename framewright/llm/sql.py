@@ -115,6 +115,27 @@ select any_value(doc_id) as doc_id, count(*) as n_lines, count(s.key) as n_dropp
 from lines left join shared s using (key) group by r
 """
 
+#: Every document that shares a term with an item is scored.
+RANKED_SEARCH = f"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents
+), counts as (
+  select count(*) filter (len(w) > 0) as n_docs, sum(len(w))::bigint as n_terms from docs
+), items as (
+  select row_number() over () as q, item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from benchmark
+), asked as (
+  select q, item_id, term, count(*) as c from (select q, item_id, unnest(w) as term from items) group by all
+), postings as (
+  select r, doc_id, n, term, count(*) as tf from (select r, doc_id, len(w) as n, unnest(w) as term from docs) where term in (select term from asked) group by all
+), weights as (
+  select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint as weight from postings, counts group by term, n_docs
+), scored as (
+  select q, item_id, r, doc_id, sum(c * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint as score
+  from asked join postings using (term) join weights using (term), counts group by all
+)
+select item_id, row_number() over (partition by q order by score desc, doc_id nulls last, r)::int as rank, doc_id, score from scored where score > 0 qualify rank <= 20
+"""
+
 
 def vector_codes(parts: int = 16, width: int = 4, entries: int = 64, rounds: int = 2) -> str:
     """Every part against every entry: a round is two steps, which entry is nearest and the entries' new values."""

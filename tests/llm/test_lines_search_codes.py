@@ -9,9 +9,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from framewright.llm import line_dedup, vector_codes
+from framewright.llm import lexical_search, line_dedup, vector_codes
 from tests.llm.test_operators import LOWER, ODD, docs
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -52,6 +53,90 @@ def test_line_dedup_edges(spark):
     assert {r.text for r in line_dedup.deduplicated(docs(spark, rows), min_docs=4, min_chars=5).collect()} == {"the"}
 
 
+# --- 12
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked_by_hand(rows, items, k=20):
+    words = lambda t: TERM.findall((t or "").translate(LOWER))
+    found = [(i, Counter(w), len(w)) for i, t in rows if (w := words(t))]
+    n_docs, n_terms, df = len(found), sum(n for _, _, n in found), Counter(t for _, c, _ in found for t in c)
+    out = []
+    for item, text in items:
+        scored = []
+        for i, c, n in found:
+            m = 75 + 25 * n * n_docs // n_terms
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m)) for t in words(text) if t in c)
+            scored += [(-score, i is None, i, score)] * (score > 0)
+        out += [(item, r + 1, x[2], x[3]) for r, x in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:k])]
+    return Counter(out)
+
+
+def searched(n=900, seed=4):
+    """Words of very different frequency, equal texts, and some very short ones, so that many scores are equal."""
+    rnd = random.Random(seed)
+    word = lambda: f"w{int(rnd.paretovariate(0.7)) % 400}"
+    texts = [" ".join(word() for _ in range(rnd.choice([1, 3, 20, 60]))) for _ in range(n)]
+    rows = [(rnd.randrange(10 * n), rnd.choice(texts)) for _ in range(n)]
+    return rows, [(k, " ".join(word() for _ in range(rnd.randrange(1, 30)))) for k in range(25)]
+
+
+ITEM = "item_id long, text string, n int, item int, rank int, score int, term string"
+
+
+def items_of(spark, items):
+    return spark.createDataFrame([(i, t, *(None,) * 5) for i, t in items], ITEM)
+
+
+def test_ranked_search(spark):
+    rows, items = searched()
+    rows += ODD + [(None, "w1 w2 w3")] * 3 + [(77, "W1-w2_w3 \u00e9\u00df")] * 4
+    items += [(100, None), (101, ""), (102, "..."), (103, "nowhere"), (None, "one word"), (3, "w1 w1 w1 W2"), (3, "w1 w1 w1 W2"), (104, "\u00e9\u00df"), (105, "w1 " * 5000)]
+    got = Counter(map(tuple, lexical_search.rank(docs(spark, rows), items_of(spark, items)).collect()))
+    assert got == ranked_by_hand(rows, items)
+    assert Counter(map(tuple, lexical_search.rank(docs(spark, rows), items_of(spark, items), k=3).collect())) == ranked_by_hand(rows, items, 3)
+
+
+def test_ranked_search_edges(spark, monkeypatch):
+    assert lexical_search.rank(docs(spark, []), items_of(spark, [(1, "a")])).count() == 0
+    assert lexical_search.rank(docs(spark, [(1, "a"), (2, None)]), items_of(spark, [])).count() == 0
+    assert [tuple(r) for r in lexical_search.rank(docs(spark, [(1, "a"), (2, None), (3, "b")]), items_of(spark, [(1, "a")])).collect()] == list(ranked_by_hand([(1, "a"), (3, "b")], [(1, "a")]))
+    monkeypatch.setattr(lexical_search, "MOST_ITEMS", 4)  # several blocks of items
+    rows, items = searched(200, 9)
+    assert Counter(map(tuple, lexical_search.rank(docs(spark, rows), items_of(spark, items)).collect())) == ranked_by_hand(rows, items)
+
+
+@pytest.mark.parametrize("block", [1, 3, 16])
+def test_posting_blocks(monkeypatch, block):
+    """A segment's best for each query, whatever the size of its blocks; and blocks stay closed."""
+    monkeypatch.setattr(lexical_search, "BLOCK", block)
+    rows, items = searched(600, block)
+    segment = lexical_search.Segment()
+    for at in range(0, len(rows), 100):
+        segment.add([r[0] for r in rows[at : at + 100]], [r[1].encode() for r in rows[at : at + 100]])
+    stats = lexical_search.Stats(len(segment.ids), segment.size)
+    table = pa.Table.from_batches([segment.rows(5, pa.int64(), stats)])
+    words = lambda t: sorted(Counter(lexical_search.terms(t.encode())).items())
+    df = dict(zip(table["term"].to_pylist(), table["df"].to_pylist()))
+    whole = ranked_by_hand(rows, items, 5)
+    got, opened = Counter(), []
+    for item, text in items:
+        postings = lexical_search.Postings(table, stats)
+        best = postings.best([(t, c * stats.weight(df[t])) for t, c in words(text) if t in df], 5)
+        got.update((item, r + 1, postings.ids[d].as_py(), s) for r, (d, s) in enumerate(best))
+        ours = [postings.number[t] for t, _ in words(text) if t in df]
+        opened.append(postings.opened.sum() / max(1, sum(postings.begin[t + 1] - postings.begin[t] for t in ours)))
+    assert got == whole and min(opened) < 0.5
+
+
+def test_blocks_hold_wide_values():
+    doc, tf = np.array([0, 5, 70_000, 70_001, 3, 9_000_000]), np.array([1, 300, 2, 70_000, 1, 1])
+    data, sizes = lexical_search.packed(doc, tf, np.array([0, 4]))
+    back = lexical_search.unpacked(data, np.array([0, sizes[0]]), np.array([4, 2]), np.array([0, 3]))
+    assert back[0].tolist() == doc.tolist() and back[1].tolist() == tf.tolist()
+
+
 # --- 13
 
 
