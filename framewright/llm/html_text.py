@@ -9,12 +9,14 @@ The result is the host's wrapper, a union-free regular expression over tags.
 
 The rows come out of the wrapper.  Each distinct folded stream is matched against
 its host's wrapper, which names the slot of every text.  Slots are counted over
-all pages: a slot varies if two pages differ there.  The content region is found
-by walking down the wrapper from its root: into the one part that holds most of
-the characters of varying slots that aren't links, as long as that part is a container that occurs
-once and no heading, paragraph or list would stay behind; the walk ends at an ``article`` or ``main``.
-The text of a page is what the match puts into the region.  In a region that has
-no such tag, slots at its rim that never vary (on three pages at least) or consist
+all pages: a slot varies if two pages differ there.  The content region is looked for in
+three steps.  An ``article`` that occurs once a page and holds text on most of the host's pages is the region, or
+else a ``main``; of several, the one with the most text in varying slots that aren't links.  Without them a part
+whose class, id or role calls it main text is.  Without either the wrapper is walked down from its
+root: into the one part that holds most of the characters of varying slots that aren't links, among the parts
+that have a heading with text below it if there are any, as long as that part is a container that occurs
+once and no heading, paragraph or list would stay behind.  Of equal parts the first one counts.
+The text of a page is what the match puts into the region.  In a region found by walking, slots at its rim that never vary (on three pages at least) or consist
 of links are template and go too.  A page whose match puts no text into the region
 gives all its text but template.
 
@@ -22,8 +24,10 @@ Menus, headers, footers, sidebars, notices, adverts, forms and reader comments t
 stand within the region are left out as the last step, by tag, role, class or id; scripts,
 styles, templates and text fields hold no text.  Nothing else is dropped.
 
-Only distinct folded streams of a host meet, and these in slices by their hash, so
-that a host with a third of all pages is dealt to many tasks.
+Only distinct folded streams of a host meet, in groups of about ``GROUP_OF``, whose wrappers meet in groups again
+until the host has one: a host with a third of all pages is dealt to many tasks, and no task
+gets more with more pages.  A node with over ``MOST_CHILDREN`` different children becomes a repeated group of
+optional ones, ``(a?b?c?)*``, so a wrapper doesn't grow with the number of its pages.
 
 Character references are decoded, white space in a block becomes one space, and
 blocks are joined by one space in page order.  Null or empty html gives an empty
@@ -52,7 +56,7 @@ from framewright.llm.url_filters import host_and_path
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-WORD = re.compile(r"[a-z0-9]+")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 # Tags without content, tags whose content is no markup, tags inside a line, and tags that a like one closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -68,43 +72,72 @@ SELF_CLOSING = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td":
 LEFT_OUT = frozenset("nav header footer aside form button select dialog head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MARKS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar aside widget cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion share sharing social related recommended comment comments disqus respond reply replies login signup pagination pager toolbar skip".split())
-PLAIN_WORDS = frozenset("area author bar block body bottom box button buttons container content count form group holder icons inner item items left link links list main meta outer panel right row section site slot text thread top unit wrap wrapper".split())
+PLAIN_WORDS = frozenset("area article author bar block blog body bottom box button buttons container content count customer entry fixed floating form global group holder icons inner item items latest left link links list main meta mobile outer page panel post posts primary reader readers recent right row secondary section site slot sticky story text thread title top unit user users visitor visitors wrap wrapper".split())
+# What an article may be called that is a reader's comment, and the words of classes and ids that call a part main text.
+COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+MAIN_WORDS, BESIDE_MAIN = frozenset("main article content post entry story".split()), frozenset("body text page inner wrap wrapper container area section single".split())
 REGIONS = ("article", "main")
 # Tags that only hold blocks: the walk to the region goes down through these.
 CONTAINERS = frozenset("body article main section div center table tbody tr td".split())
-SLOT, MARKED, GROUP = "#", "!", "("
-#: Siblings that may recur together, slices of a host's distinct streams, and open tags below which blocks aren't told apart any more (their text stays).
-LONGEST_GROUP, SLICES, DEEPEST = 3, 64, 100
+HEADINGS = ("h1", "h2")
+SLOT, MARKED, MAIN, GROUP, BAG = "#", "!", "@", "(", "["
+#: Siblings that may recur together, and open tags below which blocks aren't told apart any more (their text stays).
+LONGEST_GROUP, DEEPEST = 3, 100
+#: Streams or wrappers that are aligned in one group, and children of a node before they become a repeated group of optional ones.
+GROUP_OF, MOST_CHILDREN = 32, 64
 #: Pages on which a slot must be the same to count as template.
 CONSTANT_PAGES = 3
 
 
+def words_of(name: str) -> set[str]:
+    """The words of a class or id: split at signs and in camel case; a mark glued to a plain word gives both."""
+    found = set()
+    for word in map(str.lower, WORD.findall(name)):
+        cut = next((k for k in range(2, len(word) - 1) if word not in MARKS and {word[:k], word[k:]} & MARKS and {word[:k], word[k:]} <= MARKS | PLAIN_WORDS), None)
+        found |= {word[:cut], word[cut:]} if cut else {word}
+    return found
+
+
 def left_out(tag: str, attributes: str, in_region: bool) -> bool:
     if tag in LEFT_OUT:
         return not (tag == "header" and in_region)
-    if not attributes or tag in ("html", "body", *REGIONS):
+    if not attributes or tag in ("html", "body", "main"):
         return False
+    marks = COMMENTS if tag == "article" else MARKS
     for name, a, b, c in NAMED.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "role" and value in ROLES:
+        name, value = name.lower(), a or b or c
+        if name == "role" and value.lower() in ROLES and tag != "article":
             return True
         if name in ("class", "id"):
             for part in value.split():
-                found = set(WORD.findall(part))
-                if found & MARKS and found <= MARKS | PLAIN_WORDS:
+                found = words_of(part)
+                if found & marks and found <= MARKS | PLAIN_WORDS:
                     return True
     return False
 
 
+def called_main(tag: str, attributes: str) -> bool:
+    """Whether a part's role, class or id calls it the main text."""
+    if tag not in CONTAINERS or tag in ("body", *REGIONS):
+        return False
+    for name, a, b, c in NAMED.findall(attributes) if attributes else ():
+        name, value = name.lower(), a or b or c
+        if name == "role" and value.lower() in REGIONS:
+            return True
+        if name in ("class", "id") and any((found := words_of(part)) & MAIN_WORDS and found <= MAIN_WORDS | BESIDE_MAIN for part in value.split()):
+            return True
+    return False
+
+
 def symbol(tag: str, attributes: str, marked: bool) -> str:
-    """A token of the wrapper: the tag with its first class or id without digits, and a mark if it is to be left out."""
+    """A token of the wrapper: the tag with its first class or id without digits, and a mark if it is to be left out or called main text."""
     name = ""
     for kind, a, b, c in NAMED.findall(attributes) if attributes else ():
         if kind.lower() in ("class", "id"):
-            name = next((x for x in (a or b or c).lower().split() if x.isascii() and x.isidentifier() and not any(map(str.isdigit, x))), "")
+            name = next((x for x in (a or b or c).lower().split() if x.isascii() and x.replace("-", "_").isidentifier() and not any(map(str.isdigit, x))), "")
             if name:
                 break
-    return (MARKED if marked else "") + tag + (f".{name}" if name else "")
+    return (MARKED if marked else MAIN if called_main(tag, attributes) else "") + tag + (f".{name}" if name else "")
 
 
 # --- pages as trees: a node is [symbol, how, children, texts]; how: "" once, "?" optional, "+" repeated, "*" both
@@ -261,10 +294,47 @@ def align(x: list, y: list) -> list[tuple[int | None, int | None]]:
     return out + [(len(x) - k, len(y) - k) for k in range(last, 0, -1)]
 
 
+def bag(nodes: list) -> list:
+    """A repeated group of optional nodes, each symbol once, for a sequence of nodes."""
+    if len(nodes) == 1 and nodes[0][0] == BAG:
+        return nodes[0]
+    kinds: dict[str, list] = {}
+    for x in _members(nodes):
+        kinds[x[0]] = merge(kinds[x[0]], x, repeated=True) if x[0] in kinds else x
+    return [BAG, "*", [[x[0], _how(x[1], optional=True), x[2], x[3]] for _, x in sorted(kinds.items())], []]
+
+
+def bagged(node: list) -> list:
+    """The node with its children, where they are too many, as such a group; so in every node below it."""
+    children = [bagged(x) for x in node[2]]
+    if node[0] != BAG and (len(children) > MOST_CHILDREN or len(children) > 1 and any(x[0] == BAG for x in children)):
+        children = [bag(children)]
+    return [node[0], node[1], children, node[3]]
+
+
+def _members(nodes: list):
+    """The nodes with those of groups in their place."""
+    for x in nodes:
+        if x[0] == BAG or x[0][:1] == GROUP:
+            yield from _members(x[2])
+        else:
+            yield x
+
+
+def _in_bag(node: list) -> bool:
+    return len(node[2]) == 1 and node[2][0][0] == BAG
+
+
 def merge(a: list, b: list, repeated: bool = False) -> list:
     """One node for two of the same symbol: like tokens merge, the others become optional."""
+    how, texts = _how(a[1], b[1], repeated=repeated), a[3] + b[3]
+    if _in_bag(a) or _in_bag(b):
+        kinds = {x[0]: x for x in bag(a[2])[2]}
+        for x in bag(b[2])[2]:
+            kinds[x[0]] = merge(kinds[x[0]], x) if x[0] in kinds else x
+        return [a[0], how, [[BAG, "*", [x for _, x in sorted(kinds.items())], []]], texts]
     if _names(a[2]) == _names(b[2]):
-        return [a[0], _how(a[1], b[1], repeated=repeated), [merge(p, q) for p, q in zip(a[2], b[2])], a[3] + b[3]]
+        return [a[0], how, [merge(p, q) for p, q in zip(a[2], b[2])], texts]
     x, y = _grouped(a[2], b[2]), _grouped(b[2], a[2])
     children = []
     for i, j in align(x, y):
@@ -273,7 +343,7 @@ def merge(a: list, b: list, repeated: bool = False) -> list:
         else:
             one = y[j] if i is None else x[i]
             children.append([one[0], _how(one[1], optional=True), one[2], one[3]])
-    return [a[0], _how(a[1], b[1], repeated=repeated), children, a[3] + b[3]]
+    return [a[0], how, children, texts]
 
 
 def bare(node: list) -> list:
@@ -291,7 +361,7 @@ def leaves(node: list):
 def expression(node: list) -> str:
     """The wrapper as a union-free regular expression over tags and slots."""
     inner = "".join(expression(x) for x in node[2])
-    text = SLOT if node[0] == SLOT else inner if node[0][:1] in ("", GROUP) else f"<{node[0]}>{inner}</{node[0]}>"
+    text = SLOT if node[0] == SLOT else inner if node[0][:1] in ("", GROUP, BAG) else f"<{node[0]}>{inner}</{node[0]}>"
     return f"({text}){node[1]}" if node[1] else text
 
 
@@ -307,6 +377,12 @@ def match(shape: list, wrapper: list) -> list[tuple[str, bool]]:
         if node[0] == SLOT:
             out.append((place, marked))
             return
+        if to is not None and _in_bag(to):
+            members = {x[0]: k for k, x in enumerate(to[2][0][2])}
+            for x in _members(node[2]):
+                k = members.get(x[0])
+                walk(x, None if k is None else to[2][0][2][k], place if k is None else f"{place}.0.{k}", marked)
+            return
         children = node[2] if to is None else _grouped(node[2], to[2])
         known = {} if to is None else {i: j for i, j in align(children, to[2]) if i is not None and j is not None}
         for i, x in enumerate(children):
@@ -317,32 +393,88 @@ def match(shape: list, wrapper: list) -> list[tuple[str, bool]]:
     return out
 
 
-def content(wrapper: list, slots: dict[str, dict]) -> tuple[str, list[str]]:
+def tag_of(node: list) -> str:
+    return node[0].lstrip(MARKED + MAIN).split(".")[0]
+
+
+def content(wrapper: list, slots: dict[str, dict], pages: int) -> tuple[str, list[str]]:
     """The place of the content region in the wrapper, and the slots that are template.
 
     ``slots``: for each place the numbers of pages, characters, characters in links, whether it varies and is marked.
+    ``pages``: how many pages the host has.
     """
     text = {p: s for p, s in slots.items() if not s["marked"] and 2 * s["links"] <= s["chars"]}
     text = {p: s for p, s in text.items() if s["varies"]} or text
-    tag = lambda node: node[0].lstrip(MARKED).split(".")[0]
-    mass = lambda place: sum(s["chars"] for p, s in text.items() if p == place or p.startswith(f"{place}."))
-    node, place, semantic = wrapper, "", False
-    while not semantic:
+    under = lambda place: [p for p in text if p == place or p.startswith(f"{place}.")]
+    mass = lambda place: sum(text[p]["chars"] for p in under(place))
+    found: dict[str, list[str]] = {"article": [], "main": [], MAIN: []}
+
+    def seek(node: list, place: str) -> None:
+        """Notes parts that a tag or name calls main text, that occur once and that most pages have text in."""
+        for j, x in enumerate(node[2]):
+            if x[0][:1] == MARKED or x[0] != BAG and set(x[1]) & set("+*"):
+                continue
+            at, kind = f"{place}.{j}", tag_of(x) if tag_of(x) in REGIONS else x[0][:1]
+            if kind in found and 2 * max((slots[p]["pages"] for p in under(at)), default=0) > pages:
+                found[kind].append(at)
+            seek(x, at)
+
+    seek(wrapper, "")
+    for kind, places in found.items():
+        outer = [p for p in places if not any(p.startswith(f"{q}.") for q in places)]
+        if outer:
+            best = max(outer, key=mass)
+            while kind == MAIN:  # names are given to wrappers too: on to the part with that name that has most of it
+                inner = max((p for p in places if p.startswith(f"{best}.")), key=mass, default=None)
+                if inner is None or 2 * mass(inner) <= mass(best):
+                    break
+                best = inner
+            return best, []
+    return _walked(wrapper, slots, text, under, mass)
+
+
+def _walked(wrapper: list, slots: dict[str, dict], text: dict[str, dict], under, mass) -> tuple[str, list[str]]:
+    """The region of a host whose pages don't name it, and its template."""
+
+    def headed(node: list, place: str) -> bool:
+        """A heading with text, and other text besides."""
+        heads: set[str] = set()
+
+        def look(x: list, at: str, inside: bool) -> None:
+            if inside and at in text:
+                heads.add(at)
+            for k, y in enumerate(x[2]):
+                look(y, f"{at}.{k}", inside or tag_of(y) in HEADINGS)
+
+        look(node, place, tag_of(node) in HEADINGS)
+        return bool(heads) and any(p not in heads for p in under(place))
+
+    node, place = wrapper, ""
+    while True:
         parts = [(mass(f"{place}.{j}"), j) for j in range(len(node[2]))]
-        most, j = max(parts, default=(0, 0))
-        if 2 * most <= mass(place):
+        pool = [(m, j) for m, j in parts if m and headed(node[2][j], f"{place}.{j}")] or [(m, j) for m, j in parts if m]
+        most, j = max(pool, key=lambda x: (x[0], -x[1]), default=(0, 0))
+        if 2 * most <= sum(m for m, _ in pool):
             break
         below = node[2][j]
         behind = [node[2][k] for m, k in parts if m and k != j]
-        if set(below[1]) & set("+*") or tag(below) not in CONTAINERS or tag(below) not in REGIONS and any(tag(x) not in CONTAINERS for x in behind):
+        if set(below[1]) & set("+*") or tag_of(below) not in CONTAINERS or any(tag_of(x) not in CONTAINERS for x in behind):
             break
-        node, place, semantic = below, f"{place}.{j}", tag(below) in REGIONS
-    if semantic:
+        node, place = below, f"{place}.{j}"
+    # in the order of the wrapper, what stands before the first and after the last slot that varies and isn't links; a repeated group of options has no order, and what stands in an article is no template
+    if _in_bag(node):
         return place, []
-    # in the order of the wrapper, what stands before the first and after the last slot that varies and isn't links
+    named: set[str] = set()
+
+    def listed(x: list, at: str, inside: bool) -> None:
+        named.update([at] * inside)
+        for k, y in enumerate(x[2]):
+            listed(y, f"{at}.{k}", inside or tag_of(y) in REGIONS)
+
+    listed(node, place, False)
     order = sorted((p for p in slots if p == place or p.startswith(f"{place}.")), key=lambda p: [int(x) for x in p.split(".")[1:]])
     template = lambda s: not s["varies"] and s["pages"] >= CONSTANT_PAGES or 2 * s["links"] > s["chars"]
-    kept = [i for i, p in enumerate(order) if not template(slots[p])]
+    kept = [i for i, p in enumerate(order) if p in named or not template(slots[p])]
     return place, [p for i, p in enumerate(order) if kept and (i < kept[0] or i > kept[-1])]
 
 
@@ -366,18 +498,32 @@ def _read_shapes(batches):
 
 def wrapper_of(shapes: list[list]) -> list:
     """The shapes aligned one after the other; those that groups of later ones leave partly unmatched are aligned once more."""
+    shapes = [bagged(x) for x in shapes]
     whole = shapes[0]
     for again in range(3):
         places = {p for p, _ in match(whole, whole)}
         for one in shapes[1:] if not again else shapes:
             if not again or any(p not in places for p, _ in match(one, whole)):
-                whole = merge(whole, one)
+                whole = bagged(merge(whole, one))
     return whole
 
 
 def _infer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The wrapper of the shapes of one host, or of one slice of them."""
-    return pd.DataFrame({"host": [pdf.host.iloc[0]], "shape": [json.dumps(wrapper_of([json.loads(x) for x in sorted(pdf["shape"])]))]})
+    """The wrapper of a group of a host's shapes or wrappers."""
+    return pd.DataFrame({"host": [pdf.host.iloc[0]], "number": [pdf.number.iloc[0]], "shape": [json.dumps(wrapper_of([json.loads(x) for x in sorted(pdf["shape"])]))]})
+
+
+def _one_each(kinds: DataFrame) -> DataFrame:
+    """(host, shape): one wrapper for each host of (host, sid, shape), in levels of bounded groups; the driver sees the largest host's number of groups."""
+    level, most = kinds.withColumnRenamed("sid", "number"), None
+    while most is None or most > 1:
+        sizes = level.groupBy(F.col("host").alias("of")).agg(F.ceil(F.count("*") / GROUP_OF).alias("groups"))
+        dealt = level.join(sizes, F.col("host") == F.col("of")).select("host", F.pmod("number", "groups").alias("number"), "shape")
+        above = write_table(dealt.groupBy("host", "number").applyInPandas(_infer, "host string, number long, shape string"), "wrappers")
+        if most is not None:
+            drop_table(level)
+        level, most = above, above.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    return level
 
 
 def _match_shapes(batches):
@@ -389,12 +535,12 @@ def _match_shapes(batches):
 
 
 def _choose(batches):
-    """(host, wrapper, expression, region, template) of (host, wrapper, slots)."""
+    """(host, wrapper, expression, region, template) of (host, wrapper, slots, number of pages)."""
     for batch in batches:
         rows = []
-        for host, wrapper, slots in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for host, wrapper, slots, pages in zip(*(batch.column(k).to_pylist() for k in range(4))):
             tree = json.loads(wrapper)
-            region, template = content(tree, {s["slot"]: s for s in slots or ()})
+            region, template = content(tree, {s["slot"]: s for s in slots or ()}, pages)
             rows.append((host, wrapper, expression(tree), region, template))
         c = list(zip(*rows)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in c[:4]), pa.array(c[4], pa.list_(pa.string()))], names=["host", "wrapper", "expression", "region", "template"])
@@ -404,10 +550,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper, expression, region, template) from (host, h): the wrapper as a tree and as text, the region's place, the template's slots."""
     seen = write_table(pages.select("host", "h").mapInArrow(_read_shapes, _SHAPES).withColumn("sid", F.xxhash64("shape")), "shapes")
     kinds = write_table(seen.groupBy("host", "sid").agg(F.any_value("shape").alias("shape")), "kinds")
-    # a host's shapes are aligned in slices by their hash, then the slices' wrappers
-    sliced = kinds.groupBy("host", F.pmod("sid", F.lit(SLICES))).applyInPandas(_infer, "host string, shape string")
-    whole = write_table(sliced.groupBy("host").applyInPandas(_infer, "host string, shape string").select("host", F.col("shape").alias("wrapper")), "wrappers")
-    matched = kinds.join(whole, "host").select("host", "sid", "shape", "wrapper").mapInArrow(_match_shapes, "host string, sid long, slots array<string>, marks array<boolean>")
+    whole = _one_each(kinds)
+    wrapper = whole.select("host", F.col("shape").alias("wrapper"))
+    matched = kinds.join(wrapper, "host").select("host", "sid", "shape", "wrapper").mapInArrow(_match_shapes, "host string, sid long, slots array<string>, marks array<boolean>")
     leaf = seen.select("host", "sid", F.posexplode(F.arrays_zip("hash", "chars", "links")).alias("pos", "s")).groupBy("host", "sid", "pos").agg(
         F.min("s.hash").alias("low"), F.max("s.hash").alias("high"), F.count("*").alias("pages"), F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links")
     )
@@ -416,7 +561,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
         (F.min("low") != F.max("high")).alias("varies"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.max("marked").alias("marked")
     )
     of_host = slots.groupBy(F.col("host").alias("of")).agg(F.collect_list(F.struct("slot", "varies", "pages", "chars", "links", "marked")).alias("slots"))
-    chosen = whole.join(of_host, F.col("host") == F.col("of"), "left").select("host", "wrapper", "slots")
+    counted = seen.groupBy("host").agg(F.count("*").alias("pages"))
+    chosen = wrapper.join(counted, "host").join(of_host, F.col("host") == F.col("of"), "left").select("host", "wrapper", "slots", "pages")
     out = write_table(chosen.mapInArrow(_choose, "host string, wrapper string, expression string, region string, template array<string>"), "regions")
     for table in (seen, kinds, whole):
         drop_table(table)
