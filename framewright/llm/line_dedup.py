@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import WHITE, write_table
+from framewright.llm.common import WHITE, drop_table, write_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,9 +71,11 @@ def _deduped(docs: DataFrame, text: str, carried: list[str], min_docs: int, min_
     min_chars, whole = max(1, min_chars), F.coalesce(docs[text], F.lit(""))
     texts = docs.select(whole.alias("text"))
     shared = write_table(shared_lines(texts, min_docs, min_chars), "shared_lines")
-    places = dropped_places(texts, shared, min_chars)
+    # a table of its own, so that the join's only needs are its two exchanges and the copies of one text can be split
+    places = write_table(dropped_places(texts, shared, min_chars), "dropped_places")
     rows = docs.select(whole.alias("text"), *hashed(whole, "t"), F.struct(*[docs[c] for c in carried]).alias("row"))
     both = rows.join(places, ["t1", "t2"], "left")
+    drop_table(shared)
     n_lines, n_dropped = F.size(F.split("text", "\n")), F.coalesce(F.array_size("dropped"), F.lit(0))
     return both.select(without(F.col("text"), F.col("dropped")).alias("text"), n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"), "row")
 
