@@ -20,10 +20,25 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; where it names none, a temporary one in local mode, and an error on a cluster, whose machines wouldn't share it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir is not set: name a folder there that the driver and all executors of {master} share")
+    if not _own:
+        _own.append(f"file://{tempfile.mkdtemp(prefix='framewright-')}")
+    return _own[0]
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one that the session names, or a local one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{name}-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='framewright-')}/{name}"
+    """A new folder under the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
