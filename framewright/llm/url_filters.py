@@ -5,7 +5,9 @@ subdomains if the path starts with the rule's, and the longest fitting rule
 wins.  Other URLs are judged by association rules: the tokens of labelled URLs
 (host labels, path segments, query keys) form transactions.  FP-growth finds the
 combinations that are frequent among the bad ones, by an absolute number, so
-that a small host is found among many pages as among few; how many labelled URLs hold
+that a small host is found among many pages as among few.  Nothing but this number leaves out a token or a combination; tokens that
+hold for the same labelled URLs are one (the first in order of text stands for them), and one that holds for all of them
+says nothing, so neither multiplies combinations.  How many labelled URLs hold
 a combination is counted by the inverted index over all of them.  Rules that conclude "bad"
 are kept if confidence and lift are high enough, if so many bad URLs would hardly be bad
 by chance (a bound on the binomial tail, divided by the number of combinations), and if no
@@ -66,11 +68,10 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(named("h:", F.split(host, r"\.")), named("p:", segments), named("q:", keys)))
 
 
-def mine(labelled: DataFrame, least: int = 8, confidence: float = 0.6, lift: float = 1.5, doubt: float = 0.05, longest: int = 10) -> DataFrame:
+def mine(labelled: DataFrame, least: int = 8, confidence: float = 0.6, lift: float = 1.5, doubt: float = 0.05) -> DataFrame:
     """(antecedent, anchor, confidence, lift, bad, total) from rows (tokens, bad).
 
-    A combination is frequent if at least ``least`` bad URLs hold it.  Combinations are sought among the ``longest`` tokens of
-    a bad URL that tell most about it, each in at least ``least`` bad URLs and no rarer among the bad than among all.
+    A combination is frequent if at least ``least`` bad URLs hold it.
     """
     spark = labelled.sparkSession
     rows = write_table(labelled.select(F.monotonically_increasing_id().alias("r"), "tokens", "bad"), "labelled")
@@ -79,11 +80,14 @@ def mine(labelled: DataFrame, least: int = 8, confidence: float = 0.6, lift: flo
         return spark.createDataFrame([], "antecedent array<string>, anchor string, confidence double, lift double, bad long, total long")
     usual = bad / n
     each = rows.select("r", "bad", F.explode("tokens").alias("token"))
-    counted = each.groupBy("token").agg(F.count("*").alias("of_all"), F.count_if("bad").alias("of_bad"))
-    known = write_table(counted.where((F.col("of_bad") >= least) & (F.col("of_bad") >= usual * F.col("of_all"))), "tokens")
-    telling = F.sort_array(F.collect_list(F.struct((-F.col("of_bad") / F.col("of_all")).alias("x"), "token")))
-    items = write_table(each.where("bad").join(known, "token").groupBy("r").agg(F.transform(F.slice(telling, 1, longest), lambda s: s["token"]).alias("items")), "transactions")
-    model = FPGrowth(itemsCol="items", minSupport=least / max(least, items.count())).fit(items)
+    # which URLs hold a token, as 128 bits that don't depend on their order
+    held = [F.bit_xor(F.xxhash64(F.lit(seed), "r")).alias(f"x{seed}") for seed in (1, 2)]
+    counted = each.groupBy("token").agg(F.count("*").alias("of_all"), F.count_if("bad").alias("of_bad"), *held)
+    known = write_table(counted.where((F.col("of_bad") >= least) & (F.col("of_all") < n)).groupBy("of_all", "x1", "x2").agg(F.min("token").alias("token")).select("token", "of_all"), "tokens")
+    items = write_table(each.where("bad").join(known, "token").groupBy("r").agg(F.collect_list("token").alias("items")), "transactions")
+    # half a URL less, so that rounding never asks for one more
+    least_share = (least - 0.5) / max(least, items.count())
+    model = FPGrowth(itemsCol="items", minSupport=least_share).fit(items)
     frequent = model.freqItemsets.select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("bad"))
     # each combination stands under its rarest token, where every labelled URL that may hold it looks it up
     rarest = frequent.select("*", F.explode("antecedent").alias("token")).join(known, "token").groupBy("antecedent", "bad").agg(F.min(F.struct("of_all", "token"))["token"].alias("anchor"))
