@@ -5,10 +5,12 @@ repeating; together they share 150 % of all sizes.  No target exceeds twice its
 source's size: what is above is shared again by weight until none is above.
 
 A source first takes whole copies of all its documents (none or one), then a
-subset for the remaining budget.  Documents are counted by exact size; of each
-size the budget's share is taken, rounded down; what remains of the budget is
-filled from the largest size downwards until it is small, and then by a bounded
-knapsack over the sizes with documents left.  Only counts by size enter this:
+subset for the remaining budget, which comes as near to it as any subset can from below.  Documents are counted by
+exact size, sizes are divided by their greatest common divisor, and a bounded knapsack runs over the counts.  First over
+what a share of each size, rounded down, leaves of the budget, a small part of it; that nearly always fills it exactly.  If it
+doesn't, few documents or few sizes are gone through whole, and else the knapsack runs over the whole budget.
+Only a budget above 16,777,216 (after the division) with three sizes or more and over four million combinations of counts is filled from
+its last 16,777,216 words alone; what it may then miss is less than the smallest document left.  Only counts by size enter this:
 one row for each source and size.  Which documents of a size are taken follows
 a seeded hash of id and text.
 
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,8 +41,8 @@ from framewright.llm.common import drop_table, word_array, write_table
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
 SLICES = 1024
-#: Budget below which the knapsack takes over from the largest-first filling.
-KNAPSACK = 1 << 17
+#: Parts of the budget over which the knapsack runs, the next if the one before leaves some; combinations of counts that are gone through one by one; steps between kept states.
+WINDOWS, COMBINATIONS, KEPT = (1 << 17, 1 << 20, 1 << 24), 1 << 22, 64
 
 
 def targets(totals: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -68,60 +71,112 @@ def knapsack(counts: list[tuple[int, int]], budget: int) -> tuple[int, dict[int,
     """The largest total up to ``budget`` of sizes taken at most ``count`` times each, and how many of each.
 
     Reachable totals are the bits of one integer; each binary split of a count
-    is one shift.  It stops as soon as the budget itself is reachable.
+    is one shift.  It stops as soon as the budget itself is reachable.  Every ``KEPT``-th state is
+    kept; those between are made again on the way back.
     """
     full = (1 << budget + 1) - 1
-    reach, steps = 1, []
+    steps = []
     for size, count in counts:
         part = 1
-        while count > 0 and not reach >> budget & 1:
-            take = min(part, count)
-            if size * take > budget:
-                break
-            wider = (reach | reach << size * take) & full
-            if wider != reach:
-                steps.append((size, take, reach))
-                reach = wider
-            count -= take
-            part *= 2
+        while count > 0 and size * (take := min(part, count)) <= budget:
+            steps.append((size, take))
+            count, part = count - take, part * 2
+    reach, states = 1, []
+    for k, (size, take) in enumerate(steps):
+        if k % KEPT == 0:
+            states.append(reach)
+        reach |= reach << size * take & full
+        if reach >> budget & 1:
+            del steps[k + 1 :]
+            break
     best = at = reach.bit_length() - 1
     taken: dict[int, int] = {}
-    for size, take, before in reversed(steps):
-        if not before >> at & 1:
-            taken[size] = taken.get(size, 0) + take
-            at -= size * take
+    for k in range((len(steps) - 1) // KEPT, -1, -1):
+        part = steps[k * KEPT : (k + 1) * KEPT]
+        before = [states[k]]
+        for size, take in part[:-1]:
+            before.append(before[-1] | before[-1] << size * take & full)
+        for (size, take), state in zip(reversed(part), reversed(before)):
+            if not state >> at & 1:
+                taken[size] = taken.get(size, 0) + take
+                at -= size * take
     return best, taken
 
 
-def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each size to take so that their total comes as near ``budget`` as it can from below."""
+def _every(sizes: list[int], counts: list[int], budget: int) -> list[int]:
+    """The best of all combinations of counts."""
+    sums = np.zeros(1, np.int64)
+    for s, c in zip(sizes, counts):
+        sums = (sums[:, None] + s * np.arange(c + 1)[None]).reshape(-1)
+    at = int(np.argmax(np.where(sums <= budget, sums, -1)))
+    taken = []
+    for c in reversed(counts):
+        at, t = divmod(at, c + 1)
+        taken.append(t)
+    return taken[::-1]
+
+
+def _two(sizes: list[int], counts: list[int], budget: int) -> list[int]:
+    """The best of two sizes, however many documents: what the first leaves for the second repeats after as many documents as the second size says."""
+    (a, b), (n, m) = sizes, counts
+    least = max(0, -(-(budget - m * b) // a) - 1)
+    first = np.arange(least, min(n, budget // a, least + b + 1) + 1)
+    second = np.minimum(m, (budget - first * a) // b)
+    k = int(np.argmax(first * a + second * b))
+    return [int(first[k]), int(second[k])]
+
+
+def _windowed(sizes: list[int], counts: list[int], budget: int, window: int) -> list[int]:
+    """A share of every size for all but the last part of the budget, and the knapsack for the rest; one document of each size at least is left for that, if it has any."""
     total = sum(s * c for s, c in zip(sizes, counts))
-    if not total or budget <= 0:
-        return [0] * len(sizes)
-    budget = min(budget, total)
-    taken = [c * budget // total if s else 0 for s, c in zip(sizes, counts)]
+    taken = [max(0, min(c - 1, c * (budget - window) // total)) if budget > window else 0 for c in counts]
     left = budget - sum(s * t for s, t in zip(sizes, taken))
     for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        if left <= KNAPSACK:
+        if left <= window:
             break
-        if sizes[i]:
-            more = min(counts[i] - taken[i], (left - KNAPSACK // 2) // sizes[i])
-            if more > 0:
-                taken[i] += more
-                left -= more * sizes[i]
-    if left > KNAPSACK:  # every document that still fits is nearly as large as what is left: one of them fits
-        fitting = [i for i in range(len(sizes)) if taken[i] < counts[i] and 0 < sizes[i] <= left]
-        if fitting:
-            i = max(fitting, key=lambda i: sizes[i])
-            taken[i] += 1
-            left -= sizes[i]
-    spare = [(s, c - t) for s, c, t in zip(sizes, counts, taken) if s and c > t and s <= left]
+        more = min(counts[i] - taken[i] - 1, (left - window // 2) // sizes[i])
+        if more > 0:
+            taken[i] += more
+            left -= more * sizes[i]
+    while left > window:  # what is left for the knapsack alone is more than its part: the largest of it go first
+        i = max((i for i in range(len(sizes)) if taken[i] < counts[i] and sizes[i] <= left), key=lambda i: sizes[i], default=None)
+        if i is None:
+            break
+        taken[i] += 1
+        left -= sizes[i]
     at = {s: i for i, s in enumerate(sizes)}
-    for s, t in knapsack(sorted(spare, reverse=True), left)[1].items() if spare else ():
+    spare = [(s, c - t) for s, c, t in zip(sizes, counts, taken) if c > t and s <= left]
+    for s, t in knapsack(sorted(spare, reverse=True), min(left, window))[1].items() if spare else ():
         taken[at[s]] += t
     return taken
 
 
+def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
+    """How many documents of each size to take so that their total comes as near ``budget`` as it can from below."""
+    there = [i for i in range(len(sizes)) if sizes[i] > 0 and counts[i] > 0]
+    out = [0] * len(sizes)
+    if not there or budget <= 0:
+        return out
+    unit = math.gcd(*(sizes[i] for i in there))
+    s, c = [sizes[i] // unit for i in there], [counts[i] for i in there]
+    budget = min(budget // unit, sum(a * b for a, b in zip(s, c)))
+    sum_of = lambda taken: sum(a * t for a, t in zip(s, taken))
+    best = _windowed(s, c, budget, WINDOWS[0])
+    if sum_of(best) < budget:
+        if math.prod(n + 1 for n in c) <= COMBINATIONS:
+            best = _every(s, c, budget)
+        elif len(s) == 2:
+            best = _two(s, c, budget)
+        else:
+            for window in WINDOWS[1:]:
+                best = max(best, _windowed(s, c, budget, window), key=sum_of)
+                if sum_of(best) == budget or window >= budget:
+                    break
+    for i, t in zip(there, best):
+        out[i] = t
+    return out
+
+
 def _sized(docs: DataFrame, id_col: str, source: str, text: str, seed: int, carry: bool) -> DataFrame:
     """(id, source, size, h, slice) of each row; h orders the documents of a size by the seed."""
     rows = docs.select(

@@ -401,9 +401,52 @@ def test_mixing_takes_part_of_equal_rows(spark, monkeypatch, slices):
     assert mixing.mixed(docs(spark, rows)).where("doc_id = 1").count() == taken[1] // 4
 
 
+def best_by_hand(sizes, counts, budget):
+    """The largest sum of a subset up to the budget, by the set of all sums."""
+    reach = {0}
+    for s, c in zip(sizes, counts):
+        reach = {x + s * k for x in reach for k in range(c + 1) if x + s * k <= budget}
+    return max(reach)
+
+
+def total(sizes, taken):
+    return sum(s * t for s, t in zip(sizes, taken))
+
+
 def test_few_very_long_documents_meet_the_budget():
-    for sizes, counts, budget, want in [([850_000, 851_000, 852_000], [1, 1, 1], 900_000, 852_000), ([500_000, 600_000], [2, 1], 1_000_000, 1_000_000), ([300_000], [9], 1_000_000, 900_000), ([3, 400_000], [5, 3], 900_000, 800_015)]:
-        assert sum(s * t for s, t in zip(sizes, mixing.fit(sizes, counts, budget))) == want
+    cases = [([850_000, 851_000, 852_000], [1, 1, 1], 900_000, 852_000), ([500_000, 600_000], [2, 1], 1_000_000, 1_000_000), ([300_000], [9], 1_000_000, 900_000), ([3, 400_000], [5, 3], 900_000, 800_015), ([50_500, 393_080], [2, 2], 838_328, 836_660), ([989, 19_068], [3, 3], 58_544, 58_193)]
+    for sizes, counts, budget, want in cases:
+        assert best_by_hand(sizes, counts, budget) == want == total(sizes, mixing.fit(sizes, counts, budget))
+
+
+@pytest.mark.parametrize("largest", [40, 3_000, 500_000, 90_000_000])
+def test_the_budget_is_met_as_nearly_as_can_be(largest):
+    rng = np.random.default_rng(largest)
+    for n in range(120):
+        sizes = sorted({int(x) for x in rng.integers(1, largest, int(rng.integers(1, 6)))} | ({0} if n % 5 == 0 else set()))
+        counts = [int(x) for x in rng.integers(0, 7, len(sizes))]
+        budget = int(rng.integers(0, total(sizes, counts) + 50))
+        taken = mixing.fit(sizes, counts, budget)
+        assert all(0 <= t <= c for t, c in zip(taken, counts)) and total(sizes, taken) == best_by_hand(sizes, counts, budget), (sizes, counts, budget)
+
+
+def test_two_sizes_of_many_documents_and_common_factors():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        a, b = sorted((int(x) for x in rng.integers(700, 60_000, 2)), reverse=True)
+        n, m = (int(x) for x in rng.integers(3_000, 9_000, 2))
+        budget = int(rng.integers(1 << 25, a * n + b * m))
+        taken = mixing.fit([a, b], [n, m], budget)
+        want = max(t * a + min(m, (budget - t * a) // b) * b for t in range(n + 1) if t * a <= budget)
+        assert total([a, b], taken) == want and taken[0] <= n and taken[1] <= m
+    sizes, counts = [6_000 * k for k in range(1, 400)], [1_000] * 399
+    assert total(sizes, mixing.fit(sizes, counts, 10**9 + 5_999)) == (10**9 + 5_999) // 6_000 * 6_000
+
+
+def test_every_size_keeps_documents_for_the_knapsack():
+    sizes, counts = list(range(900, 1_100)), [50] * 200
+    for budget in (5_000_001, 3_333_333, 9_989_991):
+        assert total(sizes, mixing.fit(sizes, counts, budget)) == budget
 
 
 def test_knapsack_is_optimal():
@@ -448,14 +491,22 @@ def test_url_filters(spark):
 def rules_by_hand(labelled, least, confidence, lift, doubt):
     """Every combination of tokens by counting all of them."""
     n, bad = len(labelled), sum(b for _, b in labelled)
+    holders = defaultdict(set)
+    for k, (tokens, _) in enumerate(labelled):
+        for t in tokens:
+            holders[t].add(k)
+    first = {}
+    for t in sorted(holders):
+        first.setdefault(frozenset(holders[t]), t)
+    names = {t for urls, t in first.items() if len(urls) < n}
     of_all, of_bad = Counter(), Counter()
     for tokens, b in labelled:
+        tokens = sorted(names & set(tokens))
         for k in range(1, len(tokens) + 1):
-            for some in itertools.combinations(sorted(tokens), k):
+            for some in itertools.combinations(tokens, k):
                 of_all[some] += 1
                 of_bad[some] += b
-    single = {t for (t, *more), k in of_bad.items() if not more and k >= least and k / of_all[t,] >= bad / n}
-    frequent = [x for x in of_bad if of_bad[x] >= least and set(x) <= single]
+    frequent = [x for x in of_bad if of_bad[x] >= least]
     usual, found = bad / n, {}
     for x in frequent:
         c = of_bad[x] / of_all[x]
@@ -465,6 +516,39 @@ def rules_by_hand(labelled, least, confidence, lift, doubt):
     return {x: c for x, c in found.items() if not any(set(y) < set(x) and found[y] >= c for y in found)}
 
 
+def mined(spark, labelled, **options):
+    rows = spark.createDataFrame(labelled, "tokens array<string>, bad boolean")
+    return {tuple(r.antecedent): r.confidence for r in url_filters.mine(rows, **options).collect()}
+
+
+def test_pairs_of_tokens_that_alone_say_nothing(spark):
+    """Bad exactly if one of two tokens holds: each alone is as common among the good; beside tokens that always go together."""
+    labelled = [(["h:x", f"h:{'ab'[i % 2]}", f"p:{'ab'[i // 2 % 2]}", "p:all", *["q:one", "q:two"] * (i % 5 == 0)], (i % 2) != (i // 2 % 2)) for i in range(800)]
+    got = mined(spark, labelled)
+    assert got == rules_by_hand(labelled, 8, 0.6, 1.5, 0.05) and set(got) == {("h:a", "p:b"), ("h:b", "p:a")} and set(got.values()) == {1.0}
+
+
+def test_many_tokens_of_a_bad_url(spark):
+    """More telling tokens than ever stood in a rule: a pair at the end of the list is found."""
+    rng = np.random.default_rng(7)
+    labelled = []
+    for i in range(900):
+        tokens = [f"p:{k}" for k in range(12) if rng.random() < 0.25]
+        both = i % 3 == 0
+        labelled.append(([*tokens, *(["q:m", "q:n"] if both else ["q:m"] if i % 3 == 1 else ["q:n"])], bool(both or rng.random() < 0.1)))
+    got = mined(spark, labelled)
+    assert got == rules_by_hand(labelled, 8, 0.6, 1.5, 0.05) and ("q:m", "q:n") in got
+
+
+def test_very_long_urls(spark):
+    long = "http://long.org/" + "/".join(f"part{k}x" for k in range(20_000)) + "?" + "&".join(f"k{k}=v" for k in range(3_000))
+    urls = [long] * 30 + [f"http://good.org/a/{i}" for i in range(60)] + ["x" * 200_000, "http://" + "a." * 50_000 + "net/es/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 30), 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in url_filters.judge(pages, labels).collect()}
+    assert all(got[i].verdict == ("block" if i < 30 else "allow") for i in range(91)) and (got[91].rule, got[91].verdict) == ("net/es/", "block")
+
+
 def test_mined_url_rules_against_every_combination(spark):
     """Two tokens that are bad only together, a bad small host, and noise; verdicts of all URLs follow."""
     rng = np.random.default_rng(12)
