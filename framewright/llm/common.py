@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.session import shared_folder
+
 #: The ASCII white-space characters that end a word in ``[^\x20\x09-\x0D]+``.
 WHITE = " \t\n\x0b\x0c\r"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -47,12 +48,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where it is unset (tests), a fresh temporary one is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='framewright-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    """The folder named in ``spark.checkpoint.dir``; in local mode (tests) a temporary one where it is unset."""
+    return shared_folder(spark)
 
 
 class _Run(threading.local):

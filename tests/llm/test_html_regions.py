@@ -66,3 +66,15 @@ def test_many_shapes_stay_bounded(spark):
     assert len(html_text.expression(whole)) < 5000
     for x in shapes[:60]:
         assert len(html_text.match(x, whole)) == len(list(html_text.leaves(x)))
+
+
+def test_operators_run_on_a_plain_session(tmp_path):
+    """Without a shared folder named, in local mode: written tables and queries over them."""
+    from tests.test_session import on_a_plain_session
+
+    on_a_plain_session(tmp_path, """
+from framewright.llm.line_dedup import dedup_lines
+from framewright.llm.mixing import mix
+docs = spark.createDataFrame([(1, "a b", "s"), (2, "a", "s")], "doc_id long, text string, source string")
+assert dedup_lines(docs, min_docs=2).count() == 2 and mix(docs).count() == 2
+""")
