@@ -343,7 +343,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     of_class = write_table(of_class, "components")
     for table in (reps, shared, stars, sets, first, second, third, classes):
         drop_table(table)
-    out = signed.select("id", "n", "k1", "k2").join(of_class, ["k1", "k2", "n"], "left")
+    # texts without words are no class, so they don't meet at one key
+    rows = signed.select("id", "n", "k1", "k2")
+    out = rows.where("n > 0").join(of_class, ["k1", "k2", "n"], "left").select("id", "n", "component").unionAll(rows.where("n = 0").select("id", "n", F.lit(None).cast("long").alias("component")))
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
 
