@@ -974,14 +974,13 @@ BATCHER_SQL = """
 with recursive r as (
   select event_id, user_id % 16 as shard, epoch_ms(ts) as ms, row_number() over (partition by user_id % 16 order by ts, event_id) as n from events
 ), ends as (
-  select r.shard, r.n, r.ms + 600000 as deadline, (select min(q.n) from r q where q.shard = r.shard and q.ms >= r.ms + 600000) as due, (select max(q.n) from r q where q.shard = r.shard) as last from r
-), b(shard, batch_no, first, next, is_full, closed) as (
-  select shard, 0::bigint, n, least(n + 8, coalesce(due, last + 1)), n + 8 <= coalesce(due, last + 1), n + 8 <= coalesce(due, last + 1) or due is not null or deadline < (select max(ms) from r) from ends where n = 1
+  select r.shard, r.n, (select min(q.n) from r q where q.shard = r.shard and q.ms >= r.ms + 600000) as due, (select max(q.n) from r q where q.shard = r.shard) as last from r
+), b(shard, batch_no, first, next, is_full) as (
+  select shard, 0::bigint, n, least(n + 8, coalesce(due, last + 1)), n + 8 <= coalesce(due, last + 1) from ends where n = 1
   union all
-  select e.shard, b.batch_no + 1, e.n, least(e.n + 8, coalesce(e.due, e.last + 1)), e.n + 8 <= coalesce(e.due, e.last + 1), e.n + 8 <= coalesce(e.due, e.last + 1) or e.due is not null or e.deadline < (select max(ms) from r)
-  from b join ends e on e.shard = b.shard and e.n = b.next
+  select e.shard, b.batch_no + 1, e.n, least(e.n + 8, coalesce(e.due, e.last + 1)), e.n + 8 <= coalesce(e.due, e.last + 1) from b join ends e on e.shard = b.shard and e.n = b.next
 )
-select r.event_id as request_id, b.shard::int as shard, b.batch_no, (r.n - b.first)::int as slot, b.is_full as full from b join r on r.shard = b.shard and r.n >= b.first and r.n < b.next where b.closed
+select r.event_id as request_id, b.shard::int as shard, b.batch_no, (r.n - b.first)::int as slot, b.is_full as full, false as late from b join r on r.shard = b.shard and r.n >= b.first and r.n < b.next
 """
 
 
@@ -990,9 +989,8 @@ def str4_count_or_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of eight, or of what came within ten minutes, for each of sixteen queues: numbers and slots of every request."""
     at = _scratch(spark)
     stream = _events_stream(spark, sf_dir).select("event_id", "ts", "user_id")
-    out = batcher.count_or_timeout(stream, "event_id", "ts", 8, 600_000, shard=F.pmod("user_id", F.lit(16)))
-    schedule.drain(out, f"{at}/out", f"{at}/checkpoint")
-    return spark.read.parquet(f"{at}/out")
+    out = batcher.count_or_timeout(stream, "event_id", "ts", 8, 600_000, shard=F.pmod("user_id", F.lit(16)), timers=False)
+    return batcher.deliver(out, f"{at}/out", f"{at}/checkpoint")
 
 
 @query("select * from (values (0::bigint, 2), (1, 2), (2, 1)) as t(batch, files)")
