@@ -6,6 +6,9 @@ so an image's detections need no shuffle; suppression folds over an array.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +51,8 @@ def with_label(df: DataFrame, labels: list[str], class_id: str = "class_id") ->
 
 
 def join_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """The same from a table (class_id, label); a dictionary of classes is small and bounded, so it is broadcast."""
-    return df.join(F.broadcast(labels), "class_id", "left")
+    """The same from a table (class_id, label), which Spark broadcasts if it is small enough."""
+    return df.join(labels, "class_id", "left")
 
 
 def intersection(a: Column, b: Column) -> Column:
@@ -75,48 +78,120 @@ def suppress(boxes: Column, threshold: float = 0.45) -> Column:
     return F.aggregate(boxes, none, step)
 
 
-def overlapping_pairs(df: DataFrame, group: str, key: str, threshold: float, cell: int = 256) -> DataFrame:
-    """Pairs of a group's boxes that overlap above the threshold, each once: an equi-join on the group and the cells of a grid.
+def flat_classes(df: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, first, last, members) for each group with several boxes without area, which all overlap each other wholly: one row stands for all their pairs."""
+    flat = df.where(~has_area())
+    return flat.groupBy(group).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("members")).where("members > 1")
+
+
+def has_area() -> Column:
+    return F.col("w") * F.col("h") > 0
+
 
-    A pair is found in the cell that holds the first corner of what the boxes share.  Boxes without area overlap
-    each other wholly wherever they are, so they have a cell of their own.
+def overlapping_pairs(df: DataFrame, group: str, key: str, threshold: float, most: int = 1000) -> DataFrame:
+    """Pairs of a group's boxes with area that overlap above the threshold (0 or more), each once; ``flat_classes`` has the others.
+
+    The grid has levels: a box lives in cells of up to twice its longer side, so in four at most, and
+    looks for others there and in the cells of the coarser levels whose boxes aren't too large to overlap it that much.
+    So a large box isn't copied into small cells, and boxes that meet in a cell are of like size: many of them mean many pairs.
+    A pair counts in the cell that holds the first corner of what the boxes share.  Cells with more than ``most`` boxes
+    are cut in slices of about so many, each of which all that look there visit.
     """
-    area = F.col("w") * F.col("h") > 0
-    along = lambda p, n: F.explode(F.when(area, F.sequence(F.floor(F.col(p) / cell), F.floor((F.col(p) + F.col(n) - 1) / cell))).otherwise(F.array(F.lit(0).cast("bigint"))))
-    celled = df.select(group, key, "x", "y", "w", "h", (~area).alias("_flat")).withColumn("_i", along("x", "w")).withColumn("_j", along("y", "h"))
+    level = F.ceil(F.log2(F.greatest("w", "h").cast("double"))).cast("int")
+    boxes = df.where(has_area()).select(group, F.col(key).alias("key"), F.struct("x", "y", "w", "h").alias("box"), level.alias("level"))
+    side = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at"))
+    along = lambda p, n: F.explode(F.sequence(F.floor(F.col(f"box.{p}") / side), F.floor((F.col(f"box.{p}") + F.col(f"box.{n}") - 1) / side)))
+    celled = lambda rows: rows.withColumn("i", along("x", "w")).withColumn("j", along("y", "h"))
+    # sides of boxes that overlap above t differ by a factor below 1 / t; for 0 it is the coarsest level there is
+    coarsest = F.col("level") + math.ceil(math.log2(1 / threshold)) if threshold > 0 else F.lit(boxes.agg(F.max("level")).first()[0] or 0)
+    cells = [group, "at", "i", "j"]
+    there = celled(boxes.withColumn("at", F.col("level")))
+    looking = celled(boxes.withColumn("at", F.explode(F.sequence(F.col("level"), coarsest))))
+    dense = there.groupBy(*cells).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*cells, F.ceil(F.col("n") / most).alias("slices"))
+    slices = F.coalesce("slices", F.lit(1))
     # a cell's pairs are many more than its rows, so tasks aren't merged by the size of their rows
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = [group, "_flat", "_i", "_j"]
-    dealt = celled.repartition(parts, *cells)
-    side = lambda n: dealt.select(*cells, F.col(key).alias(f"{n}_{key}"), F.struct("x", "y", "w", "h").alias(n))
-    first = lambda p, i: F.floor(F.greatest(F.col(f"a.{p}"), F.col(f"b.{p}")) / cell) == F.col(i)
-    pairs = side("a").join(side("b"), cells).where(F.col("_flat") | (first("x", "_i") & first("y", "_j"))).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
-    return pairs.where(overlaps(F.col("a"), F.col("b"), threshold)).select(group, f"a_{key}", f"b_{key}", intersection(F.col("a"), F.col("b")).alias("intersection"), union(F.col("a"), F.col("b")).alias("union_area"))
+    homes = there.join(dense, cells, "left").withColumn("slice", F.pmod(F.xxhash64("key"), slices)).drop("slices").repartition(parts, *cells, "slice")
+    seekers = looking.join(dense, cells, "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1))).drop("slices").repartition(parts, *cells, "slice")
+    cells = [*cells, "slice"]
+    named = lambda rows, n: rows.select(*cells, F.col("key").alias(f"{n}_key"), F.col("box").alias(n), F.col("level").alias(f"{n}_level"))
+    first = lambda p, i: F.floor(F.greatest(F.col(f"a.{p}"), F.col(f"b.{p}")) / side) == F.col(i)
+    once = (F.col("a_level") < F.col("b_level")) | (F.col("a_key") < F.col("b_key"))
+    pairs = named(seekers, "a").join(named(homes, "b"), cells).where(once & first("x", "i") & first("y", "j") & overlaps(F.col("a"), F.col("b"), threshold))
+    return pairs.select(
+        group, F.least("a_key", "b_key").alias(f"a_{key}"), F.greatest("a_key", "b_key").alias(f"b_{key}"),
+        intersection(F.col("a"), F.col("b")).alias("intersection"), union(F.col("a"), F.col("b")).alias("union_area"),
+    )
+
+
+#: Boxes that are gone through one by one: of a group, or of a part of a larger group.
+FOLD = 1024
 
 
-def suppress_groups(df: DataFrame, group: str, ties: list[str], threshold: float = 0.45, cell: int = 256) -> DataFrame:
+def suppress_groups(df: DataFrame, group: str, ties: list[str], threshold: float = 0.45, fold: int = FOLD) -> DataFrame:
     """The rows (group, score, ties, x, y, w, h) that stay, where boxes of a group come from several rows.
 
-    Exactly what going through a group box by box gives, without bringing the group together: only pairs
-    of overlapping boxes are looked at.  In each round the boxes that no better one overlaps any more stay, and what
-    they overlap goes; ``ties`` tell the boxes of a group apart.  A round is one written table: the boxes that go,
-    and the pairs between the boxes that are still open.
+    Exactly what going through a group box by box gives; ``ties`` tell the boxes of a group apart.  A group of at most ``fold``
+    boxes is one array.  A larger one is never brought together: its overlapping pairs are found, its boxes are
+    dealt by place into parts of about ``fold``, and each part goes through its own pairs, better boxes first, as far as the boxes
+    of other parts that it depends on are decided.  Rounds go on until all are: their number grows with the
+    parts that a chain of overlaps passes through, not with its length.  A box without a group is alone and stays.
     """
-    rows = written(df.select(group, *ties, "score", "x", "y", "w", "h").withColumn("rank", F.struct((-F.col("score")).alias("neg"), *ties)), "boxes")
-    area = F.col("w") * F.col("h") > 0
-    pairs = overlapping_pairs(rows.where(area), group, "rank", threshold, cell).select(group, F.col("a_rank").alias("better"), F.col("b_rank").alias("worse"))
-    left = written(pairs, "pairs")
+    kept = [group, *ties, "score", "x", "y", "w", "h"]
+    rows = df.select(*kept, F.struct((-F.col("score")).alias("neg"), *ties).alias("rank"))
+    sizes = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
+    large = written(sizes.where(F.col("n") > fold).select(group, "n"), "large_groups")
+    small = rows.where(F.col(group).isNotNull()).join(large, group, "left_anti")
+    folded = small.groupBy(group).agg(F.explode(suppress(F.sort_array(F.collect_list(F.struct("rank", *ties, "score", "x", "y", "w", "h"))), threshold)).alias("b")).select(group, "b.*").select(*kept)
+    out = folded.unionByName(rows.where(F.col(group).isNull()).select(*kept))
+    total = large.agg(F.sum("n")).first()[0]
+    if not total:
+        return out
+    ours = rows.join(large.select(group), group, "left_semi")
     # of the boxes without area, which all overlap each other, the best one stays
-    flat = rows.where(~area)
-    gone = flat.join(flat.groupBy(group).agg(F.min("rank").alias("best")), group).where((F.col("rank") > F.col("best")) & (F.lit(threshold) < 1)).select(group, "rank")
+    best = ours.where(~has_area()).groupBy(group).agg(F.min("rank").alias("rank"))
+    flat = ours.where(~has_area()).join(best, [group, "rank"], "left_semi") if threshold < 1 else ours.where(~has_area())
+    boxes = _placed(ours.where(has_area()), group, math.ceil(total / fold))
+    gone = _decided(boxes, group, ties, threshold).where("gone").select("number")
+    return out.unionByName(flat.select(*kept)).unionByName(boxes.join(gone, "number", "left_anti").select(*kept))
+
+
+def _placed(boxes: DataFrame, group: str, parts: int) -> DataFrame:
+    """The boxes with a number of their own and ``part``: neighbours in a curve through the plane, about the same number in each."""
+    digits = lambda p, n: F.split(F.lpad(F.bin(F.floor(F.col(p) + F.col(n) / 2).cast("bigint") + F.lit(1 << 40)), 42, "0"), "")
+    woven = F.array_join(F.zip_with(digits("x", "w"), digits("y", "h"), lambda a, b: F.concat(a, b)), "")
+    dealt = boxes.withColumn("curve", woven).repartitionByRange(parts, group, "curve").withColumns({"part": F.spark_partition_id(), "number": F.monotonically_increasing_id()})
+    return written(dealt.drop("curve"), "boxes")
+
+
+def _decided(boxes: DataFrame, group: str, ties: list[str], threshold: float) -> DataFrame:
+    """(number, gone) for every box that some better one overlaps."""
+    pairs = overlapping_pairs(boxes, group, "rank", threshold).select(group, F.col("a_rank").alias("better"), F.col("b_rank").alias("worse"))
+    order = [F.col(f"rank.{c}").alias(f"_{k}") for k, c in enumerate(["neg", *ties])]
+    end = lambda of, *more: boxes.select(group, F.col("rank").alias(of), F.col("number").alias(f"{of}_number"), F.col("part").alias(f"{of}_part"), *more)
+    met = written(pairs.join(end("better"), [group, "better"]).join(end("worse", *order), [group, "worse"]).drop(group, "better", "worse"), "pairs")
+    # a better box that nothing better overlaps stays
+    under = met.select(F.col("worse_number").alias("better_number")).distinct().withColumn("waits", F.lit(True))
+    left = written(met.join(under, "better_number", "left").withColumn("better_gone", F.when(F.col("waits").isNull(), F.lit(False))).drop("waits"), "pairs")
+    by = [f"_{k}" for k in range(len(order))]
+
+    def through(rows: pd.DataFrame) -> pd.DataFrame:
+        """The boxes of a part that can be decided: gone if a better one stays, staying if all better ones are gone."""
+        fate: dict[int, bool | None] = {}
+        for worse, of in rows.sort_values(by, na_position="first").groupby("worse_number", sort=False):
+            fates = [bool(gone) if gone is not None else fate.get(b) if p == q else None for b, p, q, gone in zip(of["better_number"], of["better_part"], of["worse_part"], of["better_gone"])]
+            fate[worse] = True if False in fates else None if None in fates else False
+        known = [(w, gone) for w, gone in fate.items() if gone is not None]
+        return pd.DataFrame({"number": [w for w, _ in known], "gone": [gone for _, gone in known]})
+
+    decided = boxes.where("false").select("number", F.lit(False).alias("gone"))
     while not left.isEmpty():
-        blocked = left.select(group, F.col("worse").alias("better")).distinct()
-        lost = left.join(blocked, [group, "better"], "left_anti").select(group, "worse").distinct()
-        rest = left.join(lost, [group, "worse"], "left_anti").join(lost.withColumnRenamed("worse", "better"), [group, "better"], "left_anti")
-        round_ = written(lost.select(group, F.lit(None).cast(left.schema["better"].dataType).alias("better"), "worse").unionByName(rest), "round")
-        gone = gone.unionByName(round_.where("better is null").select(group, F.col("worse").alias("rank")))
-        left = round_.where("better is not null")
-    return rows.join(gone, [group, "rank"], "left_anti").select(group, *ties, "score", "x", "y", "w", "h")
+        now = written(left.groupBy("worse_part").applyInPandas(through, "number long, gone boolean"), "decided")
+        decided = decided.unionByName(now)
+        of_better = now.select(F.col("number").alias("better_number"), F.col("gone").alias("now_gone"))
+        rest = left.join(now.select(F.col("number").alias("worse_number")), "worse_number", "left_anti").join(of_better, "better_number", "left")
+        left = written(rest.withColumn("better_gone", F.coalesce("better_gone", "now_gone")).drop("now_gone"), "pairs")
+    return decided
 
 
 def clamp_count(n: Column, most: int) -> Column:

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from framewright import benchmark, config
+from framewright import benchmark, config, session
 from framewright.functions import geometry, tensor
 from framewright.operators import detect, metrics, pixels
 from framewright.operators.infer import OnnxBackend, infer
@@ -86,7 +86,7 @@ def test_suppression_is_idempotent_and_separates(spark):
     kept = detect.suppress_groups(df, "image", ["i"], 0.45)
     once = sorted(map(tuple, kept.collect()))
     assert sorted(map(tuple, detect.suppress_groups(kept, "image", ["i"], 0.45).collect())) == once
-    assert detect.overlapping_pairs(kept, "image", "i", 0.45).count() == 0 and 0 < len(once) < 120
+    assert detect.overlapping_pairs(kept, "image", "i", 0.45).count() == 0 and detect.flat_classes(kept, "image", "i").count() == 0 and 0 < len(once) < 120
 
 
 def test_onnx_backend_and_errors(spark):
@@ -225,13 +225,29 @@ def test_pairs_and_suppression_across_rows(spark, threshold):
         whole = a[5] * a[6] + b[5] * b[6] - both
         return a[0] == b[0] and (both > threshold * whole if whole else 1.0 > threshold)
 
-    got = [tuple(r) for r in detect.overlapping_pairs(df, "g", "k", threshold).select("g", "a_k", "b_k").collect()]
-    assert sorted(got) == sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and alike(a, b))
+    area = lambda r: r[5] * r[6] > 0
+    want = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and area(a) and area(b) and alike(a, b))
+    for most in (1000, 7):
+        got = [tuple(r) for r in detect.overlapping_pairs(df, "g", "k", threshold, most).select("g", "a_k", "b_k").collect()]
+        assert sorted(got) == want
+    flat = {g: [r[1] for r in rows if r[0] == g and not area(r)] for g in range(3)}
+    assert sorted(map(tuple, detect.flat_classes(df, "g", "k").collect())) == [(g, min(k), max(k), len(k)) for g, k in flat.items()]
     stay = []
     for b in sorted(rows, key=lambda r: (-r[2], r[1])):
         if not any(alike(a, b) for a in stay):
             stay.append(b)
-    assert sorted(r.k for r in detect.suppress_groups(df, "g", ["k"], threshold).collect()) == sorted(b[1] for b in stay)
+    for fold in (1024, 20):
+        assert sorted(r.k for r in detect.suppress_groups(df, "g", ["k"], threshold, fold).collect()) == sorted(b[1] for b in stay)
+
+
+@pytest.mark.parametrize("n", [60, 600])
+def test_tables_do_not_grow_with_a_chain(spark, monkeypatch, n):
+    """Each box overlaps the next and is better than it: every second one stays."""
+    names = []
+    monkeypatch.setattr(detect, "written", lambda df, name: names.append(name) or session.written(df, name))
+    df = spark.createDataFrame([(1, k, 1.0 - k / 1000, 10 * k, 0, 20, 20) for k in range(n)], "g int, k int, score double, x int, y int, w int, h int")
+    kept = detect.suppress_groups(df, "g", ["k"], 0.3, fold=n // 3)
+    assert sorted(r.k for r in kept.collect()) == list(range(0, n, 2)) and len(names) <= 14
 
 
 def test_optimized_copy_is_written(tmp_path):
