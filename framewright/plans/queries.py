@@ -19,7 +19,7 @@ from framewright.config import (
 from framewright.functions import geometry, tensor
 from framewright.operators import detect, infer, metrics, pixels, runners
 from framewright.session import work_folder
-from framewright.sources import images, onnx_models, reports
+from framewright.sources import frames, images, onnx_models, reports
 from framewright.streaming import batcher, schedule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,15 +113,13 @@ select vec_id, 4 as height, 4 as width, 3 as nChannels, 16 as mode,
 """
 
 
-@query("select vec_id, 4 as height, 4 as width from embeddings")
+@query(f"select vec_id as number, 4 as height, 4 as width, array_to_string([format('{{:02X}}', x) for x in p], '') as pixels from {PICTURES}")
 def src2_frame_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of a folder as a stream; the size stands in each file's header."""
-    at = _scratch(spark)
-    rows = pictures(spark, sf_dir)
-    images.write_png_files(rows.select("vec_id", as_image(F.col("p"), 4, 4).alias("image")), "vec_id", "image", f"{at}/frames")
-    number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
-    frames = images.stream_images(spark, f"{at}/frames", 1000).select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint").alias("vec_id"), number(21).alias("height"), number(17).alias("width"))
-    schedule.drain(frames, f"{at}/out", f"{at}/checkpoint")
+    """Frames of a container as a stream of several triggers: numbers and pixels."""
+    at, rows = _scratch(spark), picture_images(spark, sf_dir)
+    frames.write_frames(rows, f"{at}/frames", "vec_id", "image")
+    seen = frames.stream_frames(spark, f"{at}/frames", max(1, rows.count() // 3)).select("number", "height", "width", F.hex("data").alias("pixels"))
+    schedule.drain_triggers(seen, f"{at}/out", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/out")
 
 
@@ -1026,10 +1024,19 @@ def str12_closed_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select vec_id, 4 as height, 4 as width, array_to_string([format('{{:02X}}', x) for x in p], '') as pixels from {PICTURES}")
 def snk1_image_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image structs written and read back."""
-    at = _scratch(spark)
-    picture_images(spark, sf_dir).write.parquet(f"{at}/images")
-    return spark.read.parquet(f"{at}/images").select("vec_id", "image.height", "image.width", F.hex("image.data").alias("pixels"))
+    """Pictures written as PNG files, moved into place together, and read back."""
+    folder = f"{_scratch(spark)}/pictures"
+    images.write_png_files(picture_images(spark, sf_dir), "vec_id", "image", folder)
+    found = images.require_decoded(images.read_images(spark, folder)).select("image.*")
+    return found.select(F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("bigint").alias("vec_id"), "height", "width", F.hex("data").alias("pixels"))
+
+
+@query(f"select vec_id as number, 4 as height, 4 as width, array_to_string([format('{{:02X}}', x) for x in p], '') as pixels from {PICTURES}")
+def src2_frame_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container read at once, in byte ranges."""
+    path = f"{_scratch(spark)}/frames"
+    frames.write_frames(picture_images(spark, sf_dir), path, "vec_id", "image")
+    return frames.read_frames(spark, path).select("number", "height", "width", F.hex("data").alias("pixels"))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 
@@ -11,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.sources.shared_files import write_files
+
 #: The image source's number for three channels of 8 bits in BGR order.
 BGR = 16
 
 
 def read_images(spark: SparkSession, path: str, skip_broken: bool = False) -> DataFrame:
     """(image) for each file: origin, height, width, nChannels, mode and BGR data; broken files have a height of -1 or are skipped."""
-    return spark.read.format("image").option("dropInvalid", str(skip_broken).lower()).load(path)
+    return spark.read.format("image").option("dropInvalid", str(skip_broken).lower()).option("recursiveFileLookup", "true").load(path)
 
 
 def require_decoded(images: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def require_decoded(images: DataFrame) -> DataFrame:
 
 def stream_images(spark: SparkSession, folder: str, most_files: int = 100) -> DataFrame:
     """Frames as they arrive in a folder: (path, content), at most so many files a batch."""
-    return spark.readStream.format("binaryFile").option("maxFilesPerTrigger", most_files).schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    return spark.readStream.format("binaryFile").option("maxFilesPerTrigger", most_files).option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
 
 
 def png(image: np.ndarray) -> bytes:
@@ -53,15 +54,5 @@ def as_png(df: DataFrame, key: str, image: str) -> DataFrame:
 
 
 def write_png_files(df: DataFrame, key: str, image: str, folder: str) -> None:
-    """A file ``<key>.png`` for each row under a mounted folder that the driver and all executors share."""
-    if "://" in folder and not folder.startswith("file://"):
-        raise ValueError(f"{folder} is not a mounted folder; write the rows of as_png instead")
-    folder = folder.removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
-
-    def write(rows):
-        for r in rows:
-            with open(os.path.join(folder, f"{r[0]}.png"), "wb") as f:
-                f.write(r[1])
-
-    as_png(df, key, image).foreachPartition(write)
+    """A file ``<key>.png`` for each row below a shared folder; all of them or none."""
+    write_files(as_png(df, key, image).select(F.concat(F.col(key).cast("string"), F.lit(".png")).alias("name"), F.col("png").alias("content")), folder)

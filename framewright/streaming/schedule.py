@@ -76,6 +76,16 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
     stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def drain_triggers(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> int:
+    """Process all that is there in as many triggers as the source's own limit makes of it, write it and stop; gives their number."""
+    query = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+        return query.lastProgress["batchId"] + (query.lastProgress["numInputRows"] > 0)
+    finally:
+        query.stop()
+
+
 def drain_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """The same with a function of each micro-batch and its number."""
     stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
