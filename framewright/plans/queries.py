@@ -760,7 +760,7 @@ R6 = lambda df: df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c
 
 @query(f"select mode, {P_SQL} from {SAMPLES} group by mode")
 def agg3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R6(samples(spark, sf_dir).groupBy("mode").agg(*metrics.percentiles("latency_ms")))
+    return R6(metrics.percentiles(samples(spark, sf_dir), ["mode"], "latency_ms"))
 
 
 @query(f"select mode, {S_SQL} from {SAMPLES} group by mode")
@@ -1114,7 +1114,9 @@ CLIENT_REPORTS = f"(select user_id % 8 as concurrent_clients, mode, {S_SQL}, {P_
 
 def client_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir).withColumn("concurrent_clients", F.col("user_id") % 8)
-    return R6(s.groupBy("concurrent_clients", "mode").agg(*metrics.summary("latency_ms"), *metrics.percentiles("latency_ms"), metrics.throughput(F.count("*"), F.sum("latency_ms")).alias("throughput_qps"), F.count("*").alias("total_requests"), F.lit(8).alias("override_batch")))
+    keys = ["concurrent_clients", "mode"]
+    counted = s.groupBy(*keys).agg(*metrics.summary("latency_ms"), metrics.throughput(F.count("*"), F.sum("latency_ms")).alias("throughput_qps"), F.count("*").alias("total_requests"), F.lit(8).alias("override_batch"))
+    return R6(metrics.with_percentiles(counted, s, keys, "latency_ms"))
 
 
 @query(f"select mode, concurrent_clients, override_batch::bigint as override_batch, total_requests, {', '.join(f'round({c}, 4) as {c}' for c in ('throughput_qps', 'latency_avg_ms', 'latency_p50_ms', 'latency_p90_ms', 'latency_p95_ms', 'latency_p99_ms'))} from {CLIENT_REPORTS}")

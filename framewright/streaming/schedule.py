@@ -15,6 +15,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framewright.operators import ordered
+
 Stage = Callable[[DataFrame], DataFrame]
 
 
@@ -35,10 +37,10 @@ def run_async(requests: DataFrame, stages: list[Stage], partitions: int | None =
 
 
 def slots(requests: DataFrame, ts: str, order: list[str], size: int, tick: str = "1 hour") -> DataFrame:
-    """Adds ``tick``, ``batch_no`` within it and ``slot`` within the batch, first come first served."""
-    at = F.window(event_time(F.col(ts)), tick)["start"]
-    place = F.row_number().over(Window.partitionBy("tick").orderBy(ts, *order)) - 1
-    return requests.withColumn("tick", at).withColumn("_place", place).withColumns({"batch_no": F.floor(F.col("_place") / size).cast("int"), "slot": (F.col("_place") % size).cast("int")}).drop("_place")
+    """Adds ``tick``, ``batch_no`` within it and ``slot`` within the batch, first come first served; a tick that holds all requests is numbered in parts."""
+    rows = requests.withColumn("tick", F.window(event_time(F.col(ts)), tick)["start"])
+    placed = ordered.running(rows, ["tick"], [ts, *order], {"_place": F.lit(1).cast("bigint")}).withColumn("_place", F.col("_place") - 1)
+    return placed.withColumns({"batch_no": F.floor(F.col("_place") / size).cast("int"), "slot": (F.col("_place") % size).cast("int")}).drop("_place")
 
 
 def batch_sizes(requests: DataFrame, ts: str, size: int, tick: str = "1 hour") -> DataFrame:
