@@ -3,6 +3,9 @@
 A backend turns an array [n, ...] into arrays by output name.  Each Python
 worker opens its session once.  A batch that fails gives every row of it an
 error text instead of a result; other batches go on.  Rows without data are not fed.
+
+Batches are put together across the Arrow batches of a partition, items of like shape together, so that a
+partition has one partial batch at most for each shape.
 """
 
 from __future__ import annotations
@@ -84,35 +87,76 @@ def write_optimized(path: str, options: dict | None = None) -> str:
     return better
 
 
+#: Rows that wait for batches of their shape to fill; beyond, the largest group goes as it is.
+MOST_WAITING = 4096
+
+
+def assembled(batches, size: int, shape: int | None = None):
+    """(shape, rows) in batches of ``size``, put together across the Arrow batches that come; ``shape`` is the column with each row's, if they differ.
+
+    What is left of each shape comes at the end.
+    """
+    waiting: dict[tuple | None, list[pa.RecordBatch]] = {}
+    held: dict[tuple | None, int] = {}
+
+    def take(kind: tuple | None) -> pa.RecordBatch:
+        held.pop(kind)
+        return pa.Table.from_batches(waiting.pop(kind)).combine_chunks().to_batches()[0]
+
+    for whole in batches:
+        if shape is None:
+            groups = {None: whole}
+        else:
+            places: dict[tuple | None, list[int]] = {}
+            for i, x in enumerate(whole.column(shape).to_pylist()):
+                places.setdefault(None if x is None else tuple(x), []).append(i)
+            groups = {kind: whole.take(pa.array(at)) for kind, at in places.items()}
+        for kind, rows in groups.items():
+            while rows.num_rows:
+                head = rows.slice(0, size - held.get(kind, 0))
+                rows = rows.slice(head.num_rows)
+                waiting.setdefault(kind, []).append(head)
+                held[kind] = held.get(kind, 0) + head.num_rows
+                if held[kind] == size:
+                    yield kind, take(kind)
+        while sum(held.values()) > max(MOST_WAITING, size):
+            most = max(held, key=held.get)
+            yield most, take(most)
+    for kind in list(waiting):
+        yield kind, take(kind)
+
+
 def infer(
-    df: DataFrame, key: str, data: str, shape: tuple[int, ...], model: bytes, output: str, batch: int = 64, options: dict | None = None, backend: str = "onnxruntime", keep: tuple[str, ...] = ()
+    df: DataFrame, key: str, data: str, shape: tuple[int, ...] | str, model: bytes, output: str, batch: int = 64, options: dict | None = None, backend: str = "onnxruntime", keep: tuple[str, ...] = (), number: str | None = None,
 ) -> DataFrame:
     """(key, output: array<float>, error, and the columns to keep) for each row; ``data`` holds one item's elements in row-major order.
 
+    ``shape`` is that of every item, or names a column that has each item's (an array of integers).
+    ``number`` names a column for the number of a row's batch in its partition.
     A row without data has no output and keeps the ``error`` that it came with.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     kinds = dict(df.dtypes)
-    kept = "".join(f", {c} {kinds[c]}" for c in keep)
+    kept = "".join(f", {c} {kinds[c]}" for c in keep) + (f", {number} long" if number else "")
+    own = shape if isinstance(shape, str) else None
 
     def run(batches):
         session = open_backend(backend, shared.value, options)
-        for whole in batches:
-            for at in range(0, whole.num_rows, batch):
-                part = whole.slice(at, batch)
-                there = part.column(1).is_valid().to_numpy(zero_copy_only=False)
-                n, error = int(there.sum()), part.column(2)
-                result = pa.nulls(part.num_rows, pa.list_(pa.float32()))
-                try:
-                    if n:
-                        flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
-                        got = session.infer(flat.reshape(n, *shape))[output].reshape(n, -1)
-                        offsets = np.concatenate(([0], np.cumsum(there))) * got.shape[1]
-                        result = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(got.reshape(-1).astype(np.float32)), mask=pa.array(~there))
-                except Exception as e:  # noqa: BLE001  the rows of this batch carry it
-                    text = f"{type(e).__name__}: {e}"[:500]
-                    error = pa.array([text if x else y for x, y in zip(there.tolist(), error.to_pylist())], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), result, error, *(part.column(3 + k) for k in range(len(keep)))], names=[key, output, "error", *keep])
+        for n_batch, (dims, part) in enumerate(assembled(batches, batch, 3 if own else None)):
+            there = part.column(1).is_valid().to_numpy(zero_copy_only=False)
+            n, error = int(there.sum()), part.column(2)
+            result = pa.nulls(part.num_rows, pa.list_(pa.float32()))
+            try:
+                if n:
+                    flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+                    got = session.infer(flat.reshape(n, *(shape if dims is None else dims)))[output].reshape(n, -1)
+                    offsets = np.concatenate(([0], np.cumsum(there))) * got.shape[1]
+                    result = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(got.reshape(-1).astype(np.float32)), mask=pa.array(~there))
+            except Exception as e:  # noqa: BLE001  the rows of this batch carry it
+                text = f"{type(e).__name__}: {e}"[:500]
+                error = pa.array([text if x else y for x, y in zip(there.tolist(), error.to_pylist())], pa.string())
+            more = [part.column((4 if own else 3) + k) for k in range(len(keep))] + [pa.array(np.full(part.num_rows, n_batch))] * bool(number)
+            yield pa.RecordBatch.from_arrays([part.column(0), result, error, *more], names=[key, output, "error", *keep, *[number] * bool(number)])
 
     before = F.col("error") if "error" in df.columns else F.lit(None).cast("string").alias("error")
-    return df.select(key, F.col(data).cast("array<float>").alias("_data"), before, *keep).mapInArrow(run, f"{key} {kinds[key]}, {output} array<float>, error string{kept}")
+    return df.select(key, F.col(data).cast("array<float>").alias("_data"), before, *([F.col(own).cast("array<int>").alias("_shape")] if own else []), *keep).mapInArrow(run, f"{key} {kinds[key]}, {output} array<float>, error string{kept}")

@@ -17,7 +17,7 @@ from framewright.config import (
     BACKENDS, EXECUTION_MODES, GRAPH_LEVELS, LOG_LEVELS, BenchmarkConfig, ModelConfig, Override, benchmark_config, from_arguments, model_config, parse_backend, parse_execution_mode, parse_graph_level, parse_log_level,
 )
 from framewright.functions import geometry, tensor
-from framewright.operators import detect, infer, metrics, pixels, runners
+from framewright.operators import detect, infer, metrics, pixels, runners, table_functions
 from framewright.session import work_folder
 from framewright.sources import frames, images, onnx_models, reports
 from framewright.streaming import batcher, schedule
@@ -535,6 +535,21 @@ def str5_batch_size_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(other, "vec_id").where(near).agg(F.count("*").alias("n"), F.count_if(top > 0).alias("positive"))
 
 
+MIXED = [(4, 4), (2, 8), (5, 3), (1, 21)]
+
+
+@query(f"select [3, h, w] as shape, count(*) as n, true as all_same, true as full_but_one from (select vec_id, {[h for h, _ in MIXED]}[vec_id % 4 + 1] as h, {[w for _, w in MIXED]}[vec_id % 4 + 1] as w from embeddings) group by h, w")
+def str5_mixed_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of four shapes through one model in batches of 16: the same values come back, and a partition has one partial batch at most of each shape."""
+    kind = (F.col("vec_id") % len(MIXED)).cast("int")
+    shape = F.array(*[F.array(F.lit(3), F.lit(h), F.lit(w)) for h, w in MIXED])[kind]
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", shape.alias("shape"), F.slice("embedding", F.lit(1), shape[0] * shape[1] * shape[2]).alias("x"))
+    got = infer.infer(rows, "vec_id", "x", "shape", onnx_models.identity([3, "h", "w"]), "y", 16, keep=("x", "shape"), number="batch").withColumn("partition", F.spark_partition_id())
+    each = got.groupBy("partition", "batch", "shape").agg(F.count("*").alias("n"), F.every(F.col("y") == F.col("x")).alias("same"))
+    of = each.groupBy("partition", "shape").agg(F.sum("n").alias("n"), F.every("same").alias("same"), F.count_if(F.col("n") < 16).alias("partial"))
+    return of.groupBy("shape").agg(F.sum("n").alias("n"), F.every("same").alias("all_same"), F.every(F.col("partial") <= 1).alias("full_but_one"))
+
+
 # --- filters, aggregates, joins, suppression over anchors
 
 
@@ -723,6 +738,17 @@ def detect_images_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled_boxes(runner.run(picture_images(spark, sf_dir)))
 
 
+@query(detect_sql(IMAGE_BOXES, 0.5, 4.0, 2.0))
+def udf3_detect_from_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same path as a table function, called in SQL text."""
+    config = ModelConfig("boxes", shape=(8, 8), classes=tuple(LABELS), conf=0.5, nms=NMS, auto_aspect_ratio=False, batch=64)
+    table_functions.register_detector(spark, "detect_images", config, onnx_models.linear_over_planes(BOX_WEIGHTS, [3, 8, 8], whole=True), "y")
+    return spark.sql("""
+        select vec_id, x, y, w, h, round(double(score), 4) as score, class_id, label
+        from detect_images(table(select vec_id, image, pmod(vec_id, 8) as part from {pictures}) partition by part) where error is null
+    """, pictures=picture_images(spark, sf_dir))
+
+
 @query(f"""
 select vec_id, count(*) as candidates, count(*) filter (score >= {CONF}) as n from {BOXES} group by vec_id
 """)

@@ -6,8 +6,10 @@ import datetime
 import random
 import threading
 import time
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -267,3 +269,31 @@ def test_model_file_prefers_the_optimized_copy(tmp_path):
     assert read_model(str(tmp_path / "m.onnx")) == b"plain"
     (tmp_path / "optimized_m.onnx").write_bytes(b"better")
     assert read_model(str(tmp_path / "m.onnx")) == b"better"
+
+
+def test_batches_are_put_together_by_shape():
+    from framewright.operators.infer import assembled
+
+    rows = [(i, (2, i % 3) if i % 5 else None) for i in range(200)]
+    parts = [rows[:7], rows[7:8], rows[8:150], rows[150:]]
+    batches = [pa.RecordBatch.from_pydict({"id": [i for i, _ in p], "shape": pa.array([s and list(s) for _, s in p], pa.list_(pa.int32()))}) for p in parts]
+    got = [(kind, b.column(0).to_pylist()) for kind, b in assembled(iter(batches), 8, 1)]
+    assert sorted(i for _, ids in got for i in ids) == list(range(200)) and all(dict(rows)[i] == kind for kind, ids in got for i in ids)
+    assert max(Counter(kind for kind, ids in got if len(ids) < 8).values()) == 1
+    assert [b.num_rows for _, b in assembled(iter(batches), 64)] == [64, 64, 64, 8] and list(assembled(iter([]), 4)) == []
+
+
+def test_table_function_reports_errors(spark):
+    from framewright.operators.table_functions import register_detector
+
+    c = config.ModelConfig("m", shape=(8, 8), classes=("a", "b"), auto_aspect_ratio=False)
+    register_detector(spark, "detect_some", c, onnx_models.identity([3, 8, 8]), "y")
+    kind = "id long, image struct<height:int,width:int,data:binary>, part int"
+    good = np.random.default_rng(1).integers(0, 256, (8, 8, 3), dtype=np.uint8)
+    spark.createDataFrame([(1, (8, 8, bytearray(good.tobytes())), 0), (2, (8, 8, bytearray(b"short")), 0), (3, None, 0)], kind).createOrReplaceTempView("some_pictures")
+    got = spark.sql("select * from detect_some(table(some_pictures) partition by part)").collect()
+    assert {r.id for r in got if r.error} == {2, 3} and [r for r in got if r.id == 1] and all(r.x is not None for r in got if r.id == 1)
+    want = Detector(c, onnx_models.identity([3, 8, 8]), "y").run(picture(spark, good)).first().detections
+    assert [(d.x, d.y, d.w, d.h, d.class_id) for d in want] == [(r.x, r.y, r.w, r.h, r.class_id) for r in got if r.id == 1]
+    with pytest.raises(Exception, match="a key first and a picture"):
+        spark.sql("select * from detect_some(table(select 1 as id))").collect()
