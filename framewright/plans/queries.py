@@ -20,7 +20,7 @@ from framewright.functions import geometry, tensor
 from framewright.operators import detect, infer, metrics, pixels, runners, table_functions
 from framewright.session import work_folder
 from framewright.sources import frames, images, onnx_models, reports
-from framewright.streaming import batcher, schedule
+from framewright.streaming import batcher, rate, schedule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -940,6 +940,20 @@ def win4_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.frames_per_second(read(spark, sf_dir, "events"), "ts", "1 hour").groupBy("frames", "fps").agg(F.count("*").alias("windows"))
 
 
+@query("""
+with recursive f as (select ms, row_number() over (order by ms, event_id) as i from (select event_id, epoch_us(ts) // 1000 as ms from events)),
+r(i, ms, succ) as (
+  select i, ms, (select min(g.i) from f g where g.ms > f.ms + 3600000) from f where i = 1
+  union all
+  select f.i, f.ms, (select min(g.i) from f g where g.ms > f.ms + 3600000) from r join f on f.i = r.succ
+)
+select r.ms as start_ms, r.succ - r.i + (r.i = 1)::bigint as frames, f.ms - r.ms as elapsed_ms, (r.succ - r.i + (r.i = 1)::bigint) * 3600000 // (f.ms - r.ms) as rate from r join f on f.i = r.succ
+""")
+def win4_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate each time that more than an hour has gone since it was last shown."""
+    return rate.rates(read(spark, sf_dir, "events"), "ts", "event_id", 3_600_000).drop("stream")
+
+
 @query(f"select event_id from (select event_id, row_number() over (partition by {TICK} order by ts, event_id) as r from events) where r <= 7")
 def str10_load_shed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.shed(read(spark, sf_dir, "events"), "ts", ["event_id"], schedule.ring_capacity(5)).select("event_id")
@@ -1006,7 +1020,7 @@ def str4_stream_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BATCHER_SQL = """
 with recursive r as (
-  select event_id, user_id % 16 as shard, epoch_ms(ts) as ms, row_number() over (partition by user_id % 16 order by ts, event_id) as n from events
+  select event_id, user_id % 16 as shard, epoch_us(ts) // 1000 as ms, row_number() over (partition by user_id % 16 order by ts, event_id) as n from events
 ), ends as (
   select r.shard, r.n, (select min(q.n) from r q where q.shard = r.shard and q.ms >= r.ms + 600000) as due, (select max(q.n) from r q where q.shard = r.shard) as last from r
 ), b(shard, batch_no, first, next, is_full) as (
