@@ -201,6 +201,106 @@ NOTICES = [
     Rule("proprietary", 1, "consent", r"without (?:the )?(?:prior|express) written consent of"),
     Rule("evaluation", 2, "evaluation", r"for evaluation (?:purposes )?only"),
     Rule("noncommercial", 2, "commercial", r"for non commercial use only"),
+    Rule("gpl-2.0", 1, "version", r"under the terms of version 2 of the gnu general public license as published by the free software foundation"),
+    Rule("gpl-3.0", 1, "version", r"under the terms of version 3 of the gnu general public license as published by the free software foundation"),
+    Rule("gpl", 1, "inc", r"write to the free software foundation inc (?:51 franklin street|59 temple place|675 mass ave)"),
+    Rule("gpl", 2, "copying", r"see the file copying for (?:details|more details|the license|license details)"),
+    Rule("gpl", 1, "exception", r"as a special exception (?:the copyright holders|you may|linking this)"),
+    Rule("gpl", 1, "freedom", r"the licenses for most software are designed to take away your freedom to share and change it"),
+    Rule("gpl-3.0", 1, "kinds", r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    Rule("gpl-3.0", 1, "tivoization", r"tivoization"),
+    Rule("gpl", 2, "copylefted", r"copylefted (?:software|under the gpl)"),
+    Rule("lgpl", 1, "linked", r"combined or linked with the library"),
+    Rule("lgpl", 2, "lgpl", r"(?:https? )?(?:www )?gnu org licenses lgpl(?: html| txt| 2 1| 3 0)?"),
+    Rule("agpl", 2, "agpl", r"(?:https? )?(?:www )?gnu org licenses agpl(?: html| txt| 3 0)?"),
+    Rule("gfdl", 2, "fdl", r"(?:https? )?(?:www )?gnu org (?:copyleft|licenses) fdl(?: html| txt)?"),
+    Rule("gfdl", 1, "cover", r"with the front cover texts being"),
+    Rule("apache-2.0", 1, "contributor", r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    Rule("apache-2.0", 1, "asf", r"the asf licenses this file to you under the apache license"),
+    Rule("apache-2.0", 1, "perpetual", r"grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    Rule("apache-1.1", 1, "acknowledgment", r"the end user documentation included with the redistribution if any must include the following acknowledgment"),
+    Rule("apache-1.0", 1, "apache", r"for use in the apache http server project"),
+    Rule("bsd", 2, "bsd", r"opensource org licenses bsd license(?: php| html)?"),
+    Rule("bsd-3-clause", 2, "bsd", r"opensource org licenses bsd 3 clause"),
+    Rule("bsd-2-clause", 2, "bsd", r"opensource org licenses bsd 2 clause"),
+    Rule("bsd", 1, "governed", r"use of this source code is governed by a bsd style license that can be found in the license file"),
+    Rule("mit", 1, "governed", r"use of this source code is governed by an mit style license that can be found in the license file"),
+    Rule("bsd-4-clause", 1, "berkeley", r"this product includes software developed by the university of california berkeley and its contributors"),
+    Rule("bsd", 1, "regents", r"copyright(?: c)?(?: (?:19|20)\d\d)?(?: (?:19|20)\d\d)? the regents of the university of california"),
+    Rule("bsd", 1, "procurement", r"including but not limited to procurement of substitute goods or services"),
+    Rule("0bsd", 1, "0bsd", r"0bsd|zero clause bsd 0bsd"),
+    Rule("0bsd", 2, "clause", r"(?:zero|0) clause bsd(?: licen[sc]e)?"),
+    Rule("bsd-3-clause-clear", 1, "clear", r"(?:the )?clear bsd licen[sc]e"),
+    Rule("mit-0", 1, "attribution", r"mit no attribution(?: licen[sc]e)?"),
+    Rule("mit", 2, "mit", r"(?:see|under) the mit licen[sc]e file"),
+    Rule("x11", 1, "documentation", r"and that both that copyright notice and this permission notice appear in supporting documentation"),
+    Rule("hpnd", 1, "representations", r"makes no representations about the suitability of this software for any purpose it is provided as is"),
+    Rule("ntp", 1, "ntp", r"ntp licen[sc]e"),
+    Rule("curl", 2, "curl", r"curl licen[sc]e"),
+    Rule("icu", 1, "icu", r"icu licen[sc]e(?: icu 1 8 1 and later)?"),
+    Rule("libpng", 2, "png", r"png reference library licen[sc]e(?: version 2)?"),
+    Rule("libtiff", 1, "leffler", r"copyright(?: c)? (?:19\d\d )?(?:19\d\d )?sam leffler"),
+    Rule("ijg", 1, "jpeg", r"this software is based in part on the work of the independent jpeg group"),
+    Rule("imagemagick", 2, "imagemagick", r"imagemagick licen[sc]e"),
+    Rule("tcl", 1, "tcl", r"tcl tk licen[sc]e(?: terms)?"),
+    Rule("naist", 2, "naist", r"naist(?: 2003)? licen[sc]e"),
+    Rule("psf-2.0", 1, "beopen", r"beopen(?: com)? (?:python open source )?licen[sc]e agreement"),
+    Rule("cnri", 1, "cnri", r"cnri (?:open source gpl compatible |open source )?licen[sc]e agreement"),
+    Rule("perl", 1, "perl", r"under the same terms as perl itself"),
+    Rule("artistic", 2, "perlfoundation", r"(?:https? )?(?:www )?perlfoundation org artistic license 2 0"),
+    Rule("epl", 2, "epl", r"(?:https? )?(?:www )?eclipse org legal epl (?:v10|v20|2 0)(?: html)?"),
+    Rule("edl", 1, "edl", r"eclipse distribution license(?: v)? 1 0 edl"),
+    Rule("edl", 2, "eclipse", r"eclipse distribution licen[sc]e"),
+    Rule("mpl-2.0", 1, "incompatible", r"this source code form is incompatible with secondary licenses"),
+    Rule("mpl-1.1", 1, "initial", r"the initial developer of the original code is"),
+    Rule("mpl-1.1", 1, "warranty", r"software distributed under the license is distributed on an as is basis without warranty of any kind either express or implied see the license for the specific language"),
+    Rule("eupl", 1, "eupl", r"licensed under the eupl(?: version)? 1 [12] or as soon they will be approved by the european commission"),
+    Rule("cecill", 1, "cecill", r"this software is governed by the cecill(?: [bc])? license under french law"),
+    Rule("ofl", 1, "reserved", r"with reserved font name"),
+    Rule("ofl", 2, "ofl", r"(?:https? )?scripts sil org ofl"),
+    Rule("ubuntu-font", 2, "ubuntu", r"ubuntu font licen[sc]e(?: version 1 0)?"),
+    Rule("bitstream-vera", 1, "bitstream", r"bitstream vera is a trademark of bitstream inc"),
+    Rule("gust-font", 2, "gust", r"gust font (?:nosource )?licen[sc]e"),
+    Rule("lppl", 1, "lppl", r"lppl(?: version)?(?: 1 [0123][abc]?)?"),
+    Rule("lppl", 1, "latex", r"latex project public licen[sc]e(?: version 1 [0123][abc]?)?"),
+    Rule("knuth", 1, "knuth", r"copyright (?:19\d\d )?(?:by )?d e knuth"),
+    Rule("odbl", 2, "odbl", r"(?:https? )?opendatacommons org licenses odbl(?: 1 0)?"),
+    Rule("odbl", 2, "openstreetmap", r"openstreetmap contributors"),
+    Rule("cdla-permissive", 1, "cdla", r"cdla permissive(?: v)?(?: [12] 0)?"),
+    Rule("cdla-sharing", 1, "cdla", r"cdla sharing(?: v)?(?: 1 0)?"),
+    Rule("cdla", 2, "community", r"community data licen[sc]e agreement"),
+    Rule("cc", 2, "creativecommons", r"(?:https? )?(?:www )?creativecommons org licenses(?: by(?: nc)?(?: sa| nd)?(?: [1234] [05])?)?"),
+    Rule("cc", 1, "remix", r"you are free to share copy and redistribute the material in any medium or format adapt remix transform and build upon"),
+    Rule("cc", 1, "attribution", r"you must give appropriate credit provide a link to the license and indicate if changes were made attribution|attribution you must give appropriate credit"),
+    Rule("cc", 1, "deed", r"human readable summary of and not a substitute for the license deed|deed this is a human readable summary of"),
+    Rule("ms-pl", 2, "pl", r"ms pl"),
+    Rule("ms-limited", 2, "microsoft", r"microsoft (?:limited (?:public|reciprocal)|reference source) licen[sc]e"),
+    Rule("oracle-bcl", 1, "oracle", r"oracle binary code licen[sc]e agreement"),
+    Rule("otn", 2, "otn", r"otn (?:developer |free )?licen[sc]e"),
+    Rule("sun-bcl", 1, "sun", r"sun microsystems inc binary code licen[sc]e agreement"),
+    Rule("jcp", 2, "jcp", r"jcp specification licen[sc]e"),
+    Rule("adobe", 2, "adobe", r"adobe systems incorporated source code licen[sc]e agreement"),
+    Rule("intel", 1, "intel", r"intel (?:simplified software|open source|open software) licen[sc]e"),
+    Rule("nvidia", 2, "nvidia", r"nvidia (?:software|source code|cuda toolkit|open model) licen[sc]e"),
+    Rule("llama-community", 1, "llama", r"(?:meta )?llama (?:[234] )?(?:[0123] )?community licen[sc]e(?: agreement)?"),
+    Rule("gemma", 2, "gemma", r"gemma terms of use"),
+    Rule("gutenberg", 1, "gutenberg", r"under the terms of the project gutenberg license"),
+    Rule("gutenberg", 2, "gutenberg", r"project gutenberg (?:tm )?licen[sc]e"),
+    Rule("dual", 2, "dual", r"dual licensed"),
+    Rule("dual", 2, "choice", r"at your choice (?:under|of) (?:either )?(?:the )?licen[sc]es?"),
+    Rule("freeware", 3, "freeware", r"freeware"),
+    Rule("shareware", 3, "shareware", r"shareware"),
+    Rule("proprietary", 1, "confidential", r"(?:this (?:document|file|software) (?:is|contains) )?confidential and proprietary(?: information)?"),
+    Rule("proprietary", 1, "copying", r"(?:any )?unauthori[sz]ed copying(?: of this (?:file|software))?(?: via any medium)? is strictly prohibited"),
+    Rule("proprietary", 2, "eula", r"eula"),
+    Rule("proprietary", 2, "agreement", r"end user licen[sc]e agreement"),
+    Rule("proprietary", 2, "riservati", r"tutti i diritti riservati"),
+    Rule("proprietary", 2, "direitos", r"todos os direitos reservados"),
+    Rule("proprietary", 2, "voorbehouden", r"alle rechten voorbehouden"),
+    Rule("educational", 2, "educational", r"for educational (?:use|purposes) only"),
+    Rule("research", 2, "research", r"for (?:academic |non commercial )?research (?:use|purposes) only"),
+    Rule("personal", 2, "personal", r"for personal(?: non commercial)? use only"),
+    Rule("trial", 2, "trial", r"(?:free )?trial version only"),
     Rule("public-domain", 1, "domain", r"(?:dedicated|released|placed) (?:to|in|into) the public domain"),
     Rule("public-domain", 3, "domain", r"public domain"),
     Rule("cc0-1.0", 1, "cc0", r"cc0(?: 1 0)?(?: universal)?"),
