@@ -10,6 +10,7 @@ import dataclasses
 import tempfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,81 +130,99 @@ def as_image(p: Column, height: int, width: int) -> Column:
     return F.struct(F.lit(None).cast("string").alias("origin"), F.lit(height).alias("height"), F.lit(width).alias("width"), F.lit(3).alias("nChannels"), F.lit(images.BGR).alias("mode"), data.alias("data"))
 
 
-BENCHMARK_YAML = """
-base: &base {batch: 1, buffer_size: 4}
-sync_override: {<<: *base, buffer_size: 1}
-async_override: *base
-batch_override: {<<: *base, batch: 8, buffer_size: 16}
-concurrent_clients: 8
-"""
+# Configurations come as texts, one for each part; they are read on the executors, a batch of rows at a time.
+
+
+def part_key() -> Column:
+    return F.col("p_partkey")
+
+
+def settings(spark: SparkSession, sf_dir: str, text: Column, read_one: Callable[[str], list[tuple]], fields: str) -> DataFrame:
+    """(p_partkey, fields) for each tuple that ``read_one`` makes of a part's text."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(key, *row) for key, x in zip(pdf["p_partkey"].tolist(), pdf["text"]) for row in read_one(x)]
+            yield pd.DataFrame(rows, columns=["p_partkey", *(f.split(" ")[0] for f in fields.split(", "))])
+
+    return read(spark, sf_dir, "part").select("p_partkey", text.alias("text")).mapInPandas(run, f"p_partkey long, {fields}")
 
 
 @query("""
-select * from (values ('async', 8, 10.0::double, 50, 1, 4, -1), ('batch', 8, 10.0, 50, 8, 16, -1), ('sync', 8, 10.0, 50, 1, 1, -1))
-  as t(mode, concurrent_clients, test_duration_sec, min_iterations, batch, buffer_size, warm_up)
+select p_partkey, m as mode, (p_partkey % 9 + 1)::int as concurrent_clients, 10.0::double as test_duration_sec, (case when p_partkey % 2 = 0 then p_partkey % 40 + 1 else 50 end)::int as min_iterations,
+  (case m when 'batch' then p_partkey % 16 + 1 else 1 end)::int as batch, case m when 'sync' then 1 when 'async' then 4 else 16 end::int as buffer_size, -1 as warm_up
+from part, (select unnest(['sync', 'async', 'batch']) as m)
 """)
 def src5_benchmark_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Defaults, anchors and merge keys: one row for each mode."""
-    import yaml
+    """Defaults, anchors and merge keys: three rows for each text, one for each mode."""
 
-    c = benchmark_config({k: v for k, v in yaml.safe_load(BENCHMARK_YAML).items() if k != "base"})
-    rows = [(m, c.concurrent_clients, c.test_duration_sec, c.min_iterations, o.batch, o.buffer_size, o.warm_up) for m, o in (("sync", c.sync_override), ("async", c.async_override), ("batch", c.batch_override))]
-    return spark.createDataFrame(rows, "mode string, concurrent_clients int, test_duration_sec double, min_iterations int, batch int, buffer_size int, warm_up int")
+    def modes(text: str) -> list[tuple]:
+        import yaml
 
+        c = benchmark_config({k: v for k, v in yaml.safe_load(text).items() if k != "base"})
+        return [(m, c.concurrent_clients, c.test_duration_sec, c.min_iterations, o.batch, o.buffer_size, o.warm_up) for m, o in (("sync", c.sync_override), ("async", c.async_override), ("batch", c.batch_override))]
 
-MODEL_YAML = """
-model: {path: m.onnx, shape: [320, 640], batch: 16, classes: [person, bicycle], session_options: {execution_mode: ORT_PARALLEL}}
-preprocess: {auto_aspect_ratio: false, pad_color: [0, 10, 20]}
-postprocess: {conf: 0.5}
-"""
+    shared = "base: &base {batch: 1, buffer_size: 4}\nsync_override: {<<: *base, buffer_size: 1}\nasync_override: *base\n"
+    own = F.when(part_key() % 2 == 0, F.format_string("\nmin_iterations: %d", part_key() % 40 + 1)).otherwise("")
+    text = F.concat(F.lit(shared), F.format_string("batch_override: {<<: *base, batch: %d, buffer_size: 16}\nconcurrent_clients: %d", part_key() % 16 + 1, part_key() % 9 + 1), own)
+    return settings(spark, sf_dir, text, modes, "mode string, concurrent_clients int, test_duration_sec double, min_iterations int, batch int, buffer_size int, warm_up int")
 
 
 @query("""
-select 'm.onnx' as path, 'onnxruntime' as backend, 320 as height, 640 as width, 16 as batch, 4 as buffer_size, 0 as warm_up, ['person', 'bicycle'] as classes,
-  'ORT_PARALLEL' as execution_mode, 0.5::double as conf, 0.45::double as nms, 300 as max_detections, false as auto_aspect_ratio, [0, 10, 20] as pad_color, true as bgr_to_rgb
+select p_partkey, 'm' || p_partkey || '.onnx' as path, 'onnxruntime' as backend, (32 * (p_partkey % 10 + 1))::int as height, (32 * (p_partkey % 7 + 1))::int as width, (case when p_partkey % 3 = 0 then p_partkey % 64 + 1 else 1 end)::int as batch,
+  4 as buffer_size, 0 as warm_up, ['person', 'c' || p_partkey] as classes, case when p_partkey % 5 = 0 then 'ORT_PARALLEL' end as execution_mode, case when p_partkey % 2 = 0 then 0.5 else 0.25 end::double as conf, 0.45::double as nms, 300 as max_detections,
+  p_partkey % 2 <> 0 as auto_aspect_ratio, case when p_partkey % 2 = 0 then [0, 10, (p_partkey % 256)::int] else [114, 114, 114] end as pad_color, true as bgr_to_rgb from part
 """)
 def src4_model_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's configuration: what is given, and defaults for the rest."""
-    import yaml
 
-    c = model_config(yaml.safe_load(MODEL_YAML))
-    row = (c.path, c.backend, *c.shape, c.batch, c.buffer_size, c.warm_up, list(c.classes), c.session_options["execution_mode"], c.conf, c.nms, c.max_detections, c.auto_aspect_ratio, list(c.pad_color), c.bgr_to_rgb)
-    return spark.createDataFrame([row], "path string, backend string, height int, width int, batch int, buffer_size int, warm_up int, classes array<string>, execution_mode string, conf double, nms double, max_detections int, auto_aspect_ratio boolean, pad_color array<int>, bgr_to_rgb boolean")
+    def one(text: str) -> list[tuple]:
+        import yaml
+
+        c = model_config(yaml.safe_load(text))
+        return [(c.path, c.backend, *c.shape, c.batch, c.buffer_size, c.warm_up, list(c.classes), c.session_options.get("execution_mode"), c.conf, c.nms, c.max_detections, c.auto_aspect_ratio, list(c.pad_color), c.bgr_to_rgb)]
+
+    given = lambda every, text, *x: F.when(part_key() % every == 0, F.format_string(text, *x)).otherwise("")
+    text = F.concat(
+        F.format_string("model:\n  path: m%d.onnx\n  shape: [%d, %d]\n  classes: [person, c%d]\n", part_key(), 32 * (part_key() % 10 + 1), 32 * (part_key() % 7 + 1), part_key()),
+        given(3, "  batch: %d\n", part_key() % 64 + 1), given(5, "  session_options: {execution_mode: ORT_PARALLEL}\n"), given(2, "preprocess: {auto_aspect_ratio: false, pad_color: [0, 10, %d]}\npostprocess: {conf: 0.5}\n", part_key() % 256),
+    )
+    return settings(spark, sf_dir, text, one, "path string, backend string, height int, width int, batch int, buffer_size int, warm_up int, classes array<string>, execution_mode string, conf double, nms double, max_detections int, auto_aspect_ratio boolean, pad_color array<int>, bgr_to_rgb boolean")
 
 
 @query("""
-select 'batch' as mode, 3 as concurrent_clients, 2.5::double as test_duration_sec, 50 as min_iterations, 5 as warmup_count, 'resnet' as model_type, false as export_json, true as export_csv, 16 as batch_buffer_size
-union all select 'all', 8, 10.0, 50, 5, 'yolo', true, true, 16
+select p_partkey, case when p_partkey % 2 = 0 then 'batch' else 'all' end as mode, (case when p_partkey % 2 = 0 then p_partkey % 9 + 1 else 8 end)::int as concurrent_clients, case when p_partkey % 2 = 0 then 2.5 else 10.0 end::double as test_duration_sec, 50 as min_iterations, 5 as warmup_count,
+  case when p_partkey % 2 = 0 then 'resnet' else 'yolo' end as model_type, p_partkey % 2 <> 0 as export_json, true as export_csv, 16 as batch_buffer_size from part
 """)
 def src10_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Command line over file over default: with arguments of its own, and with the file alone."""
-    import yaml
+    file = {"concurrent_clients": 8, "batch_override": {"batch": 8, "buffer_size": 16}}
 
-    load = lambda path: yaml.safe_load(BENCHMARK_YAML)
-    own = ["--mode", "batch", "--clients", "3", "--duration", "2.5", "--model", "resnet", "--no-json"]
-    got = [from_arguments(["--config", "b.yaml", *more], load) for more in (own, [])]
-    rows = [(c.mode, c.concurrent_clients, c.test_duration_sec, c.min_iterations, c.warmup_count, c.model_type, c.export_json, c.export_csv, c.batch_override.buffer_size) for c in got]
-    return spark.createDataFrame(rows, "mode string, concurrent_clients int, test_duration_sec double, min_iterations int, warmup_count int, model_type string, export_json boolean, export_csv boolean, batch_buffer_size int")
+    def one(text: str) -> list[tuple]:
+        c = from_arguments(["--config", "b.yaml", *text.split()], lambda path: file)
+        return [(c.mode, c.concurrent_clients, c.test_duration_sec, c.min_iterations, c.warmup_count, c.model_type, c.export_json, c.export_csv, c.batch_override.buffer_size)]
 
+    own = F.format_string("--mode batch --clients %d --duration 2.5 --model resnet --no-json", part_key() % 9 + 1)
+    return settings(spark, sf_dir, F.when(part_key() % 2 == 0, own).otherwise(""), one, "mode string, concurrent_clients int, test_duration_sec double, min_iterations int, warmup_count int, model_type string, export_json boolean, export_csv boolean, batch_buffer_size int")
 
-@query("""
-select * from (values ('backend', 'onnxruntime', true), ('backend', 'other', false), ('execution', 'ORT_PARALLEL', true), ('execution', 'ORT_SEQUENTIAL', true), ('execution', 'other', false),
-  ('graph', 'ORT_DISABLE_ALL', true), ('graph', 'ORT_ENABLE_ALL', true), ('graph', 'ORT_ENABLE_BASIC', true), ('graph', 'ORT_ENABLE_EXTENDED', true), ('graph', 'other', false),
-  ('log', 'ERROR', true), ('log', 'FATAL', true), ('log', 'INFO', true), ('log', 'VERBOSE', true), ('log', 'WARNING', true), ('log', 'other', false)) as t(kind, name, known)
-""")
+
+PARSERS = {"backend": (parse_backend, BACKENDS), "execution": (parse_execution_mode, EXECUTION_MODES), "graph": (parse_graph_level, GRAPH_LEVELS), "log": (parse_log_level, LOG_LEVELS)}
+NAMES = [f"{kind}:{name}" for kind, (_, names) in PARSERS.items() for name in (*names, "other")]
+
+
+@query(f"select p_partkey, split_part(x, ':', 1) as kind, split_part(x, ':', 2) as name, split_part(x, ':', 2) <> 'other' as known from (select p_partkey, {NAMES}[p_partkey % {len(NAMES)} + 1] as x from part)")
 def prj26_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that a configuration may use; an unknown one is refused."""
 
-    def known(parse, name: str) -> bool:
+    def one(text: str) -> list[tuple]:
+        kind, name = text.split(":")
         try:
-            parse(name)
+            PARSERS[kind][0](name)
         except ValueError:
-            return False
-        return True
+            return [(kind, name, False)]
+        return [(kind, name, True)]
 
-    parsers = {"backend": (parse_backend, BACKENDS), "execution": (parse_execution_mode, EXECUTION_MODES), "graph": (parse_graph_level, GRAPH_LEVELS), "log": (parse_log_level, LOG_LEVELS)}
-    rows = [(kind, name, known(parse, name)) for kind, (parse, names) in parsers.items() for name in (*names, "other")]
-    return spark.createDataFrame(rows, "kind string, name string, known boolean")
+    return settings(spark, sf_dir, F.array(*map(F.lit, NAMES))[(part_key() % len(NAMES)).cast("int")], one, "kind string, name string, known boolean")
 
 
 @query("""
@@ -498,11 +517,16 @@ def src7_optimized_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return four_logits(logits(spark, sf_dir, model=model))
 
 
-@query("select 'logits' as output, [4] as shape")
+@query("select distinct label, 'logits' as output, [(label + 1)::int] as shape from embeddings")
 def str11_warm_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three runs on zeros before serving tell the shape of one item of each output."""
-    shapes = infer.open_backend("onnxruntime", onnx_models.linear(WEIGHTS)).warm_up((64,), 3)
-    return spark.createDataFrame([(name, list(shape)) for name, shape in shapes.items()], "output string, shape array<int>")
+    """Each label has a model with as many outputs as it says; three runs on zeros before serving tell the shape of one item of each output."""
+
+    def warm(pdf: pd.DataFrame) -> pd.DataFrame:
+        label = int(pdf["label"].iloc[0])
+        shapes = infer.OnnxBackend(onnx_models.linear([[1.0] * (label + 1)] * 64)).warm_up((64,), 3)
+        return pd.DataFrame([(label, name, list(shape)) for name, shape in shapes.items()], columns=["label", "output", "shape"])
+
+    return read(spark, sf_dir, "embeddings").select("label").distinct().groupBy("label").applyInPandas(warm, "label int, output string, shape array<int>")
 
 
 @query(f"select vec_id, (list_position(logits, list_max(logits)) - 1)::int as class_id, {LABELS}[list_position(logits, list_max(logits))] as label from {LOGITS}")
