@@ -126,11 +126,25 @@ def assembled(batches, size: int, shape: int | None = None):
         yield kind, take(kind)
 
 
+def _listed(got: np.ndarray, there: np.ndarray) -> pa.ListArray:
+    """Items of equal size as lists, null for the rows that were not fed."""
+    offsets = np.concatenate(([0], np.cumsum(there))) * got.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(got.reshape(-1).astype(np.float32)), mask=pa.array(~there))
+
+
+def _tensors(got: np.ndarray, there: np.ndarray) -> pa.StructArray:
+    """The same with the shape of one item: (data, shape)."""
+    data = _listed(got.reshape(len(got), -1), there)
+    shape = pa.array([got.shape[1:] if x else None for x in there.tolist()], pa.list_(pa.int64()))
+    return pa.StructArray.from_arrays([data, shape], ["data", "shape"], mask=pa.array(~there))
+
+
 def infer(
-    df: DataFrame, key: str, data: str, shape: tuple[int, ...] | str, model: bytes, output: str, batch: int = 64, options: dict | None = None, backend: str = "onnxruntime", keep: tuple[str, ...] = (), number: str | None = None,
+    df: DataFrame, key: str, data: str, shape: tuple[int, ...] | str, model: bytes, output: str | tuple[str, ...], batch: int = 64, options: dict | None = None, backend: str = "onnxruntime", keep: tuple[str, ...] = (), number: str | None = None,
 ) -> DataFrame:
     """(key, output: array<float>, error, and the columns to keep) for each row; ``data`` holds one item's elements in row-major order.
 
+    Several outputs are a column each, a tensor (data, shape) by the output's own name; the model runs once for all.
     ``shape`` is that of every item, or names a column that has each item's (an array of integers).
     ``number`` names a column for the number of a row's batch in its partition.
     A row without data has no output and keeps the ``error`` that it came with.
@@ -139,24 +153,27 @@ def infer(
     kinds = dict(df.dtypes)
     kept = "".join(f", {c} {kinds[c]}" for c in keep) + (f", {number} long" if number else "")
     own = shape if isinstance(shape, str) else None
+    outputs, one = ((output,), True) if isinstance(output, str) else (tuple(output), False)
+    kind = "array<float>" if one else "struct<data:array<float>,shape:array<bigint>>"
+    empty = pa.list_(pa.float32()) if one else pa.struct([("data", pa.list_(pa.float32())), ("shape", pa.list_(pa.int64()))])
 
     def run(batches):
         session = open_backend(backend, shared.value, options)
         for n_batch, (dims, part) in enumerate(assembled(batches, batch, 3 if own else None)):
             there = part.column(1).is_valid().to_numpy(zero_copy_only=False)
             n, error = int(there.sum()), part.column(2)
-            result = pa.nulls(part.num_rows, pa.list_(pa.float32()))
+            results = [pa.nulls(part.num_rows, empty)] * len(outputs)
             try:
                 if n:
                     flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
-                    got = session.infer(flat.reshape(n, *(shape if dims is None else dims)))[output].reshape(n, -1)
-                    offsets = np.concatenate(([0], np.cumsum(there))) * got.shape[1]
-                    result = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(got.reshape(-1).astype(np.float32)), mask=pa.array(~there))
+                    got = session.infer(flat.reshape(n, *(shape if dims is None else dims)))
+                    results = [_listed(got[o].reshape(n, -1), there) if one else _tensors(got[o], there) for o in outputs]
             except Exception as e:  # noqa: BLE001  the rows of this batch carry it
                 text = f"{type(e).__name__}: {e}"[:500]
                 error = pa.array([text if x else y for x, y in zip(there.tolist(), error.to_pylist())], pa.string())
             more = [part.column((4 if own else 3) + k) for k in range(len(keep))] + [pa.array(np.full(part.num_rows, n_batch))] * bool(number)
-            yield pa.RecordBatch.from_arrays([part.column(0), result, error, *more], names=[key, output, "error", *keep, *[number] * bool(number)])
+            yield pa.RecordBatch.from_arrays([part.column(0), *results, error, *more], names=[key, *outputs, "error", *keep, *[number] * bool(number)])
 
     before = F.col("error") if "error" in df.columns else F.lit(None).cast("string").alias("error")
-    return df.select(key, F.col(data).cast("array<float>").alias("_data"), before, *([F.col(own).cast("array<int>").alias("_shape")] if own else []), *keep).mapInArrow(run, f"{key} {kinds[key]}, {output} array<float>, error string{kept}")
+    named = ", ".join(f"`{o}` {kind}" for o in outputs)
+    return df.select(key, F.col(data).cast("array<float>").alias("_data"), before, *([F.col(own).cast("array<int>").alias("_shape")] if own else []), *keep).mapInArrow(run, f"{key} {kinds[key]}, {named}, error string{kept}")

@@ -499,6 +499,21 @@ def udf6_linear_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return four_logits(logits(spark, sf_dir))
 
 
+HEADS = {"scores": WEIGHTS, "box": [[((i * 5 + j * 7) % 9 - 4) / 8 for j in range(2)] for i in range(64)]}
+
+
+@query(f"""
+select vec_id, [l[1] + 0.0, l[2] + 0.0, l[3] + 0.0, l[4] + 0.0] as scores, [4] as scores_shape, [b[1] + 0.0, b[2] + 0.0] as box, [2] as box_shape from (
+  select vec_id, logits as l, [list_sum([floor(e[i + 1] * 256) / 256 * (((i * 5 + j * 7) % 9 - 4) / 8.0::double) for i in range(64)]) for j in range(2)] as b from {LOGITS} join {VECTORS} using (vec_id))
+""")
+def udf5_named_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model with two outputs runs once and gives both by name, with their shapes."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: (F.floor(v * 256) / 256).cast("float")).alias("x"))
+    got = infer.infer(rows, "vec_id", "x", (64,), onnx_models.heads(HEADS), ("scores", "box"))
+    plain = lambda c: F.transform(F.col(c)["data"], lambda v: v.cast("double") + 0.0)
+    return got.select("vec_id", *[x for c in HEADS for x in (plain(c).alias(c), F.col(c)["shape"].cast("array<int>").alias(f"{c}_shape"))])
+
+
 @query(FOUR_LOGITS)
 def str6_partial_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 61: the rest of every partition is a smaller batch, and all its rows are delivered."""

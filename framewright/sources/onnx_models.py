@@ -28,8 +28,8 @@ def _value(name: str, dims: list[int | str]) -> bytes:
     return _bytes(1, name) + _bytes(2, _bytes(1, _number(1, 1) + _bytes(2, shape)))
 
 
-def _model(nodes: list[bytes], tensors: list[bytes], inputs: bytes, outputs: bytes) -> bytes:
-    graph = b"".join(_bytes(1, n) for n in nodes) + _bytes(2, "g") + b"".join(_bytes(5, t) for t in tensors) + _bytes(11, inputs) + _bytes(12, outputs)
+def _model(nodes: list[bytes], tensors: list[bytes], inputs: bytes, *outputs: bytes) -> bytes:
+    graph = b"".join(_bytes(1, n) for n in nodes) + _bytes(2, "g") + b"".join(_bytes(5, t) for t in tensors) + _bytes(11, inputs) + b"".join(_bytes(12, o) for o in outputs)
     return _number(1, 8) + _bytes(7, graph) + _bytes(8, _bytes(1, "") + _number(2, 13))
 
 
@@ -41,8 +41,8 @@ def _tensor(name: str, dims: list[int], flat: list[float]) -> bytes:
     return b"".join(_number(1, d) for d in dims) + _number(2, 1) + _bytes(8, name) + _bytes(9, struct.pack(f"<{len(flat)}f", *flat))
 
 
-def _weights(weights: list[list[float]]) -> bytes:
-    return _tensor("w", [len(weights), len(weights[0])], [v for row in weights for v in row])
+def _weights(weights: list[list[float]], name: str = "w") -> bytes:
+    return _tensor(name, [len(weights), len(weights[0])], [v for row in weights for v in row])
 
 
 def linear(weights: list[list[float]], x: str = "x", y: str = "logits") -> bytes:
@@ -58,3 +58,10 @@ def linear_over_planes(weights: list[list[float]], shape: list[int], whole: bool
 
 def identity(shape: list[int], x: str = "x", y: str = "y") -> bytes:
     return _model([_node("Identity", [x], y)], [], _value(x, ["n", *shape]), _value(y, ["n", *shape]))
+
+
+def heads(weights: dict[str, list[list[float]]], x: str = "x") -> bytes:
+    """A product of the same input for each output."""
+    size = len(next(iter(weights.values())))
+    nodes = [_node("MatMul", [x, f"w_{name}"], name) for name in weights]
+    return _model(nodes, [_weights(w, f"w_{name}") for name, w in weights.items()], _value(x, ["n", size]), *[_value(name, ["n", len(w[0])]) for name, w in weights.items()])

@@ -102,6 +102,15 @@ def test_onnx_backend_and_errors(spark):
     assert all(r.error and r.logits is None for r in bad)
 
 
+def test_several_outputs(spark):
+    model = onnx_models.heads({"a": [[1.0, 2.0], [3.0, 4.0]], "b": [[1.0], [-1.0]]})
+    df = spark.createDataFrame([(1, [1.0, 1.0]), (2, None), (3, [0.0, 2.0])], "id int, d array<float>")
+    got = {r.id: r for r in infer(df, "id", "d", (2,), model, ("b", "a")).collect()}
+    assert (got[1].a.data, got[1].b.data, got[3].a.data, got[3].b.data) == ([4.0, 6.0], [0.0], [6.0, 8.0], [-2.0])
+    assert got[1].a.shape == [2] and got[1].b.shape == [1] and got[2].a is None and got[2].b is None and got[2].error is None
+    assert all(r.error for r in infer(df.where("id <> 2"), "id", "d", (2,), model, ("a", "none")).collect())
+
+
 def picture(spark, image):
     h, w = image.shape[:2]
     return spark.createDataFrame([(1, ("", h, w, 3, images.BGR, bytearray(image.tobytes())))], "request_id long, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
