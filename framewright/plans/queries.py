@@ -1080,14 +1080,18 @@ def str4_count_or_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batcher.deliver(out, f"{at}/out", f"{at}/checkpoint")
 
 
-@query("select * from (values (0::bigint, 2), (1, 2), (2, 1)) as t(batch, files)")
+@query("select event_id % 5 // 2 as batch, count(distinct event_id % 5)::int as files, count(*) as requests, min(event_id) as first_id, max(event_id) as last_id from events group by 1")
 def str8_back_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five files wait, and no batch takes more than two."""
+    """Five files wait, one after the other, and no batch takes more than two: which requests each batch has."""
     at, events = _scratch(spark), read(spark, sf_dir, "events").select("event_id")
-    events.repartition(5).write.parquet(f"{at}/in")
-    seen = lambda df, n: df.select(F.lit(n).cast("bigint").alias("batch"), F.col("_metadata.file_path").alias("file")).distinct().write.mode("append").parquet(f"{at}/out")
+    for k in range(5):
+        events.where(F.col("event_id") % 5 == k).coalesce(1).write.mode("append").parquet(f"{at}/in")
+
+    def seen(df: DataFrame, n: int) -> None:
+        df.groupBy(F.lit(n).cast("bigint").alias("batch"), F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"), F.min("event_id").alias("low"), F.max("event_id").alias("high")).write.mode("append").parquet(f"{at}/out")
+
     schedule.drain_batches(schedule.stream_table(spark, f"{at}/in", events.schema, 2).select("event_id", "_metadata"), seen, f"{at}/checkpoint")
-    return spark.read.parquet(f"{at}/out").groupBy("batch").agg(F.count("*").cast("int").alias("files"))
+    return spark.read.parquet(f"{at}/out").groupBy("batch").agg(F.count("*").cast("int").alias("files"), F.sum("n").alias("requests"), F.min("low").alias("first_id"), F.max("high").alias("last_id"))
 
 
 @query("select 3 as clients, 15 as requests, 15 as runs")
