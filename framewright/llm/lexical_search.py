@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from framewright.llm.common import write_table
 
 BLOCK = 128
-#: A segment ends when it has so many documents or terms, repeats included.
-SEGMENT_DOCS, SEGMENT_TERMS = 32_768, 4_000_000
+#: A segment ends when it has so many documents or terms, repeats included; documents are taken in by so many bytes at a time, or one.
+SEGMENT_DOCS, SEGMENT_TERMS, AT_ONCE = 32_768, 2_000_000, 2 << 20
 #: Items that are searched for at once.
 MOST_ITEMS, MOST_CHARS = 5_000, 4_000_000
 #: Weights of length in a document's score, in hundredths, and what a posting's impact is scaled by.
@@ -200,6 +200,14 @@ class Index:
     id_col: str
 
 
+def _by_size(batch: pa.RecordBatch):
+    """The rows of (id, text) in parts of about ``AT_ONCE`` bytes of text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+    cuts = np.flatnonzero(np.diff(upto // AT_ONCE)) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        yield batch.slice(start, end - start)
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Index:
     """Every document, in segments, as a table in the shared folder."""
     texts = docs.select(docs[id_col].alias("id"), docs[text].cast("binary").alias("text"))
@@ -209,8 +217,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     def index(batches):
         segment, number = Segment(), TaskContext.get().partitionId() << 32
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in _by_size(whole):
                 segment.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
                 if len(segment.ids) >= SEGMENT_DOCS or segment.size >= SEGMENT_TERMS:
                     yield segment.rows(number, whole.schema.field(0).type, stats)
