@@ -117,7 +117,9 @@ def overlapping_pairs(df: DataFrame, group: str, key: str, threshold: float, mos
     named = lambda rows, n: rows.select(*cells, F.col("key").alias(f"{n}_key"), F.col("box").alias(n), F.col("level").alias(f"{n}_level"))
     first = lambda p, i: F.floor(F.greatest(F.col(f"a.{p}"), F.col(f"b.{p}")) / side) == F.col(i)
     once = (F.col("a_level") < F.col("b_level")) | (F.col("a_key") < F.col("b_key"))
-    pairs = named(seekers, "a").join(named(homes, "b"), cells).where(once & first("x", "i") & first("y", "j") & overlaps(F.col("a"), F.col("b"), threshold))
+    # what two boxes share is no wider and no higher than the smaller, so this much of the larger it must be at least
+    near = lambda n: F.least(F.col(f"a.{n}"), F.col(f"b.{n}")) >= F.lit(threshold) * F.greatest(F.col(f"a.{n}"), F.col(f"b.{n}"))
+    pairs = named(seekers, "a").join(named(homes, "b"), cells).where(near("w") & near("h") & once & first("x", "i") & first("y", "j") & overlaps(F.col("a"), F.col("b"), threshold))
     return pairs.select(
         group, F.least("a_key", "b_key").alias(f"a_{key}"), F.greatest("a_key", "b_key").alias(f"b_{key}"),
         intersection(F.col("a"), F.col("b")).alias("intersection"), union(F.col("a"), F.col("b")).alias("union_area"),
@@ -125,7 +127,7 @@ def overlapping_pairs(df: DataFrame, group: str, key: str, threshold: float, mos
 
 
 #: Boxes that are gone through one by one: of a group, or of a part of a larger group.
-FOLD = 1024
+FOLD = 2048
 
 
 def suppress_groups(df: DataFrame, group: str, ties: list[str], threshold: float = 0.45, fold: int = FOLD) -> DataFrame:

@@ -422,10 +422,10 @@ def prj24_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", tensor.tensor(F.col("embedding"), F.array(F.lit(8), F.lit(8))).alias("t")).select("vec_id", "t.*")
 
 
-@query("select vec_id, embedding[1:4] as primary_data, true as has_logits, false as has_boxes from embeddings")
+@query("select vec_id, embedding as primary_data, true as has_logits, false as has_boxes from embeddings")
 def prj25_named_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs by name; the primary one is named, never the first of a map."""
-    out = F.create_map(F.lit("logits"), tensor.tensor(F.slice("embedding", 1, 4), F.array(F.lit(4))))
+    out = F.create_map(F.lit("logits"), tensor.tensor(F.col("embedding"), F.array(F.lit(64))))
     rows = read(spark, sf_dir, "embeddings").select("vec_id", out.alias("o"))
     return rows.select("vec_id", F.col("o")["logits"]["data"].alias("primary_data"), F.map_contains_key("o", "logits").alias("has_logits"), F.map_contains_key("o", "boxes").alias("has_boxes"))
 
