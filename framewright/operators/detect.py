@@ -84,12 +84,36 @@ def flat_classes(df: DataFrame, group: str, key: str) -> DataFrame:
     return flat.groupBy(group).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("members")).where("members > 1")
 
 
+def flat_pairs(df: DataFrame, group: str, key: str, threshold: float, most: int = 1000) -> DataFrame:
+    """Pairs of a group's boxes without area, each once, with the columns of ``overlapping_pairs``: they overlap each other wholly wherever they are.
+
+    A group's boxes are dealt into slices of about ``most``, and every two slices meet in a cell of their own.
+    """
+    slices = flat_classes(df, group, key).select(group, F.ceil(F.col("members") / most).alias("slices"))
+    boxes = df.where(~has_area()).select(group, F.col(key).alias("key"), F.struct("x", "y", "w", "h").alias("box")).join(slices, group)
+    own, cells = F.pmod(F.xxhash64("key"), F.col("slices")), [group, "i", "j"]
+    # a cell's pairs are many more than its rows, so tasks aren't merged by the size of their rows
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = lambda rows, n: rows.repartition(parts, *cells).select(*cells, F.col("key").alias(f"{n}_key"), F.col("box").alias(n))
+    left = named(boxes.withColumn("i", own).withColumn("j", F.explode(F.sequence("i", F.col("slices") - 1))), "a")
+    right = named(boxes.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), "j"))), "b")
+    pairs = left.join(right, cells).where(((F.col("i") < F.col("j")) | (F.col("a_key") < F.col("b_key"))) & overlaps(F.col("a"), F.col("b"), threshold))
+    return _paired(pairs, group, key)
+
+
+def _paired(pairs: DataFrame, group: str, key: str) -> DataFrame:
+    return pairs.select(
+        group, F.least("a_key", "b_key").alias(f"a_{key}"), F.greatest("a_key", "b_key").alias(f"b_{key}"),
+        intersection(F.col("a"), F.col("b")).alias("intersection"), union(F.col("a"), F.col("b")).alias("union_area"),
+    )
+
+
 def has_area() -> Column:
     return F.col("w") * F.col("h") > 0
 
 
 def overlapping_pairs(df: DataFrame, group: str, key: str, threshold: float, most: int = 1000) -> DataFrame:
-    """Pairs of a group's boxes with area that overlap above the threshold (0 or more), each once; ``flat_classes`` has the others.
+    """Pairs of a group's boxes with area that overlap above the threshold (0 or more), each once; ``flat_pairs`` has the others.
 
     The grid has levels: a box lives in cells of up to twice its longer side, so in four at most, and
     looks for others there and in the cells of the coarser levels whose boxes aren't too large to overlap it that much.
@@ -120,10 +144,7 @@ def overlapping_pairs(df: DataFrame, group: str, key: str, threshold: float, mos
     # what two boxes share is no wider and no higher than the smaller, so this much of the larger it must be at least
     near = lambda n: F.least(F.col(f"a.{n}"), F.col(f"b.{n}")) >= F.lit(threshold) * F.greatest(F.col(f"a.{n}"), F.col(f"b.{n}"))
     pairs = named(seekers, "a").join(named(homes, "b"), cells).where(near("w") & near("h") & once & first("x", "i") & first("y", "j") & overlaps(F.col("a"), F.col("b"), threshold))
-    return pairs.select(
-        group, F.least("a_key", "b_key").alias(f"a_{key}"), F.greatest("a_key", "b_key").alias(f"b_{key}"),
-        intersection(F.col("a"), F.col("b")).alias("intersection"), union(F.col("a"), F.col("b")).alias("union_area"),
-    )
+    return _paired(pairs, group, key)
 
 
 #: Boxes that are gone through one by one: of a group, or of a part of a larger group.

@@ -674,16 +674,14 @@ pairs as (
   select a.image, a.k as a_k, b.k as b_k,
     (greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)))::bigint as intersection,
     (a.w * a.h + b.w * b.h)::bigint as areas
-  from k a join k b on a.image = b.image and a.k < b.k where a.w * a.h > 0 and b.w * b.h > 0)
-select image, a_k, b_k, intersection, areas - intersection as union_area, 2 as members from pairs where intersection > {NMS}::double * (areas - intersection)
-union all select image, min(k), max(k), 0, 0, count(*) from k where w * h = 0 group by image having count(*) > 1
+  from k a join k b on a.image = b.image and a.k < b.k)
+select image, a_k, b_k, intersection, areas - intersection as union_area from pairs
+where case when areas - intersection = 0 then 1.0 > {NMS} else intersection > {NMS}::double * (areas - intersection) end
 """)
 def jn2_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of boxes with area; the boxes without area of an image, which all overlap each other, are one row with their number."""
+    """Every pair of an image's boxes that overlap; boxes without area overlap each other wholly."""
     rows = rects(spark, sf_dir).withColumn("k", F.col("vec_id") * 8 + F.col("i"))
-    none = F.lit(0).cast("bigint")
-    flat = detect.flat_classes(rows, "image", "k").select("image", F.col("first").alias("a_k"), F.col("last").alias("b_k"), none.alias("intersection"), none.alias("union_area"), "members")
-    return detect.overlapping_pairs(rows, "image", "k", NMS).withColumn("members", F.lit(2).cast("bigint")).unionByName(flat)
+    return detect.overlapping_pairs(rows, "image", "k", NMS).unionByName(detect.flat_pairs(rows, "image", "k", NMS))
 
 
 NMS_SQL = f"""

@@ -20,6 +20,7 @@ from framewright.functions import geometry, tensor
 from framewright.operators import detect, metrics, pixels
 from framewright.operators.infer import OnnxBackend, infer
 from framewright.operators.runners import Classifier, Detector
+from framewright.plans.queries import QUERIES
 from framewright.sources import images, onnx_models, reports
 from framewright.streaming import schedule
 
@@ -251,6 +252,21 @@ def test_pairs_and_suppression_across_rows(spark, threshold):
         assert sorted(r.k for r in detect.suppress_groups(df, "g", ["k"], threshold, fold).collect()) == sorted(b[1] for b in stay)
 
 
+def test_every_pair_of_boxes_without_area(spark, tmp_path):
+    """In slices of any size, and in the query: each of an image's n such boxes overlaps the n - 1 others."""
+    rnd = random.Random(6)
+    rows = [(k % 3 or None, k, rnd.randrange(-99, 99), rnd.randrange(-99, 99), *rnd.choice([(0, 0), (0, 9), (9, 0), (9, 9)])) for k in range(200)]
+    df = spark.createDataFrame(rows, "g int, k long, x long, y long, w long, h long")
+    want = [(a[0], a[1], b[1], 0, 0) for a in rows for b in rows if a[0] and a[0] == b[0] and a[1] < b[1] and a[4] * a[5] == b[4] * b[5] == 0]
+    for most in (1000, 7):
+        assert sorted(map(tuple, detect.flat_pairs(df, "g", "k", 0.45, most).collect())) == sorted(want)
+    assert detect.flat_pairs(df, "g", "k", 1.0).count() == 0
+    # sides of 0, and scores of 1 from the fifth part of the vector on
+    spark.createDataFrame([(v, str(v % 2), [0.0] * 32 + [1.0] * 32) for v in range(6)], "vec_id long, label string, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["jn2_iou_pairs"](spark, str(tmp_path)).collect()
+    assert len({(r.a_k, r.b_k) for r in got}) == len(got) == 2 * (24 * 23 // 2)
+
+
 @pytest.mark.parametrize("n", [60, 600])
 def test_tables_do_not_grow_with_a_chain(spark, monkeypatch, n):
     """Each box overlaps the next and is better than it: every second one stays."""
