@@ -16,23 +16,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import drop_table, write_table
+from framewright.llm.common import drop_table, tasks_of, write_table
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """One round over edges (u, v) with u > v."""
+    tasks = tasks_of(links)
     if large:
         near = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = links
     least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = write_table(least, "least", tasks=tasks)
     if large:
-        least = write_table(least, "least")
         moved = near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = write_table(least, "least")
         moved = near.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v")))
-    out = write_table(moved.where("u > v").distinct(), "links")
+    out = write_table(moved.where("u > v").distinct(), "links", tasks=tasks)
     drop_table(least)
     return out
 
@@ -43,12 +43,12 @@ def _unsettled(links: DataFrame) -> int:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or up > 0 and down > 0").count()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tasks: int | None = None) -> DataFrame:
     """(node, component) for every node of the links (a, b) that isn't the smallest of its component.
 
-    Links from a node to itself and links with a null end are left out.
+    Links from a node to itself and links with a null end are left out.  ``tasks`` is how many write the links at first.
     """
-    edges = write_table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = write_table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", tasks=tasks)
     while _unsettled(edges):
         wide = _star(edges, True)
         drop_table(edges)

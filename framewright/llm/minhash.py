@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import drop_table, forget_kept, small_batches, write_table
+from framewright.llm.common import drop_table, forget_kept, small_batches, tasks_of, write_table
 from framewright.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -251,22 +251,23 @@ def _stars(shared: DataFrame) -> DataFrame:
     """
     slices = F.pow(F.lit(2.0), F.floor(F.log2("members") / 2)).cast("long")
     rows = shared.withColumn("slice", F.pmod(F.xxhash64("id"), F.when(F.col("members") > PAIRS_AT_ONCE, slices).otherwise(1)))
-    of_slice = write_table(rows.groupBy("key", "slice").agg(F.min("id").alias("c")), "slices")
+    tasks = tasks_of(shared)
+    of_slice = write_table(rows.groupBy("key", "slice").agg(F.min("id").alias("c")), "slices", tasks=tasks)
     inner = rows.join(of_slice, ["key", "slice"]).select(F.col("c").alias("a"), F.col("id").alias("b"))
     outer = of_slice.join(of_slice.groupBy("key").agg(F.min("c").alias("a")), "key").select("a", F.col("c").alias("b"))
-    out = write_table(inner.unionAll(outer).where("a < b").distinct(), "stars")
+    out = write_table(inner.unionAll(outer).where("a < b").distinct(), "stars", tasks=tasks)
     drop_table(of_slice)
     return out
 
 
-def _undecided(shared: DataFrame, found: DataFrame, wide: DataFrame) -> DataFrame:
+def _undecided(shared: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, with the bucket's largest component, and the numbers of members and of stragglers outside it."""
     member = shared.select("key", "id").join(found, F.col("id") == F.col("node"), "left")
-    member = write_table(member.select("key", "id", F.coalesce("component", "id").alias("comp")), "members")
+    member = write_table(member.select("key", "id", F.coalesce("component", "id").alias("comp")), "members", tasks=tasks_of(shared))
     parts = member.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key")
     main = F.max(F.struct("size", "comp"))
     mixed = parts.agg(main["comp"].alias("main"), F.sum("size").alias("members"), (F.sum("size") - main["size"]).alias("stragglers")).where("stragglers > 0")
-    out = write_table(member.join(mixed, "key").join(wide, "id"), "undecided")
+    out = write_table(member.join(mixed, "key").join(reps.drop("keys"), "id"), "undecided", tasks=tasks_of(member, reps))
     drop_table(member)
     return out
 
@@ -305,19 +306,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
     signed = write_table(source.mapInArrow(_sign, _SIGNED), "signed")
     named = signed.where("id is not null and n > 0")
-    classes = write_table(named.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = write_table(named.drop("k1", "k2").join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "representatives")
-    wide, points = reps.drop("keys"), reps.select("id", F.explode("keys").alias("key"))
+    classes = write_table(named.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes", tasks=tasks_of(signed))
+    reps = write_table(named.drop("k1", "k2").join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "representatives", tasks=tasks_of(signed))
+    points = reps.select("id", F.explode("keys").alias("key"))
     buckets = points.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = write_table(points.join(buckets, "key"), "shared")
+    shared = write_table(points.join(buckets, "key"), "shared", tasks=tasks_of(reps))
     met = shared.select("id").distinct().hint("shuffle_hash")
     sets = write_table(source.join(met, "id").select("id", "t").mapInArrow(_write_sets, _SETS), "sets")
 
     def links_of(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
         """The components after the pairs are confirmed and their links added to the known components."""
-        links = write_table(confirm(pairs, sets, least), "confirmed")
+        links = write_table(confirm(pairs, sets, least), "confirmed", tasks=tasks_of(sets, pairs))
         edges = links if known is None else links.unionAll(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        out = components(edges)
+        out = components(edges, tasks_of(links, shared))
         drop_table(links)
         return out
 
@@ -325,22 +326,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     slim = reps.drop("keys", "bits")
     x, y = slim.alias("x"), slim.alias("y")
     near = stars.join(x, F.col("b") == F.col("x.id")).join(y, F.col("a") == F.col("y.id")).where(_alike("x", "y", least))
-    first = write_table(near.select("a", "b").distinct(), "pairs")
+    first = write_table(near.select("a", "b").distinct(), "pairs", tasks=tasks_of(stars, reps))
     found = links_of(first, None)
 
-    left = _undecided(shared, found, wide)
-    second = write_table(_neighbours(left, least).join(first, ["a", "b"], "left_anti"), "pairs")
+    left = _undecided(shared, found, reps)
+    second = write_table(_neighbours(left, least).join(first, ["a", "b"], "left_anti"), "pairs", tasks=tasks_of(left))
     drop_table(left)
     found = links_of(second, found)
 
-    left = _undecided(shared, found, wide)
+    left = _undecided(shared, found, reps)
     tried = first.unionAll(second)
     third = write_table(_rest(left, least).join(tried, ["a", "b"], "left_anti"), "pairs")
     drop_table(left)
     found = links_of(third, found)
 
     of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    of_class = write_table(of_class, "components")
+    of_class = write_table(of_class, "components", tasks=tasks_of(classes))
     for table in (reps, shared, stars, sets, first, second, third, classes):
         drop_table(table)
     # texts without words are no class, so they don't meet at one key

@@ -863,3 +863,20 @@ def test_pipeline_on_odd_rows(spark, data):
 def test_schemas_keep_extra_columns(spark):
     df = docs(spark, [(1, "a b c d e f")]).withColumn("rep", F.lit(1))
     assert minhash.drop_copies(df).columns == df.columns
+
+
+def test_small_links_are_written_in_few_files(spark):
+    """Not one for each shuffle partition: the rounds write such tables again and again."""
+    from framewright.llm.components import components
+
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = components(spark.createDataFrame([(i, i + 1) for i in range(1000) if i % 10 != 9], "a long, b long"))
+        assert sorted(map(tuple, out.collect())) == [(i, i // 10 * 10) for i in range(1000) if i % 10]
+        assert len(out.inputFiles()) <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
