@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.config import (
-    BACKENDS, EXECUTION_MODES, GRAPH_LEVELS, LOG_LEVELS, BenchmarkConfig, ModelConfig, Override, benchmark_config, from_arguments, model_config, parse_backend, parse_execution_mode, parse_graph_level, parse_log_level,
+    BACKENDS, EXECUTION_MODES, GRAPH_LEVELS, LOG_LEVELS, BenchmarkConfig, ModelConfig, Override, benchmark_config, from_arguments, model_config, parse_backend, parse_execution_mode, parse_graph_level, parse_log_level, parse_yaml,
 )
 from framewright.functions import geometry, tensor
 from framewright.operators import detect, infer, metrics, pixels, runners, table_functions
@@ -138,14 +138,19 @@ def part_key() -> Column:
 
 
 def settings(spark: SparkSession, sf_dir: str, text: Column, read_one: Callable[[str], list[tuple]], fields: str) -> DataFrame:
-    """(p_partkey, fields) for each tuple that ``read_one`` makes of a part's text."""
+    """(p_partkey, fields) for each tuple that ``read_one`` makes of a part's text.
+
+    Reading takes far longer than the few bytes of a row tell, so parts are dealt to all tasks of the session however few files they come in.
+    """
 
     def run(batches):
         for pdf in batches:
             rows = [(key, *row) for key, x in zip(pdf["p_partkey"].tolist(), pdf["text"]) for row in read_one(x)]
             yield pd.DataFrame(rows, columns=["p_partkey", *(f.split(" ")[0] for f in fields.split(", "))])
 
-    return read(spark, sf_dir, "part").select("p_partkey", text.alias("text")).mapInPandas(run, f"p_partkey long, {fields}")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = read(spark, sf_dir, "part").select("p_partkey").repartition(tasks, "p_partkey")
+    return parts.select("p_partkey", text.alias("text")).mapInPandas(run, f"p_partkey long, {fields}")
 
 
 @query("""
@@ -177,9 +182,7 @@ def src4_model_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's configuration: what is given, and defaults for the rest."""
 
     def one(text: str) -> list[tuple]:
-        import yaml
-
-        c = model_config(yaml.safe_load(text))
+        c = model_config(parse_yaml(text))
         return [(c.path, c.backend, *c.shape, c.batch, c.buffer_size, c.warm_up, list(c.classes), c.session_options.get("execution_mode"), c.conf, c.nms, c.max_detections, c.auto_aspect_ratio, list(c.pad_color), c.bgr_to_rgb)]
 
     given = lambda every, text, *x: F.when(part_key() % every == 0, F.format_string(text, *x)).otherwise("")

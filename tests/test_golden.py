@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import yaml
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -195,6 +196,19 @@ def test_configuration(tmp_path):
             parse("ORT_ENABLE_BASE")
 
 
+def test_configurations_are_read_by_all_tasks(spark, tmp_path):
+    """However few files they come in, and by libyaml where it is there; anchors, merge keys and empty texts as before."""
+    text = "a: &a {x: 1, y: 2}\nb: {<<: *a, y: 3}\n"
+    assert config.parse_yaml(text) == yaml.safe_load(text) == {"a": {"x": 1, "y": 2}, "b": {"x": 1, "y": 3}} and config.parse_yaml("") == {}
+    spark.range(1000).coalesce(1).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    got = QUERIES["src4_model_config"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(got) == 4 and sum(r["count"] for r in got) == 1000
+    if yaml.__with_libyaml__:
+        with pytest.raises(yaml.YAMLError) as e:
+            config.parse_yaml("a: [")
+        assert type(e.value.problem_mark).__module__ == "yaml._yaml"
+
+
 def test_reports(spark, tmp_path):
     assert reports.report_name("json", datetime.datetime(2024, 1, 2, 3, 4, 5)) == "benchmark_20240102_030405.json"
     s = spark.createDataFrame([("Sync", 1.0), ("Sync", 3.0), ("Batch", 2.0)], "mode string, ms double")
