@@ -141,11 +141,13 @@ def settings(spark: SparkSession, sf_dir: str, text: Column, read_one: Callable[
     """(p_partkey, fields) for each tuple that ``read_one`` makes of a part's text.
 
     Reading takes far longer than the few bytes of a row tell, so parts are dealt to all tasks of the session however few files they come in.
+    Equal texts of a batch are read once.
     """
 
     def run(batches):
         for pdf in batches:
-            rows = [(key, *row) for key, x in zip(pdf["p_partkey"].tolist(), pdf["text"]) for row in read_one(x)]
+            known = {x: read_one(x) for x in pdf["text"].unique()}
+            rows = [(key, *row) for key, x in zip(pdf["p_partkey"].tolist(), pdf["text"]) for row in known[x]]
             yield pd.DataFrame(rows, columns=["p_partkey", *(f.split(" ")[0] for f in fields.split(", "))])
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -162,9 +164,7 @@ def src5_benchmark_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defaults, anchors and merge keys: three rows for each text, one for each mode."""
 
     def modes(text: str) -> list[tuple]:
-        import yaml
-
-        c = benchmark_config({k: v for k, v in yaml.safe_load(text).items() if k != "base"})
+        c = benchmark_config({k: v for k, v in parse_yaml(text).items() if k != "base"})
         return [(m, c.concurrent_clients, c.test_duration_sec, c.min_iterations, o.batch, o.buffer_size, o.warm_up) for m, o in (("sync", c.sync_override), ("async", c.async_override), ("batch", c.batch_override))]
 
     shared = "base: &base {batch: 1, buffer_size: 4}\nsync_override: {<<: *base, buffer_size: 1}\nasync_override: *base\n"

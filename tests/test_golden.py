@@ -22,6 +22,7 @@ from framewright.operators import detect, metrics, pixels
 from framewright.operators.infer import OnnxBackend, infer
 from framewright.operators.runners import Classifier, Detector
 from framewright.plans.queries import QUERIES
+from framewright.plans.queries import settings as part_settings
 from framewright.sources import images, onnx_models, reports
 from framewright.streaming import schedule
 
@@ -209,6 +210,15 @@ def test_configurations_are_read_by_all_tasks(spark, tmp_path):
         assert type(e.value.problem_mark).__module__ == "yaml._yaml"
 
 
+def test_equal_configurations_are_read_once_a_batch(spark, tmp_path):
+    """Each row has what its own text says; reading is counted in the worker."""
+    spark.range(1000).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    seen = []
+    got = part_settings(spark, str(tmp_path), F.concat(F.lit("n"), F.col("p_partkey") % 3), lambda x: seen.append(x) or [(x, len(seen)), (x, -len(seen))], "name string, reading int").collect()
+    assert sorted((r.p_partkey, r.name) for r in got) == sorted((k, f"n{k % 3}") for k in range(1000) for _ in range(2))
+    assert {r.reading for r in got} == {-3, -2, -1, 1, 2, 3}
+
+
 def test_reports(spark, tmp_path):
     assert reports.report_name("json", datetime.datetime(2024, 1, 2, 3, 4, 5)) == "benchmark_20240102_030405.json"
     s = spark.createDataFrame([("Sync", 1.0), ("Sync", 3.0), ("Batch", 2.0)], "mode string, ms double")
