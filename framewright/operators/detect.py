@@ -55,17 +55,20 @@ def join_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(labels, "class_id", "left")
 
 
-def intersection(a: Column, b: Column) -> Column:
+Box = Column | dict[str, Column]
+
+
+def intersection(a: Box, b: Box) -> Column:
     """Area that two integer boxes share."""
     along = lambda p, s: F.greatest(F.lit(0), F.least(a[p] + a[s], b[p] + b[s]) - F.greatest(a[p], b[p]))
     return (along("x", "w") * along("y", "h")).cast("bigint")
 
 
-def union(a: Column, b: Column) -> Column:
+def union(a: Box, b: Box) -> Column:
     return (a["w"] * a["h"] + b["w"] * b["h"]).cast("bigint") - intersection(a, b)
 
 
-def overlaps(a: Column, b: Column, threshold: float) -> Column:
+def overlaps(a: Box, b: Box, threshold: float) -> Column:
     """Intersection over union above the threshold; two boxes without area overlap wholly."""
     whole = union(a, b)
     return F.when(whole == 0, F.lit(1.0) > threshold).otherwise(intersection(a, b) > F.lit(threshold) * whole)
@@ -90,21 +93,35 @@ def flat_pairs(df: DataFrame, group: str, key: str, threshold: float, most: int
     A group's boxes are dealt into slices of about ``most``, and every two slices meet in a cell of their own.
     """
     slices = flat_classes(df, group, key).select(group, F.ceil(F.col("members") / most).alias("slices"))
-    boxes = df.where(~has_area()).select(group, F.col(key).alias("key"), F.struct("x", "y", "w", "h").alias("box")).join(slices, group)
+    boxes = df.where(~has_area()).select(group, F.col(key).alias("key"), *SIDES).join(slices, group)
     own, cells = F.pmod(F.xxhash64("key"), F.col("slices")), [group, "i", "j"]
-    # a cell's pairs are many more than its rows, so tasks aren't merged by the size of their rows
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = lambda rows, n: rows.repartition(parts, *cells).select(*cells, F.col("key").alias(f"{n}_key"), F.col("box").alias(n))
-    left = named(boxes.withColumn("i", own).withColumn("j", F.explode(F.sequence("i", F.col("slices") - 1))), "a")
-    right = named(boxes.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), "j"))), "b")
-    pairs = left.join(right, cells).where(((F.col("i") < F.col("j")) | (F.col("a_key") < F.col("b_key"))) & overlaps(F.col("a"), F.col("b"), threshold))
+    left = boxes.withColumn("i", own).withColumn("j", F.explode(F.sequence("i", F.col("slices") - 1)))
+    right = boxes.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), "j")))
+    pairs = _named(left, "a", cells).join(_named(right, "b", cells), cells).where(((F.col("i") < F.col("j")) | (F.col("a_key") < F.col("b_key"))) & overlaps(_box("a"), _box("b"), threshold))
     return _paired(pairs, group, key)
 
 
+SIDES = ["x", "y", "w", "h"]
+
+
+def _box(name: str) -> dict[str, Column]:
+    return {p: F.col(f"{name}_{p}") for p in SIDES}
+
+
+def _named(rows: DataFrame, name: str, cells: list[str], *more: str) -> DataFrame:
+    """The boxes at their cells, their columns named after the side of the join.
+
+    Columns and no struct: a struct is read anew for every pair that is looked at.
+    A cell's pairs are many more than its rows, so tasks aren't merged by the size of their rows.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *cells).select(*cells, *more, *[F.col(c).alias(f"{name}_{c}") for c in ["key", *SIDES]])
+
+
 def _paired(pairs: DataFrame, group: str, key: str) -> DataFrame:
     return pairs.select(
         group, F.least("a_key", "b_key").alias(f"a_{key}"), F.greatest("a_key", "b_key").alias(f"b_{key}"),
-        intersection(F.col("a"), F.col("b")).alias("intersection"), union(F.col("a"), F.col("b")).alias("union_area"),
+        intersection(_box("a"), _box("b")).alias("intersection"), union(_box("a"), _box("b")).alias("union_area"),
     )
 
 
@@ -113,38 +130,68 @@ def has_area() -> Column:
 
 
 def overlapping_pairs(df: DataFrame, group: str, key: str, threshold: float, most: int = 1000) -> DataFrame:
-    """Pairs of a group's boxes with area that overlap above the threshold (0 or more), each once; ``flat_pairs`` has the others.
+    """Pairs of a group's boxes with area that overlap above the threshold (0 or more), each once; ``flat_pairs`` has the others."""
+    boxes = _with_area(df, group, key)
+    return _paired(_meeting(boxes, boxes, group, threshold, True, most), group, key)
+
+
+def _with_area(df: DataFrame, group: str, key: str) -> DataFrame:
+    return df.where(has_area() & F.col(group).isNotNull()).select(group, F.col(key).alias("key"), *[F.col(c).cast("bigint").alias(c) for c in SIDES])
 
-    The grid has levels: a box lives in cells of up to twice its longer side, so in four at most, and
-    looks for others there and in the cells of the coarser levels whose boxes aren't too large to overlap it that much.
-    So a large box isn't copied into small cells, and boxes that meet in a cell are of like size: many of them mean many pairs.
-    A pair counts in the cell that holds the first corner of what the boxes share.  Cells with more than ``most`` boxes
-    are cut in slices of about so many, each of which all that look there visit.
+
+def _meeting(seekers: DataFrame, homes: DataFrame, group: str, threshold: float, once: bool, most: int = 1000) -> DataFrame:
+    """Pairs of a box of ``seekers`` (a) and one of ``homes`` (b) that overlap above the threshold; ``once``: both are the same boxes, and each pair counts once.
+
+    Boxes have a class for their width and one for their height, and every two classes that differ by less than a factor of
+    1 / threshold have a grid of their own, with cells of half the larger class.  There a box of ``homes`` is in the cell of its corner, and one of
+    ``seekers`` in all cells where the corner of a box can be that overlaps it enough: few, whatever the boxes' sizes.
+    So boxes that meet in a cell are of like shape and place: many of them mean many pairs.  Cells with more than ``most``
+    boxes of ``homes`` are cut in slices of about so many, each of which all that look there visit.
     """
-    level = F.ceil(F.log2(F.greatest("w", "h").cast("double"))).cast("int")
-    boxes = df.where(has_area()).select(group, F.col(key).alias("key"), F.struct("x", "y", "w", "h").alias("box"), level.alias("level"))
-    side = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at"))
-    along = lambda p, n: F.explode(F.sequence(F.floor(F.col(f"box.{p}") / side), F.floor((F.col(f"box.{p}") + F.col(f"box.{n}") - 1) / side)))
-    celled = lambda rows: rows.withColumn("i", along("x", "w")).withColumn("j", along("y", "h"))
-    # sides of boxes that overlap above t differ by a factor below 1 / t; for 0 it is the coarsest level there is
-    coarsest = F.col("level") + math.ceil(math.log2(1 / threshold)) if threshold > 0 else F.lit(boxes.agg(F.max("level")).first()[0] or 0)
-    cells = [group, "at", "i", "j"]
-    there = celled(boxes.withColumn("at", F.col("level")))
-    looking = celled(boxes.withColumn("at", F.explode(F.sequence(F.col("level"), coarsest))))
-    dense = there.groupBy(*cells).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*cells, F.ceil(F.col("n") / most).alias("slices"))
+    base = min(max(1 / threshold, 1.25), 2.5) if threshold > 0 else 2.5
+    number = lambda side: side / math.log(base)
+    if threshold > 0:
+        reach = lambda n: F.sequence(F.greatest(F.lit(0), F.floor(number(F.log(F.col(n) * threshold)) - 1e-9).cast("int")), F.floor(number(F.log(F.col(n) / threshold)) + 1e-9).cast("int"))
+    else:
+        largest = seekers.unionByName(homes).agg(F.max(F.greatest("w", "h"))).first()[0] or 1
+        reach = lambda n: F.sequence(F.lit(0), F.lit(math.floor(number(math.log(largest))) + 1))
+
+    def classed(rows: DataFrame, own: str, other: str) -> DataFrame:
+        rows = rows.withColumns({f"{own}{n}": F.floor(number(F.log(n))).cast("int") for n in "wh"})
+        rows = rows.withColumn(f"{other}w", F.explode(reach("w"))).withColumn(f"{other}h", F.explode(reach("h")))
+        rows = rows.where((F.col("aw") < F.col("bw")) | ((F.col("aw") == F.col("bw")) & (F.col("ah") <= F.col("bh")))) if once else rows
+        return rows.withColumn("kind", F.col("aw") + 256 * (F.col("ah") + 256 * (F.col("bw") + F.lit(256).cast("bigint") * F.col("bh"))))
+
+    up = lambda c: F.pow(F.lit(base), c + 1)
+    side = lambda n: up(F.greatest(f"a{n}", f"b{n}")) / 2
+    there = classed(homes, "b", "a").withColumns({"i": F.floor(F.col("x") / side("w")), "j": F.floor(F.col("y") / side("h"))})
+
+    def around(p: str, n: str) -> Column:
+        """Of two boxes that share so much, the second begins less than this before the first, or after it."""
+        longest = up(F.col(f"b{n}")) * (1 + 1e-9)
+        longest = F.least(longest, F.col(n) / threshold) if threshold > 0 else longest
+        before = F.greatest(F.lit(0.0), longest - threshold * F.greatest(F.col(n), longest))
+        return F.explode(F.sequence(F.floor((F.col(p) - before - 1e-6) / side(n)), F.floor((F.col(p) + (1 - min(threshold, 1)) * F.col(n) + 1e-6) / side(n))))
+
+    looking = classed(seekers, "a", "b").withColumn("alike", (F.col("aw") == F.col("bw")) & (F.col("ah") == F.col("bh"))).withColumn("i", around("x", "w")).withColumn("j", around("y", "h"))
+    cells = [group, "kind", "i", "j"]
+    # one row for more than ``most`` others
+    dense = F.broadcast(there.groupBy(*cells).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*cells, F.ceil(F.col("n") / most).alias("slices")))
     slices = F.coalesce("slices", F.lit(1))
-    # a cell's pairs are many more than its rows, so tasks aren't merged by the size of their rows
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    homes = there.join(dense, cells, "left").withColumn("slice", F.pmod(F.xxhash64("key"), slices)).drop("slices").repartition(parts, *cells, "slice")
-    seekers = looking.join(dense, cells, "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1))).drop("slices").repartition(parts, *cells, "slice")
+    there = there.join(dense, cells, "left").withColumn("slice", F.pmod(F.xxhash64("key"), slices))
+    looking = looking.join(dense, cells, "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)))
     cells = [*cells, "slice"]
-    named = lambda rows, n: rows.select(*cells, F.col("key").alias(f"{n}_key"), F.col("box").alias(n), F.col("level").alias(f"{n}_level"))
-    first = lambda p, i: F.floor(F.greatest(F.col(f"a.{p}"), F.col(f"b.{p}")) / side) == F.col(i)
-    once = (F.col("a_level") < F.col("b_level")) | (F.col("a_key") < F.col("b_key"))
-    # what two boxes share is no wider and no higher than the smaller, so this much of the larger it must be at least
-    near = lambda n: F.least(F.col(f"a.{n}"), F.col(f"b.{n}")) >= F.lit(threshold) * F.greatest(F.col(f"a.{n}"), F.col(f"b.{n}"))
-    pairs = named(seekers, "a").join(named(homes, "b"), cells).where(near("w") & near("h") & once & first("x", "i") & first("y", "j") & overlaps(F.col("a"), F.col("b"), threshold))
-    return _paired(pairs, group, key)
+    # bounds for the other's sides and corner, looked at before areas are: whole numbers, a little too far where in doubt
+    bound = lambda rows, n: rows.withColumns({f"{n}_far_{p}": F.ceil(F.col(f"{n}_{p}") + (1 - min(threshold, 1)) * F.col(f"{n}_{q}") + 1e-6) for p, q in ("xw", "yh")})
+    a = bound(_named(looking, "a", cells, "alike"), "a")
+    a = a.withColumns({f"a_{e}_{n}": c for n in "wh" for e, c in (("least", F.ceil(F.col(f"a_{n}") * threshold - 1e-6)), ("most", F.floor(F.col(f"a_{n}") / threshold + 1e-6) if threshold > 0 else F.lit(2**63 - 1)))})
+    met = a.join(bound(_named(there, "b", cells), "b"), cells)
+    for n in "wh":
+        met = met.where(F.col(f"b_{n}").between(F.col(f"a_least_{n}"), F.col(f"a_most_{n}")))
+    for p in "xy":
+        met = met.where((F.col(f"b_{p}") <= F.col(f"a_far_{p}")) & (F.col(f"a_{p}") <= F.col(f"b_far_{p}")))
+    met = met.where(~F.col("alike") | (F.col("a_key") < F.col("b_key"))) if once else met
+    return met.where(intersection(_box("a"), _box("b")) > F.lit(threshold) * union(_box("a"), _box("b")))
 
 
 #: Boxes that are gone through one by one: of a group, or of a part of a larger group.

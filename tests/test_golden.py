@@ -276,6 +276,23 @@ def test_pairs_and_suppression_across_rows(spark, threshold):
         assert sorted(r.k for r in detect.suppress_groups(df, "g", ["k"], threshold, fold).collect()) == sorted(b[1] for b in stay)
 
 
+def test_only_boxes_of_like_shape_and_place_are_compared(spark, monkeypatch):
+    """With areas that let every pair through: what is compared then is near in shape and place, and has all pairs that overlap."""
+    rnd = random.Random(7)
+    rows = [(1, k, rnd.randrange(600), rnd.randrange(600), rnd.choice([20, 100, 280]), rnd.choice([20, 100, 280])) for k in range(300)]
+    df = spark.createDataFrame(rows, "g int, k int, x int, y int, w int, h int")
+    pairs = lambda: {(r.a_k, r.b_k) for r in detect.overlapping_pairs(df, "g", "k", 0.45).collect()}
+    overlapping = pairs()
+    for name in ("intersection", "union"):
+        monkeypatch.setattr(detect, name, lambda a, b: F.lit(1).cast("bigint"))
+    compared = pairs()
+    assert 0 < len(overlapping) and overlapping <= compared
+    for a, b in compared:
+        for p, n in ((2, 4), (3, 5)):
+            longest = max(rows[a][n], rows[b][n])
+            assert rows[a][n] == rows[b][n] and abs(rows[a][p] - rows[b][p]) <= 0.55 * longest + 1
+
+
 def test_every_pair_of_boxes_without_area(spark, tmp_path):
     """In slices of any size, and in the query: each of an image's n such boxes overlaps the n - 1 others."""
     rnd = random.Random(6)
