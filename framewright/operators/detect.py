@@ -7,12 +7,14 @@ so an image's detections need no shuffle; suppression folds over an array.
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.tensor import best_class, elements
+from framewright.operators import ordered
 from framewright.session import written
 
 
@@ -194,72 +196,86 @@ def _meeting(seekers: DataFrame, homes: DataFrame, group: str, threshold: float,
     return met.where(intersection(_box("a"), _box("b")) > F.lit(threshold) * union(_box("a"), _box("b")))
 
 
-#: Boxes that are gone through one by one: of a group, or of a part of a larger group.
+#: Boxes that are gone through one by one: the best of a group, or those of a part.
 FOLD = 2048
+#: A batch reaches so many times as far down as the batches before it.
+GROWTH = 8
 
 
 def suppress_groups(df: DataFrame, group: str, ties: list[str], threshold: float = 0.45, fold: int = FOLD) -> DataFrame:
     """The rows (group, score, ties, x, y, w, h) that stay, where boxes of a group come from several rows.
 
     Exactly what going through a group box by box gives; ``ties`` tell the boxes of a group apart.  A group of at most ``fold``
-    boxes is one array.  A larger one is never brought together: its overlapping pairs are found, its boxes are
-    dealt by place into parts of about ``fold``, and each part goes through its own pairs, better boxes first, as far as the boxes
-    of other parts that it depends on are decided.  Rounds go on until all are: their number grows with the
-    parts that a chain of overlaps passes through, not with its length.  A box without a group is alone and stays.
+    boxes is one array.  A larger one is never brought together: its best ``fold`` boxes are an array, and the others follow in
+    batches by rank, each of which reaches eight times as far as those before.  Of a batch all boxes go that overlap one that stayed so far,
+    which few boxes ever do more than a few times, since those overlap each other little; only of what is left the pairs are
+    found.  Where places don't follow from scores that is a few pairs for each box, however many overlap.  A box without a group is alone and stays.
     """
     kept = [group, *ties, "score", "x", "y", "w", "h"]
     rows = df.select(*kept, F.struct((-F.col("score")).alias("neg"), *ties).alias("rank"))
     sizes = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
     large = written(sizes.where(F.col("n") > fold).select(group, "n"), "large_groups")
     small = rows.where(F.col(group).isNotNull()).join(large, group, "left_anti")
-    folded = small.groupBy(group).agg(F.explode(suppress(F.sort_array(F.collect_list(F.struct("rank", *ties, "score", "x", "y", "w", "h"))), threshold)).alias("b")).select(group, "b.*").select(*kept)
-    out = folded.unionByName(rows.where(F.col(group).isNull()).select(*kept))
-    total = large.agg(F.sum("n")).first()[0]
-    if not total:
+    in_array = lambda of, *more: of.groupBy(group).agg(F.explode(suppress(F.sort_array(F.collect_list(F.struct("rank", *ties, "score", "x", "y", "w", "h", *more))), threshold)).alias("b")).select(group, "b.*")
+    out = in_array(small).select(*kept).unionByName(rows.where(F.col(group).isNull()).select(*kept))
+    if large.isEmpty():
         return out
     ours = rows.join(large.select(group), group, "left_semi")
     # of the boxes without area, which all overlap each other, the best one stays
     best = ours.where(~has_area()).groupBy(group).agg(F.min("rank").alias("rank"))
     flat = ours.where(~has_area()).join(best, [group, "rank"], "left_semi") if threshold < 1 else ours.where(~has_area())
-    boxes = _placed(ours.where(has_area()), group, math.ceil(total / fold))
-    gone = _decided(boxes, group, ties, threshold).where("gone").select("number")
-    return out.unionByName(flat.select(*kept)).unionByName(boxes.join(gone, "number", "left_anti").select(*kept))
-
-
-def _placed(boxes: DataFrame, group: str, parts: int) -> DataFrame:
-    """The boxes with a number of their own and ``part``: neighbours in a curve through the plane, about the same number in each."""
+    boxes = written(ordered.running(ours.where(has_area()), [group], ["rank"], {"place": F.lit(1).cast("bigint")}), "boxes")
+    last = boxes.agg(F.max("place")).first()[0] or 0
+    stay, done = written(in_array(boxes.where(F.col("place") <= fold), "place").select(*kept, "place"), "stay"), fold
+    while done < last:
+        batch = boxes.where((F.col("place") > done) & (F.col("place") <= done * GROWTH))
+        gone = _meeting(_with_area(stay, group, "place"), _with_area(batch, group, "place"), group, threshold, False).select(group, F.col("b_key").alias("place")).distinct()
+        free = _dealt(batch.join(gone, [group, "place"], "left_anti"), group, fold)
+        gone = _decided(free, group, threshold).where("gone").select(group, "place")
+        stay = stay.unionByName(written(free.join(gone, [group, "place"], "left_anti").select(*kept, "place"), "stay"))
+        done *= GROWTH
+    return out.unionByName(flat.select(*kept)).unionByName(stay.select(*kept))
+
+
+def _dealt(boxes: DataFrame, group: str, most: int) -> DataFrame:
+    """The boxes with ``part``: of each group neighbours in a curve through the plane, ``most`` in each."""
     digits = lambda p, n: F.split(F.lpad(F.bin(F.floor(F.col(p) + F.col(n) / 2).cast("bigint") + F.lit(1 << 40)), 42, "0"), "")
     woven = F.array_join(F.zip_with(digits("x", "w"), digits("y", "h"), lambda a, b: F.concat(a, b)), "")
-    dealt = boxes.withColumn("curve", woven).repartitionByRange(parts, group, "curve").withColumns({"part": F.spark_partition_id(), "number": F.monotonically_increasing_id()})
-    return written(dealt.drop("curve"), "boxes")
+    along = ordered.running(boxes.withColumn("curve", woven), [group], ["curve", "place"], {"spot": F.lit(1).cast("bigint")})
+    return written(along.withColumn("part", F.floor((F.col("spot") - 1) / most)).drop("curve", "spot"), "free")
 
 
-def _decided(boxes: DataFrame, group: str, ties: list[str], threshold: float) -> DataFrame:
-    """(number, gone) for every box that some better one overlaps."""
-    pairs = overlapping_pairs(boxes, group, "rank", threshold).select(group, F.col("a_rank").alias("better"), F.col("b_rank").alias("worse"))
-    order = [F.col(f"rank.{c}").alias(f"_{k}") for k, c in enumerate(["neg", *ties])]
-    end = lambda of, *more: boxes.select(group, F.col("rank").alias(of), F.col("number").alias(f"{of}_number"), F.col("part").alias(f"{of}_part"), *more)
-    met = written(pairs.join(end("better"), [group, "better"]).join(end("worse", *order), [group, "worse"]).drop(group, "better", "worse"), "pairs")
+def _decided(boxes: DataFrame, group: str, threshold: float) -> DataFrame:
+    """(group, place, gone) for every box that some better one overlaps, where places are in order of rank.
+
+    Each part goes through its own pairs, better boxes first, as far as the boxes of other parts that it depends on are
+    decided.  Rounds go on until all are: their number grows with the parts that a chain of overlaps passes through, not with its length.
+    """
+    pairs = overlapping_pairs(boxes.withColumn("at", F.struct("place", "part")), group, "at", threshold)
+    met = written(pairs.select(group, *[F.col(f"{x}_at.{c}").alias(f"{n}_{c}") for x, n in (("a", "better"), ("b", "worse")) for c in ("place", "part")]), "pairs")
     # a better box that nothing better overlaps stays
-    under = met.select(F.col("worse_number").alias("better_number")).distinct().withColumn("waits", F.lit(True))
-    left = written(met.join(under, "better_number", "left").withColumn("better_gone", F.when(F.col("waits").isNull(), F.lit(False))).drop("waits"), "pairs")
-    by = [f"_{k}" for k in range(len(order))]
+    under = met.select(group, F.col("worse_place").alias("better_place")).distinct().withColumn("waits", F.lit(True))
+    left = met.join(under, [group, "better_place"], "left").withColumn("better_gone", F.when(F.col("waits").isNull(), F.lit(False))).drop("waits")
+    left = written(left, "pairs")
 
-    def through(rows: pd.DataFrame) -> pd.DataFrame:
+    def through(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """The boxes of a part that can be decided: gone if a better one stays, staying if all better ones are gone."""
         fate: dict[int, bool | None] = {}
-        for worse, of in rows.sort_values(by, na_position="first").groupby("worse_number", sort=False):
-            fates = [bool(gone) if gone is not None else fate.get(b) if p == q else None for b, p, q, gone in zip(of["better_number"], of["better_part"], of["worse_part"], of["better_gone"])]
+        rows = rows.sort_values("worse_place")
+        pairs = zip(rows["worse_place"].tolist(), rows["better_place"].tolist(), (rows["better_part"] == rows["worse_part"]).tolist(), rows["better_gone"].tolist())
+        for worse, of in groupby(pairs, key=lambda p: p[0]):
+            fates = [bool(gone) if gone is not None else fate.get(better) if here else None for _, better, here, gone in of]
             fate[worse] = True if False in fates else None if None in fates else False
-        known = [(w, gone) for w, gone in fate.items() if gone is not None]
-        return pd.DataFrame({"number": [w for w, _ in known], "gone": [gone for _, gone in known]})
+        known = [(key[0], w, gone) for w, gone in fate.items() if gone is not None]
+        return pd.DataFrame(known, columns=[group, "place", "gone"])
 
-    decided = boxes.where("false").select("number", F.lit(False).alias("gone"))
+    fields = f"{group} {boxes.schema[group].dataType.simpleString()}, place long, gone boolean"
+    decided = boxes.where("false").select(group, "place", F.lit(False).alias("gone"))
     while not left.isEmpty():
-        now = written(left.groupBy("worse_part").applyInPandas(through, "number long, gone boolean"), "decided")
+        now = written(left.groupBy(group, "worse_part").applyInPandas(through, fields), "decided")
         decided = decided.unionByName(now)
-        of_better = now.select(F.col("number").alias("better_number"), F.col("gone").alias("now_gone"))
-        rest = left.join(now.select(F.col("number").alias("worse_number")), "worse_number", "left_anti").join(of_better, "better_number", "left")
+        of_better = now.select(group, F.col("place").alias("better_place"), F.col("gone").alias("now_gone"))
+        rest = left.join(now.select(group, F.col("place").alias("worse_place")), [group, "worse_place"], "left_anti").join(of_better, [group, "better_place"], "left")
         left = written(rest.withColumn("better_gone", F.coalesce("better_gone", "now_gone")).drop("now_gone"), "pairs")
     return decided
 

@@ -308,6 +308,23 @@ def test_every_pair_of_boxes_without_area(spark, tmp_path):
     assert len({(r.a_k, r.b_k) for r in got}) == len(got) == 2 * (24 * 23 // 2)
 
 
+def test_suppression_finds_few_of_many_pairs(spark, monkeypatch):
+    """Twelve places with fifty boxes each: all of a place overlap each other, and one of them stays."""
+    found = []
+
+    def counted(df, name):
+        table = session.written(df, name)
+        found.append(table.count() if name == "pairs" else 0)
+        return table
+
+    monkeypatch.setattr(detect, "written", counted)
+    rows = [(1, k, (k * 7919 % 600) / 600, 300 * (k % 12), k % 5, 100, 100 + k % 7) for k in range(600)]
+    df = spark.createDataFrame(rows, "g int, k int, score double, x int, y int, w int, h int")
+    kept = detect.suppress_groups(df, "g", ["k"], 0.45, fold=6).collect()
+    assert sorted(r.k for r in kept) == sorted(max(rows[c::12], key=lambda r: (r[2], -r[1]))[1] for c in range(12))
+    assert sum(found) <= 600
+
+
 @pytest.mark.parametrize("n", [60, 600])
 def test_tables_do_not_grow_with_a_chain(spark, monkeypatch, n):
     """Each box overlaps the next and is better than it: every second one stays."""
