@@ -308,8 +308,9 @@ def test_every_pair_of_boxes_without_area(spark, tmp_path):
     assert len({(r.a_k, r.b_k) for r in got}) == len(got) == 2 * (24 * 23 // 2)
 
 
-def test_suppression_finds_few_of_many_pairs(spark, monkeypatch):
-    """Twelve places with fifty boxes each: all of a place overlap each other, and one of them stays."""
+@pytest.mark.parametrize("n,fold", [(600, 6), (2400, detect.FOLD)])
+def test_suppression_finds_few_of_many_pairs(spark, monkeypatch, n, fold):
+    """Twelve places: all boxes of a place overlap each other, and one of them stays."""
     found = []
 
     def counted(df, name):
@@ -318,11 +319,11 @@ def test_suppression_finds_few_of_many_pairs(spark, monkeypatch):
         return table
 
     monkeypatch.setattr(detect, "written", counted)
-    rows = [(1, k, (k * 7919 % 600) / 600, 300 * (k % 12), k % 5, 100, 100 + k % 7) for k in range(600)]
+    rows = [(1, k, (k * 7919 % n) / n, 300 * (k % 12), k % 5, 100, 100 + k % 7) for k in range(n)]
     df = spark.createDataFrame(rows, "g int, k int, score double, x int, y int, w int, h int")
-    kept = detect.suppress_groups(df, "g", ["k"], 0.45, fold=6).collect()
+    kept = detect.suppress_groups(df, "g", ["k"], 0.45, fold).collect()
     assert sorted(r.k for r in kept) == sorted(max(rows[c::12], key=lambda r: (r[2], -r[1]))[1] for c in range(12))
-    assert sum(found) <= 600
+    assert sum(found) <= n
 
 
 @pytest.mark.parametrize("n", [60, 600])
